@@ -37,13 +37,13 @@ SELECT *, delta / sum(delta) OVER (PARTITION BY t_yr, grp, set_id) AS pent FROM
   SELECT b.t_yr, a.*, b.s, b.t_k, CAST(1 + (set_id * 7 + t_k * 13) % 11 AS DOUBLE) AS delta FROM sets a JOIN slots b USING (grp))
 """)
 FACTOR = "(({f} - 1) / ln({f}))"
-cte("lam", "pp", "SELECT *, phi * p * (1 - pow(phi * (1 - p), s - t_k)) / (1 - phi * (1 - p)) AS lambda FROM pp")
+cte("lam", "pp", "SELECT *, phi * p * (1 - pow(phi * (1 - p), s - t_k)) / (1 - phi * (1 - p)) AS lm FROM pp")
 cte("psi", "lam", f"""
 SELECT l.*, (SELECT sum(e.pent * CASE WHEN e.t_k = 1 THEN 1 ELSE {FACTOR.format(f='l.phi')} END * pow(l.phi * (1 - l.p), l.t_k - e.t_k))
   FROM lam e WHERE e.t_yr = l.t_yr AND e.grp = l.grp AND e.set_id = l.set_id AND e.t_k <= l.t_k) AS psi FROM lam l
 """)
 cte("jq", "psi", """
-SELECT *, p / (p + (1 - p) * lambda) AS tau, psi * p AS temp, psi * p / sum(psi * p) OVER (PARTITION BY t_yr, grp, set_id) AS multP,
+SELECT *, p / (p + (1 - p) * lm) AS tau, psi * p AS temp, psi * p / sum(psi * p) OVER (PARTITION BY t_yr, grp, set_id) AS multP,
   sum(psi * p) OVER (PARTITION BY t_yr, grp, set_id) AS psiPtot FROM psi
 """)
 # rates varying by period
@@ -51,9 +51,9 @@ cte("pv", "pp", """
 SELECT t_yr, grp, set_id, s, t_k, pent, delta, phi - 1e-2 * ((set_id + t_k) % 7) AS phi, p + 1e-2 * ((set_id + t_k * 3) % 5) AS p FROM pp
 """)
 cte("lamv", "pv", """
-SELECT t_yr, grp, set_id, s, t_k, phi, p, CAST(0 AS DOUBLE) AS lambda FROM pv WHERE t_k = s
+SELECT t_yr, grp, set_id, s, t_k, phi, p, CAST(0 AS DOUBLE) AS lm FROM pv WHERE t_k = s
 UNION ALL
-SELECT a.t_yr, a.grp, a.set_id, a.s, a.t_k, a.phi, a.p, a.phi * (b.p + (1 - b.p) * b.lambda)
+SELECT a.t_yr, a.grp, a.set_id, a.s, a.t_k, a.phi, a.p, a.phi * (b.p + (1 - b.p) * b.lm)
 FROM lamv b JOIN pv a ON a.t_yr = b.t_yr AND a.grp = b.grp AND a.set_id = b.set_id AND a.t_k = b.t_k - 1
 """)
 cte("psiv", "pv", f"""

@@ -125,11 +125,11 @@ def detection_share(df: DataFrame, keys) -> DataFrame:
 
 
 def expected_counts(df: DataFrame) -> DataFrame:
-    """Expected recaptures, marks, first detections and their total."""
+    """Expected recaptures (est_rl), marks (est_mk), first detections and their total."""
     return df.withColumns(
         {
-            "est_r": F.col("lambda") * F.col("marked"),
-            "est_R": F.col("v") * F.col("seen"),
+            "est_rl": F.col("lambda") * F.col("marked"),
+            "est_mk": F.col("v") * F.col("seen"),
             "est_u": F.col("multP") * F.col("uTot"),
             "est_uTot": F.col("psiPtot") * F.col("nsuper"),
         }
