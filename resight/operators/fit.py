@@ -114,13 +114,15 @@ def score_grid(stats: DataFrame, keys, cells=None, rounds: int = 400, a: float =
     marks = F.aggregate("path", F.lit(0.0), lambda acc, x: acc + term(x))
     arrivals = F.aggregate(F.arrays_zip("u", "mu"), F.lit(0.0), lambda acc, z: acc + xlogy(z["u"], z["mu"]) - z["mu"])
     loglik = F.col("const") + marks + arrivals + log_beta("phi", a, b) + log_beta("p", a, b)
-    return fitted.select(*keys, "phi", "p", F.aggregate("entries", F.lit(0.0), lambda x, y: x + y).alias("nsuper"), loglik.alias("loglik"), "entries")
+    return fitted.select(*keys, "phi", "p", F.aggregate("entries", F.lit(0.0), lambda x, y: x + y).alias("nsuper"), F.aggregate("u", F.lit(0.0), lambda x, y: x + y).alias("u_total"), loglik.alias("loglik"), "entries")
 
 
 def fit_grid(scored: DataFrame, keys) -> DataFrame:
     """Best cell and weighted mean and sd of phi, p and N per group.
 
-    Weights are exp(loglik) relative to the group's best; two small aggregations.
+    Weights are exp(loglik) relative to the group's best; two small aggregations. The
+    variance of N is the variance between cells plus the mean counting variance within
+    them, N^2 / u for u first detections.
     """
     keys = list(keys)
     usable = scored.where(~F.isnan("loglik") & F.col("loglik").isNotNull())
@@ -130,11 +132,15 @@ def fit_grid(scored: DataFrame, keys) -> DataFrame:
     aggs = [F.sum(w).alias("w")]
     for c in ("phi", "p", "nsuper"):
         aggs += [F.sum(w * F.col(c)).alias(f"_{c}1"), F.sum(w * F.col(c) * F.col(c)).alias(f"_{c}2")]
+    aggs.append(F.sum(w * F.coalesce(F.try_divide(F.col("nsuper") * F.col("nsuper"), "u_total"), F.lit(0.0))).alias("_within"))
     out = usable.drop("entries").join(best, keys).groupBy(*keys, "best_loglik", "b").agg(*aggs)
     res = [F.col("best_loglik")] + [F.col(f"b.{c}").alias(f"best_{c}") for c in ("phi", "p", "nsuper")]
     for c in ("phi", "p", "nsuper"):
         mean = F.col(f"_{c}1") / F.col("w")
-        res += [mean.alias(f"mean_{c}"), F.sqrt(F.greatest(F.col(f"_{c}2") / F.col("w") - mean * mean, F.lit(0.0))).alias(f"sd_{c}")]
+        var = F.greatest(F.col(f"_{c}2") / F.col("w") - mean * mean, F.lit(0.0))
+        if c == "nsuper":
+            var = var + F.col("_within") / F.col("w")
+        res += [mean.alias(f"mean_{c}"), F.sqrt(var).alias(f"sd_{c}")]
     return out.select(*keys, *res)
 
 

@@ -38,6 +38,8 @@ def _close(a: str, b: str, tol: float) -> bool:
         x, y = float(a), float(b)
     except ValueError:
         return False
+    if not (math.isfinite(x) and math.isfinite(y)):
+        return False
     return abs(x - y) <= tol * max(1.0, abs(x), abs(y))
 
 
