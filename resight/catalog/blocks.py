@@ -29,7 +29,7 @@ FROM (SELECT s.t_yr, s.grp, s.t_k,
 """)
 cte("sets", "", """
 SELECT c_custkey AS set_id, list_extract(['click','error','purchase','signup','view'], CAST(c_custkey % 5 + 1 AS INTEGER)) AS grp,
-  2e-1 + 6e-3 * (c_custkey % 100) AS phi, 3e-1 + 5e-3 * (c_custkey % 97) AS p, 5e-1 + 4e-3 * (c_custkey % 89) AS v, 5e3 + c_acctbal AS nsuper
+  2e-1 + (c_custkey % 100) / 161e0 AS phi, 3e-1 + (c_custkey % 97) / 211e0 AS p, 5e-1 + (c_custkey % 89) / 263e0 AS v, 5e3 + c_acctbal AS nsuper
 FROM customer
 """)
 cte("pp", "sets slots", """

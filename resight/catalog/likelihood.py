@@ -236,29 +236,85 @@ def season_histories(spark, d):
     return clean.rebase_periods(h)
 
 
-COARSE = ((0.1, 0.9, 0.04), (0.1, 0.9, 0.04))
+COARSE = ((0.09, 0.89, 0.04), (0.11, 0.91, 0.04))
+cte("cells", "", "SELECT 9e-2 + i * 4e-2 AS phi, 1.1e-1 + j * 4e-2 AS p FROM (SELECT unnest(range(0, 21)) AS i), (SELECT unnest(range(0, 21)) AS j)")
+
+
+def fit_blocks(name: str, stats: str, key: str) -> None:
+    """Blocks for the grid fit of a statistics table: pooled runs, fitted values, scores, weights."""
+    k = ", ".join(key.split())
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in key.split())
+    of = lambda x: ", ".join(f"{x}.{c}" for c in key.split())
+    cte(f"{name}_u", stats, f"SELECT *, sum(first_seen) OVER (PARTITION BY {k} ORDER BY t_k) AS cum, max(t_k) OVER (PARTITION BY {k}) AS s FROM {stats}")
+    cte(f"{name}_ab", f"{name}_u", f"SELECT {of('a')}, a.t_k AS a, b.t_k AS b, b.cum - a.cum + a.first_seen AS u FROM {name}_u a JOIN {name}_u b ON {same('a', 'b')} AND a.t_k <= b.t_k")
+    cte(f"{name}_run", f"{name}_ab cells", f"""SELECT {k}, phi, p, a, b, min(CASE WHEN u = 0 THEN -1e300 ELSE ln(u) + ln(1 - phi * (1 - p)) - ln(1 - pow(phi * (1 - p), b - a + 1)) - (a - 1) * ln(phi * (1 - p)) END)
+  OVER (PARTITION BY {k}, phi, p, a ORDER BY b DESC) AS low FROM {name}_ab, cells""")
+    cte(f"{name}_mu", f"{name}_run", f"SELECT {k}, phi, p, b AS t_k, CASE WHEN max(low) < -1e299 THEN 0 ELSE exp(max(low) + (b - 1) * ln(phi * (1 - p))) END AS mu FROM {name}_run GROUP BY {k}, phi, p, b")
+    cte(f"{name}_b", f"{name}_mu {name}_u", f"""SELECT m.*, u.* EXCLUDE ({k}, t_k), CASE WHEN m.t_k = 1 THEN mu / p
+  ELSE greatest(mu / p - phi * (1 - p) * (lag(mu) OVER (PARTITION BY {of('m')}, phi, p ORDER BY m.t_k)) / p, 0) / ((phi - 1) / ln(phi)) END AS entries,
+  phi * p * (1 - pow(phi * (1 - p), s - m.t_k)) / (1 - phi * (1 - p)) AS lm FROM {name}_mu m JOIN {name}_u u ON {same('m', 'u')} AND m.t_k = u.t_k""")
+    tau = "(p / (p + (1 - p) * lm))"
+    cte(f"{name}_cell", f"{name}_b", f"""SELECT {k}, phi, p, sum(entries) AS nsuper, sum(first_seen) AS u_total, sum({sql_xlogy('first_seen', 'nullif(mu, 0)')} - mu - lgamma(first_seen + 1e0))
+  + COALESCE(sum(CASE WHEN t_k < s THEN {sql_choose('marked', 'recap_later')} + {sql_xlogy('recap_later', 'lm')} + {sql_xlogy('(marked - recap_later)', '(1 - lm)')} END), 0)
+  + COALESCE(sum(CASE WHEN t_k BETWEEN 2 AND s - 1 THEN {sql_choose('at_risk', 'recap_now')} + {sql_xlogy('recap_now', tau)} + {sql_xlogy('(at_risk - recap_now)', f'(1 - {tau})')} END), 0)
+  + {sql_beta('phi', '5e-1', '5e-1')} + {sql_beta('p', '5e-1', '5e-1')} AS loglik FROM {name}_b GROUP BY {k}, phi, p""")
+    cte(f"{name}_w", f"{name}_cell", f"SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY {k})) AS w FROM {name}_cell")
+    mom = ", ".join(f"sum(w * {c}) / sum(w) AS mean_{c}, sum(w * {c} * {c}) / sum(w) AS sq_{c}" for c in ("phi", "p", "nsuper"))
+    cte(name, f"{name}_w", f"""SELECT {k}, max(loglik) AS best_loglik, arg_max(phi, loglik) AS best_phi, arg_max(p, loglik) AS best_p, arg_max(nsuper, loglik) AS best_nsuper, {mom},
+  sum(w * nsuper * nsuper / u_total) / sum(w) AS inside FROM {name}_w GROUP BY {k}""")
+
+
+fit_blocks("fitg", "js", "t_yr grp")
+cte("season_h", "rolled", "SELECT t_yr, a - first + 1 AS t_k, b - first + 1 AS r_k, Tag1 IS NOT NULL AS tag, count(*) AS n FROM (SELECT *, min(a) OVER (PARTITION BY t_yr) AS first FROM (SELECT * EXCLUDE (a, b, first), t_wk AS a, CASE WHEN r_wk < 20 THEN r_wk + 52 ELSE r_wk END AS b FROM rolled) WHERE t_wk >= 25) GROUP BY ALL")
+cte("season_s", "season_h", "SELECT t_yr, unnest(range(1, CAST(max(greatest(t_k, COALESCE(r_k, 0))) AS BIGINT) + 1)) AS t_k FROM season_h GROUP BY t_yr")
+cte("season_js", "season_s season_h", """
+SELECT t_yr, t_k, u + m AS seen, mk AS marked, u AS first_seen, rl AS recap_later, m AS recap_now,
+  COALESCE(sum(rl - m) OVER (PARTITION BY t_yr ORDER BY t_k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_risk
+FROM (SELECT s.t_yr, s.t_k, COALESCE((SELECT sum(n) FROM season_h h WHERE h.t_yr = s.t_yr AND h.t_k = s.t_k), 0) AS u,
+  COALESCE((SELECT sum(n) FROM season_h h WHERE h.t_yr = s.t_yr AND h.t_k = s.t_k AND tag), 0) AS mk,
+  COALESCE((SELECT sum(n) FROM season_h h WHERE h.t_yr = s.t_yr AND h.t_k = s.t_k AND tag AND r_k IS NOT NULL), 0) AS rl,
+  COALESCE((SELECT sum(n) FROM season_h h WHERE h.t_yr = s.t_yr AND h.r_k = s.t_k AND tag), 0) AS m FROM season_s s)
+""")
+fit_blocks("fity", "season_js", "t_yr")
+
+cte("dec", "sets js", f"""
+SELECT *, (u / p - phi * (1 - p) * COALESCE(lag(u) OVER w, 0) / p) / CASE WHEN t_k = 1 THEN 1 ELSE (phi - 1) / ln(phi) END AS b
+FROM (SELECT j.t_yr, s.grp, s.set_id, s.phi, s.p, j.t_k, j.first_seen AS u FROM sets s JOIN js j USING (grp)) WINDOW w AS (PARTITION BY t_yr, grp, set_id ORDER BY t_k)
+""")
 
 
-@query("deconvolve_entries")
+@query("deconvolve_entries", "dec", f"SELECT {IDS}, {num('CASE WHEN min(b) >= 0 THEN sum(b) END', 'nsuper_free', 4)}, {num('sum(u)', 'fitted', 4)} FROM dec GROUP BY t_yr, grp, set_id", digits=4)
 def _(spark, d):
+    """Total entries where no bound binds, and the fitted total, which always equals the observed one."""
     packed = V.event_stats(spark, d).groupBy(*G).agg(F.array_sort(F.collect_list(F.struct("t_k", F.col("first_seen").cast("double").alias("u")))).alias("o"))
     cells = packed.select(*G, F.transform("o", lambda x: x["u"]).alias("u")).join(sets(spark, d).select("set_id", "grp", "phi", "p"), "grp")
-    out = fit.deconvolve_entries(cells.repartition("set_id"), rounds=200)
-    return out.select(*S, F.aggregate("entries", F.lit(0.0), lambda a, b: a + b).alias("nsuper"), F.aggregate("mu", F.lit(0.0), lambda a, b: a + b).alias("fitted"))
+    out = fit.deconvolve_entries(cells.repartition("set_id"))
+    free = F.forall(F.arrays_zip("u", "mu"), lambda z: F.abs(z["u"] - z["mu"]) < 1e-6)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    return out.select(*S, F.when(free, total("entries")).alias("nsuper_free"), total("mu").alias("fitted"))
 
 
-@query("fit_grid")
-def _(spark, d):
-    return fit.fit_grid(fit.score_grid(V.event_stats(spark, d), G, fit.grid(*COARSE), rounds=200), G)
+FIT_SQL = ", ".join([num("best_loglik", "best_loglik", 3)] + [num(f"best_{c}", f"best_{c}", 3) for c in ("phi", "p", "nsuper")] + [
+    num(f"mean_{c}", f"mean_{c}", 3) + ", " + num(f"sqrt(greatest(sq_{c} - mean_{c} * mean_{c}, 0){' + inside' if c == 'nsuper' else ''})", f"sd_{c}", 3) for c in ("phi", "p", "nsuper")])
 
 
-@query("grid_quantiles")
+@query("fit_grid", "fitg", f"SELECT t_yr::BIGINT AS t_yr, grp, {FIT_SQL} FROM fitg", digits=3)
 def _(spark, d):
-    return fit.weighted_quantiles(fit.score_grid(V.event_stats(spark, d), G, fit.grid(*COARSE), rounds=200), G, "nsuper")
+    return fit.fit_grid(fit.score_grid(V.event_stats(spark, d), G, fit.grid(*COARSE)), G)
 
 
-@query("abundance_by_year")
+@query("grid_quantiles", "fitg_w", f"SELECT t_yr::BIGINT AS t_yr, grp, " + ", ".join(num(f"min(CASE WHEN c >= {q} - 1e-12 THEN nsuper END)", n, 3) for q, n in ((0.025, "q25"), (0.5, "q500"), (0.975, "q975")))
+       + " FROM (SELECT *, sum(w) OVER (PARTITION BY t_yr, grp ORDER BY nsuper ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY t_yr, grp) AS c FROM fitg_w) GROUP BY t_yr, grp", digits=3)
 def _(spark, d):
-    return A.year_report(season_histories(spark, d), ["t_yr"], fit.grid(*COARSE))
+    return fit.weighted_quantiles(fit.score_grid(V.event_stats(spark, d), G, fit.grid(*COARSE)), G, "nsuper")
 
 
+SD = "sqrt(greatest(sq_nsuper - mean_nsuper * mean_nsuper, 0) + inside)"
+
+
+@query("abundance_by_year", "fity season_js", f"""SELECT f.t_yr::BIGINT AS t_yr, {num('best_phi', 'best_phi', 3)}, {num('best_p', 'best_p', 3)}, {num('mean_nsuper', 'nsuper', 3)},
+{num(f'mean_nsuper - 1.96e0 * {SD}', 'lower', 3)}, {num(f'mean_nsuper + 1.96e0 * {SD}', 'upper', 3)}, {big('t.u', 'from_stats')}, {big('t.u', 'from_histories')}, 0::BIGINT AS difference,
+{num('(mk + 5e-1) / (seen + 1e0)', 'v_mean', 3)}, {num('sqrt((mk + 5e-1) * (seen - mk + 5e-1) / ((seen + 1e0) * (seen + 1e0) * (seen + 2e0)))', 'v_sd', 3)}
+FROM fity f JOIN (SELECT t_yr, sum(first_seen) AS u, sum(marked) AS mk, sum(seen) AS seen FROM season_js GROUP BY t_yr) t ON f.t_yr = t.t_yr""", digits=3)
+def _(spark, d):
+    return A.year_report(season_histories(spark, d), ["t_yr"], fit.grid(*COARSE))

@@ -75,7 +75,7 @@ FROM jq q JOIN js j ON q.t_yr = j.t_yr AND q.grp = j.grp AND q.t_k = j.t_k
 """)
 
 
-@query("expected_counts", "jqs", f"SELECT {IDS}, {TK}, {num('lm * marked', 'est_rl')}, {num('v * seen', 'est_mk')}, {num('multP * uTot', 'est_u')}, {num('psiPtot * nsuper', 'est_uTot')} FROM jqs")
+@query("expected_counts", "jqs", f"SELECT {IDS}, {TK}, {num('lm * marked', 'est_rl', 3)}, {num('v * seen', 'est_mk', 3)}, {num('multP * uTot', 'est_u', 3)}, {num('psiPtot * nsuper', 'est_uTot', 3)} FROM jqs", digits=3)
 def _(spark, d):
     st = V.event_stats(spark, d)
     tot = st.groupBy(*G).agg(F.sum("first_seen").alias("uTot"))
@@ -112,7 +112,7 @@ def _(spark, d):
 
 # ---- forward chains
 
-@query("three_state_forward", "lam", f"SELECT {IDS}, {TK}, {num('pow(phi * (1 - p), s - t_k)', 'alive')}, {num('lm', 'detected')}, {num('1 - pow(phi * (1 - p), s - t_k) - lm', 'dead')} FROM lam")
+@query("three_state_forward", "lam", f"SELECT {IDS}, {TK}, {num('pow(phi * (1 - p), s - t_k)', 'alive', 8)}, {num('lm', 'detected', 8)}, {num('1 - pow(phi * (1 - p), s - t_k) - lm', 'dead', 8)} FROM lam", digits=8)
 def _(spark, d):
     f = M.three_state_forward("phi", "p", F.col("s") - F.col("t_k"))
     return rows(spark, d).select(*S, "t_k", f.alias("f")).select(*S, "t_k", "f.*")
@@ -350,8 +350,8 @@ cte("mk", "sets js", "SELECT j.t_yr, s.grp, s.set_id, j.t_k, s.phi, s.p, CAST(j.
 cte("avail", "mk", PATH.format(me="avail", src="mk", first="b", enter="a.b"))
 
 
-@query("expected_recaptures", "avail sets slots", f"""SELECT a.t_yr::BIGINT AS t_yr, a.grp, a.set_id::BIGINT AS set_id, b.t_k::BIGINT AS r_k, {num('sum(a.n * pow(a.phi, b.t_k - a.t_k) * s.p)', 'e_r')}
-FROM avail a JOIN sets s USING (set_id) JOIN slots b ON a.t_yr = b.t_yr AND a.grp = b.grp AND b.t_k > a.t_k GROUP BY 1, 2, 3, 4""")
+@query("expected_recaptures", "avail sets slots", f"""SELECT a.t_yr::BIGINT AS t_yr, a.grp, a.set_id::BIGINT AS set_id, b.t_k::BIGINT AS r_k, {num('sum(a.n * pow(a.phi, b.t_k - a.t_k) * s.p)', 'e_r', 3)}
+FROM avail a JOIN sets s USING (set_id) JOIN slots b ON a.t_yr = b.t_yr AND a.grp = b.grp AND b.t_k > a.t_k GROUP BY 1, 2, 3, 4""", digits=3)
 def _(spark, d):
     st = V.event_stats(spark, d).select(*G, "t_k", "marked")
     base = sets(spark, d).join(st, "grp").withColumn("B", F.col("marked"))

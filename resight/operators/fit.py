@@ -9,70 +9,73 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from resight.functions.mathx import log_beta, log_choose, lgamma, xlogy
 from resight.operators.model import lambda_const, tau_of
 
-CHUNK = 256
+CHUNK = 512
+TINY = 1e-12
 
 
-def _weights(phi: np.ndarray, p: np.ndarray, s: int) -> np.ndarray:
-    """w[b, j, i]: probability that an entrant of period j is first detected in period i."""
-    q = phi * (1 - p)
-    c = np.where(phi < 1, (phi - 1) / np.log(phi), 1.0)
-    lag = np.arange(s)[None, :] - np.arange(s)[:, None]
-    w = np.where(lag >= 0, q[:, None, None] ** np.maximum(lag, 0), 0.0) * p[:, None, None]
-    w[:, 1:, :] *= c[:, None, None]
-    return w
+def _fitted(u: np.ndarray, phi: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Fitted first detections under entries B >= 0, exactly, for a stack of count vectors.
 
-
-def _deconvolve(u: np.ndarray, phi: np.ndarray, p: np.ndarray, rounds: int) -> np.ndarray:
-    """Entries B >= 0 maximising the Poisson likelihood of u, by multiplicative updates.
-
-    Starts from the exact solution of the triangular system where that is positive.
+    Dividing the fitted value of period i by p q^i, q = phi (1 - p), turns B >= 0 into "does
+    not decrease", so the Poisson maximum is a weighted isotonic regression: its value at i
+    is the max over a <= i of the min over b >= i of the pooled ratio of periods a..b. The
+    pooled weight is a geometric sum, so no small difference is ever taken; ratios are kept
+    as logs.
     """
-    w = _weights(phi, p, u.shape[1])
-    reach = w.sum(axis=2)
-    start = np.linalg.solve(np.swapaxes(w, 1, 2), u[:, :, None])[:, :, 0]
-    fine = (start >= 0).all(axis=1)
-    b = np.maximum(start, 0.02 * u + 1e-3)
-    b[fine] = start[fine]
-    todo = np.flatnonzero(~fine)
-    if len(todo):
-        wt, rt, ut, bt = w[todo], reach[todo], u[todo], b[todo]
-        for _ in range(rounds):
-            mu = np.einsum("bj,bji->bi", bt, wt)
-            ratio = np.where(ut > 0, ut / np.maximum(mu, 1e-300), 0.0)
-            bt = bt * np.einsum("bji,bi->bj", wt, ratio) / rt
-        b[todo] = bt
-    return b
-
-
-def _entries_udf(rounds: int):
-    @F.pandas_udf("struct<entries: array<double>, mu: array<double>>")
-    def run(u: pd.Series, phi: pd.Series, p: pd.Series) -> pd.DataFrame:
-        entries: list = [None] * len(u)
-        fitted: list = [None] * len(u)
-        lengths = u.map(len).to_numpy()
-        f, d = phi.to_numpy(float), p.to_numpy(float)
-        for s in np.unique(lengths):
-            where = np.flatnonzero(lengths == s)
-            for i in range(0, len(where), CHUNK):
-                rows = where[i : i + CHUNK]
-                x = np.stack(u.iloc[rows].to_numpy()).astype(float)
-                b = _deconvolve(x, f[rows], d[rows], rounds)
-                mu = np.einsum("bj,bji->bi", b, _weights(f[rows], d[rows], int(s)))
-                for k, row in enumerate(rows):
-                    entries[row], fitted[row] = b[k], mu[k]
-        return pd.DataFrame({"entries": entries, "mu": fitted})
-
-    return run
-
-
-def deconvolve_entries(df: DataFrame, rounds: int = 400) -> DataFrame:
-    """Rows with an array u and scalars phi, p -> arrays of entries B and fitted first detections."""
-    return df.withColumn("_e", _entries_udf(rounds)("u", "phi", "p")).select("*", "_e.entries", "_e.mu").drop("_e")
+    s = u.shape[1]
+    q = np.clip(phi * (1 - p), TINY, 1 - TINY)[:, None, None]
+    total = np.concatenate([np.zeros((len(u), 1)), np.cumsum(u, axis=1)], axis=1)
+    pooled = total[:, None, 1:] - total[:, :-1, None]
+    a, b = np.arange(s)[:, None], np.arange(s)[None, :]
+    length = np.maximum(b - a + 1, 1)
+    with np.errstate(divide="ignore"):
+        ratio = np.log(np.maximum(pooled, 0.0)) + np.log1p(-q) - np.log1p(-(q**length)) - a * np.log(q)
+    ratio = np.where(b >= a, ratio, np.inf)
+    lowest = np.minimum.accumulate(ratio[:, :, ::-1], axis=2)[:, :, ::-1]
+    best = np.where(b >= a, lowest, -np.inf).max(axis=1)
+    return np.exp(best + np.arange(s) * np.log(q[:, 0]))
+
+
+def _entries(mu: np.ndarray, phi: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Entries behind fitted first detections; later entrants survive part of an interval."""
+    q, c = phi * (1 - p), np.where(phi < 1, (phi - 1) / np.log(phi), 1.0)
+    x = mu / p[:, None]
+    out = x.copy()
+    out[:, 1:] = np.maximum(x[:, 1:] - q[:, None] * x[:, :-1], 0.0) / c[:, None]
+    # within a pooled run the difference is rounding only
+    out[:, 1:][out[:, 1:] < 1e-9 * x[:, 1:]] = 0.0
+    return out
+
+
+FITTED = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("entries", "mu")])
+
+
+@F.pandas_udf(FITTED)
+def _entries_udf(u: pd.Series, phi: pd.Series, p: pd.Series) -> pd.DataFrame:
+    entries: list = [None] * len(u)
+    fitted: list = [None] * len(u)
+    lengths = u.map(len).to_numpy()
+    f, d = phi.to_numpy(float), p.to_numpy(float)
+    for s in np.unique(lengths):
+        where = np.flatnonzero(lengths == s)
+        for i in range(0, len(where), CHUNK):
+            rows = where[i : i + CHUNK]
+            mu = _fitted(np.stack(u.iloc[rows].to_numpy()).astype(float), f[rows], d[rows])
+            b = _entries(mu, f[rows], d[rows])
+            for k, row in enumerate(rows):
+                entries[row], fitted[row] = b[k], mu[k]
+    return pd.DataFrame({"entries": entries, "mu": fitted})
+
+
+def deconvolve_entries(df: DataFrame) -> DataFrame:
+    """Rows with an array u and scalars phi, p -> entries B >= 0 maximising the Poisson
+    likelihood of u, and the fitted first detections mu."""
+    return df.withColumn("_e", _entries_udf("u", "phi", "p")).select("*", "_e.entries", "_e.mu").drop("_e")
 
 
 def grid(phi=(0.02, 0.98, 0.02), p=(0.02, 0.98, 0.02)):
@@ -85,7 +88,7 @@ def grid(phi=(0.02, 0.98, 0.02), p=(0.02, 0.98, 0.02)):
     return F.flatten(F.transform(steps(*phi), lambda f: F.transform(steps(*p), lambda d: F.struct(f.alias("phi"), d.alias("p")))))
 
 
-def score_grid(stats: DataFrame, keys, cells=None, rounds: int = 400, a: float = 0.5, b: float = 0.5) -> DataFrame:
+def score_grid(stats: DataFrame, keys, cells=None, a: float = 0.5, b: float = 0.5) -> DataFrame:
     """Profile log likelihood and abundance of every grid cell of every group."""
     keys = list(keys)
     cols = ["first_seen", "marked", "recap_later", "recap_now", "at_risk"]
@@ -98,7 +101,7 @@ def score_grid(stats: DataFrame, keys, cells=None, rounds: int = 400, a: float =
     const = const - F.aggregate("path", F.lit(0.0), lambda acc, x: acc + lgamma(x["first_seen"] + 1))
     packed = packed.withColumns({"const": const, "u": F.transform("path", lambda x: x["first_seen"])})
     rows = packed.withColumn("cell", F.explode(grid() if cells is None else cells)).select("*", "cell.phi", "cell.p").drop("cell")
-    fitted = deconvolve_entries(rows.repartition(*keys, "phi", "p"), rounds)
+    fitted = deconvolve_entries(rows.repartition(*keys, "phi", "p"))
 
     s = F.size("path")
 

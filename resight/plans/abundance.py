@@ -8,7 +8,7 @@ from resight.operators import fit, histories as H, score, summary
 from resight.session import settle
 
 
-def abundance(hist: DataFrame, keys, cells=None, rounds: int = 400):
+def abundance(hist: DataFrame, keys, cells=None):
     """(fit per key, statistics, totals by two routes) from counted histories.
 
     The counted table is settled once: everything after it is small, and no step goes
@@ -18,7 +18,7 @@ def abundance(hist: DataFrame, keys, cells=None, rounds: int = 400):
     hist = settle(hist)
     bounds = H.last_period(hist, keys)
     stats = settle(H.js_from_histories(hist, bounds, keys))
-    scored = fit.score_grid(stats, keys, cells, rounds)
+    scored = fit.score_grid(stats, keys, cells)
     return fit.fit_grid(scored, keys), stats, summary.total_check(stats, hist, keys)
 
 

@@ -85,9 +85,9 @@ def parameter_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(
         k.alias("set_id"),
         group.alias("grp"),
-        (0.2 + 0.006 * (k % 100)).alias("phi"),
-        (0.3 + 0.005 * (k % 97)).alias("p"),
-        (0.5 + 0.004 * (k % 89)).alias("v"),
+        (0.2 + (k % 100) / 161.0).alias("phi"),
+        (0.3 + (k % 97) / 211.0).alias("p"),
+        (0.5 + (k % 89) / 263.0).alias("v"),
         (5000.0 + F.col("c_acctbal")).alias("nsuper"),
     )
 
