@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resight.catalog import blocks  # noqa: F401
+from resight.catalog import blocks, sheets as _sheets  # noqa: F401
 from resight.catalog.base import big, cte, num, query
 from resight.operators import clean, histories as H, periods, reshape, stats
 from resight.plans import views as V
@@ -315,17 +315,17 @@ def _(spark, d):
     return reshape.melt_array(arr.withColumn("a", F.transform("a", lambda x: x["v"])), ["grp"], "a", 2)
 
 
-@query("complete", "hist slots", f"SELECT s.t_yr::BIGINT AS t_yr, s.grp, s.t_k::BIGINT AS t_k, {big('COALESCE(sum(n), 0)', 'n')} FROM slots s LEFT JOIN (SELECT * FROM hist WHERE t_k % 3 = 0) h ON h.t_yr = s.t_yr AND h.grp = s.grp AND h.t_k = s.t_k GROUP BY 1, 2, 3")
+@query("complete", "hist slots", f"SELECT s.t_yr::BIGINT AS t_yr, s.grp, s.t_k::BIGINT AS t_k, {big('COALESCE(sum(n), 0)', 'n')} FROM slots s LEFT JOIN (SELECT * FROM hist WHERE r_k > t_k + 4) h ON h.t_yr = s.t_yr AND h.grp = s.grp AND h.t_k = s.t_k GROUP BY 1, 2, 3")
 def _(spark, d):
     h, b = both(spark, d)
-    third = h.where(F.col("t_k") % 3 == 0).groupBy(*G, "t_k").agg(F.sum("n").alias("n"))
-    return reshape.complete(third, b, G, fill={"n": 0})
+    late = h.where(F.col("r_k") > F.col("t_k") + 4).groupBy(*G, "t_k").agg(F.sum("n").alias("n"))
+    return reshape.complete(late, b, G, fill={"n": 0})
 
 
-@query("nonzero_cells", "hist slots", f"""SELECT a.t_k::BIGINT AS t_k, b.t_k::BIGINT AS r_k, {big('(SELECT nullif(COALESCE(sum(n), 0), 0) FROM hist h WHERE h.grp = a.grp AND h.t_yr = a.t_yr AND h.t_k = a.t_k AND h.r_k = b.t_k)', 'value')}
-FROM slots a JOIN slots b ON a.t_yr = b.t_yr AND a.grp = b.grp AND a.t_k < b.t_k WHERE a.grp = 'view'""")
+@query("nonzero_cells", "hist slots", f"""SELECT a.t_yr::BIGINT AS t_yr, a.grp, a.t_k::BIGINT AS t_k, b.t_k::BIGINT AS r_k, {big('(SELECT nullif(COALESCE(sum(n), 0), 0) FROM hist h WHERE h.grp = a.grp AND h.t_yr = a.t_yr AND h.t_k = a.t_k AND h.r_k = b.t_k)', 'value')}
+FROM slots a JOIN slots b ON a.t_yr = b.t_yr AND a.grp = b.grp AND a.t_k < b.t_k""")
 def _(spark, d):
     h, b = both(spark, d)
     r = H.recapture_matrix(h, G).withColumnRenamed("n", "value")
-    full = H.period_pairs(b, G).join(r, [*G, "t_k", "r_k"], "left").na.fill(0, ["value"]).where(F.col("grp") == "view")
-    return reshape.nonzero_cells(full, "value", "t_k", "r_k").select("t_k", "r_k", "value")
+    full = H.period_pairs(b, G).join(r, [*G, "t_k", "r_k"], "left").na.fill(0, ["value"])
+    return reshape.nonzero_cells(full, "value", "t_k", "r_k")

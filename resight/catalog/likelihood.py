@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resight.catalog import blocks  # noqa: F401
+from resight.catalog import blocks, counts as _counts  # noqa: F401
 from resight.catalog.base import big, cte, num, query
 from resight.catalog.model import G, IDS, S, group_rates, quantities, rows, sets
 from resight.functions import mathx as X

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resight.catalog import blocks  # noqa: F401
+from resight.catalog import blocks, sheets as _sheets  # noqa: F401
 from resight.catalog.base import big, cte, num, query
 from resight.operators import histories as H, kernels as K, model as M
 from resight.plans import views as V
@@ -398,12 +398,12 @@ def _(spark, d):
 
 
 COV = ("seen", "marked", "first_seen", "recap_later", "recap_now")
-cte("cov", "js", " UNION ALL ".join(f"SELECT grp, '{a}' AS k, '{b}' AS j, covar_samp({a}, {b}) AS value FROM js WHERE grp <> 'error' GROUP BY grp" for a in COV for b in COV))
+cte("cov", "js", " UNION ALL ".join(f"SELECT grp, '{a}' AS k, '{b}' AS j, covar_samp({a}, {b}) AS value FROM js GROUP BY grp" for a in COV for b in COV))
 
 
-@query("cov_to_corr", "cov", f"SELECT c.grp, c.k, c.j, {num('sqrt(a.value)', 'sigma')}, {num('c.value / sqrt(a.value * b.value)', 'rho')} FROM cov c JOIN cov a ON a.grp = c.grp AND a.k = c.k AND a.j = c.k JOIN cov b ON b.grp = c.grp AND b.k = c.j AND b.j = c.j")
+@query("cov_to_corr", "cov", f"SELECT c.grp, c.k, c.j, {num('sqrt(a.value)', 'sigma')}, {num('c.value / nullif(sqrt(a.value * b.value), 0)', 'rho')} FROM cov c JOIN cov a ON a.grp = c.grp AND a.k = c.k AND a.j = c.k JOIN cov b ON b.grp = c.grp AND b.k = c.j AND b.j = c.j")
 def _(spark, d):
-    st = V.event_stats(spark, d).where(F.col("grp") != "error")
+    st = V.event_stats(spark, d)
     cells = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(b).alias("j"), F.covar_samp(a, b).alias("value")) for a in COV for b in COV])
     cov = st.groupBy("grp").agg(cells.alias("c")).select("grp", F.explode("c").alias("c")).select("grp", "c.*")
     return M.cov_to_corr(cov, ("grp",))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resight.catalog import blocks  # noqa: F401
+from resight.catalog import blocks, sheets as _sheets  # noqa: F401
 from resight.catalog.base import big, cte, num, query
 from resight.catalog.model import G, S, quantities
 from resight.catalog.sheets import _u as draw_sql
@@ -171,10 +171,10 @@ def _(spark, d):
 
 
 @query("obs_vs_pred", "hist mean_q", f"""SELECT t_yr::BIGINT AS t_yr, grp, t_k::BIGINT AS t_k, {big('o', 'obs')}, {num('mp', 'pred')}
-FROM (SELECT t_yr, grp, t_k, sum(n) AS o FROM hist WHERE t_k % 2 = 0 GROUP BY ALL) FULL JOIN (SELECT * FROM mean_q WHERE t_k > 3) USING (t_yr, grp, t_k)""")
+FROM (SELECT t_yr, grp, t_k, sum(n) AS o FROM hist WHERE r_k > t_k + 4 GROUP BY ALL) FULL JOIN mean_q USING (t_yr, grp, t_k)""")
 def _(spark, d):
-    obs = V.event_histories(spark, d).where(F.col("t_k") % 2 == 0).groupBy(*G, "t_k").agg(F.sum("n").alias("value"))
-    pred = quantities(spark, d).where(F.col("t_k") > 3).groupBy(*G, "t_k").agg(F.avg("multP").alias("value"))
+    obs = V.event_histories(spark, d).where(F.col("r_k") > F.col("t_k") + 4).groupBy(*G, "t_k").agg(F.sum("n").alias("value"))
+    pred = quantities(spark, d).groupBy(*G, "t_k").agg(F.avg("multP").alias("value"))
     return C.obs_vs_pred(obs, pred, [*G, "t_k"])
 
 

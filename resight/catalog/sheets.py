@@ -150,10 +150,6 @@ def tidy(spark, d):
     return T.tidy(raw(spark, d), "site", SPECIES)
 
 
-def typed(df):
-    return df.withColumns({"Return_Yr": F.col("Return_Yr").cast("int"), "FL": F.col("FL").cast("double")})
-
-
 # ---- sources and sinks
 
 
@@ -223,13 +219,13 @@ def _(spark, d):
 
 @query("write_final", "final", f"SELECT {big('Return_Yr', 'Return_Yr')}, Sex_final, count(*)::BIGINT AS n FROM final GROUP BY 1, 2")
 def _(spark, d):
-    path = sheets.write_final_parquet(typed(tidy(spark, d)), new_folder(spark, "final"))
+    path = sheets.write_final_parquet(tidy(spark, d), new_folder(spark, "final"))
     return spark.read.parquet(path).groupBy("Return_Yr", "Sex_final").count().withColumnRenamed("count", "n")
 
 
 @query("read_final", "final", "SELECT * FROM final")
 def _(spark, d):
-    path = sheets.write_final(typed(tidy(spark, d)), new_folder(spark, "final"), "run")
+    path = sheets.write_final(tidy(spark, d), new_folder(spark, "final"), "run")
     return sheets.read_final(spark, path)
 
 
@@ -298,7 +294,7 @@ def _(spark, d):
 
 @query("final_select", "final", "SELECT * FROM final")
 def _(spark, d):
-    return typed(tidy(spark, d))
+    return tidy(spark, d)
 
 
 @query("ocean_age", "fmt", f"""SELECT ScaleAge, {big("CASE WHEN ScaleAge IS NULL OR ScaleAge IN ('9','88') THEN -1 ELSE CAST(substr(ScaleAge, 1, 1) AS INTEGER) - CAST(substr(ScaleAge, 2, 1) AS INTEGER) END", 'oa')}, count(*)::BIGINT AS n FROM fmt GROUP BY 1, 2""")
@@ -442,7 +438,7 @@ def _(spark, d):
 {', '.join(f'CASE WHEN count(*) FILTER (RecapState = {k}) > 0 THEN count(*) FILTER (RecapState = {k}) END::BIGINT AS recap_{k}' for k in range(1, 6))}
 FROM final WHERE "check" = -1 GROUP BY 1, 2""")
 def _(spark, d):
-    return stats.check_breakdown(typed(tidy(spark, d)))
+    return stats.check_breakdown(tidy(spark, d))
 
 
 @query("check_total", "final", 'SELECT count(*)::BIGINT AS n FROM final WHERE "check" = -1')
@@ -460,7 +456,7 @@ def _(spark, d):
 @query("column_setdiff", "raw", "SELECT DISTINCT SampleRate, Comments FROM raw")
 def _(spark, d):
     df = raw(spark, d)
-    kept = reshape.column_setdiff(df, typed(df).drop("SampleRate", "Comments"))
+    kept = reshape.column_setdiff(df, df.drop("SampleRate", "Comments"))
     return df.select(*kept).distinct()
 
 

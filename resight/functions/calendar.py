@@ -6,27 +6,20 @@ from pyspark.sql import Column, functions as F
 
 from resight.functions.mathx import as_col
 
-# Accepted spellings of a survey date, tried in this order.
-DAY_FIRST = ("d-MMM-yy", "d-MMM-yyyy", "d/M/yyyy", "d/M/yy", "d-M-yyyy", "d-M-yy")
-MONTH_FIRST = ("M/d/yyyy", "M/d/yy", "M-d-yyyy", "M-d-yy")
+def parse_date(text, order: str = "dmy") -> Column:
+    """A date from day, month and year in the given order; anything else is null, never an error.
 
-LAST_TWO_DIGIT_YEAR = 2068
-
-
-def parse_date(text, patterns=DAY_FIRST) -> Column:
-    """First pattern that parses; anything else is null, never an error.
-
-    Two-digit years 69 to 99 belong to the 1900s.
+    Separators may be ``-``, ``/``, ``.`` or blanks, the month a number or a three-letter
+    name, the year two (69 to 99 are in the 1900s) or four
+    digits. The text is brought to one spelling first, so each
+    value is parsed once and a wrong pattern is never tried.
     """
-    text = F.trim(as_col(text))
-
-    def read(pattern):
-        day = F.try_to_date(text, pattern)
-        if "yyyy" in pattern:
-            return day
-        return F.when(F.year(day) > LAST_TWO_DIGIT_YEAR, F.add_months(day, -1200)).otherwise(day)
-
-    return F.coalesce(*[read(p) for p in patterns])
+    text = F.regexp_replace(F.trim(as_col(text)), r"[/. ]+", "-")
+    text = F.regexp_replace(text, r"-(69|[7-9]\d)$", "-19$1")
+    text = F.regexp_replace(text, r"-([0-6]\d)$", "-20$1")
+    numeric = {"dmy": "d-M-yyyy", "mdy": "M-d-yyyy"}[order]
+    named = {"dmy": "d-MMM-yyyy", "mdy": "MMM-d-yyyy"}[order]
+    return F.when(F.rlike(text, F.lit("[A-Za-z]")), F.try_to_date(text, named)).otherwise(F.try_to_date(text, numeric))
 
 
 def week_sunday(d) -> Column:

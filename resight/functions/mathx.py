@@ -15,8 +15,9 @@ def as_col(x) -> Column:
 
 
 def logit(x) -> Column:
+    """log(x / (1 - x)), infinite at the ends."""
     x = as_col(x)
-    return F.log(x / (1 - x))
+    return F.when(x <= 0, F.lit(NEG_INF)).when(x >= 1, F.lit(-NEG_INF)).otherwise(F.log(x / (1 - x)))
 
 
 def expit(x) -> Column:
@@ -72,7 +73,7 @@ def log_multinom_cell(k, p) -> Column:
 
 def log_norm(x, mean, sd) -> Column:
     x, mean, sd = as_col(x), as_col(mean), as_col(sd)
-    z = (x - mean) / sd
+    z = F.try_divide(x - mean, sd)
     return -0.5 * z * z - F.log(sd) - HALF_LOG_TWO_PI
 
 

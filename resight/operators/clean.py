@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from resight.functions.calendar import DAY_FIRST, parse_date, week_block, week_rollover
+from resight.functions.calendar import parse_date, week_block, week_rollover
 from resight.operators.schema import FINAL_COLUMNS
 from resight.session import settle, settle_lookup
 
@@ -15,7 +15,7 @@ def filter_species(df: DataFrame, keep, col: str = "SPECIES") -> DataFrame:
 
 def number_in(text) -> Column:
     """First run of digits as an integer, null when there is none."""
-    return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit("")).cast("int")
+    return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
 
 
 def movement_check(df: DataFrame, tag: str = "TagState", recap: str = "RecapState") -> DataFrame:
@@ -24,13 +24,13 @@ def movement_check(df: DataFrame, tag: str = "TagState", recap: str = "RecapStat
     return df.withColumn("check", F.when(bad, -1).otherwise(1))
 
 
-def standardize(df: DataFrame, location: str, date_patterns=DAY_FIRST) -> DataFrame:
+def standardize(df: DataFrame, location: str, date_order: str = "dmy") -> DataFrame:
     """Typed dates and reaches, the location constant, and the movement check."""
     out = (
         df.withColumnRenamed("SPECIES", "Species")
         .withColumn("Location", F.lit(location))
-        .withColumn("Date_Maiden", parse_date("TagDate", date_patterns))
-        .withColumn("Date_Recap", parse_date("RecapDate", date_patterns))
+        .withColumn("Date_Maiden", parse_date("TagDate", date_order))
+        .withColumn("Date_Recap", parse_date("RecapDate", date_order))
         .withColumn("TagState", number_in("TagReach"))
         .withColumn("RecapState", number_in("RecapReach"))
     )
@@ -73,10 +73,12 @@ def final_filter(df: DataFrame) -> DataFrame:
 
 
 def final_select(df: DataFrame) -> DataFrame:
+    """The tidy table's columns with their names and types."""
     renamed = df.drop(*[c for c in df.columns if c.startswith("Prop_Sex")]).withColumnsRenamed(
         {"Sex": "Sex_original", "Date_Maiden": "Date_Cap", "Year_Period": "Year_Period_Cap"}
     )
-    return renamed.select(*FINAL_COLUMNS)
+    typed = renamed.withColumns({"Return_Yr": F.col("Return_Yr").try_cast("int"), "FL": F.col("FL").try_cast("double")})
+    return typed.select(*FINAL_COLUMNS)
 
 
 def period_index_week(df: DataFrame, year=None, min_week: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from resight.operators.clean import row_index
 from resight.operators.reshape import complete, group_total, period_grid
 from resight.session import settle_lookup
 
@@ -194,8 +195,7 @@ def reach_index(df: DataFrame, tag: str = "TagReach", recap: str = "RecapReach")
     A recapture reach which never occurs as a capture reach stays null.
     """
     names = df.select(F.col(tag).alias("_name")).where(F.col(tag).isNotNull()).distinct()
-    # the number of reaches is the length of the river, not of the data; checked by settle_lookup
-    numbered = settle_lookup(names.withColumn("_no", F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy("_name"))))
+    numbered = settle_lookup(row_index(names, ["_name"], "_no"))
     for col, out in ((tag, "t_l"), (recap, "r_l")):
         side = numbered.select(F.col("_name").alias(f"_{out}"), F.col("_no").alias(out))
         df = df.join(side, df[col] == side[f"_{out}"], "left").drop(f"_{out}")

@@ -144,7 +144,7 @@ def abundance_states(rates: DataFrame, born: DataFrame, keys, k: int, log_rate:
 def pooled_group_kernel(rates: DataFrame, born: DataFrame, keys, group: str = "grp") -> DataFrame:
     """Births-weighted mean of the groups' rate kernels per period, for rows of unknown group."""
     w = rates.join(born, [*keys, group])
-    return w.groupBy(*keys, "t_k", "from_l", "to_l").agg((F.sum(F.col("rate") * F.col("B")) / F.sum("B")).alias("rate"))
+    return w.groupBy(*keys, "t_k", "from_l", "to_l").agg(F.try_divide(F.sum(F.col("rate") * F.col("B")), F.sum("B")).alias("rate"))
 
 
 def transition_detection(kernel: DataFrame, detect: DataFrame, keys) -> DataFrame:

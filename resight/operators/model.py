@@ -28,7 +28,7 @@ def lambda_const(phi, p, steps) -> Column:
 def tau_of(p, lam) -> Column:
     """Share of those recaptured from now on who are recaptured now."""
     p, lam = as_col(p), as_col(lam)
-    return p / (p + (1 - p) * lam)
+    return F.try_divide(p, p + (1 - p) * lam)
 
 
 def with_periods(params: DataFrame, s: str = "s", name: str = "t_k") -> DataFrame:
@@ -45,9 +45,9 @@ def expand_params(params: DataFrame, form: str = "sst") -> DataFrame:
     rows = with_periods(params)
     if form[0] == "t":
         inner = F.greatest(F.lit(1), F.least(F.greatest(F.col("t_k"), F.lit(2)), F.col("s") - 1))
-        rows = rows.withColumn("p", F.element_at("p", inner.cast("int")))
+        rows = rows.withColumn("p", F.try_element_at("p", inner.cast("int")))
     if form[1] == "t":
-        rows = rows.withColumn("phi", F.element_at("phi", F.least(F.col("t_k"), F.col("s") - 1).cast("int")))
+        rows = rows.withColumn("phi", F.try_element_at("phi", F.greatest(F.least(F.col("t_k"), F.col("s") - 1), F.lit(1)).cast("int")))
     return rows
 
 
@@ -113,7 +113,7 @@ def js_quantities(df: DataFrame, keys, keep=(), first_entry: str = "once") -> Da
         *keys, *keep, "s", "psiPtot", F.col("z.path.t_k").alias("t_k"), "z.path.p", "z.path.phi", "z.path.pent",
         F.col("z.lam").alias("lambda"), "z.psi", "z.temp",
         tau_of(F.col("z.path.p"), F.col("z.lam")).alias("tau"),
-        (F.col("z.temp") / F.col("psiPtot")).alias("multP"),
+        F.try_divide(F.col("z.temp"), F.col("psiPtot")).alias("multP"),
     )
 
 
@@ -121,7 +121,7 @@ def detection_share(df: DataFrame, keys) -> DataFrame:
     """temp = psi p, its total, and each period's share of first detections."""
     out = df.withColumn("temp", F.col("psi") * F.col("p"))
     total = F.sum("temp").over(W.partitionBy(*keys))
-    return out.withColumns({"psiPtot": total, "multP": F.col("temp") / total})
+    return out.withColumns({"psiPtot": total, "multP": F.try_divide(F.col("temp"), total)})
 
 
 def expected_counts(df: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def residence_abundance(df: DataFrame, keys) -> DataFrame:
         before = F.when(first, born).otherwise(acc["after"] * phi + born)
         t = x["time_auc"]
         counts = F.when(first, 0.5 * t * before).otherwise(0.5 * t * (acc["after"] + before))
-        dwell = phi / (phi - 1) - 1 / F.log(phi)
+        dwell = F.when(phi >= 1, 0.5).when(phi <= 0, 0.0).otherwise(phi / (phi - 1) - 1 / F.log(phi))
         carcasses = F.when(first, 0.5 * t * born).otherwise(0.5 * t * acc["after"] * (phi + 1) + t * born * dwell)
         return F.struct(
             (before - x["seen"] + x["marked"]).alias("after"), x["phi"].alias("phi"),
@@ -235,8 +235,8 @@ def residence_abundance(df: DataFrame, keys) -> DataFrame:
     out = _ordered(df, keys, cols).select(*keys, end.alias("e"), total.alias("nsuper"))
     tail = 0.5 * F.col("e.last_time") * F.col("e.after")
     out = out.select(*keys, "nsuper", (F.col("e.counts") + tail).alias("auc_counts"), (F.col("e.carcasses") + tail).alias("auc_carcasses"))
-    out = out.withColumn("residence", F.col("auc_carcasses") / F.col("nsuper"))
-    return out.withColumn("escapement", F.bround(F.col("auc_counts") / F.col("residence"), 0))
+    out = out.withColumn("residence", F.try_divide("auc_carcasses", "nsuper"))
+    return out.withColumn("escapement", F.bround(F.try_divide("auc_counts", "residence"), 0))
 
 
 def cov_to_corr(cov: DataFrame, keys=()) -> DataFrame:
@@ -245,8 +245,8 @@ def cov_to_corr(cov: DataFrame, keys=()) -> DataFrame:
     left = diag.withColumnsRenamed({"_k": "k", "_sd": "sigma"})
     right = diag.withColumnsRenamed({"_k": "j", "_sd": "sigma_j"})
     out = cov.join(left, [*keys, "k"]).join(right, [*keys, "j"])
-    return out.withColumn("rho", F.col("value") / (F.col("sigma") * F.col("sigma_j"))).select(*keys, "k", "j", "sigma", "rho")
+    return out.withColumn("rho", F.try_divide(F.col("value"), F.col("sigma") * F.col("sigma_j"))).select(*keys, "k", "j", "sigma", "rho")
 
 
 def age_shares(df: DataFrame, keys, delta: str = "delta_age") -> DataFrame:
-    return df.withColumn("p_age", F.col(delta) / F.sum(delta).over(W.partitionBy(*keys)))
+    return df.withColumn("p_age", F.try_divide(F.col(delta), F.sum(delta).over(W.partitionBy(*keys))))

@@ -15,7 +15,7 @@ def union_dates(df: DataFrame, capture: str = "Date_Maiden", recapture: str | No
     aggregated before it shuffles, so at most one row per date leaves each task.
     """
     cols = [capture] if recapture is None else [capture, recapture]
-    return df.select(F.col(year).cast("int").alias("Year"), F.explode(F.array(*cols)).alias("Date")).na.drop().distinct()
+    return df.select(F.col(year).try_cast("int").alias("Year"), F.explode(F.array(*cols)).alias("Date")).na.drop().distinct()
 
 
 def mid_date(lo: str = "Date_Min", hi: str = "Date_Max"):
@@ -127,7 +127,7 @@ def attach_periods(df: DataFrame, date_map: DataFrame, by_year: bool = True) ->
         side = lookup.select(F.col("Year").alias("_y"), F.col("Date").alias("_d"), F.col("Period").alias(name))
         on = df[date] == side["_d"]
         if by_year:
-            on = on & (df["Return_Yr"].cast("int") == side["_y"])
+            on = on & (df["Return_Yr"].try_cast("int") == side["_y"])
         df = df.join(side, on, "left").drop("_y", "_d")
     return df
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from resight.operators.clean import row_index
+from resight.session import settle_lookup
+
 
 def share_within(df: DataFrame, keys, value: str = "n", name: str = "share") -> DataFrame:
     """Value over its group total. The input is an aggregate, not raw rows."""
-    return df.withColumn(name, F.col(value) / F.sum(value).over(W.partitionBy(*keys)))
+    return df.withColumn(name, F.try_divide(F.col(value), F.sum(value).over(W.partitionBy(*keys))))
 
 
 def group_total(df: DataFrame, keys, value: str = "n", name: str = "t_k_total") -> DataFrame:
@@ -18,13 +21,13 @@ def group_total(df: DataFrame, keys, value: str = "n", name: str = "t_k_total")
 def group_id(df: DataFrame, keys, name: str = "grp") -> DataFrame:
     """Number groups from 0 in key order.
 
-    Distinct keys are numbered on their own (they are aggregated first) and joined
-    back, so no window ever spans the rows.
+    The distinct keys are numbered on their own, by a distributed sort, and joined back; no
+    window spans the rows.
     """
-    ids = df.select(*keys).distinct()
-    numbered = ids.withColumn(name, F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy(*keys)) - 1)
+    keys = list(keys)
+    numbered = row_index(df.select(*keys).distinct(), keys, name)
+    right = settle_lookup(numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col(name) - 1).alias(name)))
     on = None
-    right = numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
     for k in keys:
         same = df[k].eqNullSafe(right[f"_{k}"])
         on = same if on is None else on & same

@@ -82,7 +82,7 @@ def sex_ratios(df: DataFrame, periods: DataFrame, bio: str = "tagged", groups: s
     """
     sample = sex_sample(df, bio, groups)
     counts = settle(
-        sample.groupBy(F.col("Return_Yr").cast("int").alias("Year"), F.col("Period_Cap").alias("Period"), "Year_Period", "Sex_Temp").agg(F.count(F.lit(1)).alias("Count"))
+        sample.groupBy(F.col("Return_Yr").try_cast("int").alias("Year"), F.col("Period_Cap").alias("Period"), "Year_Period", "Sex_Temp").agg(F.count(F.lit(1)).alias("Count"))
     )
     total = _wide(counts, [F.lit("Total").alias("Year_Period")])
     per_period = _wide(counts, ["Year", "Period", "Year_Period"])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from resight.functions.draws import standard_normal
 from resight.functions.mathx import expit
 from resight.operators.reshape import append
+from resight.session import settle, settle_lookup
 
 Z95 = 1.96
 
@@ -14,59 +15,52 @@ Z95 = 1.96
 def exact_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = 20_000) -> DataFrame:
     """Exact interpolated quantiles per key without gathering a key's values.
 
-    A mergeable sketch brackets each quantile's order statistics. A second pass counts the
-    values below the bracket and, per distinct value, those inside it; only the bracket
-    (about n / accuracy values of a key) is ordered. The ranks are checked against the
-    bracket's counts, and a bracket that misses one falls back to the key's full range.
+    One pass builds a mergeable sketch per key, which brackets the order statistics of each
+    quantile. A second pass counts all values below a bracket as one and those inside it by
+    value, with a partial count before the shuffle; only the values inside a bracket (about
+    n / accuracy of a key) are put in order. A bracket that misses a rank, which the error
+    bound of the sketch rules out, would be replaced by the key's whole range.
     """
     keys, slack = list(keys), 2.0 / accuracy
     edges = [e for q in probs for e in (max(0.0, q - slack), min(1.0, q + slack))]
     sketch = df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, edges, accuracy).alias("e"),
-        F.min(value).alias("lo0"), F.max(value).alias("hi0"),
+        F.count(value).alias("n"), F.percentile_approx(value, edges, accuracy).alias("e"), F.min(value).alias("lo0"), F.max(value).alias("hi0")
     )
     asked = F.array(*[
-        F.struct(F.lit(float(q)).alias("q"),
-                 (F.lit(q) * (F.col("n") - 1)).alias("h"),
-                 (F.lit(0.0) if q <= slack else F.lit(1.0)).alias("_"),
-                 (F.col("lo0") if q <= slack else F.col("e")[2 * i]).alias("lo"),
-                 (F.col("hi0") if q >= 1 - slack else F.col("e")[2 * i + 1]).alias("hi"))
+        F.struct(
+            F.lit(float(q)).alias("q"),
+            (F.lit(float(q)) * (F.col("n") - 1)).alias("h"),
+            (F.col("lo0") if q <= slack else F.col("e")[2 * i]).alias("lo"),
+            (F.col("hi0") if q >= 1 - slack else F.col("e")[2 * i + 1]).alias("hi"),
+        )
         for i, q in enumerate(probs)
     ])
-    brackets = sketch.select(*keys, "n", "lo0", "hi0", asked.alias("asked"))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x")).join(brackets, keys)
-
-    def below(lo_of):
-        return [F.count_if(F.col("x") < lo_of(i)).alias(f"below{i}") for i in range(len(probs))]
-
-    def order_stats(rows):
-        """(keys, q, h, value at floor(h), value at ceil(h)) from per-value counts inside brackets."""
-        inside = F.filter("asked", lambda a: (F.col("x") >= a["lo"]) & (F.col("x") <= a["hi"]))
-        per_value = (
-            rows.withColumn("a", F.explode(inside))
-            .groupBy(*keys, F.col("a.q").alias("q"), F.col("a.h").alias("h"), "x")
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        under = rows.groupBy(*keys).agg(*below(lambda i: F.col("asked")[i]["lo"]))
-        under = under.select(*keys, F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"below{i}").alias("below")) for i, q in enumerate(probs)])).alias("u")).select(*keys, "u.q", "u.below")
-        upto = W.partitionBy(*keys, "q").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-        ranked = per_value.join(under, [*keys, "q"]).withColumn("last", F.col("below") + F.sum("c").over(upto) - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    brackets = settle_lookup(sketch.select(*keys, "lo0", "hi0", asked.alias("asked")))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"))
+
+    def order_stats(brackets):
+        """(keys, q, h, value at rank floor(h), value at rank ceil(h))."""
+        seen = rows.join(brackets, keys).select(*keys, "x", F.explode(F.filter("asked", lambda a: F.col("x") <= a["hi"])).alias("a"))
+        # every value below the bracket counts under a null, which sorts first
+        inside = F.when(F.col("x") >= F.col("a.lo"), F.col("x"))
+        counts = seen.groupBy(*keys, F.col("a.q").alias("q"), F.col("a.h").alias("h"), inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        upto = W.partitionBy(*keys, "q", "h").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+        ranked = counts.withColumn("last", F.sum("c").over(upto) - 1).withColumn("first", F.col("last") - F.col("c") + 1)
 
         def at(rank):
-            return F.min(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("x")))
+            return F.min(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
 
         return ranked.groupBy(*keys, "q", "h").agg(at(F.floor("h")).alias("x0"), at(F.ceil("h")).alias("x1"))
 
-    got = order_stats(rows)
-    missed = got.where(F.col("x0").isNull() | F.col("x1").isNull()).select(*keys).distinct()
-    whole = F.transform("asked", lambda a: a.withField("lo", F.col("lo0")).withField("hi", F.col("hi0")))
-    again = order_stats(rows.join(missed, keys, "left_semi").withColumn("asked", whole))
-    final = got.join(missed, keys, "left_anti").unionByName(again)
-    frac = F.col("h") - F.floor("h")
-    final = final.withColumn("v", F.col("x0") + frac * (F.col("x1") - F.col("x0")))
+    got = settle(order_stats(brackets))
+    lost = got.where(F.col("x0").isNull() | F.col("x1").isNull()).select(*keys).distinct()
+    if not lost.isEmpty():
+        whole = F.transform("asked", lambda a: a.withField("lo", F.col("lo0")).withField("hi", F.col("hi0")))
+        again = order_stats(brackets.join(lost, keys, "left_semi").withColumn("asked", whole))
+        got = got.join(lost, keys, "left_anti").unionByName(again)
+    v = F.col("x0") + (F.col("h") - F.floor("h")) * (F.col("x1") - F.col("x0"))
     names = {q: f"q{q * 100:g}".replace(".", "_") for q in probs}
-    return final.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == float(q), F.col("v"))).alias(n) for q, n in names.items()])
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == float(q), v)).alias(n) for q, n in names.items()])
 
 
 def chain_diagnostics(draws: DataFrame, keys, chain: str = "chain", value: str = "value") -> DataFrame:
@@ -80,9 +74,9 @@ def chain_diagnostics(draws: DataFrame, keys, chain: str = "chain", value: str =
         F.sum("c_n").alias("total"), F.sum("c_sum").alias("s1"),
         F.sum(F.col("c_n") * F.col("c_pop")).alias("ss_in"), F.sum(F.col("c_n") * F.col("c_mean") * F.col("c_mean")).alias("ss_mean"),
     )
-    mean = F.col("s1") / F.col("total")
-    sd = F.sqrt((F.col("ss_in") + F.col("ss_mean") - F.col("total") * mean * mean) / (F.col("total") - 1))
-    plus = (F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between")
+    mean = F.try_divide("s1", "total")
+    sd = F.sqrt(F.greatest(F.try_divide(F.col("ss_in") + F.col("ss_mean") - F.col("total") * mean * mean, F.col("total") - 1), F.lit(0.0)))
+    plus = F.try_divide(F.col("n") - 1, F.col("n")) * F.col("within") + F.col("between")
     rhat = F.when(F.col("within") > 0, F.sqrt(plus / F.col("within"))).otherwise(1.0)
     neff = F.when(F.col("between") > 0, F.least(F.col("total"), F.col("m") * plus / F.col("between"))).otherwise(1.0)
     return g.select(*keys, mean.alias("mean"), sd.alias("sd"), rhat.alias("rhat"), neff.alias("n_eff"))
@@ -122,6 +116,7 @@ def draw_density(draws: DataFrame, keys, points: int = 512) -> DataFrame:
     spread = F.when((iqr > 0) & (sd > 0), F.least(sd, iqr)).when(sd > 0, sd).otherwise(flat)
     info = m.join(q, keys).withColumn("bw", 0.9 * spread * F.pow("n", F.lit(-0.2)))
     info = info.select(*keys, "n", "bw", (F.col("lo") - 3 * F.col("bw")).alias("x0"), ((F.col("hi") - F.col("lo") + 6 * F.col("bw")) / (points - 1)).alias("step"))
+    info = settle_lookup(info)
     pos = (F.col("value") - F.col("x0")) / F.col("step")
     left = F.floor(pos).cast("int")
     part = pos - F.floor(pos)
@@ -180,7 +175,7 @@ def total_check(stats: DataFrame, hist: DataFrame, keys) -> DataFrame:
 def draw_histogram(draws: DataFrame, keys, by=(), bins: int = 30) -> DataFrame:
     """Counts per bin over the parameter's range, split by ``by`` (for instance the method)."""
     keys = list(keys)
-    span = draws.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    span = settle_lookup(draws.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
     width = F.col("hi") - F.col("lo")
     b = F.when(width <= 0, 1).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / width * bins) + 1, F.lit(bins)))
     return draws.join(span, keys).groupBy(*keys, *by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

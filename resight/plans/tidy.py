@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from resight.operators import clean, periods, sex
 from resight.operators.schema import RAW_COLUMNS, STRATA_BY_SEX, STRATA_SCHEMA
+from resight.session import settle
 from resight.sources import sheets
 
 # Columns which identify a row for its draw.
@@ -37,8 +38,12 @@ def strata_lookup(spark: SparkSession) -> DataFrame:
 
 
 def tidy(raw: DataFrame, location: str, species, strategy: int = 3, seed: int = 298, bio: str = "tagged", groups: str = "female_male") -> DataFrame:
-    """The 23-column table from raw sheets."""
-    rows, master = with_periods(formatted(raw, location, species))
+    """The 23-column table from raw sheets.
+
+    The standardised rows are settled once. The period list, the sample rates and the sex
+    ratios are then narrow scans of that columnar copy instead of a parse of the sheets each.
+    """
+    rows, master = with_periods(settle(formatted(raw, location, species)))
     done = imputed(classified(rows), master, seed, bio, groups)
     strata = sex.attach_strata(done, strata_lookup(raw.sparkSession), strategy)
     return clean.final_select(clean.final_filter(strata))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from resight.operators import histories as H
+from resight.session import settle
 
 # Event types in the order used to number groups.
 GROUPS = ("click", "error", "purchase", "signup", "view")
@@ -54,13 +55,16 @@ def cap_events(spark: SparkSession, d: str) -> DataFrame:
 def event_histories(spark: SparkSession, d: str) -> DataFrame:
     """Counted daily histories (t_yr, grp, t_k, r_k, t_l, r_l, tag, n).
 
-    Individuals are counted per pair of dates first; periods are numbered on the counts.
+    Individuals are counted per pair of dates first and the counts are settled, so that
+    everything after this reads a small table and the events are passed over once. Periods
+    are numbered on the counts.
     """
     c = cap_events(spark, d)
-    counted = c.groupBy(
+    counts = c.groupBy(
         F.col("Return_Yr").alias("t_yr"), F.col("Sex").alias("grp"), "Date_Maiden", "Date_Recap",
         F.col("TagState").alias("t_l"), F.col("RecapState").alias("r_l"), F.col("Tag1").isNotNull().alias("tag"),
     ).agg(F.count(F.lit(1)).alias("n"))
+    counted = settle(counts)
     first = counted.groupBy("t_yr").agg(F.min("Date_Maiden").alias("d0"))
     k = lambda c: (F.datediff(c, "d0") + 1)
     return counted.join(first, "t_yr").select(

@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, name: str = "resight") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RESIGHT_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )

@@ -39,11 +39,11 @@ def test_weeks(spark):
 
 
 def test_dates(spark):
-    text = ["5-Oct-13", "05-Oct-2013", "5/10/2013", "31-Dec-99", "1-Jan-68", "1-Jan-69", "", "soon", None, " 7-Nov-14 "]
+    text = ["5-Oct-13", "05-Oct-2013", "5/10/2013", "31-Dec-99", "1-Jan-68", "1-Jan-69", "", "soon", None, " 7-Nov-14 ", "31-Feb-14", "5 Oct 2013"]
     got = column(spark, K.parse_date("t"), [(t,) for t in text], "t string")
     d = dt.date
-    assert got == [d(2013, 10, 5), d(2013, 10, 5), d(2013, 10, 5), d(1999, 12, 31), d(2068, 1, 1), d(1969, 1, 1), None, None, None, d(2014, 11, 7)]
-    assert column(spark, K.parse_date("t", K.MONTH_FIRST), [("10/5/2013",)], "t string") == [d(2013, 10, 5)]
+    assert got == [d(2013, 10, 5), d(2013, 10, 5), d(2013, 10, 5), d(1999, 12, 31), d(2068, 1, 1), d(1969, 1, 1), None, None, None, d(2014, 11, 7), None, d(2013, 10, 5)]
+    assert column(spark, K.parse_date("t", "mdy"), [("10/5/2013",)], "t string") == [d(2013, 10, 5)]
 
 
 def test_rollover(spark):

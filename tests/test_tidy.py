@@ -190,10 +190,9 @@ def test_tidy_table(spark, tmp_path):
     assert rows_of(df, "Tag1", "Period_Cap", "Period_Recap", "days_between_capture") == sorted(
         [("A1", 1, 2, 7.0), (None, 1, None, None), ("C1", 1, None, None)], key=str
     )
-    typed = df.withColumns({"Return_Yr": F.col("Return_Yr").cast("int"), "FL": F.col("FL").cast("double")})
-    path = sheets.write_final(typed, str(tmp_path), "today")
+    path = sheets.write_final(df, str(tmp_path), "today")
     assert path.endswith("combined-2013_2014-today")
-    assert sheets.read_final(spark, path).exceptAll(typed).count() == 0
+    assert sheets.read_final(spark, path).exceptAll(df).count() == 0
 
 
 def test_row_index_is_a_permutation_in_order(spark):
