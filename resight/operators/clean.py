@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from resight.functions.calendar import parse_date, week_block, week_rollover
+from resight.operators.joins import match
 from resight.operators.schema import FINAL_COLUMNS
 from resight.session import settle, settle_lookup
 
@@ -116,7 +117,7 @@ def rebase_periods(df: DataFrame, keys=("t_yr",), sequential: bool = False) -> D
     keys = list(keys)
     first = settle_lookup(df.groupBy(*keys).agg(F.min("t_k").alias("first_k")))
     shift = F.col("first_k") - 1
-    out = df.join(first, keys)
+    out = match(df, first, keys)
     r_k = F.col("r_k") if sequential else F.col("r_k") - shift
     return out.withColumns({"t_k": F.col("t_k") - shift, "r_k": r_k}).drop("first_k")
 

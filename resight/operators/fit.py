@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from resight.functions.mathx import log_beta, log_choose, lgamma, xlogy
+from resight.operators.joins import match
 from resight.operators.model import lambda_const, tau_of
+from resight.session import settle
 
 CHUNK = 512
 TINY = 1e-12
@@ -100,8 +102,10 @@ def score_grid(stats: DataFrame, keys, cells=None, a: float = 0.5, b: float = 0.
     const = const + F.aggregate(inner, F.lit(0.0), lambda acc, x: acc + log_choose(x["at_risk"], x["recap_now"]))
     const = const - F.aggregate("path", F.lit(0.0), lambda acc, x: acc + lgamma(x["first_seen"] + 1))
     packed = packed.withColumns({"const": const, "u": F.transform("path", lambda x: x["first_seen"])})
+    # the rows are small but costly, so their number of tasks follows the cores, not the bytes
+    spread = 2 * stats.sparkSession.sparkContext.defaultParallelism
     rows = packed.withColumn("cell", F.explode(grid() if cells is None else cells)).select("*", "cell.phi", "cell.p").drop("cell")
-    fitted = deconvolve_entries(rows.repartition(*keys, "phi", "p"))
+    fitted = deconvolve_entries(rows.repartition(spread, *keys, "phi", "p"))
 
     s = F.size("path")
 
@@ -123,12 +127,13 @@ def score_grid(stats: DataFrame, keys, cells=None, a: float = 0.5, b: float = 0.
 def fit_grid(scored: DataFrame, keys) -> DataFrame:
     """Best cell and weighted mean and sd of phi, p and N per group.
 
-    Weights are exp(loglik) relative to the group's best; two small aggregations. The
+    Weights are exp(loglik) relative to the group's best. The scored cells are settled, so
+    that they are not scored again for the second of the two aggregations. The
     variance of N is the variance between cells plus the mean counting variance within
     them, N^2 / u for u first detections.
     """
     keys = list(keys)
-    usable = scored.where(~F.isnan("loglik") & F.col("loglik").isNotNull())
+    usable = settle(scored.drop("entries").where(~F.isnan("loglik") & F.col("loglik").isNotNull()))
     order = F.struct("loglik", "phi", "p")
     best = usable.groupBy(*keys).agg(F.max("loglik").alias("best_loglik"), F.max_by(F.struct("phi", "p", "nsuper"), order).alias("b"))
     w = F.exp(F.col("loglik") - F.col("best_loglik"))
@@ -136,7 +141,7 @@ def fit_grid(scored: DataFrame, keys) -> DataFrame:
     for c in ("phi", "p", "nsuper"):
         aggs += [F.sum(w * F.col(c)).alias(f"_{c}1"), F.sum(w * F.col(c) * F.col(c)).alias(f"_{c}2")]
     aggs.append(F.sum(w * F.coalesce(F.try_divide(F.col("nsuper") * F.col("nsuper"), "u_total"), F.lit(0.0))).alias("_within"))
-    out = usable.drop("entries").join(best, keys).groupBy(*keys, "best_loglik", "b").agg(*aggs)
+    out = match(usable, best, keys).groupBy(*keys, "best_loglik", "b").agg(*aggs)
     res = [F.col("best_loglik")] + [F.col(f"b.{c}").alias(f"best_{c}") for c in ("phi", "p", "nsuper")]
     for c in ("phi", "p", "nsuper"):
         mean = F.col(f"_{c}1") / F.col("w")

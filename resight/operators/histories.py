@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.operators.clean import row_index
+from resight.operators.joins import match
 from resight.operators.reshape import complete, group_total, period_grid
 from resight.session import settle_lookup
 
@@ -51,7 +52,7 @@ def count_tensor(hist: DataFrame, bounds: DataFrame, dims=("t_yr", "t_l")) -> Da
     counts = hist.groupBy(*dims, "t_k").agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col("tag"), F.col("n")).otherwise(0)).alias("tagged")
     )
-    cells = hist.select(*dims).distinct().join(bounds, [c for c in bounds.columns if c in dims])
+    cells = match(hist.select(*dims).distinct(), bounds, [c for c in bounds.columns if c in dims])
     return complete(counts, cells, dims, fill={"total": 0, "tagged": 0})
 
 
@@ -70,8 +71,7 @@ def expand_at_risk(hist: DataFrame, bounds: DataFrame, keys=("t_yr",)) -> DataFr
     """Each tagged history once per period from its capture to its recapture or the last period."""
     end = F.coalesce("r_k", "s")
     return (
-        hist.where(F.col("tag"))
-        .join(bounds, list(keys))
+        match(hist.where(F.col("tag")), bounds, keys)
         .withColumn("period", F.explode(F.when(F.col("t_k") <= end, F.sequence("t_k", end))))
         .where(F.col("period") <= F.col("s"))
         .drop("s")
@@ -87,8 +87,7 @@ def at_risk(hist: DataFrame, bounds: DataFrame, keys=("t_yr",)) -> DataFrame:
     keys = list(keys)
     end = F.least(F.coalesce("r_k", "s"), F.col("s"))
     steps = (
-        hist.where(F.col("tag"))
-        .join(bounds, keys)
+        match(hist.where(F.col("tag")), bounds, keys)
         .where(F.col("t_k") <= end)
         .select(
             *keys,

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from resight.operators.joins import match
+
 CHUNK = 512
 
 
@@ -115,7 +117,7 @@ def forward_states(kernel: DataFrame, entries: DataFrame, keys, k: int) -> DataF
     """
     order = F.array_sort(F.collect_list(F.struct("t_k", "loc", F.col("value").cast("double").alias("v"))))
     packed = entries.groupBy(*keys).agg(order.alias("o")).withColumn("entries", F.transform("o", lambda x: x["v"]))
-    both = pack(kernel, keys, k).join(packed.select(*keys, "entries"), list(keys))
+    both = match(pack(kernel, keys, k), packed.select(*keys, "entries"), keys)
     run = both.select(*keys, F.posexplode(_forward_udf(k)("kernel", "entries")).alias("_at", "value"))
     return run.select(*keys, (F.floor(F.col("_at") / k) + 1).cast("int").alias("t_k"), (F.col("_at") % k + 1).alias("loc"), "value")
 
@@ -125,7 +127,7 @@ def movement_forward(movement: DataFrame, entries: DataFrame, rates: DataFrame,
 
     ``rates`` has phi and p per key; one step keeps phi (1 - p) of the movement row.
     """
-    step = movement.join(rates.select(*keys, "phi", "p"), list(keys)).withColumn("value", F.col("value") * F.col("phi") * (1 - F.col("p")))
+    step = match(movement, rates.select(*keys, "phi", "p"), keys).withColumn("value", F.col("value") * F.col("phi") * (1 - F.col("p")))
     return forward_states(step, entries, keys, k)
 
 
@@ -133,8 +135,7 @@ def abundance_states(rates: DataFrame, born: DataFrame, keys, k: int, log_rate:
     """N_t = Phi(1/2)' B_t + Phi' N_{t-1} over k states."""
     half = rate_to_transition(rates, keys, k, log_rate, 0.5).withColumnRenamed("value", "h")
     entered = (
-        born.withColumnRenamed("loc", "from_l")
-        .join(half, [*keys, "from_l"])
+        match(born.withColumnRenamed("loc", "from_l"), half, [*keys, "from_l"])
         .groupBy(*keys, "t_k", F.col("to_l").alias("loc"))
         .agg(F.sum(F.col("value") * F.col("h")).alias("value"))
     )
@@ -143,7 +144,7 @@ def abundance_states(rates: DataFrame, born: DataFrame, keys, k: int, log_rate:
 
 def pooled_group_kernel(rates: DataFrame, born: DataFrame, keys, group: str = "grp") -> DataFrame:
     """Births-weighted mean of the groups' rate kernels per period, for rows of unknown group."""
-    w = rates.join(born, [*keys, group])
+    w = match(rates, born, [*keys, group])
     return w.groupBy(*keys, "t_k", "from_l", "to_l").agg(F.try_divide(F.sum(F.col("rate") * F.col("B")), F.sum("B")).alias("rate"))
 
 
@@ -151,7 +152,7 @@ def transition_detection(kernel: DataFrame, detect: DataFrame, keys) -> DataFram
     """Product of a transition and a detection kernel on the shared inner state."""
     right = detect.select(*keys, F.col("from_l").alias("mid"), F.col("to_l").alias("out_l"), F.col("value").alias("d"))
     left = kernel.withColumnRenamed("to_l", "mid")
-    prod = left.join(right, [*keys, "mid"]).groupBy(*keys, "from_l", F.col("out_l").alias("to_l")).agg(F.sum(F.col("value") * F.col("d")).alias("value"))
+    prod = match(left, right, [*keys, "mid"]).groupBy(*keys, "from_l", F.col("out_l").alias("to_l")).agg(F.sum(F.col("value") * F.col("d")).alias("value"))
     return prod.withColumn("logit", F.when((F.col("value") > 0) & (F.col("value") < 1), F.log(F.col("value") / (1 - F.col("value")))))
 
 
@@ -186,7 +187,7 @@ def history_cells(kernel: DataFrame, detect: DataFrame, lags: DataFrame, keys, k
     found_at = F.map_from_entries(F.collect_list(F.struct("loc", F.col("p").cast("double").alias("v"))))
     flat = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     dets = detect.groupBy(*keys).agg(found_at.alias("m")).withColumn("detect", flat).select(*keys, "detect")
-    base = pack(kernel, keys, k).join(dets, list(keys)).join(lags, list(keys)).withColumn("w", _powers_udf(k)("kernel", "detect", "lags"))
+    base = match(match(pack(kernel, keys, k), dets, keys), lags, keys).withColumn("w", _powers_udf(k)("kernel", "detect", "lags"))
     kk = k * k
     hit = base.select(*keys, F.posexplode("w.found").alias("_at", "prob")).select(
         *keys, (F.floor(F.col("_at") / kk) + 1).cast("int").alias("lag"),
@@ -209,5 +210,5 @@ def history_probability(hist: DataFrame, cells: DataFrame, last: DataFrame, keys
     if strict_guard:
         left = F.when(left <= 1, 0).otherwise(left)
     lag = F.when(F.col("r_k").isNull(), left).otherwise(F.col("r_k") - F.col("t_k"))
-    coded = hist.join(last, list(keys)).withColumns({"lag": lag, "outcome": F.when(F.col("r_k").isNull(), 0).otherwise(F.col("r_l"))})
-    return coded.join(cells, [*keys, "lag", "t_l", "outcome"], "left").drop("lag", "outcome", "s")
+    coded = match(hist, last, keys).withColumns({"lag": lag, "outcome": F.when(F.col("r_k").isNull(), 0).otherwise(F.col("r_l"))})
+    return match(coded, cells, [*keys, "lag", "t_l", "outcome"], "left").drop("lag", "outcome", "s")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from resight.functions.mathx import as_col, expit
+from resight.operators.joins import match
 
 
 def entry_factor(phi) -> Column:
@@ -165,7 +166,7 @@ def three_state_forward(phi, p, steps) -> Column:
 def multi_location_forward(quantities: DataFrame, shares: DataFrame, keys) -> DataFrame:
     """Available and detected by location when nobody moves: each location's entry share
     of the common path."""
-    out = quantities.join(shares, list(keys))
+    out = match(quantities, shares, keys)
     return out.withColumns({"psi_l": F.col("psi") * F.col("sp_pr"), "temp_l": F.col("temp") * F.col("sp_pr")})
 
 
@@ -201,7 +202,7 @@ def expected_detected(df: DataFrame) -> DataFrame:
 def expected_recaptures(tagged: DataFrame, pairs: DataFrame, keys) -> DataFrame:
     """Expected recaptures in every later period from those tagged and available at t."""
     lag = F.col("r_k") - F.col("t_k")
-    return tagged.join(pairs, [*keys, "t_k"]).withColumn("e_r", F.col("available") * F.pow("phi", lag) * F.col("p"))
+    return match(tagged, pairs, [*keys, "t_k"]).withColumn("e_r", F.col("available") * F.pow("phi", lag) * F.col("p"))
 
 
 def residence_abundance(df: DataFrame, keys) -> DataFrame:
@@ -244,7 +245,7 @@ def cov_to_corr(cov: DataFrame, keys=()) -> DataFrame:
     diag = cov.where(F.col("k") == F.col("j")).select(*keys, F.col("k").alias("_k"), F.sqrt("value").alias("_sd"))
     left = diag.withColumnsRenamed({"_k": "k", "_sd": "sigma"})
     right = diag.withColumnsRenamed({"_k": "j", "_sd": "sigma_j"})
-    out = cov.join(left, [*keys, "k"]).join(right, [*keys, "j"])
+    out = match(match(cov, left, [*keys, "k"]), right, [*keys, "j"])
     return out.withColumn("rho", F.try_divide(F.col("value"), F.col("sigma") * F.col("sigma_j"))).select(*keys, "k", "j", "sigma", "rho")
 
 

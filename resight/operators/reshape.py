@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.operators.clean import row_index
+from resight.operators.joins import match
 from resight.session import settle_lookup
 
 
@@ -26,12 +27,7 @@ def group_id(df: DataFrame, keys, name: str = "grp") -> DataFrame:
     """
     keys = list(keys)
     numbered = row_index(df.select(*keys).distinct(), keys, name)
-    right = settle_lookup(numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col(name) - 1).alias(name)))
-    on = None
-    for k in keys:
-        same = df[k].eqNullSafe(right[f"_{k}"])
-        on = same if on is None else on & same
-    return df.join(right, on, "left").drop(*[f"_{k}" for k in keys])
+    return match(df, settle_lookup(numbered.withColumn(name, F.col(name) - 1)), keys, "left")
 
 
 def entry_share(df: DataFrame, keys, value: str = "delta", name: str = "pent") -> DataFrame:
@@ -79,7 +75,7 @@ def period_grid(bounds: DataFrame, keys, last: str = "s", name: str = "t_k") ->
 
 def complete(df: DataFrame, bounds: DataFrame, keys, name: str = "t_k", fill=None, last: str = "s") -> DataFrame:
     """All periods 1..last of every key, missing ones filled."""
-    out = period_grid(bounds, keys, last, name).join(df, [*keys, name], "left")
+    out = match(period_grid(bounds, keys, last, name), df, [*keys, name], "left")
     return out.na.fill(fill or {})
 
 

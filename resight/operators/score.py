@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from resight.functions.mathx import (
     NEG_INF, lgamma, log_beta, log_binom, log_choose, log_norm, log_pois, xlogy,
 )
+from resight.operators.joins import match
 
 
 def _split(k, n, p):
@@ -30,7 +31,7 @@ def score_js(stats: DataFrame, quantities: DataFrame, group, sets, total: str =
             "_c_u": -lgamma(F.col("first_seen") + 1),
         }
     )
-    j = base.join(quantities, [*group, "t_k"])
+    j = match(base, quantities, [*group, "t_k"])
     t, s = F.col("t_k"), F.col("s")
     inner, known = (t >= 2) & (t < s), t < s
     off = (F.col("marked") > F.col("seen")) | (F.col("recap_later") > F.col("marked")) | (inner & (F.col("recap_now") > F.col("at_risk")))
@@ -59,7 +60,7 @@ def score_js(stats: DataFrame, quantities: DataFrame, group, sets, total: str =
 def score_histories(hist: DataFrame, quantities: DataFrame, group, sets) -> DataFrame:
     """Per counted history: marked or not, and recaptured later or not; times its count."""
     h = hist.groupBy(*group, "t_k", "tag", F.col("r_k").isNotNull().alias("again")).agg(F.sum("n").alias("n"))
-    j = h.join(quantities, [*group, "t_k"])
+    j = match(h, quantities, [*group, "t_k"])
     later = F.when(F.col("again"), xlogy("n", F.col("lambda"))).otherwise(xlogy("n", 1 - F.col("lambda")))
     term = F.when(F.col("tag"), xlogy("n", F.col("v")) + later).otherwise(xlogy("n", 1 - F.col("v")))
     return j.groupBy(*group, *sets).agg(F.sum(term).alias("loglik"))
@@ -106,4 +107,4 @@ def score_penalties(devs: DataFrame, sigma: DataFrame, keys, bias: bool = False)
 def score_arrivals(hist: DataFrame, shares: DataFrame, keys, sets=()) -> DataFrame:
     """-sum n log r[t_k], where r are arrival shares by period."""
     u = hist.groupBy(*keys, "t_k").agg(F.sum("n").alias("n"))
-    return u.join(shares, [*keys, "t_k"]).groupBy(*keys, *sets).agg((-F.sum(xlogy("n", F.col("r")))).alias("nll"))
+    return match(u, shares, [*keys, "t_k"]).groupBy(*keys, *sets).agg((-F.sum(xlogy("n", F.col("r")))).alias("nll"))

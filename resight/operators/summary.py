@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.functions.draws import standard_normal
 from resight.functions.mathx import expit
+from resight.operators.joins import match
 from resight.operators.reshape import append
 from resight.session import settle, settle_lookup
 
@@ -40,7 +41,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = 20_0
 
     def order_stats(brackets):
         """(keys, q, h, value at rank floor(h), value at rank ceil(h))."""
-        seen = rows.join(brackets, keys).select(*keys, "x", F.explode(F.filter("asked", lambda a: F.col("x") <= a["hi"])).alias("a"))
+        seen = match(rows, brackets, keys).select(*keys, "x", F.explode(F.filter("asked", lambda a: F.col("x") <= a["hi"])).alias("a"))
         # every value below the bracket counts under a null, which sorts first
         inside = F.when(F.col("x") >= F.col("a.lo"), F.col("x"))
         counts = seen.groupBy(*keys, F.col("a.q").alias("q"), F.col("a.h").alias("h"), inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
@@ -56,8 +57,8 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = 20_0
     lost = got.where(F.col("x0").isNull() | F.col("x1").isNull()).select(*keys).distinct()
     if not lost.isEmpty():
         whole = F.transform("asked", lambda a: a.withField("lo", F.col("lo0")).withField("hi", F.col("hi0")))
-        again = order_stats(brackets.join(lost, keys, "left_semi").withColumn("asked", whole))
-        got = got.join(lost, keys, "left_anti").unionByName(again)
+        again = order_stats(match(brackets, lost, keys, "left_semi").withColumn("asked", whole))
+        got = match(got, lost, keys, "left_anti").unionByName(again)
     v = F.col("x0") + (F.col("h") - F.floor("h")) * (F.col("x1") - F.col("x0"))
     names = {q: f"q{q * 100:g}".replace(".", "_") for q in probs}
     return got.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == float(q), v)).alias(n) for q, n in names.items()])
@@ -84,7 +85,7 @@ def chain_diagnostics(draws: DataFrame, keys, chain: str = "chain", value: str =
 
 def summarize_draws(draws: DataFrame, keys, probs=(0.025, 0.25, 0.5, 0.75, 0.975)) -> DataFrame:
     """mean, sd, quantiles, Rhat and effective size per parameter."""
-    return chain_diagnostics(draws, keys).join(exact_quantiles(draws, keys, "value", probs), list(keys))
+    return match(chain_diagnostics(draws, keys), exact_quantiles(draws, keys, "value", probs), keys)
 
 
 def sort_summary(df: DataFrame, keys) -> DataFrame:
@@ -114,15 +115,16 @@ def draw_density(draws: DataFrame, keys, points: int = 512) -> DataFrame:
     # without spread the bandwidth follows the size of the value itself
     flat = F.when(F.col("lo") != 0, F.abs("lo")).otherwise(1.0)
     spread = F.when((iqr > 0) & (sd > 0), F.least(sd, iqr)).when(sd > 0, sd).otherwise(flat)
-    info = m.join(q, keys).withColumn("bw", 0.9 * spread * F.pow("n", F.lit(-0.2)))
+    info = match(m, q, keys).withColumn("bw", 0.9 * spread * F.pow("n", F.lit(-0.2)))
     info = info.select(*keys, "n", "bw", (F.col("lo") - 3 * F.col("bw")).alias("x0"), ((F.col("hi") - F.col("lo") + 6 * F.col("bw")) / (points - 1)).alias("step"))
     info = settle_lookup(info)
     pos = (F.col("value") - F.col("x0")) / F.col("step")
     left = F.floor(pos).cast("int")
     part = pos - F.floor(pos)
     both = F.array(F.struct(left.alias("bin"), (1 - part).alias("w")), F.struct((left + 1).alias("bin"), part.alias("w")))
-    binned = draws.join(info, keys).select(*keys, F.explode(both).alias("b")).groupBy(*keys, F.col("b.bin").alias("bin")).agg(F.sum("b.w").alias("w"))
-    packed = binned.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "w"))).alias("bins")).join(info, keys)
+    binned = match(draws, info, keys).select(*keys, F.explode(both).alias("b")).groupBy(*keys, F.col("b.bin").alias("bin")).agg(F.sum("b.w").alias("w"))
+    packed = binned.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "w"))).alias("bins"))
+    packed = match(packed, info, keys)
     reach = F.col("step") / F.col("bw")
 
     def at(g):
@@ -153,14 +155,14 @@ def compare_methods(tables: dict, index, quantity: str) -> DataFrame:
     index, out = list(index), None
     for method, df in tables.items():
         part = df.select(*index, F.col("value").alias(method))
-        out = part if out is None else out.join(part, index, "full")
+        out = part if out is None else match(out, part, index, "full")
     return out.unpivot(index, list(tables), "method", "value").withColumn("quantity", F.lit(quantity))
 
 
 def compare_years(draws: DataFrame, estimates: DataFrame, keys, draw_method: str = "draws", est_method: str = "estimate") -> DataFrame:
     """One row per key and method: draws by mode and quantiles, estimates by their Wald interval."""
     keys = list(keys)
-    a = draw_mode(draws, keys).withColumnRenamed("mode", "mean").join(draw_interval(draws, keys), keys).withColumn("method", F.lit(draw_method))
+    a = match(draw_mode(draws, keys).withColumnRenamed("mode", "mean"), draw_interval(draws, keys), keys).withColumn("method", F.lit(draw_method))
     b = wald_interval(estimates).select(*keys, F.col("value").alias("mean"), "lower", "upper").withColumn("method", F.lit(est_method))
     return append(a, b).select(*keys, "method", "mean", "lower", "upper")
 
@@ -169,7 +171,7 @@ def total_check(stats: DataFrame, hist: DataFrame, keys) -> DataFrame:
     """Totals per key from the statistics and from the histories."""
     a = stats.groupBy(*keys).agg(F.sum("first_seen").alias("from_stats"))
     b = hist.groupBy(*keys).agg(F.sum("n").alias("from_histories"))
-    return a.join(b, list(keys), "full").withColumn("difference", F.col("from_stats") - F.col("from_histories"))
+    return match(a, b, keys, "full").withColumn("difference", F.col("from_stats") - F.col("from_histories"))
 
 
 def draw_histogram(draws: DataFrame, keys, by=(), bins: int = 30) -> DataFrame:
@@ -178,7 +180,7 @@ def draw_histogram(draws: DataFrame, keys, by=(), bins: int = 30) -> DataFrame:
     span = settle_lookup(draws.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
     width = F.col("hi") - F.col("lo")
     b = F.when(width <= 0, 1).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / width * bins) + 1, F.lit(bins)))
-    return draws.join(span, keys).groupBy(*keys, *by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return match(draws, span, keys).groupBy(*keys, *by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def normal_draws(estimates: DataFrame, n: int, seed, keys, scale: str = "identity") -> DataFrame:
@@ -197,12 +199,12 @@ def observed_vs_predicted_u(stats: DataFrame, quantities: DataFrame, group) -> D
     group = list(group)
     total = F.sum("first_seen").over(W.partitionBy(*group))
     u = stats.select(*group, "t_k", F.col("first_seen").alias("observed"), total.alias("_total"))
-    return u.join(quantities, [*group, "t_k"]).withColumn("expected", F.col("multP") * F.col("_total")).drop("_total")
+    return match(u, quantities, [*group, "t_k"]).withColumn("expected", F.col("multP") * F.col("_total")).drop("_total")
 
 
 def obs_vs_pred(obs: DataFrame, pred: DataFrame, dims) -> DataFrame:
     """Observed and predicted cells aligned by their dimensions; either may be missing."""
-    return obs.select(*dims, F.col("value").alias("obs")).join(pred.select(*dims, F.col("value").alias("pred")), list(dims), "full")
+    return match(obs.select(*dims, F.col("value").alias("obs")), pred.select(*dims, F.col("value").alias("pred")), dims, "full")
 
 
 def attach_group_labels(pred: DataFrame, labels: DataFrame, key: str = "grp") -> DataFrame:
@@ -215,4 +217,4 @@ def attach_group_labels(pred: DataFrame, labels: DataFrame, key: str = "grp") ->
 def series_table(quantities: DataFrame, stats: DataFrame, group) -> DataFrame:
     """lambda with detections, psi, temp and tau per period."""
     u = stats.select(*group, "t_k", F.col("first_seen").alias("detections"))
-    return quantities.join(u, [*group, "t_k"], "left")
+    return match(quantities, u, [*group, "t_k"], "left")

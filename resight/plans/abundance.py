@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from resight.operators import fit, histories as H, score, summary
+from resight.operators.joins import match
 from resight.session import settle
 
 
@@ -30,4 +31,4 @@ def year_report(hist: DataFrame, keys, cells=None) -> DataFrame:
         *keys, "best_phi", "best_p", F.col("value").alias("nsuper"), "lower", "upper"
     )
     marks = score.beta_posterior(stats.groupBy(*keys).agg(F.sum("marked").alias("marked"), F.sum("seen").alias("seen")))
-    return est.join(totals, keys).join(marks.select(*keys, "v_mean", "v_sd"), keys)
+    return match(match(est, totals, keys), marks.select(*keys, "v_mean", "v_sd"), keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from resight.operators.schema import FINAL_SCHEMA
+from resight.session import settle
 
 CORRUPT = "_corrupt_record"
 
@@ -111,7 +112,11 @@ def read_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> D
 
 
 def write_final(df: DataFrame, path: str, stamp: str, year: str = "Return_Yr", prefix: str = "combined") -> str:
-    """CSV folder named with the first and last year and a date stamp; returns its path."""
+    """CSV folder named with the first and last year and a date stamp; returns its path.
+
+    The table is settled first, since its years have to be known before its name is.
+    """
+    df = settle(df)
     span = df.agg(F.min(year).alias("lo"), F.max(year).alias("hi")).first()
     target = f"{path.rstrip('/')}/{prefix}-{span['lo']}_{span['hi']}-{stamp}"
     df.write.mode("errorifexists").option("header", True).csv(target)

@@ -98,3 +98,15 @@ def test_lookup_is_broadcast_only_when_small(spark):
         assert "Broadcast" not in plan(big.join(large, "id")) and big.join(large, "id").count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_missing_keys_stay(spark):
+    """A scalar parameter has no index; its rows are summarised like any other."""
+    rows = [("phi", None, i % 2, float(i)) for i in range(50)] + [("lambda", 1, i % 2, float(-i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "param string, idx int, chain int, value double")
+    got = {r.param: r for r in C.summarize_draws(df, ["param", "idx"]).collect()}
+    assert got["phi"].q50 == 24.5 and got["phi"].idx is None and got["lambda"].q50 == -24.5
+    assert C.draw_mode(df, ["param", "idx"]).count() == 2
+    assert C.draw_histogram(df, ["param", "idx"]).agg(F.sum("n")).first()[0] == 100
+    a = df.groupBy("param", "idx").agg(F.avg("value").alias("value"))
+    assert C.compare_methods({"a": a, "b": a}, ["param", "idx"], "m").count() == 4

@@ -16,7 +16,7 @@ D = dt.date
 
 
 def sheet(**kw):
-    base = dict(Return_Yr="2013", SPECIES="Chinook salmon", TagDate="7-Oct-13", TagReach="Reach 2", Tag1="A1", Sex="Male", FL="70", SampleRate="1")
+    base = dict(Return_Yr="2013", SPECIES="salmon", TagDate="7-Oct-13", TagReach="Reach 2", Tag1="A1", Sex="Male", FL="70", SampleRate="1")
     return {c: kw.get(c, base.get(c)) for c in RAW_COLUMNS}
 
 
@@ -35,7 +35,7 @@ def test_flags_and_check(spark):
         sheet(Tag1=None, Tag2="B", RecapReach="somewhere"),
         sheet(SPECIES=None),
     ])
-    out = T.formatted(df, "here", ["Chinook salmon"])
+    out = T.formatted(df, "here", ["salmon"])
     assert rows_of(out, "Tagged", "Recap", "check", "TagState", "RecapState") == sorted(
         [(1, 1, -1, 2, 1), (0, None, 1, 2, None), (1, 0, 1, 2, None)], key=str
     )
@@ -121,11 +121,11 @@ def write(path, text):
 
 
 def test_folder_of_sheets(spark, tmp_path):
-    write(tmp_path / "y2013.csv", "Return_Yr,SPECIES,Tag1,Comments\n2013,Chinook salmon,A1,\"big, old\"\n2013,,,\n")
+    write(tmp_path / "y2013.csv", "Return_Yr,SPECIES,Tag1,Comments\n2013,salmon,A1,\"big, old\"\n2013,,,\n")
     write(tmp_path / "y2014.csv", "Tag1,Crew,Return_Yr\nB1,x,2014\n")
     cols = ["Return_Yr", "SPECIES", "Tag1", "Comments"]
     got = rows_of(sheets.read_csv_dir(spark, str(tmp_path), cols), *cols)
-    assert got == sorted([("2013", "Chinook salmon", "A1", "big, old"), ("2013", None, None, None), ("2014", None, "B1", None)], key=str)
+    assert got == sorted([("2013", "salmon", "A1", "big, old"), ("2013", None, None, None), ("2014", None, "B1", None)], key=str)
     assert set(sheets.read_csv_dir(spark, str(tmp_path)).columns) == {*cols, "Crew"}
     names = {r["file"]: r["columns"] for r in sheets.column_report(spark, str(tmp_path)).collect()}
     assert names["y2014.csv"] == "Tag1, Crew, Return_Yr"
@@ -184,7 +184,7 @@ def test_tidy_table(spark, tmp_path):
         sheet(Tag1=None, Sex=None),
         sheet(Return_Yr="2014", TagDate="10-Oct-14", Sex="Female", Tag1="C1"),
     ]
-    df = T.tidy(frame(spark, rows), "here", ["Chinook salmon"])
+    df = T.tidy(frame(spark, rows), "here", ["salmon"])
     assert df.columns == FINAL_COLUMNS
     # the same-day recapture goes, the rest stay
     assert rows_of(df, "Tag1", "Period_Cap", "Period_Recap", "days_between_capture") == sorted(
