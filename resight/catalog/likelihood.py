@@ -11,6 +11,7 @@ from resight.functions import mathx as X
 from resight.functions.calendar import week_block
 from resight.operators import clean, fit, histories as H, score
 from resight.plans import abundance as A, movement, views as V
+from resight.session import settle
 
 LOG2PI = "ln(2 * pi())"
 
@@ -232,7 +233,7 @@ def season_histories(spark, d):
         F.year("Date_Maiden").alias("t_yr"), week_block("Date_Maiden").alias("t_wk"), week_block("Date_Recap").alias("r_wk"), F.col("Tag1").isNotNull().alias("tag")
     )
     cap = clean.roll_weeks(cap.where(F.col("t_wk") >= 25)).withColumnsRenamed({"t_wk": "t_k", "r_wk": "r_k"})
-    h = H.histories(cap, ("t_yr", "t_k", "r_k", "tag"))
+    h = settle(H.histories(cap, ("t_yr", "t_k", "r_k", "tag")))
     return clean.rebase_periods(h)
 
 

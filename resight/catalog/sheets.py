@@ -138,7 +138,7 @@ def fmt(spark, d):
 
 
 def per(spark, d):
-    return T.with_periods(fmt(spark, d))
+    return T.with_periods(settle(fmt(spark, d)))
 
 
 def cls(spark, d):

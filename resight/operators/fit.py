@@ -133,7 +133,7 @@ def fit_grid(scored: DataFrame, keys) -> DataFrame:
     them, N^2 / u for u first detections.
     """
     keys = list(keys)
-    usable = settle(scored.drop("entries").where(~F.isnan("loglik") & F.col("loglik").isNotNull()))
+    usable = settle(scored.drop("entries")).where(~F.isnan("loglik") & F.col("loglik").isNotNull())
     order = F.struct("loglik", "phi", "p")
     best = usable.groupBy(*keys).agg(F.max("loglik").alias("best_loglik"), F.max_by(F.struct("phi", "p", "nsuper"), order).alias("b"))
     w = F.exp(F.col("loglik") - F.col("best_loglik"))

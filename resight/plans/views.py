@@ -123,7 +123,9 @@ def cap_sheets(spark: SparkSession, d: str) -> DataFrame:
     """Raw field sheets, all columns as text: one row per line item.
 
     Customers and suppliers are narrowed to their region number before they meet the big
-    tables, and orders meet line items last, on the order key.
+    tables, and orders meet line items last, on the order key. Both of those grow with the
+    data, so this join is asked to shuffle rather than to broadcast; the text columns are
+    then built where its partitions lie.
     """
     nation = table(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") + 1).alias("reach"))
     cust = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -144,7 +146,7 @@ def cap_sheets(spark: SparkSession, d: str) -> DataFrame:
     sex = F
     for k, v in SEX_OF_PRIORITY.items():
         sex = sex.when(F.col("o_orderpriority") == k, v)
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return items.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.year("day").cast("string").alias("Return_Yr"),
         F.col("c_mktsegment").alias("SPECIES"),
         F.col("l_linestatus").alias("Run"),
