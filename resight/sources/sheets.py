@@ -36,7 +36,8 @@ def header_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _names(header) -> F.Column:
-    return F.transform(F.split(header, ",", -1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$|\r$|\ufeff', "")))
+    """Column names of a header line; commas inside quotes do not separate."""
+    return F.transform(F.split(header, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$|\r$|\ufeff', "")))
 
 
 def column_report(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +65,7 @@ def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]
     return [(list(r["names"]), list(r["files"])) for r in rows]
 
 
-def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolerant: bool) -> DataFrame:
+def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolerant: bool, multiline: bool) -> DataFrame:
     layouts = layouts or _layouts(spark, path)
     if not layouts:
         raise FileNotFoundError(f"no readable CSV file under {path}")
@@ -74,6 +75,7 @@ def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolera
     for names, files in layouts:
         fields = [T.StructField(n, T.StringType()) for n in names]
         reader = spark.read.option("header", True).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True)
+        reader = reader.option("multiLine", multiline).option("escape", '"')
         if tolerant:
             fields.append(T.StructField(CORRUPT, T.StringType()))
             reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
@@ -91,19 +93,20 @@ def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolera
     return out
 
 
-def read_csv_dir(spark: SparkSession, path: str, columns=None, layouts=None) -> DataFrame:
+def read_csv_dir(spark: SparkSession, path: str, columns=None, layouts=None, multiline: bool = False) -> DataFrame:
     """All CSV files of a folder, every column as text; missing columns are null, extras dropped.
 
     There is one scan per distinct header, not per file. ``layouts`` (a list of
     ``(column names, files)``) skips the header pass when the caller knows it.
+    ``multiline`` accepts line breaks inside quotes, at the price of unsplit files.
     """
-    return _read(spark, path, columns, layouts, source=False, tolerant=False)
+    return _read(spark, path, columns, layouts, source=False, tolerant=False, multiline=multiline)
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, columns=None, layouts=None) -> DataFrame:
+def read_csv_tolerant(spark: SparkSession, path: str, columns=None, layouts=None, multiline: bool = False) -> DataFrame:
     """Same, with ``source_file``; unreadable files are skipped and bad lines are kept in
     ``_corrupt_record``."""
-    return _read(spark, path, columns, layouts, source=True, tolerant=True)
+    return _read(spark, path, columns, layouts, source=True, tolerant=True, multiline=multiline)
 
 
 def read_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -19,6 +19,8 @@ def test_query(spark, small, con, name):
     if name in SQL:
         result = compare(df, con, SQL[name])
         assert result is None or result.startswith("ok"), result
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     else:
         assert df.count() > 0
 

@@ -133,6 +133,13 @@ def test_folder_of_sheets(spark, tmp_path):
     assert diff == {"y2013.csv": "", "y2014.csv": "Crew"}
 
 
+def test_quotes_in_sheets(spark, tmp_path):
+    write(tmp_path / "q.csv", '"Return_Yr","Comments, all",Tag1\n2013,"said ""no"", twice\nthen left",A\n')
+    df = sheets.read_csv_dir(spark, str(tmp_path), multiline=True)
+    assert df.columns == ["Return_Yr", "Comments, all", "Tag1"]
+    assert tuple(df.first()) == ("2013", 'said "no", twice\nthen left', "A")
+
+
 def test_unreadable_file_is_skipped(spark, tmp_path):
     write(tmp_path / "a.csv", "Return_Yr,Tag1\n2013,A1\n")
     with gzip.open(tmp_path / "b.csv.gz", "wt") as f:
