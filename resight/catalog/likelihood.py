@@ -142,7 +142,6 @@ def penalty_rows(spark, d):
     r = ratio_rows(spark, d)
     kinds = F.array(F.struct(F.lit("entry").alias("kind"), F.col("log_delta").alias("dev")), F.struct(F.lit("tag").alias("kind"), (F.col("log_delta") / 2).alias("dev")))
     devs = r.select(*S, F.explode(kinds).alias("k")).select(*S, "k.*")
-    # spreads by kind: the standard deviation of each kind would do as well; here by the length of its name
     sigma = devs.groupBy("kind").agg(F.when(F.first("kind") == "entry", 0.7).otherwise(0.4).alias("sigma"))
     return devs, sigma
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from resight.catalog import blocks  # noqa: F401
 from resight.catalog.base import big, cte, num, query
 from resight.operators import clean, periods, reshape, sex, stats
-from resight.operators.schema import RAW_COLUMNS
+from resight.operators.schema import FINAL_COLUMNS, RAW_COLUMNS
 from resight.plans import tidy as T, views as V
 from resight.session import new_folder, settle
 from resight.sources import sectioned, sheets, statistics
@@ -188,11 +188,11 @@ def _(spark, d):
     return sheets.column_diff(spark, staged(spark, d)).select("extra_columns").distinct()
 
 
-@query("read_lookup", "", f"SELECT {big('n_nationkey', 'key')}, n_name AS name, {num('n_regionkey', 'region')} FROM nation")
+@query("read_lookup", "", f"SELECT {big('c_custkey', 'key')}, c_name AS name, {num('c_acctbal', 'balance')} FROM customer")
 def _(spark, d):
     path = new_folder(spark, "lookup")
-    V.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(path)
-    return sheets.read_lookup(spark, path, "key int, name string, region double")
+    V.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.option("header", True).csv(path)
+    return sheets.read_lookup(spark, path, "key long, name string, balance double")
 
 
 STAT_COLS = ("seen", "marked", "first_seen", "recap_later", "recap_now", "at_risk")
@@ -441,6 +441,13 @@ def _(spark, d):
     return stats.check_breakdown(tidy(spark, d))
 
 
+@query("tidy_by_location", "final", f"SELECT loc AS Location, {', '.join(chr(34) + c + chr(34) for c in FINAL_COLUMNS if c != 'Location')} FROM final, (SELECT unnest(['east', 'west']) AS loc)")
+def _(spark, d):
+    """Two locations with the same sheets: each must come out as it does on its own."""
+    both = raw(spark, d).withColumn("Location", F.explode(F.array(F.lit("east"), F.lit("west"))))
+    return T.tidy(both, None, SPECIES)
+
+
 @query("check_total", "final", 'SELECT count(*)::BIGINT AS n FROM final WHERE "check" = -1')
 def _(spark, d):
     return stats.check_total(tidy(spark, d))

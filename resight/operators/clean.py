@@ -25,11 +25,14 @@ def movement_check(df: DataFrame, tag: str = "TagState", recap: str = "RecapStat
     return df.withColumn("check", F.when(bad, -1).otherwise(1))
 
 
-def standardize(df: DataFrame, location: str, date_order: str = "dmy") -> DataFrame:
-    """Typed dates and reaches, the location constant, and the movement check."""
+def standardize(df: DataFrame, location: str | None, date_order: str = "dmy") -> DataFrame:
+    """Typed dates and reaches, the location constant, and the movement check.
+
+    With ``location=None`` the table brings its own ``Location`` column.
+    """
     out = (
         df.withColumnRenamed("SPECIES", "Species")
-        .withColumn("Location", F.lit(location))
+        .withColumn("Location", F.col("Location") if location is None else F.lit(location))
         .withColumn("Date_Maiden", parse_date("TagDate", date_order))
         .withColumn("Date_Recap", parse_date("RecapDate", date_order))
         .withColumn("TagState", number_in("TagReach"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from resight.functions.draws import pick, uniform
+from resight.operators.joins import match
 from resight.operators.reshape import append, share_within
 from resight.session import settle, settle_lookup
 
@@ -20,14 +21,14 @@ def _comparable(col: str, lexical: bool):
     return F.col(col).cast("string") if lexical else F.expr(f"try_cast({col} as double)")
 
 
-def max_rate_by_period(df: DataFrame, compare: str = "numeric") -> DataFrame:
+def max_rate_by_period(df: DataFrame, compare: str = "numeric", keys=()) -> DataFrame:
     """Largest sample rate of every period, a missing rate counting as 1."""
     rate = F.coalesce(_comparable("SampleRate", compare == "lexical"), F.lit("1") if compare == "lexical" else F.lit(1.0))
-    return df.groupBy("Year_Period").agg(F.max(rate).cast("double").alias("Max_Rate"))
+    return df.groupBy(*keys, "Year_Period").agg(F.max(rate).cast("double").alias("Max_Rate"))
 
 
-def attach_max_rate(df: DataFrame, rates: DataFrame) -> DataFrame:
-    return df.join(settle_lookup(rates), "Year_Period", "left")
+def attach_max_rate(df: DataFrame, rates: DataFrame, keys=()) -> DataFrame:
+    return match(df, settle_lookup(rates), [*keys, "Year_Period"], "left")
 
 
 def classify_sex(df: DataFrame, cutoff: int = 59, compare: str = "numeric") -> DataFrame:
@@ -74,7 +75,7 @@ def _wide(counts: DataFrame, keys) -> DataFrame:
     return counts.groupBy(*keys).agg(*aggs)
 
 
-def sex_ratios(df: DataFrame, periods: DataFrame, bio: str = "tagged", groups: str = "female_male"):
+def sex_ratios(df: DataFrame, periods: DataFrame, bio: str = "tagged", groups: str = "female_male", keys=()):
     """(per period, total): share and count of each class; empty periods take the total's.
 
     Rows are counted once per (year, period, class); the period table, the total and the
@@ -82,13 +83,16 @@ def sex_ratios(df: DataFrame, periods: DataFrame, bio: str = "tagged", groups: s
     """
     sample = sex_sample(df, bio, groups)
     counts = settle(
-        sample.groupBy(F.col("Return_Yr").try_cast("int").alias("Year"), F.col("Period_Cap").alias("Period"), "Year_Period", "Sex_Temp").agg(F.count(F.lit(1)).alias("Count"))
+        sample.groupBy(*keys, F.col("Return_Yr").try_cast("int").alias("Year"), F.col("Period_Cap").alias("Period"), "Year_Period", "Sex_Temp").agg(F.count(F.lit(1)).alias("Count"))
     )
-    total = _wide(counts, [F.lit("Total").alias("Year_Period")])
-    per_period = _wide(counts, ["Year", "Period", "Year_Period"])
-    empty = periods.select("Year", "Period", "Year_Period").join(counts.select("Year_Period").distinct(), "Year_Period", "left_anti")
-    one = total.select(F.struct(*[c for c in total.columns if c != "Year_Period"]).alias("t")).scalar()
-    filled = empty.select("Year", "Period", "Year_Period", one.alias("t")).select("Year", "Period", "Year_Period", "t.*")
+    total = _wide(counts, [*keys, F.lit("Total").alias("Year_Period")])
+    per_period = _wide(counts, [*keys, "Year", "Period", "Year_Period"])
+    empty = match(periods.select(*keys, "Year", "Period", "Year_Period"), counts.select(*keys, "Year_Period").distinct(), [*keys, "Year_Period"], "left_anti")
+    if keys:
+        filled = match(empty, total.drop("Year_Period"), keys, "left")
+    else:
+        one = total.select(F.struct(*[c for c in total.columns if c != "Year_Period"]).alias("t")).scalar()
+        filled = empty.select("*", one.alias("t")).select(*empty.columns, "t.*")
     return append(per_period, filled), total
 
 
@@ -98,11 +102,11 @@ def class_shares(df: DataFrame) -> DataFrame:
     return share_within(counts, ["Year_Period"], "Count", "Prop_Sex")
 
 
-def attach_sex_props(df: DataFrame, props: DataFrame) -> DataFrame:
+def attach_sex_props(df: DataFrame, props: DataFrame, keys=()) -> DataFrame:
     """Join the period's shares; a class that was not sampled has share 0."""
     cols = [f"Prop_Sex_{c}" for c in CLASSES]
     have = [c for c in cols if c in props.columns]
-    out = df.join(settle_lookup(props.select("Year_Period", *have)), "Year_Period", "left")
+    out = match(df, settle_lookup(props.select(*keys, "Year_Period", *have)), [*keys, "Year_Period"], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0) for c in cols})
 
 

@@ -13,42 +13,48 @@ from resight.sources import sheets
 DRAW_KEYS = ("Return_Yr", "Date_Maiden", "Tag1", "Tag2", "FL", "ScaleAge", "Mark", "Run")
 
 
-def formatted(raw: DataFrame, location: str, species) -> DataFrame:
+def formatted(raw: DataFrame, location: str | None, species) -> DataFrame:
     return clean.tag_flags(clean.standardize(clean.filter_species(raw, species), location))
 
 
-def with_periods(fmt: DataFrame):
+def with_periods(fmt: DataFrame, keys=()):
     """(rows with periods and keys, period table)."""
-    master, by_date = periods.create_periods(fmt)
-    rows = periods.attach_periods(fmt, by_date)
+    master, by_date = periods.create_periods(fmt, keys=keys)
+    rows = periods.attach_periods(fmt, by_date, keys=keys)
     return clean.days_between(clean.year_period(rows)), master
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    return sex.classify_sex(sex.attach_max_rate(rows, sex.max_rate_by_period(rows)))
+def classified(rows: DataFrame, keys=()) -> DataFrame:
+    return sex.classify_sex(sex.attach_max_rate(rows, sex.max_rate_by_period(rows, keys=keys), keys))
 
 
-def imputed(rows: DataFrame, master: DataFrame, seed: int, bio: str, groups: str, keys=DRAW_KEYS) -> DataFrame:
-    props, _ = sex.sex_ratios(rows, master, bio, groups)
-    return sex.impute_category(sex.attach_sex_props(rows, props), seed, keys)
+def imputed(rows: DataFrame, master: DataFrame, seed: int, bio: str, groups: str, draw_keys=DRAW_KEYS, keys=()) -> DataFrame:
+    props, _ = sex.sex_ratios(rows, master, bio, groups, keys)
+    return sex.impute_category(sex.attach_sex_props(rows, props, keys), seed, draw_keys)
 
 
 def strata_lookup(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STRATA_BY_SEX, STRATA_SCHEMA)
 
 
-def tidy(raw: DataFrame, location: str, species, strategy: int = 3, seed: int = 298, bio: str = "tagged", groups: str = "female_male") -> DataFrame:
+def tidy(raw: DataFrame, location: str | None, species, strategy: int = 3, seed: int = 298, bio: str = "tagged", groups: str = "female_male", draw_keys=DRAW_KEYS) -> DataFrame:
     """The 23-column table from raw sheets.
 
+    ``location=None`` takes many locations at once from a ``Location`` column; periods,
+    rates and ratios are then kept by location. Rows alike in all ``draw_keys`` share their
+    draw, so name a unique key there where the sheets have one.
+
     The standardised rows are settled once. The period list, the sample rates and the sex
     ratios are then narrow scans of that columnar copy instead of a parse of the sheets each.
     """
-    rows, master = with_periods(settle(formatted(raw, location, species)))
-    done = imputed(classified(rows), master, seed, bio, groups)
+    keys = ("Location",) if location is None else ()
+    rows, master = with_periods(settle(formatted(raw, location, species)), keys)
+    done = imputed(classified(rows, keys), master, seed, bio, groups, draw_keys, keys)
     strata = sex.attach_strata(done, strata_lookup(raw.sparkSession), strategy)
     return clean.final_select(clean.final_filter(strata))
 
 
-def tidy_folder(spark: SparkSession, path: str, location: str, species, **options) -> DataFrame:
+def tidy_folder(spark: SparkSession, path: str, location: str | None, species, **options) -> DataFrame:
     """Same, from a folder of CSV sheets."""
-    return tidy(sheets.read_csv_dir(spark, path, RAW_COLUMNS), location, species, **options)
+    columns = RAW_COLUMNS if location else [*RAW_COLUMNS, "Location"]
+    return tidy(sheets.read_csv_dir(spark, path, columns), location, species, **options)

@@ -33,3 +33,17 @@ def test_entry(spark, small):
     df = entry.entry(spark)
     assert df.columns == ["t_yr", "grp", "t_k", "obs_v", "obs_tau", "obs_lambda", "obs_multP"]
     assert df.count() > 0
+
+
+def test_one_user_with_a_third_of_all_events(spark, small, tmp_path):
+    """Captures and statistics stay right when one user dominates."""
+    from pyspark.sql import functions as F
+
+    import duckdb
+
+    e = spark.read.parquet(f"{small}/events.parquet")
+    e.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")).cast("long")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("histories", "js_from_histories", "exact_quantiles"):
+        assert compare(QUERIES[name](spark, str(tmp_path)), con, SQL[name]) is None
