@@ -30,3 +30,33 @@ def op2(spark, d):
 
     out = near_duplicates(table(spark, d, "documents"), shingle=3, num=85, den=100)
     return out.withColumnRenamed("id", "doc_id")
+
+
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark, d):
+    from resight.llm.decontaminate import contaminated
+
+    out = contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op6_toxicity")
+def op6(spark, d):
+    from resight.llm.toxicity import toxicity
+
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_line_dedup")
+def op1(spark, d):
+    from resight.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, d, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -43,9 +43,6 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 #: Word bytes: digits, letters and everything beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
-#: Word bytes: everything but the line feed; then a word is a line.
-NOT_NEWLINE = np.ones(256, dtype=bool)
-NOT_NEWLINE[10] = False
 
 _BYTE = stream(1, 256)
 _BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
