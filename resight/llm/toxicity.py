@@ -1,12 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only rows confirmed toxic count as labelled; every other training row is unlabelled text
-that may be toxic too. Features are words: over all training rows Spark counts in how many
-positive and in how many unlabelled rows a word occurs, and the words whose share among positives is
-furthest above their share elsewhere are kept. A numpy logistic model is then fitted on a
+Only rows confirmed toxic count as labelled; all training rows together are the unlabelled text,
+of which the class prior is toxic. Features are words: Spark counts in how many positive rows and in
+how many of all training rows a word occurs, and the words whose share among positives is
+furthest above (and by more than chance) are kept. A numpy logistic model is then fitted on a
 bounded, hashed sample (``POSITIVES`` + ``UNLABELLED`` rows, at most ``FEATURES`` words each) with the
 class-prior-corrected risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]),  descending
-the negated negative part whenever it falls below zero. Scoring covers all rows and whole texts.
+the negated negative part whenever it falls below zero (by more than a tenth of the prior). Scoring covers all rows and whole texts.
 
 Rows of the held-out fold never give a label or a count. Language, source and id are no inputs.
 """
@@ -26,7 +26,7 @@ CANDIDATES = 16_384
 FEATURES = 1_024
 POSITIVES = 20_000
 UNLABELLED = 40_000
-LEAST_Z = 4.0
+LEAST_GAIN = 14.0
 
 
 class Model(NamedTuple):
@@ -89,15 +89,15 @@ def _features(shared):
     return run
 
 
-def _fit(x_p: list, x_u: list, n: int, prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
+def _fit(x_p: list, x_u: list, start: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, penalty: float = 1e-5, slack: float = 0.1) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk with the sigmoid loss, which is bounded, so far-out rows can't upset it."""
 
     def flat(rows):
         return np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
     (fp, rp), (fu, ru) = flat(x_p), flat(x_u)
-    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    w[n] = np.log(prior / (1 - prior))
+    n = len(start)
+    w, m, v = np.append(start, np.log(prior / (1 - prior))), np.zeros(n + 1), np.zeros(n + 1)
 
     def gradient(scale_p, scale_u):
         out = np.bincount(fp, scale_p[rp], minlength=n + 1) + np.bincount(fu, scale_u[ru], minlength=n + 1)
@@ -108,9 +108,9 @@ def _fit(x_p: list, x_u: list, n: int, prior: float, steps: int = 600, rate: flo
         gp = np.bincount(rp, w[fp], minlength=len(x_p)) + w[n]
         gu = np.bincount(ru, w[fu], minlength=len(x_u)) + w[n]
         sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        pull_n, push_u = -prior * sp / len(gp), su / len(gu)
-        g = gradient(prior * (sp - 1) / len(gp) + pull_n, push_u) if negative >= 0 else gradient(-pull_n, -push_u)
+        negative = su.mean() - prior * sp.mean()
+        pull, push = -prior * sp * (1 - sp) / len(gp), su * (1 - su) / len(gu)
+        g = gradient(2 * pull, push) if negative >= -slack * prior else gradient(-pull, -push)
         g[:n] += penalty * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         return None
     prior = min(max(prior, 1e-4), 0.9)
     toxic = settle_lookup(known.where("y = 1").select("id"))
-    positive, unlabelled = rows.join(toxic, "id", "left_semi"), rows.join(toxic, "id", "left_anti")
+    positive = rows.join(toxic, "id", "left_semi")
 
     top = positive.select("text").mapInArrow(_words, "word long").groupBy("word").count().orderBy(F.desc("count"), "word").limit(CANDIDATES).collect()
     words = np.sort(np.array([r[0] for r in top], dtype=np.int64).view(U))
@@ -145,14 +145,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         return n / max(total, 1), total
 
     p, n_p = shares(positive)
-    u, n_u = shares(unlabelled)
+    u, n_u = shares(rows)
     if not n_p:
         return None
-    z = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / max(n_u, 1) + 1e-12)
-    # as much as a word with these shares tells: toward certain, far above what the others have
-    gain = np.where((z > LEAST_Z) & (p * n_p >= 3), p * np.log((p + 0.5 / n_p) / (u + 0.5 / (n_u + 1))), -np.inf)
+    # the log-likelihood ratio of a word's count among positives against its share in all text
+    share = (u * n_u + 0.5) / (n_u + 1)
+    p = np.maximum(p, 1e-12)
+    gain = np.where(p > share, n_p * (p * np.log(p / share) - p + share), 0)
+    gain[gain < LEAST_GAIN] = -np.inf
     best = np.argsort(-gain, kind="stable")[:FEATURES]
-    words = np.sort(words[best[np.isfinite(gain[best])]])
+    best = np.sort(best[np.isfinite(gain[best])])
+    words = words[best]
+    # where the descent starts: each word's log-odds, with the positives' part taken out of all text
+    others = np.maximum((share - prior * p) / (1 - prior), 0.5 / (n_u + 1))
+    start = np.log(p / others)[best]
     shared = spark.sparkContext.broadcast(words)
 
     def sample(df, most, total, flag):
@@ -160,9 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         part = df.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)) < share) if share < 1 else df
         return part.select("text", F.lit(flag).alias("positive")).mapInArrow(_features(shared), "positive boolean, features array<int>")
 
-    got = sample(positive, POSITIVES, n_p, True).union(sample(unlabelled, UNLABELLED, n_u, False)).collect()
+    got = sample(positive, POSITIVES, n_p, True).union(sample(rows, UNLABELLED, n_u, False)).collect()
     x_p, x_u = [r.features for r in got if r.positive], [r.features for r in got if not r.positive]
-    w, bias = _fit(x_p, x_u or [[]], len(words), prior)
+    w, bias = _fit(x_p, x_u, start, prior)
     return Model(words, w, bias)
 
 
