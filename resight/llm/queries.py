@@ -60,3 +60,26 @@ def op1(spark, d):
 
     out = dedup_lines(table(spark, d, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("op3_sentencepiece")
+def op3(spark, d):
+    """Ids of every text, and whether decoding them gives it back."""
+    import public_tokenizers
+
+    from resight.llm.sentencepiece import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = encode(table(spark, d, "documents"), path)
+    out = decode(coded, path, keep=("id", "text", "ids"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+        F.length("decoded").cast("long").alias("n_chars"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)

@@ -114,7 +114,12 @@ def _fit(x_p: list, x_u: list, start: np.ndarray, prior: float, steps: int = 800
         g[:n] += penalty * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:n], float(w[n])
+    # the bias is moved until the mean score of all text is the prior
+    g, lo, hi = np.bincount(ru, w[fu], minlength=len(x_u)), -20.0, 20.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (1 / (1 + np.exp(-g - mid))).mean() < prior else (lo, mid)
+    return w[:n], lo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", *, folds: int = 5) -> Model | None:
