@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join with prefix, positional and length filters.
 
-A line's set is its distinct words. Lines with the same set are one entry, placed where it first
+A line's tokens are its distinct word shingles (a line of fewer words is one token). Lines with the same set are one entry, placed where it first
 occurs. Tokens have one order for all lines: by rarity, then by hash. Rarity is a count over
 all text in a table of ``BUCKETS`` hash buckets, which has a fixed size and can be broadcast; any total
 order gives exact results, rarity only keeps lists short. An entry of n tokens emits its
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from resight.llm.words import ALNUM, U, Chunk, chunks, mix, narrow, split
+from resight.llm.words import ALNUM, U, Chunk, chunks, mix, narrow, shingles, split
 from resight.session import settle, settle_lookup
 
 BUCKETS = 1 << 20
@@ -33,13 +33,16 @@ def _lines(c: Chunk) -> tuple[Chunk, np.ndarray, np.ndarray]:
     return Chunk(c.lo, c.hi, c.data, np.append(offsets, len(c.data))), row, np.arange(len(row)) - first[row]
 
 
-def _count_words(batches):
-    total = np.zeros(BUCKETS, np.int64)
-    for b in batches:
-        for c in chunks(b.column("text")):
-            total += np.bincount((split(c, ALNUM).hash >> U(44)).astype(np.int64), minlength=BUCKETS)
-    keep = [k for k in range(0, BUCKETS, SLICE) if total[k : k + SLICE].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(np.array(keep, np.int32)), pa.array([_short(total[k : k + SLICE]) for k in keep], pa.binary())], ["slice", "counts"])
+def _count_tokens(shingle):
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for c in chunks(b.column("text")):
+                total += np.bincount((shingles(split(_lines(c)[0], ALNUM), shingle)[0] >> U(44)).astype(np.int64), minlength=BUCKETS)
+        keep = [k for k in range(0, BUCKETS, SLICE) if total[k : k + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keep, np.int32)), pa.array([_short(total[k : k + SLICE]) for k in keep], pa.binary())], ["slice", "counts"])
+
+    return run
 
 
 def _short(counts: np.ndarray) -> bytes:
@@ -56,29 +59,30 @@ def _add_counts(key, pdf):
     return pd.DataFrame({"slice": [key[0]], "counts": [_short(total)]})
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """How often words of each hash bucket occur in all texts, up to 65 535."""
-    got = texts.select("text").mapInArrow(_count_words, "slice int, counts binary").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect()
+def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How often tokens of each hash bucket occur in all texts, up to 65 535."""
+    got = texts.select("text").mapInArrow(_count_tokens(shingle), "slice int, counts binary").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect()
     out = np.zeros(BUCKETS, np.uint16)
     for r in got:
         out[r.slice : r.slice + SLICE] = np.frombuffer(r.counts, np.uint16)
     return out
 
 
-def _sets(batch, order):
+def _sets(batch, order, shingle):
     """For each chunk: (row in the batch, line number, first token, tokens): sorted distinct tokens of lines with words."""
     for c in chunks(batch.column("text")):
         cut, row, number = _lines(c)
-        w = split(cut, ALNUM)
-        level = order[(w.hash >> U(44)).astype(np.int64)].astype(U)
-        t = (level << U(48)) | (w.hash >> U(16))
-        lines = np.flatnonzero(np.diff(w.first))
-        for a, b in zip(w.first[lines], w.first[lines + 1]):
-            t[a:b].sort()
+        h, first = shingles(split(cut, ALNUM), shingle)
+        level = order[(h >> U(44)).astype(np.int64)].astype(U)
+        t = (level << U(48)) | (h >> U(16))
+        lines = np.flatnonzero(np.diff(first))
+        for a, b in zip(first[lines], first[lines + 1]):
+            if b - a > 1:
+                t[a:b].sort()
         fresh = np.ones(len(t), bool)
         fresh[1:] = t[1:] != t[:-1]
-        fresh[w.first[lines]] = True
-        at = np.concatenate([[0], np.cumsum(fresh)])[np.append(w.first[lines], len(t))]
+        fresh[first[lines]] = True
+        at = np.concatenate([[0], np.cumsum(fresh)])[np.append(first[lines], len(t))]
         yield row[lines] + c.lo, number[lines], at, t[fresh]
 
 
@@ -93,12 +97,12 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-def _entries(shared, num, den):
+def _entries(shared, shingle, num, den):
     def run(batches):
         order = shared.value
         for b in batches:
             ids = b.column("id")
-            for row, number, at, t in _sets(b, order):
+            for row, number, at, t in _sets(b, order, shingle):
                 n = np.diff(at)
                 sums = _sums(at, t)
                 p = prefix_length(n, num, den)
@@ -117,12 +121,12 @@ def _entries(shared, num, den):
     return run
 
 
-def _full(shared):
+def _full(shared, shingle):
     def run(batches):
         order = shared.value
         for b in batches:
             ids = b.column("id")
-            for row, number, at, t in _sets(b, order):
+            for row, number, at, t in _sets(b, order, shingle):
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row)), pa.array(number.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _sums(at, t)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(t.view(np.int64)))],
                     ["id", "line", "s1", "s2", "tokens"],
@@ -148,12 +152,12 @@ def _drop(batches):
         )
 
 
-def matched(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
+def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
     """(id, line) of every line to remove."""
     spark = docs.sparkSession
     texts = narrow(docs, id_col, text_col).where("id is not null")
-    order = spark.sparkContext.broadcast(rarity(texts))
-    lines = settle(texts.mapInArrow(_entries(order, num, den), "id long, line int, n int, s1 long, s2 long, prefix array<long>"))
+    order = spark.sparkContext.broadcast(rarity(texts, shingle))
+    lines = settle(texts.mapInArrow(_entries(order, shingle, num, den), "id long, line int, n int, s1 long, s2 long, prefix array<long>"))
     # equal sets: one entry, at the first of their places
     entries = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "line")).alias("at"), F.first("prefix").alias("prefix"))
     entries = settle(entries.select(F.monotonically_increasing_id().alias("key"), "s1", "s2", "n", F.col("at.id").alias("id"), F.col("at.line").alias("line"), "prefix"))
@@ -168,7 +172,7 @@ def matched(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
 
     keys = settle_lookup(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     place = settle_lookup(entries.select("key", "s1", "s2", "id", "line").join(keys, "key"))
-    sets = texts.join(settle_lookup(place.select("id").distinct()), "id", "left_semi").mapInArrow(_full(order), "id long, line int, s1 long, s2 long, tokens array<long>")
+    sets = texts.join(settle_lookup(place.select("id").distinct()), "id", "left_semi").mapInArrow(_full(order, shingle), "id long, line int, s1 long, s2 long, tokens array<long>")
     # a repeated id may name several rows; an entry's set is the one with its sums
     sets = settle(sets.join(place, ["id", "line", "s1", "s2"]).select("key", "id", "line", "tokens"))
     both = pairs.join(sets.toDF("a", "ia", "la", "ta"), "a").join(sets.toDF("b", "ib", "lb", "tb"), "b")
@@ -186,7 +190,7 @@ def matched(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     return lines.select("id", "line", "s1", "s2", "n").join(touched, ["s1", "s2", "n"]).where("late or id <> fi or line <> fl").select("id", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 80, den: int = 100) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without later near-duplicate lines, with n_lines (before) and n_removed.
 
     Every row comes back with all its columns; its text lacks the removed lines. Null and empty texts,
@@ -194,7 +198,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id are one document: what is removed from line k of one goes from all. An
     empty table gives an empty one. Columns named n_lines or n_removed are replaced.
     """
-    gone = matched(docs, id_col, text_col, num, den).groupBy("id").agg(F.collect_list("line").alias("gone"))
+    gone = matched(docs, id_col, text_col, shingle, num, den).groupBy("id").agg(F.collect_list("line").alias("gone"))
     gone = settle_lookup(gone.withColumnRenamed("id", "gone_id"), 200_000)
     base = docs.drop("n_lines", "n_removed")
     others = [f for f in base.schema.fields if f.name != text_col]
