@@ -105,3 +105,15 @@ def op8(spark, d):
     from resight.llm.topk import exact_top_k
 
     return exact_top_k(table(spark, d, "embeddings"), every=50, k=5, scale=256)
+
+
+@query("op10_token_store")
+def op10(spark, d):
+    import public_tokenizers
+
+    from resight.llm.token_store import token_index, write_tokens
+    from resight.session import new_folder
+
+    folder = new_folder(spark, "tokens")
+    write_tokens(table(spark, d, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_index(spark, folder)
