@@ -117,3 +117,10 @@ def op10(spark, d):
     folder = new_folder(spark, "tokens")
     write_tokens(table(spark, d, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_index(spark, folder)
+
+
+@query("op9_lm_scoring")
+def op9(spark, d):
+    from resight.llm.kneser_ney import lm_scores
+
+    return lm_scores(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
