@@ -124,3 +124,10 @@ def op9(spark, d):
     from resight.llm.kneser_ney import lm_scores
 
     return lm_scores(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_html_extraction")
+def op4(spark, d):
+    from resight.llm.html_text import extract
+
+    return extract(table(spark, d, "pages"))
