@@ -169,10 +169,10 @@ def _alone(b: Block, marked: bool) -> str:
     links = b.linked / n
     if links > MOST_LINKS:
         return "bad"
-    if n < SHORT:
-        return "bad" if links and not b.inside else "short"
     if not b.inside and ("©" in b.text or "all rights reserved" in b.text.lower()):
         return "bad"
+    if n < SHORT:
+        return "bad" if links and not b.inside else "short"
     words = b.text.lower().split()
     share = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if b.inside:
@@ -191,18 +191,18 @@ def classify(found: list[Block]) -> None:
     last = None
     for i in range(n):
         before[i] = last
-        if first[i] in ("good", "bad"):
+        if first[i] in ("good", "bad") and not found[i].dropped:
             last = i
     last = None
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if first[i] in ("good", "bad"):
+        if first[i] in ("good", "bad") and not found[i].dropped:
             last = i
     for i, b in enumerate(found):
         state = first[i]
         if state in ("short", "near"):
-            # beyond the article's ends there is no neighbour; with none at all the mark-up decides
-            near = [k for k in (before[i], after[i]) if k is not None and found[k].inside == b.inside and not (b.inside and found[k].dropped)]
+            # blocks which the mark-up rules out, or beyond the article's ends, are no neighbours; with none at all the mark-up decides
+            near = [k for k in (before[i], after[i]) if k is not None and found[k].inside == b.inside]
             if b.heading and after[i] in near:
                 near = [after[i]]
             good = [abs(i - k) for k in near if first[k] == "good"]
