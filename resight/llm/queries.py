@@ -131,3 +131,11 @@ def op4(spark, d):
     from resight.llm.html_text import extract
 
     return extract(table(spark, d, "pages"))
+
+
+@query("op7_substring_dedup")
+def op7(spark, d):
+    from resight.llm.substring_dedup import repeated_passages
+
+    out = repeated_passages(table(spark, d, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "start", "end", F.col("partner").alias("partner_id"), "partner_start", "partner_end")
