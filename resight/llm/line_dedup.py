@@ -6,7 +6,9 @@ all text in a table of ``BUCKETS`` hash buckets, which has a fixed size and can
 order gives exact results, rarity only keeps lists short. An entry of n tokens emits its
 first n - ceil(t n) + 1 tokens; entries that share one are candidates if their sizes and the
 positions of the shared token leave room for Jaccard t. Candidates are confirmed on the full
-sets. A line is removed if its set occurs earlier, or if an earlier entry matches it;
+sets. As one earlier match is enough, an entry meets the earliest entry of each of its
+tokens, then sixteen of them, and only if neither matches all earlier ones: a group of many near copies is
+settled mostly by a few of its lines, and nothing is left out. A line is removed if its set occurs earlier, or if an earlier entry matches it;
 earlier means by document id, then line number.
 """
 
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from resight.llm.words import ALNUM, U, Chunk, chunks, mix, narrow, shingles, split
 from resight.session import settle, settle_lookup
 
+ROW = ("key", "n", "id", "line", "pos")
+PIVOTS = 16
 BUCKETS = 1 << 20
 SLICE = 1 << 16
 
@@ -161,25 +165,40 @@ def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
     # equal sets: one entry, at the first of their places
     entries = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "line")).alias("at"), F.first("prefix").alias("prefix"))
     entries = settle(entries.select(F.monotonically_increasing_id().alias("key"), "s1", "s2", "n", F.col("at.id").alias("id"), F.col("at.line").alias("line"), "prefix"))
-    tokens = entries.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    a, b = tokens.toDF("a", "na", "pa", "token"), tokens.toDF("b", "nb", "pb", "token")
-    # of two equal sizes the smaller key is a, so each pair meets once
-    size = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    length = F.col("nb").cast("long") * den >= F.col("na").cast("long") * num
-    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")).cast("long") / F.lit(num + den))
-    room = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb")
-    pairs = settle(a.join(b, "token").where(size & length & (room >= need)).select("a", "b").distinct())
-
-    keys = settle_lookup(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    place = settle_lookup(entries.select("key", "s1", "s2", "id", "line").join(keys, "key"))
+    tokens = entries.select("key", "n", "id", "line", F.posexplode("prefix").alias("pos", "token"))
+    # tokens of one entry alone find nothing
+    many = settle_lookup(tokens.groupBy("token").count().where("count > 1").select("token"))
+    shared = settle(tokens.join(many, "token"))
+
+    place = settle_lookup(entries.join(settle_lookup(shared.select("key").distinct()), "key").select("key", "s1", "s2", "id", "line"))
     sets = texts.join(settle_lookup(place.select("id").distinct()), "id", "left_semi").mapInArrow(_full(order, shingle), "id long, line int, s1 long, s2 long, tokens array<long>")
     # a repeated id may name several rows; an entry's set is the one with its sums
-    sets = settle(sets.join(place, ["id", "line", "s1", "s2"]).select("key", "id", "line", "tokens"))
-    both = pairs.join(sets.toDF("a", "ia", "la", "ta"), "a").join(sets.toDF("b", "ib", "lb", "tb"), "b")
-    meet = F.size(F.array_intersect("ta", "tb")).cast("long")
-    both = both.withColumn("i", meet).where(f"{den} * i >= {num} * (size(ta) + size(tb) - i)")
-    later = both.select(F.when(F.struct("ia", "la") < F.struct("ib", "lb"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
-    late = settle_lookup(later)
+    sets = settle(sets.join(place, ["id", "line", "s1", "s2"]).select("key", "tokens"))
+
+    def verified(x, earlier):
+        """Entries of x that one of the entries ``earlier``, both with a shared prefix token, matches."""
+        pairs = x.select(*(F.col(c).alias(f"{c}x") for c in ROW), "token").join(earlier.select(*(F.col(c).alias(f"{c}y") for c in ROW), "token"), "token")
+        before = (F.col("idy") < F.col("idx")) | ((F.col("idy") == F.col("idx")) & (F.col("liney") < F.col("linex")))
+        small, large = F.least("nx", "ny").cast("long"), F.greatest("nx", "ny").cast("long")
+        need = F.ceil(F.lit(num) * (small + large) / F.lit(num + den))
+        room = 1 + F.least(F.col("nx") - F.col("posx") - 1, F.col("ny") - F.col("posy") - 1) + F.least("posx", "posy")
+        pairs = pairs.where(before & (small * den >= large * num) & (room >= need)).select("keyx", "keyy").distinct()
+        both = pairs.join(sets.toDF("keyx", "tx"), "keyx").join(sets.toDF("keyy", "ty"), "keyy")
+        meet = both.select("keyx", F.size(F.array_intersect("tx", "ty")).cast("long").alias("i"), (F.size("tx") + F.size("ty")).cast("long").alias("t"))
+        return settle(meet.where(f"{den} * i >= {num} * (t - i)").select(F.col("keyx").alias("key")).distinct())
+
+    # an entry needs one earlier match: first the earliest of each token, then of each of PIVOTS parts, then all
+    rest, late = shared, None
+    firsts = F.min(F.struct("id", "line", "key", "n", "pos")).alias("p")
+    for earlier in (
+        shared.groupBy("token").agg(firsts).select("token", "p.*"),
+        shared.groupBy("token", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("part")).agg(firsts).select("token", "p.*"),
+        shared,
+    ):
+        got = verified(rest, earlier)
+        late = got if late is None else late.union(got)
+        rest = settle(rest.join(settle_lookup(got), "key", "left_anti"))
+    late = settle_lookup(late)
     marks = entries.select("key", "s1", "s2", "n", "id", "line").join(late.withColumn("late", F.lit(True)), "key", "left")
     # what stays of an entry is its first place, unless an earlier entry matches
     multiple = lines.groupBy("s1", "s2", "n").count().where("count > 1").select("s1", "s2", "n")
