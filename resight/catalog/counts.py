@@ -66,12 +66,11 @@ def rolled(spark, d):
         F.year("Date_Maiden").alias("t_yr"), week_block("Date_Maiden").alias("t_wk"), week_block("Date_Recap").alias("r_wk"),
         F.col("TagState").alias("t_l"), F.col("RecapState").alias("r_l"), F.col("Tag1").isNotNull().alias("tag"),
     )
-    df = clean.roll_weeks(df).withColumnsRenamed({"t_wk": "t_k", "r_wk": "r_k"})
-    return df.where(F.col("t_k") >= 25)
+    return clean.roll_weeks(df).withColumnsRenamed({"t_wk": "t_k", "r_wk": "r_k"})
 
 
 ROLLED = """SELECT *, CASE WHEN t_wk < 20 THEN t_wk + 52 ELSE t_wk END AS a, CASE WHEN r_wk < 20 THEN r_wk + 52 ELSE r_wk END AS b FROM orders_cap"""
-cte("rolled", "orders_cap", f"SELECT *, min(a) OVER (PARTITION BY t_yr) AS first FROM ({ROLLED}) WHERE a >= 25")
+cte("rolled", "orders_cap", f"SELECT *, min(a) OVER (PARTITION BY t_yr) AS first FROM ({ROLLED})")
 
 
 @query("rebase_periods", "rolled", f"SELECT {big('t_yr', 't_yr')}, {big('a - first + 1', 't_k')}, {big('b - first + 1', 'r_k')}, count(*)::BIGINT AS n FROM rolled GROUP BY ALL")
@@ -180,7 +179,7 @@ TO_SQL = ", ".join(f"COALESCE(sum(n) FILTER (COALESCE(r_l, 0) = {k}), 0) AS {c}"
 @query("transition_table", "hist", f"SELECT grp, {big('t_l', 't_l')}, {', '.join(big(c, c) for c in TO)}, " + ", ".join(
     f"CAST(round_even(CAST({c} AS DOUBLE) / ({' + '.join(TO)}), 2) AS DOUBLE) AS share_{c}" for c in TO) + f" FROM (SELECT grp, t_l, {TO_SQL} FROM hist WHERE tag GROUP BY 1, 2)")
 def _(spark, d):
-    return H.transition_table(hist(spark, d), ("grp",))
+    return H.transition_table(hist(spark, d), ("grp",), locations=(1, 2, 3, 4, 5))
 
 
 @query("js_from_histories", "js", f"SELECT {GS}, {', '.join(big(c, c) for c in ('t_k', *stats.STATS))} FROM js")
@@ -235,11 +234,11 @@ def _(spark, d):
     return stats.period_inputs(collapsed(spark, d), ("t_yr",))
 
 
-@query("survey_gaps", "dates", f"SELECT {big('Year', 'Year')}, CAST(Date AS VARCHAR) AS Date, {big('datediff(' + chr(39) + 'day' + chr(39) + ', lag(Date) OVER (PARTITION BY Year ORDER BY Date), Date)', 'days')} FROM dates")
+@query("survey_gaps", "dates_all", f"SELECT {big('Year', 'Year')}, CAST(Date AS VARCHAR) AS Date, {big('datediff(' + chr(39) + 'day' + chr(39) + ', lag(Date) OVER (PARTITION BY Year ORDER BY Date), Date)', 'days')} FROM dates_all")
 def _(spark, d):
-    from resight.catalog.sheets import fmt
+    from resight.catalog.sheets import everything
 
-    return periods.survey_gaps(periods.union_dates(fmt(spark, d)), "Date", ("Year",))
+    return periods.survey_gaps(periods.union_dates(everything(spark, d)), "Date", ("Year",))
 
 
 GOOD = "SELECT t_yr, grp, t_k, '{v}' AS vector FROM (SELECT *, max(t_k) OVER (PARTITION BY t_yr, grp) AS s FROM js) WHERE {c}"
@@ -315,11 +314,10 @@ def _(spark, d):
     return reshape.melt_array(arr.withColumn("a", F.transform("a", lambda x: x["v"])), ["grp"], "a", 2)
 
 
-@query("complete", "hist slots", f"SELECT s.t_yr::BIGINT AS t_yr, s.grp, s.t_k::BIGINT AS t_k, {big('COALESCE(sum(n), 0)', 'n')} FROM slots s LEFT JOIN (SELECT * FROM hist WHERE r_k > t_k + 4) h ON h.t_yr = s.t_yr AND h.grp = s.grp AND h.t_k = s.t_k GROUP BY 1, 2, 3")
+@query("complete", "hist slots", f"SELECT s.t_yr::BIGINT AS t_yr, s.grp, s.t_k::BIGINT AS t_k, {big('COALESCE(sum(n), 0)', 'n')} FROM slots s LEFT JOIN hist h ON h.t_yr = s.t_yr AND h.grp = s.grp AND h.t_k = s.t_k GROUP BY 1, 2, 3")
 def _(spark, d):
     h, b = both(spark, d)
-    late = h.where(F.col("r_k") > F.col("t_k") + 4).groupBy(*G, "t_k").agg(F.sum("n").alias("n"))
-    return reshape.complete(late, b, G, fill={"n": 0})
+    return reshape.complete(h.groupBy(*G, "t_k").agg(F.sum("n").alias("n")), b, G, fill={"n": 0})
 
 
 @query("nonzero_cells", "hist slots", f"""SELECT a.t_yr::BIGINT AS t_yr, a.grp, a.t_k::BIGINT AS t_k, b.t_k::BIGINT AS r_k, {big('(SELECT nullif(COALESCE(sum(n), 0), 0) FROM hist h WHERE h.grp = a.grp AND h.t_yr = a.t_yr AND h.t_k = a.t_k AND h.r_k = b.t_k)', 'value')}

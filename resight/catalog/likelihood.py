@@ -11,7 +11,7 @@ from resight.functions import mathx as X
 from resight.functions.calendar import week_block
 from resight.operators import clean, fit, histories as H, score
 from resight.plans import abundance as A, movement, views as V
-from resight.session import settle
+from resight.session import settle, settle_lookup
 
 LOG2PI = "ln(2 * pi())"
 
@@ -111,16 +111,12 @@ COUNTS = {
 @query("score_counts", "exp_det", f"SELECT {IDS}, " + ", ".join(num(f"COALESCE(sum({e}), 0)", n, 3) for n, e in COUNTS.items()) + " FROM exp_det GROUP BY t_yr, grp, set_id", digits=3)
 def _(spark, d):
     st = V.event_stats(spark, d).select(*G, "t_k", F.col("first_seen").alias("obs"), F.col("seen").alias("trials"), F.col("marked").alias("mk"))
-    df = quantities(spark, d).join(st, [*G, "t_k"]).withColumn("e", F.col("multP") * F.col("psiPtot") * F.col("nsuper"))
-
-    def one(name, **kw):
-        args = {"obs": "obs", "exp": "e"} | kw
-        return score.score_counts(df, S, **args).select(*S, F.col("loglik").alias(name))
-
-    out = one("plain")
-    for name, kw in (("x1", {"x_offset": 1}), ("mu1", {"mu_offset": 1}), ("nonzero", {"nonzero_only": True}), ("binom", {"kind": "binomial", "obs": "mk", "size": "trials", "exp": "v"})):
-        out = out.join(one(name, **kw), list(S), "left")
-    return out.na.fill(0.0)
+    df = quantities(spark, d).join(settle_lookup(st), [*G, "t_k"]).withColumn("e", F.col("multP") * F.col("psiPtot") * F.col("nsuper"))
+    plain = {"obs": "obs", "exp": "e"}
+    return score.score_count_terms(df, S, {
+        "plain": plain, "x1": plain | {"x_offset": 1}, "mu1": plain | {"mu_offset": 1}, "nonzero": plain | {"nonzero_only": True},
+        "binom": {"kind": "binomial", "obs": "mk", "size": "trials", "exp": "v"},
+    })
 
 
 @query("beta_posterior", "js", f"""SELECT t_yr::BIGINT AS t_yr, grp, t_k::BIGINT AS t_k, {num('(marked + 5e-1) / (seen + 1e0)', 'v_mean')},
@@ -142,7 +138,7 @@ def penalty_rows(spark, d):
     r = ratio_rows(spark, d)
     kinds = F.array(F.struct(F.lit("entry").alias("kind"), F.col("log_delta").alias("dev")), F.struct(F.lit("tag").alias("kind"), (F.col("log_delta") / 2).alias("dev")))
     devs = r.select(*S, F.explode(kinds).alias("k")).select(*S, "k.*")
-    sigma = devs.groupBy("kind").agg(F.when(F.first("kind") == "entry", 0.7).otherwise(0.4).alias("sigma"))
+    sigma = spark.createDataFrame([("entry", 0.7), ("tag", 0.4)], "kind string, sigma double")
     return devs, sigma
 
 
@@ -227,11 +223,11 @@ def _(spark, d):
 # ---- fits
 
 def season_histories(spark, d):
-    """Weekly histories of the autumn season of every year, with the recapture week rolled over."""
+    """Weekly histories of every year; a recapture may lie in the next one."""
     cap = clean.standardize(V.cap_sheets(spark, d), "site").select(
         F.year("Date_Maiden").alias("t_yr"), week_block("Date_Maiden").alias("t_wk"), week_block("Date_Recap").alias("r_wk"), F.col("Tag1").isNotNull().alias("tag")
     )
-    cap = clean.roll_weeks(cap.where(F.col("t_wk") >= 25)).withColumnsRenamed({"t_wk": "t_k", "r_wk": "r_k"})
+    cap = clean.follow_weeks(cap).withColumnsRenamed({"t_wk": "t_k", "r_wk": "r_k"})
     h = settle(H.histories(cap, ("t_yr", "t_k", "r_k", "tag")))
     return clean.rebase_periods(h)
 
@@ -265,7 +261,7 @@ def fit_blocks(name: str, stats: str, key: str) -> None:
 
 
 fit_blocks("fitg", "js", "t_yr grp")
-cte("season_h", "rolled", "SELECT t_yr, a - first + 1 AS t_k, b - first + 1 AS r_k, Tag1 IS NOT NULL AS tag, count(*) AS n FROM (SELECT *, min(a) OVER (PARTITION BY t_yr) AS first FROM (SELECT * EXCLUDE (a, b, first), t_wk AS a, CASE WHEN r_wk < 20 THEN r_wk + 52 ELSE r_wk END AS b FROM rolled) WHERE t_wk >= 25) GROUP BY ALL")
+cte("season_h", "rolled", "SELECT t_yr, t_wk - first + 1 AS t_k, CASE WHEN r_wk < t_wk THEN r_wk + 52 ELSE r_wk END - first + 1 AS r_k, Tag1 IS NOT NULL AS tag, count(*) AS n FROM (SELECT * EXCLUDE (first), min(t_wk) OVER (PARTITION BY t_yr) AS first FROM rolled) GROUP BY ALL")
 cte("season_s", "season_h", "SELECT t_yr, unnest(range(1, CAST(max(greatest(t_k, COALESCE(r_k, 0))) AS BIGINT) + 1)) AS t_k FROM season_h GROUP BY t_yr")
 cte("season_js", "season_s season_h", """
 SELECT t_yr, t_k, u + m AS seen, mk AS marked, u AS first_seen, rl AS recap_later, m AS recap_now,

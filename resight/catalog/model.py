@@ -324,9 +324,13 @@ FROM (SELECT t_yr, grp, t_k, sum(n) AS n FROM hist GROUP BY ALL) h JOIN locs l O
 """)
 
 
-def birth_rows(spark, d):
+def first_sightings(spark, d):
     u = V.event_histories(spark, d).groupBy(*G, "t_k").agg(F.sum("n").alias("n"))
-    return u.join(shares(spark, d), list(G)).withColumns({"dev": F.log("n"), "mu": F.lit(0.5)})
+    return u.withColumns({"dev": F.log("n"), "mu": F.lit(0.5)})
+
+
+def birth_rows(spark, d):
+    return first_sightings(spark, d).join(shares(spark, d), list(G))
 
 
 @query("births", "births", f"SELECT t_yr::BIGINT AS t_yr, grp, t_k::BIGINT AS t_k, t_l::BIGINT AS t_l, {num('b', '\"B\"')}, {num('bts', '\"B_ts\"')} FROM births")
@@ -334,10 +338,9 @@ def _(spark, d):
     return M.births(birth_rows(spark, d), "sp_pr").select(*G, "t_k", "t_l", "B", "B_ts")
 
 
-@query("births_total", "births", f"SELECT t_yr::BIGINT AS t_yr, grp, {num('sum(b) / 5', '\"B_total\"')} FROM births GROUP BY t_yr, grp")
+@query("births_total", "births", f"SELECT t_yr::BIGINT AS t_yr, grp, {num('sum(b)', '\"B_total\"')} FROM (SELECT DISTINCT t_yr, grp, t_k, b FROM births) GROUP BY t_yr, grp")
 def _(spark, d):
-    once = M.births(birth_rows(spark, d).where(F.col("t_l") == 1))
-    return M.births_total(once, G)
+    return M.births_total(M.births(first_sightings(spark, d)), G)
 
 
 @query("expected_detected", "n_full sets", f"SELECT n.t_yr::BIGINT AS t_yr, n.grp, n.set_id::BIGINT AS set_id, n.t_k::BIGINT AS t_k, {num('n.n * s.p', 'e_total')}, {num('n.n * s.p * s.v', 'e_tagged')} FROM n_full n JOIN sets s USING (set_id)")

@@ -171,9 +171,9 @@ def _(spark, d):
 
 
 @query("obs_vs_pred", "hist mean_q", f"""SELECT t_yr::BIGINT AS t_yr, grp, t_k::BIGINT AS t_k, {big('o', 'obs')}, {num('mp', 'pred')}
-FROM (SELECT t_yr, grp, t_k, sum(n) AS o FROM hist WHERE r_k > t_k + 4 GROUP BY ALL) FULL JOIN mean_q USING (t_yr, grp, t_k)""")
+FROM (SELECT t_yr, grp, t_k, sum(n) AS o FROM hist GROUP BY ALL) FULL JOIN mean_q USING (t_yr, grp, t_k)""")
 def _(spark, d):
-    obs = V.event_histories(spark, d).where(F.col("r_k") > F.col("t_k") + 4).groupBy(*G, "t_k").agg(F.sum("n").alias("value"))
+    obs = V.event_histories(spark, d).groupBy(*G, "t_k").agg(F.sum("n").alias("value"))
     pred = quantities(spark, d).groupBy(*G, "t_k").agg(F.avg("multP").alias("value"))
     return C.obs_vs_pred(obs, pred, [*G, "t_k"])
 

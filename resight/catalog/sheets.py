@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resight.catalog import blocks  # noqa: F401
-from resight.catalog.base import big, cte, num, query
+from resight.catalog.base import CTES, big, cte, num, query
 from resight.operators import clean, periods, reshape, sex, stats
 from resight.operators.schema import FINAL_COLUMNS, RAW_COLUMNS
 from resight.plans import tidy as T, views as V
@@ -45,6 +45,11 @@ SELECT 'site' AS Location, Return_Yr, CAST(Return_Yr AS INTEGER) AS yr, SPECIES
   CASE WHEN Tag1 IS NULL AND Tag2 IS NULL THEN NULL WHEN RecapTag1 IS NOT NULL OR RecapTag2 IS NOT NULL THEN 1 ELSE 0 END AS Recap
 FROM sheets WHERE SPECIES IN {SPECIES_SQL}
 """)
+cte("fmt_all", "sheets", CTES["fmt"][1].replace(f"WHERE SPECIES IN {SPECIES_SQL}", ""))
+cte("dates_all", "fmt_all", """
+SELECT DISTINCT Year, Date FROM (SELECT yr AS Year, Date_Maiden AS Date FROM fmt_all UNION ALL SELECT yr, Date_Recap FROM fmt_all)
+WHERE Date IS NOT NULL
+""")
 cte("dates", "fmt", """
 SELECT DISTINCT Year, Date FROM (SELECT yr AS Year, Date_Maiden AS Date FROM fmt UNION ALL SELECT yr, Date_Recap FROM fmt)
 WHERE Date IS NOT NULL
@@ -111,9 +116,10 @@ def _u(seed, key):
     return f"CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 13)) AS BIGINT) / 4503599627370496.0"
 
 
+TIE = " || ':' || ".join(f"COALESCE(CAST({c} AS VARCHAR), 'NA')" for c in T.TIE_ORDER)
 cte("imp", "cls props", f"""
-SELECT c.*, COALESCE(Prop_Sex_Male, 0) pm, COALESCE(Prop_Sex_Female, 0) pf, COALESCE(Prop_Sex_Jack, 0) pj, CAST({_u(298, KEY)} AS DOUBLE) AS u
-FROM cls c LEFT JOIN props p USING (Year_Period)
+SELECT c.*, COALESCE(Prop_Sex_Male, 0) pm, COALESCE(Prop_Sex_Female, 0) pf, COALESCE(Prop_Sex_Jack, 0) pj,  CAST({_u(298, KEY + " || ':' || Row_No")} AS DOUBLE) AS u
+FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(T.DRAW_KEYS)} ORDER BY md5({TIE})) AS Row_No FROM cls) c LEFT JOIN props p USING (Year_Period)
 """)
 cte("done", "imp", """
 SELECT *, CASE WHEN pm + pf + pj > 0 THEN CASE WHEN u * (pm + pf + pj) < pm THEN 'Male' WHEN u * (pm + pf + pj) < pm + pf THEN 'Female' ELSE 'Jack' END END AS Sex_Interpol,
@@ -137,6 +143,11 @@ def fmt(spark, d):
     return T.formatted(raw(spark, d), "site", SPECIES)
 
 
+def everything(spark, d):
+    """The standardised rows of all segments."""
+    return T.formatted(raw(spark, d), "site", [*SPECIES, "FURNITURE", "HOUSEHOLD"])
+
+
 def per(spark, d):
     return T.with_periods(settle(fmt(spark, d)))
 
@@ -154,11 +165,11 @@ def tidy(spark, d):
 
 
 def staged(spark, d):
-    """The sheets as two CSV layouts: one lacks Comments and has an extra column in front."""
+    """The sheets as two CSV layouts: one lacks Comments and has an extra column in front, the other writes NA for nothing."""
     folder = new_folder(spark, "sheets")
     df = settle(raw(spark, d))
     odd = F.col("Return_Yr").cast("int") % 2 == 1
-    df.where(~odd).write.option("header", True).csv(f"{folder}/even")
+    df.where(~odd).write.option("header", True).option("nullValue", "NA").csv(f"{folder}/even")
     df.where(odd).select(F.lit("A").alias("Crew"), *[c for c in df.columns if c != "Comments"]).write.option("header", True).csv(f"{folder}/odd")
     return f"{folder}/*"
 
@@ -259,14 +270,14 @@ def _(spark, d):
     return clean.movement_check(df).groupBy("check").count().withColumnRenamed("count", "n")
 
 
-@query("tag_flags", "fmt", f"SELECT {big('Tagged', 'Tagged')}, {big('Recap', 'Recap')}, count(*)::BIGINT AS n FROM fmt GROUP BY 1, 2")
+@query("tag_flags", "fmt_all", f"SELECT {big('Tagged', 'Tagged')}, {big('Recap', 'Recap')}, count(*)::BIGINT AS n FROM fmt_all GROUP BY 1, 2")
 def _(spark, d):
-    return reshape.count_by(fmt(spark, d), ["Tagged", "Recap"])
+    return reshape.count_by(everything(spark, d), ["Tagged", "Recap"])
 
 
-@query("days_between", "per", f"SELECT {num('days', 'days_between_capture')}, count(*)::BIGINT AS n FROM per GROUP BY 1")
+@query("days_between", "fmt_all", f"SELECT {num('days', 'days_between_capture')}, count(*)::BIGINT AS n FROM (SELECT CASE WHEN Recap = 1 THEN datediff('day', Date_Maiden, Date_Recap) END AS days FROM fmt_all) GROUP BY 1")
 def _(spark, d):
-    return reshape.count_by(clean.days_between(fmt(spark, d)), ["days_between_capture"])
+    return reshape.count_by(clean.days_between(everything(spark, d)), ["days_between_capture"])
 
 
 @query("year_period", "per", "SELECT Year_Period, Year_Period_Recap, count(*)::BIGINT AS n FROM per GROUP BY 1, 2")
@@ -297,19 +308,19 @@ def _(spark, d):
     return tidy(spark, d)
 
 
-@query("ocean_age", "fmt", f"""SELECT ScaleAge, {big("CASE WHEN ScaleAge IS NULL OR ScaleAge IN ('9','88') THEN -1 ELSE CAST(substr(ScaleAge, 1, 1) AS INTEGER) - CAST(substr(ScaleAge, 2, 1) AS INTEGER) END", 'oa')}, count(*)::BIGINT AS n FROM fmt GROUP BY 1, 2""")
+@query("ocean_age", "fmt_all", f"""SELECT ScaleAge, {big("CASE WHEN ScaleAge IS NULL OR ScaleAge IN ('9','88') THEN -1 ELSE CAST(substr(ScaleAge, 1, 1) AS INTEGER) - CAST(substr(ScaleAge, 2, 1) AS INTEGER) END", 'oa')}, count(*)::BIGINT AS n FROM fmt_all GROUP BY 1, 2""")
 def _(spark, d):
-    return reshape.count_by(clean.ocean_age(fmt(spark, d)), ["ScaleAge", "oa"])
+    return reshape.count_by(clean.ocean_age(everything(spark, d)), ["ScaleAge", "oa"])
 
 
-@query("recode_sex", "fmt", "SELECT CASE WHEN Sex IS NULL OR Sex IN ('Unknown','Adult') THEN '-1' ELSE Sex END AS Sex, count(*)::BIGINT AS n FROM fmt GROUP BY 1")
+@query("recode_sex", "fmt_all", "SELECT CASE WHEN Sex IS NULL OR Sex IN ('Unknown','Adult') THEN '-1' ELSE Sex END AS Sex, count(*)::BIGINT AS n FROM fmt_all GROUP BY 1")
 def _(spark, d):
-    return reshape.count_by(clean.recode_sex(fmt(spark, d)), ["Sex"])
+    return reshape.count_by(clean.recode_sex(everything(spark, d)), ["Sex"])
 
 
-@query("row_index", "fmt", f"SELECT {big('row_number() OVER (ORDER BY Date_Maiden, COALESCE(Tag1, chr(0)), COALESCE(FL, chr(0)))', '\"Index\"')}, CAST(Date_Maiden AS VARCHAR) AS Date_Maiden, Tag1, FL FROM fmt")
+@query("row_index", "fmt_all", f"SELECT {big('row_number() OVER (ORDER BY Date_Maiden, COALESCE(Tag1, chr(0)), COALESCE(FL, chr(0)))', '\"Index\"')}, CAST(Date_Maiden AS VARCHAR) AS Date_Maiden, Tag1, FL FROM fmt_all")
 def _(spark, d):
-    return clean.row_index(fmt(spark, d), ["Date_Maiden", "Tag1", "FL"]).select("Index", "Date_Maiden", "Tag1", "FL")
+    return clean.row_index(everything(spark, d), ["Date_Maiden", "Tag1", "FL"]).select("Index", "Date_Maiden", "Tag1", "FL")
 
 
 # ---- periods
@@ -438,7 +449,7 @@ def _(spark, d):
 {', '.join(f'CASE WHEN count(*) FILTER (RecapState = {k}) > 0 THEN count(*) FILTER (RecapState = {k}) END::BIGINT AS recap_{k}' for k in range(1, 6))}
 FROM final WHERE "check" = -1 GROUP BY 1, 2""")
 def _(spark, d):
-    return stats.check_breakdown(tidy(spark, d))
+    return stats.check_breakdown(tidy(spark, d), (1, 2, 3, 4, 5))
 
 
 @query("tidy_by_location", "final", f"SELECT loc AS Location, {', '.join(chr(34) + c + chr(34) for c in FINAL_COLUMNS if c != 'Location')} FROM final, (SELECT unnest(['east', 'west']) AS loc)")
@@ -476,12 +487,12 @@ def _(spark, d):
     return reshape.count_by(reach_index(raw(spark, d)), ["TagReach", "RecapReach", "t_l", "r_l"])
 
 
-@query("biodata_counts", "fmt", "SELECT " + big("TagState", "TagState") + ", Return_Yr, " + ", ".join(
+@query("biodata_counts", "fmt_all", "SELECT " + big("TagState", "TagState") + ", Return_Yr, " + ", ".join(
     f"count(*) FILTER ({t})::BIGINT AS ex_{n}, count({t})::BIGINT AS tot_{n}, {num(f'count(*) FILTER ({t}) / nullif(count({t}), 0)', f'p_{n}')}"
-    for n, t in {"female": "Sex = 'Female'", "clip": "Mark = 'A'", "long": "TRY_CAST(FL AS DOUBLE) > 59", "age3": "ScaleAge LIKE '3%'"}.items()) + " FROM fmt GROUP BY TagState, Return_Yr")
+    for n, t in {"female": "Sex = 'Female'", "clip": "Mark = 'A'", "long": "TRY_CAST(FL AS DOUBLE) > 59", "age3": "ScaleAge LIKE '3%'"}.items()) + " FROM fmt_all GROUP BY TagState, Return_Yr")
 def _(spark, d):
     classes = {
         "female": F.col("Sex") == "Female", "clip": F.col("Mark") == "A",
         "long": F.expr("try_cast(FL as double) > 59"), "age3": F.col("ScaleAge").startswith("3"),
     }
-    return stats.biodata_counts(fmt(spark, d), ["TagState", "Return_Yr"], classes)
+    return stats.biodata_counts(everything(spark, d), ["TagState", "Return_Yr"], classes)

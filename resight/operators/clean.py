@@ -43,10 +43,6 @@ def standardize(df: DataFrame, location: str | None, date_order: str = "dmy") ->
     return out.select(*lead, *[c for c in out.columns if c not in lead])
 
 
-def blank_to_null(df: DataFrame, cols) -> DataFrame:
-    return df.withColumns({c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in cols})
-
-
 def tag_flags(df: DataFrame) -> DataFrame:
     """Tagged 1/0; Recap 1/0 for tagged rows and null for untagged ones."""
     tagged = F.col("Tag1").isNotNull() | F.col("Tag2").isNotNull()
@@ -111,6 +107,11 @@ def roll_weeks(df: DataFrame, pivot: int = 20, add: int = 52) -> DataFrame:
     return df.withColumns({c: week_rollover(c, pivot, add) for c in ("t_wk", "r_wk")})
 
 
+def follow_weeks(df: DataFrame, add: int = 52) -> DataFrame:
+    """Seasons of a calendar year: a recapture week before its capture week is one of the next year."""
+    return df.withColumn("r_wk", F.when(F.col("r_wk") < F.col("t_wk"), F.col("r_wk") + add).otherwise(F.col("r_wk")))
+
+
 def rebase_periods(df: DataFrame, keys=("t_yr",), sequential: bool = False) -> DataFrame:
     """Shift ``t_k`` and ``r_k`` so that each season starts at 1.
 
@@ -147,6 +148,22 @@ def recode_sex(df: DataFrame, unknown=("Unknown", "Adult"), col: str = "Sex") ->
     return df.withColumn(col, F.when(F.col(col).isNull() | F.col(col).isin(*unknown), "-1").otherwise(F.col(col)))
 
 
+def number_ties(df: DataFrame, keys, order, name: str = "Row_No") -> DataFrame:
+    """Numbers from 1 the rows which are alike in ``keys``, by a digest of ``order``.
+
+    Rows alike in all columns are counted (in part before the shuffle) and given back with
+    their numbers, so a large run of equal rows never meets in one task; the window sees one row for each
+    distinct combination of the other columns.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in order]))
+    same = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", digest)
+    before = W.partitionBy(*keys).orderBy("_d", *rest).rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    placed = same.withColumn("_start", start)
+    return placed.select(*df.columns, F.explode(F.sequence(F.col("_start") + 1, F.col("_start") + F.col("_n"))).alias(name))
+
+
 def row_index(df: DataFrame, order, name: str = "Index") -> DataFrame:
     """Sequential 1..n in the given order, computed without a single-task sort.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.operators.clean import row_index
 from resight.operators.joins import match
-from resight.operators.reshape import complete, group_total, period_grid
+from resight.operators.reshape import column_values, complete, group_total, period_grid
 from resight.session import settle_lookup
 
 
@@ -162,9 +162,13 @@ def mark_rate(hist: DataFrame, keys=("t_yr",)) -> DataFrame:
     return sums.withColumn("obs_v", F.col("tagged") / F.col("n"))
 
 
-def transition_counts(hist: DataFrame, keys=(), locations=(1, 2, 3, 4, 5)) -> DataFrame:
-    """Tagged individuals by capture location, one column per recapture location and one for never."""
+def transition_counts(hist: DataFrame, keys=(), locations=None) -> DataFrame:
+    """Tagged individuals by capture location, one column per recapture location and one for never.
+
+    Without ``locations`` those which occur are taken; a list that lacks one of them is refused.
+    """
     never = 0
+    locations = column_values(hist.where(F.col("tag")), "r_l", locations)
     return (
         hist.where(F.col("tag"))
         .withColumn("r_l", F.coalesce("r_l", F.lit(never)))
@@ -176,8 +180,9 @@ def transition_counts(hist: DataFrame, keys=(), locations=(1, 2, 3, 4, 5)) -> Da
     )
 
 
-def transition_table(hist: DataFrame, keys=(), locations=(1, 2, 3, 4, 5)) -> DataFrame:
+def transition_table(hist: DataFrame, keys=(), locations=None) -> DataFrame:
     """Row shares of the transition counts to two decimals; the row total sums counts only."""
+    locations = column_values(hist.where(F.col("tag")), "r_l", locations)
     counts = transition_counts(hist, keys, locations)
     cols = [f"to_{k}" for k in locations] + ["to_none"]
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.operators.joins import match
+from resight.session import settle
 
 CHUNK = 512
 
@@ -33,17 +34,23 @@ def _batches(n: int):
 
 
 def _expm(q: np.ndarray) -> np.ndarray:
-    """Matrix exponential of a stack of small matrices: scale, Taylor series, square."""
-    norm = np.abs(q).sum(axis=-1).max(axis=-1).max(initial=0.0)
-    squarings = max(0, int(np.ceil(np.log2(norm))) + 4) if norm > 0 else 0
-    a = q / 2.0**squarings
+    """Matrix exponential of a stack of small matrices: scale, Taylor series, square.
+
+    Each matrix is scaled by its own norm, so its result does not depend on its batch. One with a
+    rate that is not finite gives NaN.
+    """
+    norm = np.abs(q).sum(axis=-1).max(axis=-1)
+    known = np.isfinite(norm)
+    squarings = np.where(known & (norm > 0), np.maximum(0, np.ceil(np.log2(np.where(known & (norm > 0), norm, 1.0))) + 4), 0).astype(int)
+    a = np.where(known[:, None, None], q, np.nan) / (2.0**squarings)[:, None, None]
     out = np.broadcast_to(np.eye(q.shape[-1]), q.shape).copy()
     term = out.copy()
     for i in range(1, 14):
         term = term @ a / i
         out += term
-    for _ in range(squarings):
-        out = out @ out
+    for i in range(squarings.max(initial=0)):
+        more = squarings > i
+        out[more] = out[more] @ out[more]
     return out
 
 
@@ -159,18 +166,23 @@ def transition_detection(kernel: DataFrame, detect: DataFrame, keys) -> DataFram
 def _powers_udf(k: int):
     @F.pandas_udf("struct<found: array<double>, unseen: array<double>>")
     def run(kernel: pd.Series, detect: pd.Series, lags: pd.Series) -> pd.DataFrame:
-        found, unseen = [], []
-        for phi, p, n in zip(kernel, detect, lags):
-            phi = np.asarray(phi, float).reshape(k, k)
-            p = np.asarray(p, float)
-            miss = phi * (1 - p)[None, :]
-            power, f, u = np.eye(k), [], []
-            for _ in range(int(n) + 1):
-                u.append(power.sum(axis=1))
-                f.append(power @ phi * p[None, :])
-                power = power @ miss
-            found.append(np.stack(f).ravel())
-            unseen.append(np.stack(u).ravel())
+        found, unseen = [None] * len(kernel), [None] * len(kernel)
+        # keys with as many lags go through the recursion together
+        steps = lags.to_numpy().astype(int) + 1
+        for n in np.unique(steps):
+            same = np.flatnonzero(steps == n)
+            for part in _batches(len(same)):
+                at = same[part]
+                phi = np.stack(kernel.iloc[at].to_numpy()).astype(float).reshape(-1, k, k)
+                p = np.stack(detect.iloc[at].to_numpy()).astype(float)[:, None, :]
+                miss, power = phi * (1 - p), np.broadcast_to(np.eye(k), phi.shape)
+                f, u = np.empty((len(at), n, k * k)), np.empty((len(at), n, k))
+                for i in range(n):
+                    u[:, i] = power.sum(axis=2)
+                    f[:, i] = (power @ phi * p).reshape(-1, k * k)
+                    power = power @ miss
+                for j, x, y in zip(at, f, u):
+                    found[j], unseen[j] = x.ravel(), y.ravel()
         return pd.DataFrame({"found": found, "unseen": unseen})
 
     return run
@@ -187,7 +199,8 @@ def history_cells(kernel: DataFrame, detect: DataFrame, lags: DataFrame, keys, k
     found_at = F.map_from_entries(F.collect_list(F.struct("loc", F.col("p").cast("double").alias("v"))))
     flat = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     dets = detect.groupBy(*keys).agg(found_at.alias("m")).withColumn("detect", flat).select(*keys, "detect")
-    base = match(match(pack(kernel, keys, k), dets, keys), lags, keys).withColumn("w", _powers_udf(k)("kernel", "detect", "lags"))
+    # settled, as both kinds of cells come from the one evaluation
+    base = settle(match(match(pack(kernel, keys, k), dets, keys), lags, keys).withColumn("w", _powers_udf(k)("kernel", "detect", "lags")).select(*keys, "w"))
     kk = k * k
     hit = base.select(*keys, F.posexplode("w.found").alias("_at", "prob")).select(
         *keys, (F.floor(F.col("_at") / kk) + 1).cast("int").alias("lag"),

@@ -100,6 +100,19 @@ def mode_of(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(x, F.struct(y, (-F.col(x)).alias("_t"))).alias("mode"))
 
 
+def column_values(df: DataFrame, name: str, given=None, most: int = 1000) -> list:
+    """The values to spread over columns: those which occur, or ``given`` if it lacks none of them.
+
+    Columns have to be few, so more than ``most`` values are an error.
+    """
+    found = [r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{name} has over {most} values")
+    if given is not None and set(found) - set(given):
+        raise ValueError(f"{name} has values that are not listed: {sorted(set(found) - set(given))}")
+    return list(found if given is None else given)
+
+
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 

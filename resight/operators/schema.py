@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 # The columns kept from a raw sheet.
-RAW_COLUMNS = (
-    "Return_Yr SPECIES Run TagDate TagReach Tag1 Tag2 Sex FL Mark ScaleAge "
-    "RecapDate RecapTag1 RecapTag2 RecapReach SampleRate Comments"
-).split()
+RAW_COLUMNS = [
+    "Return_Yr", "SPECIES", "Run", "TagDate", "TagReach", "Tag1", "Tag2", "Sex", "FL", "Mark", "ScaleAge",
+    "RecapDate", "RecapTag1", "RecapTag2", "RecapReach", "SampleRate", "Comments",
+]
 
 # The columns and types of the tidy table.
 FINAL_SCHEMA = (
@@ -18,10 +18,6 @@ FINAL_SCHEMA = (
 FINAL_COLUMNS = [part.split()[0] for part in FINAL_SCHEMA.split(", ")]
 
 # Which stratum a sex class belongs to under each grouping strategy.
-GROUPING_OPTIONS_SCHEMA = (
-    "Grouping_Strategy_Num double, Carcass_Grouping_Strategy string, Num_of_strata double, "
-    "Group_Name string, Group_details string"
-)
 STRATA_SCHEMA = "Grouping_Strategy_Num double, Sex_final string, Strata_Name string, Strata_Num double"
 STRATA_BY_SEX = [
     (1.0, "Jack", "Pooled", 1.0),

@@ -8,6 +8,7 @@ from resight.functions.mathx import (
     NEG_INF, lgamma, log_beta, log_binom, log_choose, log_norm, log_pois, xlogy,
 )
 from resight.operators.joins import match
+from resight.session import settle_lookup
 
 
 def _split(k, n, p):
@@ -18,8 +19,8 @@ def _split(k, n, p):
 def score_js(stats: DataFrame, quantities: DataFrame, group, sets, total: str = "poisson", a: float = 0.5, b: float = 0.5) -> DataFrame:
     """Log likelihood and prior of every set given its group's per-period statistics.
 
-    ``quantities`` is the output of ``js_quantities`` with v and nsuper kept; it joins the
-    statistics on (group, t_k). Terms free of parameters are computed once per statistic
+    ``quantities`` is the output of ``js_quantities`` with v and nsuper kept; it meets the
+    statistics, a checked lookup, on (group, t_k), so the sets are shuffled once, by set. Terms free of parameters are computed once per statistic
     before the join; the sum per set is partially aggregated where the set's periods lie.
     """
     group, sets = list(group), list(sets)
@@ -31,7 +32,7 @@ def score_js(stats: DataFrame, quantities: DataFrame, group, sets, total: str =
             "_c_u": -lgamma(F.col("first_seen") + 1),
         }
     )
-    j = match(base, quantities, [*group, "t_k"])
+    j = match(quantities, settle_lookup(base), [*group, "t_k"])
     t, s = F.col("t_k"), F.col("s")
     inner, known = (t >= 2) & (t < s), t < s
     off = (F.col("marked") > F.col("seen")) | (F.col("recap_later") > F.col("marked")) | (inner & (F.col("recap_now") > F.col("at_risk")))
@@ -60,7 +61,7 @@ def score_js(stats: DataFrame, quantities: DataFrame, group, sets, total: str =
 def score_histories(hist: DataFrame, quantities: DataFrame, group, sets) -> DataFrame:
     """Per counted history: marked or not, and recaptured later or not; times its count."""
     h = hist.groupBy(*group, "t_k", "tag", F.col("r_k").isNotNull().alias("again")).agg(F.sum("n").alias("n"))
-    j = match(h, quantities, [*group, "t_k"])
+    j = match(quantities, settle_lookup(h), [*group, "t_k"])
     later = F.when(F.col("again"), xlogy("n", F.col("lambda"))).otherwise(xlogy("n", 1 - F.col("lambda")))
     term = F.when(F.col("tag"), xlogy("n", F.col("v")) + later).otherwise(xlogy("n", 1 - F.col("v")))
     return j.groupBy(*group, *sets).agg(F.sum(term).alias("loglik"))
@@ -69,11 +70,22 @@ def score_histories(hist: DataFrame, quantities: DataFrame, group, sets) -> Data
 def score_counts(df: DataFrame, keys, obs: str, exp: str, kind: str = "poisson", size: str | None = None, x_offset: float = 0, mu_offset: float = 0, nonzero_only: bool = False) -> DataFrame:
     """Sum of Poisson terms of counts, or binomial ones where ``size`` is the number of trials."""
     rows = df.where(F.col(obs) > 0) if nonzero_only else df
+    term = count_term(obs, exp, kind, size, x_offset, mu_offset)
+    return rows.groupBy(*keys).agg(F.sum(term).alias("loglik"), F.count(F.lit(1)).alias("n_cells"))
+
+
+def count_term(obs: str, exp: str, kind: str = "poisson", size: str | None = None, x_offset: float = 0, mu_offset: float = 0, nonzero_only: bool = False):
+    """One cell's log density, as a column; null where ``nonzero_only`` leaves the cell out."""
     if kind == "binomial":
         term = log_binom(obs, size, F.col(exp))
     else:
         term = log_pois(F.col(obs) + x_offset, F.col(exp) + mu_offset)
-    return rows.groupBy(*keys).agg(F.sum(term).alias("loglik"), F.count(F.lit(1)).alias("n_cells"))
+    return F.when(F.col(obs) > 0, term) if nonzero_only else term
+
+
+def score_count_terms(df: DataFrame, keys, terms: dict) -> DataFrame:
+    """Several such sums in one pass; ``terms`` maps a name to the arguments of ``count_term``."""
+    return df.groupBy(*keys).agg(*[F.coalesce(F.sum(count_term(**kw)), F.lit(0.0)).alias(name) for name, kw in terms.items()])
 
 
 def score_cjs(hist: DataFrame, keys, prob: str = "prob") -> DataFrame:
@@ -99,7 +111,7 @@ def beta_posterior(stats: DataFrame, a: float = 0.5, b: float = 0.5) -> DataFram
 
 def score_penalties(devs: DataFrame, sigma: DataFrame, keys, bias: bool = False) -> DataFrame:
     """Sum of normal log densities of deviations, by kind; ``bias`` centres at -sigma^2/2."""
-    j = devs.join(sigma, "kind")
+    j = devs.join(settle_lookup(sigma), "kind")
     mean = -0.5 * F.col("sigma") * F.col("sigma") if bias else F.lit(0.0)
     return j.groupBy(*keys, "kind").agg(F.sum(log_norm("dev", mean, F.col("sigma"))).alias("logpen"))
 
@@ -107,4 +119,4 @@ def score_penalties(devs: DataFrame, sigma: DataFrame, keys, bias: bool = False)
 def score_arrivals(hist: DataFrame, shares: DataFrame, keys, sets=()) -> DataFrame:
     """-sum n log r[t_k], where r are arrival shares by period."""
     u = hist.groupBy(*keys, "t_k").agg(F.sum("n").alias("n"))
-    return match(u, shares, [*keys, "t_k"]).groupBy(*keys, *sets).agg((-F.sum(xlogy("n", F.col("r")))).alias("nll"))
+    return match(shares, settle_lookup(u), [*keys, "t_k"]).groupBy(*keys, *sets).agg((-F.sum(xlogy("n", F.col("r")))).alias("nll"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.functions.mathx import logit
+from resight.operators.reshape import column_values
 
 # The per-period statistics, named apart because R/r and T/t differ by case only.
 STATS = ("seen", "marked", "first_seen", "recap_later", "recap_now", "at_risk")
@@ -73,10 +74,15 @@ def pool_strata(cells: DataFrame, keys=("section", "row")) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 
-def check_breakdown(df: DataFrame, states=(1, 2, 3, 4, 5)) -> DataFrame:
-    """Rows failing the movement check, by year and capture reach, a column per recapture reach."""
+def check_breakdown(df: DataFrame, states=None) -> DataFrame:
+    """Rows failing the movement check, by year and capture reach, a column per recapture reach.
+
+    Without ``states`` those which occur are taken; a list that lacks one of them is refused.
+    """
+    failed = df.where(F.col("check") == -1)
+    states = column_values(failed, "RecapState", states)
     return (
-        df.where(F.col("check") == -1)
+        failed
         .groupBy("Return_Yr", "TagState")
         .pivot("RecapState", list(states))
         .count()

@@ -79,7 +79,9 @@ def chain_diagnostics(draws: DataFrame, keys, chain: str = "chain", value: str =
     sd = F.sqrt(F.greatest(F.try_divide(F.col("ss_in") + F.col("ss_mean") - F.col("total") * mean * mean, F.col("total") - 1), F.lit(0.0)))
     plus = F.try_divide(F.col("n") - 1, F.col("n")) * F.col("within") + F.col("between")
     rhat = F.when(F.col("within") > 0, F.sqrt(plus / F.col("within"))).otherwise(1.0)
-    neff = F.when(F.col("between") > 0, F.least(F.col("total"), F.col("m") * plus / F.col("between"))).otherwise(1.0)
+    # one chain says nothing of how chains differ; chains which agree exactly are as good as independent draws
+    neff = F.when(F.col("m") < 2, F.lit(None)).when(F.col("between") > 0, F.least(F.col("total"), F.col("m") * plus / F.col("between")))
+    neff = neff.otherwise(F.when(F.col("within") > 0, F.col("total")).otherwise(1.0))
     return g.select(*keys, mean.alias("mean"), sd.alias("sd"), rhat.alias("rhat"), neff.alias("n_eff"))
 
 

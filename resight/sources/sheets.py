@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from resight.operators.schema import FINAL_SCHEMA
 from resight.session import settle
 
 CORRUPT = "_corrupt_record"
+# Cells which mean nothing was recorded.
+MISSING = ("", "NA")
+# Bytes of a file that are read at a time in search of its first line.
+HEAD = 1 << 14
 
 
 def _glob(path: str) -> str:
     return path if path.endswith(".csv") else f"{path.rstrip('/')}/*.csv"
 
 
-def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_path, header): the first line of every file.
+def _open(path: str):
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
+def _first_lines(batches):
+    for pdf in batches:
+        heads = []
+        for path in pdf["path"]:
+            try:
+                with _open(path) as f:
+                    head = f.read(HEAD)
+                    while b"\n" not in head and (more := f.read(HEAD)):
+                        head += more
+            except OSError:
+                head = None
+            heads.append(head.split(b"\n", 1)[0].decode("utf-8", "replace") if head else None)
+        yield pd.DataFrame({"file_path": pdf["path"], "header": heads}).dropna()
 
-    Only lines of a file's first split are looked at, and the smallest position
-    wins in a partial aggregate, so no file is gathered anywhere.
-    """
-    lines = (
-        spark.read.option("ignoreCorruptFiles", True)
-        .text(_glob(path))
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            "value",
-        )
-        .where(F.col("block") == 0)
-        .withColumn("line", F.monotonically_increasing_id())
-    )
-    return lines.groupBy("file_path", "file").agg(F.min_by("value", "line").alias("header"))
+
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, file_path, header): the first line of every readable file, from its first bytes."""
+    # the files are listed without their content; tasks then read the first bytes of each
+    files = spark.read.format("binaryFile").load(_glob(path)).select("path")
+    lines = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_first_lines, "file_path string, header string")
+    return lines.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file"), "header")
 
 
 def _names(header) -> F.Column:
@@ -65,7 +81,11 @@ def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]
     return [(list(r["names"]), list(r["files"])) for r in rows]
 
 
-def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolerant: bool, multiline: bool) -> DataFrame:
+def _known(cell, missing) -> F.Column:
+    return F.when(~cell.isin(*missing), cell)
+
+
+def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolerant: bool, multiline: bool, missing) -> DataFrame:
     layouts = layouts or _layouts(spark, path)
     if not layouts:
         raise FileNotFoundError(f"no readable CSV file under {path}")
@@ -81,7 +101,7 @@ def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolera
             reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
         part = reader.schema(T.StructType(fields)).csv(files)
-        keep = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns]
+        keep = [_known(F.trim(F.col(f"`{c}`")), missing).alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns]
         if source:
             keep.append(F.col("_metadata.file_name").alias("source_file"))
         if tolerant:
@@ -93,36 +113,39 @@ def _read(spark: SparkSession, path: str, columns, layouts, source: bool, tolera
     return out
 
 
-def read_csv_dir(spark: SparkSession, path: str, columns=None, layouts=None, multiline: bool = False) -> DataFrame:
+def read_csv_dir(spark: SparkSession, path: str, columns=None, layouts=None, multiline: bool = False, missing=MISSING) -> DataFrame:
     """All CSV files of a folder, every column as text; missing columns are null, extras dropped.
 
+    Cells in ``missing`` are null.
+
     There is one scan per distinct header, not per file. ``layouts`` (a list of
     ``(column names, files)``) skips the header pass when the caller knows it.
     ``multiline`` accepts line breaks inside quotes, at the price of unsplit files.
     """
-    return _read(spark, path, columns, layouts, source=False, tolerant=False, multiline=multiline)
+    return _read(spark, path, columns, layouts, source=False, tolerant=False, multiline=multiline, missing=missing)
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, columns=None, layouts=None, multiline: bool = False) -> DataFrame:
+def read_csv_tolerant(spark: SparkSession, path: str, columns=None, layouts=None, multiline: bool = False, missing=MISSING) -> DataFrame:
     """Same, with ``source_file``; unreadable files are skipped and bad lines are kept in
     ``_corrupt_record``."""
-    return _read(spark, path, columns, layouts, source=True, tolerant=True, multiline=multiline)
+    return _read(spark, path, columns, layouts, source=True, tolerant=True, multiline=multiline, missing=missing)
 
 
 def read_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A lookup CSV with declared column types."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """A lookup CSV with declared column types; empty cells and NA are null."""
+    return spark.read.option("header", True).option("nullValue", "NA").schema(schema).csv(path)
 
 
 def write_final(df: DataFrame, path: str, stamp: str, year: str = "Return_Yr", prefix: str = "combined") -> str:
     """CSV folder named with the first and last year and a date stamp; returns its path.
 
-    The table is settled first, since its years have to be known before its name is.
+    The table is settled first, since its years have to be known before its name is. Null is
+    written as NA.
     """
     df = settle(df)
     span = df.agg(F.min(year).alias("lo"), F.max(year).alias("hi")).first()
     target = f"{path.rstrip('/')}/{prefix}-{span['lo']}_{span['hi']}-{stamp}"
-    df.write.mode("errorifexists").option("header", True).csv(target)
+    df.write.mode("errorifexists").option("header", True).option("nullValue", "NA").csv(target)
     return target
 
 
@@ -140,8 +163,8 @@ def write_summary(df: DataFrame, path: str, location: str, species: str, year, m
 
 
 def read_final(spark: SparkSession, path: str) -> DataFrame:
-    """The combined table with its declared types."""
-    return spark.read.option("header", True).schema(FINAL_SCHEMA).csv(path)
+    """The combined table with its declared types; empty cells and NA are null."""
+    return spark.read.option("header", True).option("nullValue", "NA").schema(FINAL_SCHEMA).csv(path)
 
 
 def split_param(df: DataFrame, name: str = "param") -> DataFrame:

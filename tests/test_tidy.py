@@ -239,3 +239,42 @@ def test_shapes(spark):
 def test_collapse_groups_ignores_bad_numbers(spark):
     df = spark.createDataFrame([(2013, "m", "2013-10-01", "3"), (2013, "f", "2013-10-01", "x"), (2013, "j", "2013-10-01", "4")], "year int, grp string, date string, seen string")
     assert stats.collapse_groups(df, values=("seen",)).first().seen == 7.0
+
+
+def test_like_rows_have_draws_of_their_own(spark):
+    rows = [sheet(Tag1="T" + str(i), Sex=s, FL="70") for i, s in enumerate(["Male", "Female"] * 5)]
+    rows += [sheet(Tag1=None, Sex="Unknown", FL=None)] * 1000 + [sheet(Tag1=None, Sex="Unknown", FL=None, Comments="x")] * 500
+    out = T.tidy(frame(spark, rows), "here", ["salmon"]).where("Tag1 is null and FL is null")
+    n = {r.Sex_final: r["count"] for r in out.groupBy("Sex_final").count().collect()}
+    assert sum(n.values()) == 1500 and abs(n["Male"] - 750) < 120
+
+
+def test_ties_are_numbered_once_each(spark):
+    df = spark.createDataFrame([("a", "x")] * 50 + [("a", "y")] * 3 + [("b", None)] * 2 + [(None, "z")], "k string, v string")
+    got = {}
+    for r in clean.number_ties(df, ["k"], ["v"]).collect():
+        got.setdefault(r.k, []).append(r.Row_No)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": list(range(1, 54)), "b": [1, 2], None: [1]}
+
+
+def test_na_cells_are_missing(spark, tmp_path):
+    for name, head, line in (("a", "Return_Yr,Tag1,RecapTag1,FL", "2013,NA,NA, NA "), ("b", "Return_Yr,Tag1", "2014,"), ("c", "FL,Tag1", "60,T9")):
+        (tmp_path / f"{name}.csv").write_text(f"{head}\n{line}\n")
+    got = rows_of(sheets.read_csv_dir(spark, str(tmp_path), ["Return_Yr", "Tag1", "RecapTag1", "FL"]), "Return_Yr", "Tag1", "RecapTag1", "FL")
+    assert got == sorted([("2013", None, None, None), ("2014", None, None, None), (None, "T9", None, "60")], key=str)
+    assert rows_of(sheets.column_report(spark, str(tmp_path)), "file", "columns")[1] == ("b.csv", "Return_Yr, Tag1")
+    final = spark.createDataFrame([tuple([None] * len(FINAL_COLUMNS))], sheets.FINAL_SCHEMA).withColumn("Return_Yr", F.lit(2013))
+    path = sheets.write_final(final, str(tmp_path / "out"), "run")
+    row = sheets.read_final(spark, path).first()
+    assert row.Return_Yr == 2013 and row.Tag1 is None and row.FL is None
+    assert any("NA" in open(p.path).read() for p in os.scandir(path) if p.name.endswith(".csv"))
+
+
+def test_no_reach_is_dropped(spark):
+    hist = spark.createDataFrame([(1, 1, True, 10), (1, 6, True, 30), (1, None, True, 60), (2, 7, False, 5)], "t_l int, r_l int, tag boolean, n long")
+    row = H.transition_table(hist).where("t_l = 1").first()
+    assert (row.to_1, row.to_6, row.to_none, row.share_to_1) == (10, 30, 60, 0.1)
+    with pytest.raises(ValueError):
+        H.transition_table(hist, locations=(1, 2))
+    checks = spark.createDataFrame([(2013, 7, 6, -1), (2013, 7, 1, -1), (2013, 7, 1, 1)], "Return_Yr int, TagState int, RecapState int, check int")
+    assert stats.check_breakdown(checks).first().asDict() == {"Return_Yr": 2013, "TagState": 7, "recap_1": 1, "recap_6": 1}
