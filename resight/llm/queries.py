@@ -24,7 +24,62 @@ def table(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@query("op2_minhash_near_dedup")
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP1_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS k, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')),
+w AS (SELECT doc_id, k, regexp_extract_all({LOWER_SQL}, '{WORD}') AS w FROM l),
+g AS (
+  SELECT DISTINCT doc_id, k, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT doc_id, k, count(*) AS n FROM g GROUP BY doc_id, k),
+p AS (
+  SELECT a.doc_id, a.k, b.doc_id AS d, b.k AS m, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.k < a.k)) GROUP BY ALL
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.k FROM p JOIN n x ON x.doc_id = p.doc_id AND x.k = p.k JOIN n y ON y.doc_id = p.d AND y.k = p.m WHERE 100 * i >= 80 * (x.n + y.n - i)
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, COALESCE(string_agg(text, chr(10) ORDER BY l.k) FILTER (gone.k IS NULL), '') AS t
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = l.k GROUP BY l.doc_id
+)
+SELECT doc_id, COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_removed, 0)::BIGINT AS n_removed,
+  length(COALESCE(t, text))::BIGINT AS n_chars_left, md5(COALESCE(t, text)) AS text_md5
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+sides AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN sides l ON r.other = l.a),
+c AS (SELECT id, min(other) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '{WORD}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '{WORD}') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS s
+  FROM (SELECT *, least(len(w), 10) AS n FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM g),
+spot AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS s
+  FROM d JOIN sizes ON len(w) >= n),
+hit AS (SELECT doc_id, p, n, item_id FROM spot JOIN g USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+  sha256(COALESCE(s, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+
+@query("op2_minhash_near_dedup", OP2_SQL)
 def op2(spark, d):
     from resight.llm.near_dedup import near_duplicates
 
@@ -32,10 +87,8 @@ def op2(spark, d):
     return out.withColumnRenamed("id", "doc_id")
 
 
-LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 
-@query("op5_benchmark_decontamination")
+@query("op5_benchmark_decontamination", OP5_SQL)
 def op5(spark, d):
     from resight.llm.decontaminate import contaminated
 
@@ -54,7 +107,7 @@ def op6(spark, d):
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels")).withColumnRenamed("id", "doc_id")
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", OP1_SQL)
 def op1(spark, d):
     from resight.llm.line_dedup import dedup_lines
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from resight.llm.words import NOT_SPACE, chunks, narrow, split
 from resight.session import settle
 
-CACHE = 1_000_000
+CACHE = 400_000
 STRIPE = 16 << 20
 STRIDE = 10_000
 SCHEMA = "doc_id long, n_tokens int, ids array<int>"
