@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from resight.catalog import QUERIES  # noqa: E402
-from resight.session import local_session  # noqa: E402
+from resight.session import job, local_session  # noqa: E402
 
 HEADLINE = [
     "read_csv_dir", "standardize", "survey_weeks", "attach_periods", "classify_sex", "sex_ratios", "impute_category", "final_select",
@@ -33,7 +33,8 @@ def main() -> None:
     times = {}
     for name in only or HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, d).write.format("noop").mode("overwrite").save()
+        with job(spark, name):
+            QUERIES[name](spark, d).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr)
     print(json.dumps({

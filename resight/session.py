@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Session setting that names the folder of the job at hand.
+JOB_FOLDER = "resight.job.folder"
 # A lookup is only broadcast once its row count is known to be at most this.
 BROADCAST_ROWS = 500_000
 
@@ -44,8 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table inside the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one written table inside the job's folder, or else the shared one."""
+    return f"{spark.conf.get(JOB_FOLDER, None) or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job(spark: SparkSession, name: str = "job"):
+    """Settled tables made inside share one folder, which is deleted at the end.
+
+    Plans built inside read from it, so write or count their results before leaving.
+    """
+    outer = spark.conf.get(JOB_FOLDER, None)
+    folder = new_folder(spark, name)
+    spark.conf.set(JOB_FOLDER, folder)
+    try:
+        yield folder
+    finally:
+        if outer is None:
+            spark.conf.unset(JOB_FOLDER)
+        else:
+            spark.conf.set(JOB_FOLDER, outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -66,3 +66,16 @@ def test_pick_follows_the_weights(spark):
     assert set(n) == {"a", "b"} and n["a"] / 20000 == pytest.approx(0.25, abs=0.02)
     none = spark.range(1).select(D.pick(F.lit(0.5), [("a", F.lit(0.0)), ("b", F.lit(None).cast("double"))]).alias("x"))
     assert none.first().x is None
+
+
+def test_job_folder_goes_with_the_job(spark):
+    import os
+
+    from resight.session import job, settle
+
+    with job(spark) as outer:
+        kept = settle(spark.range(5))
+        with job(spark) as inner:
+            assert inner.startswith(outer) and settle(spark.range(3)).count() == 3
+        assert kept.count() == 5 and os.path.isdir(outer) and not os.path.exists(inner)
+    assert not os.path.exists(outer)
