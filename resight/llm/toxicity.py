@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Only rows confirmed toxic count as labelled; all training rows together are the unlabelled text,
-of which the class prior is toxic. Features are words: Spark counts in how many positive rows and in
-how many of all training rows a word occurs, and the words whose share among positives is
+of which the class prior is toxic. Features are words and the openings of words (stems, whatever their
+endings): Spark counts in how many positive rows and in
+how many of all training rows a feature occurs, and those whose share among positives is
 furthest above (and by more than chance) are kept. A numpy logistic model is then fitted on a
 bounded, hashed sample (``POSITIVES`` + ``UNLABELLED`` rows, at most ``FEATURES`` words each) with the
 class-prior-corrected risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]),  descending
@@ -19,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from resight.llm.words import ALNUM, U, chunks, narrow, split
+from resight.llm.words import ALNUM, U, chunks, narrow, openings, split
 from resight.session import settle_lookup
 
-CANDIDATES = 16_384
+OPENINGS = (4, 5, 6)
+CANDIDATES = 65_536
 FEATURES = 1_024
 POSITIVES = 20_000
 UNLABELLED = 40_000
@@ -30,37 +32,48 @@ LEAST_GAIN = 14.0
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted word hashes
+    words: np.ndarray  # sorted hashes of words and openings
     weights: np.ndarray
     bias: float
 
 
+def _hashes(c):
+    """(hash, row) of every word of a chunk, then of every opening."""
+    w = split(c, ALNUM)
+    yield w.hash, w.row
+    for size in OPENINGS:
+        h, at = openings(c, w, size)
+        yield h, w.row[at]
+
+
 def _present(batch, words):
     """(row, feature) of every feature that a row's text has, each once."""
     rows, feats = [], []
     seen = np.zeros(1 << 16, dtype=bool)
     seen[(words >> U(48)).astype(np.int64)] = True
     for c in chunks(batch.column("text")):
-        w = split(c, ALNUM)
-        at = np.flatnonzero(seen[(w.hash >> U(48)).astype(np.int64)])
-        if not len(at) or not len(words):
-            continue
-        f = np.minimum(np.searchsorted(words, w.hash[at]), len(words) - 1)
-        ok = words[f] == w.hash[at]
-        both = np.unique((w.row[at[ok]].astype(np.int64) + c.lo) * len(words) + f[ok])
-        rows.append(both // len(words))
-        feats.append(both % len(words))
+        found = []
+        for h, row in _hashes(c):
+            at = np.flatnonzero(seen[(h >> U(48)).astype(np.int64)])
+            if len(at) and len(words):
+                f = np.minimum(np.searchsorted(words, h[at]), len(words) - 1)
+                ok = words[f] == h[at]
+                found.append((row[at[ok]].astype(np.int64) + c.lo) * len(words) + f[ok])
+        if found:
+            both = np.unique(np.concatenate(found))
+            rows.append(both // len(words))
+            feats.append(both % len(words))
     none = np.zeros(0, np.int64)
     return np.concatenate([*rows, none]), np.concatenate([*feats, none])
 
 
 def _words(batches):
-    """Each row's distinct words."""
+    """Each row's distinct words and openings."""
     for b in batches:
         for c in chunks(b.column("text")):
-            w = split(c, ALNUM)
-            order = np.lexsort((w.hash, w.row))
-            h, r = w.hash[order], w.row[order]
+            h, r = (np.concatenate(x) for x in zip(*_hashes(c)))
+            order = np.lexsort((h, r))
+            h, r = h[order], r[order]
             u = h[np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))] if len(h) else h
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], ["word"])
 

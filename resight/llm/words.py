@@ -160,6 +160,16 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out + length.astype(U)), first
 
 
+def openings(c: Chunk, w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` bytes of each word that is longer, and which words these are."""
+    at = np.flatnonzero(w.end - w.start > size)
+    power, _ = _powers(size)
+    h = np.zeros(len(at), dtype=U)
+    for j in range(size):
+        h += _BYTE[LOWER[c.data[w.start[at] + j]]] * power[j]
+    return mix(h + U(size)), at
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, whatever else the table has."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
