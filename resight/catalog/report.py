@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from resight.catalog import blocks, sheets as _sheets  # noqa: F401
 from resight.catalog.base import big, cte, num, query
-from resight.catalog.model import G, S, quantities
+from resight.catalog.model import G, S, quantities, rows
 from resight.catalog.sheets import _u as draw_sql
-from resight.operators import histories as H, reshape, stats, summary as C
+from resight.operators import histories as H, model as M, reshape, stats, summary as C
 from resight.plans import views as V
 from resight.session import settle
 from resight.sources.sheets import split_param
@@ -109,20 +109,35 @@ def _(spark, d):
     return out
 
 
-cte("mean_q", "jq", "SELECT t_yr, grp, t_k, avg(lm) AS lm, avg(tau) AS tau, avg(multP) AS mp, avg(v) AS v FROM jq GROUP BY ALL")
+cte("mean_q", "jq", "SELECT t_yr, grp, t_k, avg(lm) AS lm, avg(tau) AS tau, avg(multP) AS mp, avg(v) AS v, avg(psi) AS psi, avg(temp) AS temp, avg(pent) AS delta FROM jq GROUP BY ALL")
+cte("mean_v", "psiv", "SELECT t_yr, grp, t_k, avg(psi) AS psi, avg(psi * p) AS temp FROM psiv GROUP BY ALL")
 cte("rates_obs", "js", "SELECT t_yr, grp, t_k, marked / nullif(seen, 0) AS v, recap_now / nullif(at_risk, 0) AS tau, recap_later / nullif(marked, 0) AS lm, first_seen / sum(first_seen) OVER (PARTITION BY t_yr, grp) AS mp FROM js")
-METHODS = {"v": ("v", "obs_v"), "tau": ("tau", "obs_tau"), "lambda": ("lm", "obs_lambda"), "multP": ("mp", "obs_multP")}
-
-
-@query("compare_methods", "mean_q rates_obs", " UNION ALL ".join(
-    f"SELECT t_yr::BIGINT AS t_yr, grp, t_k::BIGINT AS t_k, '{m}' AS method, {num(c, 'value')}, '{q}' AS quantity FROM {t}"
-    for q, (c, _) in METHODS.items() for m, t in (("sets", "mean_q"), ("obs", "rates_obs"))))
-def _(spark, d):
-    obs = settle(stats.observed_rates(V.event_stats(spark, d)))
-    fitted = settle(quantities(spark, d).groupBy(*G, "t_k").agg(*[F.avg(q).alias(q) for q in METHODS]))
+# quantity -> method -> column of the SQL block, column of the Spark table
+METHODS = {
+    "v": {"sets": ("v", "v"), "obs": ("v", "obs_v")}, "tau": {"sets": ("tau", "tau"), "obs": ("tau", "obs_tau")},
+    "lambda": {"sets": ("lm", "lambda"), "obs": ("lm", "obs_lambda")}, "multP": {"sets": ("mp", "multP"), "obs": ("mp", "obs_multP")},
+    "delta": {"sets": ("delta", "delta"), "obs": ("mp", "obs_multP")},
+    "psi": {"sets": ("psi", "psi"), "varying": ("psi", "psi")}, "temp": {"sets": ("temp", "temp"), "varying": ("temp", "temp")},
+}
+METHOD_BLOCKS = {"sets": "mean_q", "obs": "rates_obs", "varying": "mean_v"}
+
+
+@query("compare_methods", "mean_q mean_v rates_obs", " UNION ALL ".join(
+    f"SELECT t_yr::BIGINT AS t_yr, grp, t_k::BIGINT AS t_k, '{m}' AS method, {num(c, 'value')}, '{q}' AS quantity FROM {METHOD_BLOCKS[m]}"
+    for q, by in METHODS.items() for m, (c, _) in by.items()))
+def _(spark, d):
+    """Rates of constant sets against observed ones, and presence under constant against varying rates."""
+    varying = V.period_parameters(spark, d, varying=True)
+    psi = M.psi_recursion(varying, S).select(*S, "t_k", "psi").join(varying.select(*S, "t_k", "p"), [*S, "t_k"])
+    entry = rows(spark, d).groupBy(*G, "t_k").agg(F.avg("pent").alias("delta"))
+    tables = {
+        "obs": settle(stats.observed_rates(V.event_stats(spark, d))),
+        "sets": settle(quantities(spark, d).groupBy(*G, "t_k").agg(*[F.avg(q).alias(q) for q in METHODS if q != "delta"]).join(entry, [*G, "t_k"])),
+        "varying": settle(psi.groupBy(*G, "t_k").agg(F.avg("psi").alias("psi"), F.avg(F.col("psi") * F.col("p")).alias("temp"))),
+    }
     out = None
-    for q, (_, o) in METHODS.items():
-        one = C.compare_methods({"sets": fitted.withColumn("value", F.col(q)), "obs": obs.withColumn("value", F.col(o))}, [*G, "t_k"], q)
+    for q, by in METHODS.items():
+        one = C.compare_methods({m: tables[m].withColumn("value", F.col(c)) for m, (_, c) in by.items()}, [*G, "t_k"], q)
         out = one if out is None else out.unionByName(one)
     return out
 
