@@ -9,7 +9,7 @@ from resight.catalog.base import big, cte, num, query
 from resight.catalog.model import G, IDS, S, group_rates, quantities, rows, sets
 from resight.functions import mathx as X
 from resight.functions.calendar import week_block
-from resight.operators import clean, fit, histories as H, score
+from resight.operators import clean, fit, histories as H, model as M, score
 from resight.plans import abundance as A, movement, views as V
 from resight.session import settle, settle_lookup
 
@@ -91,6 +91,56 @@ def _(spark, d):
     return score.score_js(V.event_stats(spark, d), quantities(spark, d), G, ["set_id"], total="binomial")
 
 
+# rates that vary by period: one block for each letter form
+VARYING = "3e-1 + 1e-2 * ((set_id + {k}) % 40)"
+
+
+def _form_rows(form):
+    p = VARYING.format(k="greatest(1, least(greatest(t_k, 2), s - 1))") if form[0] == "t" else "p"
+    phi = VARYING.format(k="greatest(least(t_k, s - 1), 1) * 3") if form[1] == "t" else "phi"
+    return f"SELECT '{form}' AS form, t_yr, grp, set_id, s, t_k, {p} AS p, {phi} AS phi, pent, v, nsuper FROM pp"
+
+
+FORMS = ("stt", "tst", "ttt")
+SAME_FORM = "a.form = b.form AND a.t_yr = b.t_yr AND a.grp = b.grp AND a.set_id = b.set_id"
+cte("fp", "pp", " UNION ALL ".join(_form_rows(f) for f in FORMS))
+cte("lamf", "fp", f"""
+SELECT form, t_yr, grp, set_id, s, t_k, phi, p, CAST(0 AS DOUBLE) AS lm FROM fp WHERE t_k = s
+UNION ALL
+SELECT a.form, a.t_yr, a.grp, a.set_id, a.s, a.t_k, a.phi, a.p, a.phi * (b.p + (1 - b.p) * b.lm) FROM lamf b JOIN fp a ON {SAME_FORM} AND a.t_k = b.t_k - 1
+""")
+cte("psif", "fp", f"""
+SELECT form, t_yr, grp, set_id, t_k, phi, p, pent AS psi FROM fp WHERE t_k = 1
+UNION ALL
+SELECT a.form, a.t_yr, a.grp, a.set_id, a.t_k, a.phi, a.p, b.psi * (1 - b.p) * b.phi + a.pent * {blocks.FACTOR.format(f='b.phi')}
+FROM psif b JOIN fp a ON {SAME_FORM} AND a.t_k = b.t_k + 1
+""")
+cte("jqf", "fp lamf psif js", """
+SELECT f.*, l.lm, x.psi * f.p AS temp, f.p / (f.p + (1 - f.p) * l.lm) AS tau, x.psi * f.p / sum(x.psi * f.p) OVER w AS multP, sum(x.psi * f.p) OVER w AS psiPtot,
+  j.seen, j.marked, j.first_seen, j.recap_later, j.recap_now, j.at_risk
+FROM fp f JOIN lamf l USING (form, t_yr, grp, set_id, t_k) JOIN psif x USING (form, t_yr, grp, set_id, t_k) JOIN js j ON j.t_yr = f.t_yr AND j.grp = f.grp AND j.t_k = f.t_k
+WINDOW w AS (PARTITION BY f.form, f.t_yr, f.grp, f.set_id)
+""")
+FORM_PARTS = {k: v for k, v in PART.items() if k != "prior"} | {"size": SIZE["poisson"]}
+
+
+@query("score_js_forms", "jqf", f"SELECT form, {IDS}, " + ", ".join(num(e, n, 3) for n, e in FORM_PARTS.items()) + " FROM jqf GROUP BY form, t_yr, grp, set_id", digits=3)
+def _(spark, d):
+    """Detection or survival free in every period, or both, expanded and scored like the constant sets."""
+    base = settle(rows(spark, d).select(*S, "t_k", "s", "phi", "p", "pent", "v", "nsuper"))
+    one = base.where("t_k = 1").select(*S, "s", "phi", "p")
+    value = lambda k: F.transform(F.sequence(F.lit(1), F.col("s")), lambda t: 0.3 + 0.01 * ((F.col("set_id") + t * k) % 40))
+    out = None
+    for form in FORMS:
+        df = one.withColumn("p", value(1)) if form[0] == "t" else one
+        df = df.withColumn("phi", value(3)) if form[1] == "t" else df
+        part = M.expand_params(df, form).select(F.lit(form).alias("form"), *S, "t_k", "p", "phi")
+        out = part if out is None else out.unionByName(part)
+    full = out.join(base.select(*S, "t_k", "pent", "v", "nsuper"), [*S, "t_k"])
+    scored = score.score_js(V.event_stats(spark, d), M.js_quantities(full, ["form", *S], ("v", "nsuper")), G, ["form", "set_id"])
+    return scored.select("form", *S, *FORM_PARTS)
+
+
 @query("score_histories", "hist jq", f"""SELECT h.t_yr::BIGINT AS t_yr, h.grp, set_id::BIGINT AS set_id, {num(f'''sum(CASE WHEN NOT tag THEN n * ln(1 - v)
   WHEN r_k IS NOT NULL THEN n * ln(v) + {sql_xlogy('n', 'lm')} ELSE n * ln(v) + n * ln(1 - lm) END)''', 'loglik', 3)}
 FROM hist h JOIN jq q ON h.t_yr = q.t_yr AND h.grp = q.grp AND h.t_k = q.t_k GROUP BY 1, 2, 3""", digits=3)
