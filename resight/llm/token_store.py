@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from resight.llm.words import NOT_SPACE, chunks, narrow, split
 from resight.session import settle
 
-CACHE = 400_000
+CACHE = 300_000
 STRIPE = 16 << 20
 STRIDE = 10_000
 SCHEMA = "doc_id long, n_tokens int, ids array<int>"
@@ -31,13 +32,14 @@ FILE_CHARS = 64 << 20
 
 
 class Encoder:
-    """Ids of rows of text, part by part."""
+    """Ids of rows of text, part by part. Parts met lately are remembered, in two halves: when the
+    fresh half is full it becomes the old one, so frequent parts stay and the rest goes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
 
     def chunk(self, c, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a chunk, each row closed by ``end_id``, and each row's first (and the count of all)."""
@@ -45,7 +47,7 @@ class Encoder:
         unique, where, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         ids = self._parts(unique.tolist(), w.start[where], w.end[where], c.data)
         size = np.array([len(x) for x in ids], dtype=np.int64)
-        flat, at = np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(size)])
+        flat, at = np.fromiter(chain.from_iterable(ids), np.int32, size.sum()), np.concatenate([[0], np.cumsum(size)])
         n = size[inverse]
         take = np.repeat(at[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         rows = len(c.offsets) - 1
@@ -59,17 +61,35 @@ class Encoder:
 
     def _parts(self, keys, start, end, data):
         if len(self.known) > CACHE:
-            self.known.clear()
-        out = [self.known.get(k) for k in keys]
-        todo = [i for i, x in enumerate(out) if x is None]
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        out, todo = [], []
+        for i, k in enumerate(keys):
+            ids = known.get(k)
+            if ids is None and (ids := old.get(k)) is not None:
+                known[k] = ids
+            if ids is None:
+                todo.append(i)
+            out.append(ids)
+        raw, start, end = data.tobytes(), start.tolist(), end.tolist()
         for lo in range(0, len(todo), 10_000):
             part = todo[lo : lo + 10_000]
-            texts = [data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in part]
+            texts = [raw[start[i] : end[i]].decode("utf-8", "replace") for i in part]
             for i, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                out[i] = self.known[keys[i]] = np.array(e.ids, dtype=np.int32)
+                out[i] = known[keys[i]] = e.ids
         return out
 
 
+#: One for each tokenizer file and worker, so the tasks of a worker share what it remembers.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> None:
     """Writes (doc_id, n_tokens, ids) of every row to ``folder``, in ascending order of doc_id.
 
@@ -83,7 +103,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     parts = int(max(min(cores * 2, 1 + chars // (1 << 20)), chars // FILE_CHARS + 1))
 
     def run(batches):
-        enc = Encoder(tokenizer)
+        enc = _encoder(tokenizer)
         for b in batches:
             for c in chunks(b.column("text")):
                 ids, first = enc.chunk(c, end_id)
