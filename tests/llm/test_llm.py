@@ -307,6 +307,20 @@ def test_passages(spark, rows):
     assert repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_a_star(spark):
+    """Variants around an original whose id lies in the middle: alike to it, not to each other."""
+    from resight.llm.substring_dedup import repeated_passages
+
+    base = [f"b{i}" for i in range(300)]
+
+    def variant(i, offset):
+        return i, " ".join(f"n{i}x{k}" if k % 50 == offset else x for k, x in enumerate(base))
+
+    data = [variant(1, 2), variant(2, 12), variant(3, 22), (4, " ".join(base)), variant(5, 32), variant(6, 42)]
+    got = {(x.id, x.partner) for x in repeated_passages(frame(spark, data)).collect()}
+    assert got == {p for i in (1, 2, 3, 5, 6) for p in ((i, 4), (4, i))}
+
+
 def test_compact_windows():
     from resight.llm.substring_dedup import windows
 
