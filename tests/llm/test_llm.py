@@ -100,6 +100,32 @@ def test_near_duplicates(docs, rows, shingle, num, leaf, depth):
         assert r.kept == (r.id is None or r.id == want[r.id])
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_recall_of_trees(similarity):
+    """Pairs at the threshold whose nodes all stay large: how many share no path down to the last depth."""
+    import pyarrow as pa
+
+    from resight.llm import near_dedup as N
+
+    n, r = 20000, np.random.default_rng(8)
+    a = r.integers(0, 1 << 32, (n, N.SKETCH), dtype=np.uint32)
+    b = np.where(r.random(a.shape) < similarity, a, r.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    sketch = np.concatenate([np.stack([a, b], axis=1).reshape(2 * n, -1).view(np.uint8), np.zeros((2 * n, N.MORE), np.uint8)], axis=1)
+    level = {"rep": np.arange(2 * n)}
+    for depth in range(N.DEPTH):
+        batch = pa.RecordBatch.from_arrays([pa.array(v) for v in level.values()] + [pa.array([sketch[i].tobytes() for i in level["rep"]], pa.binary())], [*level, "sketch"])
+        (out,) = N._branch(depth, N.TREES, similarity)([batch])
+        rep, node = out.column("rep").to_numpy(), out.column("node").to_numpy()
+        # only nodes that hold both sets of a pair go on
+        both = np.unique(np.stack([node, rep], axis=1), axis=0)
+        meets = np.unique(both[1:][(both[1:, 0] == both[:-1, 0]) & (both[1:, 1] // 2 == both[:-1, 1] // 2)], axis=0)
+        keep = np.isin(node, meets[:, 0])
+        level = {k: out.column(k).to_numpy()[keep] for k in ("tree", "node", "rep")}
+    missed = n - len(np.unique(level["rep"] // 2))
+    print("missed", missed, "of", n)
+    assert missed <= n * 3e-4
+
+
 def test_near_duplicates_of_nothing(none):
     from resight.llm.near_dedup import near_duplicates
 
