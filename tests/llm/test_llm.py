@@ -347,6 +347,24 @@ def test_passages_of_a_star(spark):
     assert got == {p for i in (1, 2, 3, 5, 6) for p in ((i, 4), (4, i))}
 
 
+def test_similar_stretches():
+    from resight.llm.substring_dedup import passages
+
+    n = iter(range(10000, 20000))
+
+    def tokens(w):
+        return np.array([hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)])
+
+    base = list(range(90))
+    longer = base[:45] + [next(n) for _ in range(8)] + base[45:]
+    assert passages(tokens(base), tokens(longer), 46, 80, 100, 12) == [(0, 86, 0, 94)]
+    base = list(range(200))
+    other = [next(n) if k in (40, 80) or k >= 120 and k % 8 == 0 else k for k in base]
+    (xs, xe, ys, ye), = passages(tokens(base), tokens(other), 46, 80, 100, 12)
+    x, y = set(tokens(base)[xs:xe].tolist()), set(tokens(other)[ys:ye].tolist())
+    assert xs == ys == 0 and xe >= 115 and 100 * len(x & y) >= 80 * len(x | y)
+
+
 def test_compact_windows():
     from resight.llm.substring_dedup import windows
 
