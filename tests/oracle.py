@@ -8,6 +8,8 @@ import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def connect(d: str):
     con = duckdb.connect()
@@ -54,8 +56,7 @@ def compare(df, con, sql: str, tol: float = 2e-6):
     kinds = {n: str(t) for n, t in zip(names, [c[1] for c in res.description])}
     for n, k in df.dtypes:
         w = kinds[n].upper()
-        ok = (k == "bigint" and w in ("BIGINT",)) or (k == "double" and w == "DOUBLE") or (k == "string" and w == "VARCHAR")
-        if not ok:
+        if KINDS.get(k) != w:
             return f"type of {n}: {k} != {w}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
