@@ -113,7 +113,7 @@ def _fit(x_p: list, x_u: list, start: np.ndarray, prior: float, steps: int = 800
     w, m, v = np.append(start, np.log(prior / (1 - prior))), np.zeros(n + 1), np.zeros(n + 1)
 
     def gradient(scale_p, scale_u):
-        out = np.bincount(fp, scale_p[rp], minlength=n + 1) + np.bincount(fu, scale_u[ru], minlength=n + 1)
+        out = (np.bincount(fp, scale_p[rp], minlength=n + 1) + np.bincount(fu, scale_u[ru], minlength=n + 1)).astype(float)
         out[n] = scale_p.sum() + scale_u.sum()
         return out
 
