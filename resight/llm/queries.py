@@ -223,3 +223,44 @@ def op13(spark, d):
     df = table(spark, d, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(df.withColumn("label", label), every=100, positives=5, k=10, low=30, high=90, scale=256)
+
+
+OP12_SQL = f"""
+WITH p AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM p),
+o AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM o WHERE m = 1 GROUP BY lang),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS phrase FROM f WHERE m = 3
+    UNION ALL SELECT lang, f, array_to_string(string_split(phrase, ' ')[2:3], ' ') FROM f WHERE m = 3) GROUP BY ALL
+), c AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.m, unnest(range(1, c.m)) AS k FROM f c LEFT JOIN longer x ON c.m = 2 AND x.lang = c.lang AND x.phrase = c.phrase
+  WHERE c.m > 1 AND (x.f IS NULL OR 100 * x.f < 50 * c.f)
+), s AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:c.m], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark, d):
+    from resight.llm.collocations import collocations
+
+    return collocations(table(spark, d, "documents"), max_words=3, least=10, first=2000)
+
+
+OP11_SQL = OP2_SQL.replace("85 *", "90 *").replace(", d.doc_id = c.c AS kept", "")
+
+
+@query("op11_ngram_join", OP11_SQL)
+def op11(spark, d):
+    from resight.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, d, "documents"), shingle=3, num=90, den=100).withColumnRenamed("id", "doc_id")
