@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from resight.catalog import blocks, counts as _counts  # noqa: F401
 from resight.catalog.base import big, cte, num, query
-from resight.catalog.model import G, IDS, S, group_rates, quantities, rows, sets
+from resight.catalog.model import G, IDS, S, TK, group_rates, quantities, rows, sets
 from resight.functions import mathx as X
 from resight.functions.calendar import week_block
-from resight.operators import clean, fit, histories as H, model as M, score
+from resight.operators import clean, fit, histories as H, kernels as K, model as M, score
 from resight.plans import abundance as A, movement, views as V
 from resight.session import settle, settle_lookup
 
@@ -270,6 +270,78 @@ def _(spark, d):
     return score.expected_by_history(with_probability(spark, d), G)
 
 
+# detection that varies by period: products from every capture period on, one period a step
+cte("gpdet", "slots", "SELECT t_yr, grp, t_k, i AS loc, 3e-1 + 5e-2 * ((length(grp) + i + t_k) % 6) AS p FROM slots, (SELECT unnest(range(1, 6)) AS i)")
+cte("gwalk", "ubounds gtrans gpdet", """
+SELECT t_yr, grp, s, t AS t0, i AS l0, t AS t_k, i AS loc, CAST(1 AS DOUBLE) AS v FROM ubounds, (SELECT unnest(range(1, 400)) AS t), (SELECT unnest(range(1, 6)) AS i) WHERE t <= s
+UNION ALL
+SELECT w.t_yr, w.grp, w.s, w.t0, w.l0, w.t_k + 1, m.to_l, sum(w.v * m.value * (1 - COALESCE(d.p, 0))) FROM gwalk w
+JOIN gtrans m ON m.t_yr = w.t_yr AND m.grp = w.grp AND m.from_l = w.loc LEFT JOIN gpdet d ON d.t_yr = w.t_yr AND d.grp = w.grp AND d.t_k = w.t_k + 1 AND d.loc = m.to_l
+WHERE w.t_k < w.s GROUP BY w.t_yr, w.grp, w.s, w.t0, w.l0, w.t_k, m.to_l
+""")
+cte("gpnever", "gwalk", "SELECT t_yr, grp, t0, l0, sum(v) AS prob FROM gwalk WHERE t_k = s GROUP BY ALL")
+cte("gpfound", "gwalk", """SELECT w.t_yr, w.grp, w.t0, w.l0, w.t_k + 1 AS r_k, d.loc AS r_l, sum(w.v * m.value * d.p) AS prob FROM gwalk w
+JOIN gtrans m ON m.t_yr = w.t_yr AND m.grp = w.grp AND m.from_l = w.loc JOIN gpdet d ON d.t_yr = w.t_yr AND d.grp = w.grp AND d.t_k = w.t_k + 1 AND d.loc = m.to_l GROUP BY ALL""")
+cte("hpp", "uhist gpnever gpfound", """
+SELECT h.*, CASE WHEN h.r_k IS NULL THEN u.prob ELSE f.prob END AS prob FROM uhist h
+LEFT JOIN gpnever u ON u.t_yr = h.t_yr AND u.grp = h.grp AND u.t0 = h.t_k AND u.l0 = h.t_l
+LEFT JOIN gpfound f ON f.t_yr = h.t_yr AND f.grp = h.grp AND f.t0 = h.t_k AND f.l0 = h.t_l AND f.r_k = h.r_k AND f.r_l = h.r_l
+""")
+
+
+def period_detect(spark, d):
+    b = V.event_bounds(V.event_histories(spark, d)).select(*G, F.explode(F.sequence(F.lit(1), F.col("s"))).alias("t_k"))
+    loc = b.withColumn("loc", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return loc.withColumn("p", 0.3 + 0.05 * ((F.length("grp") + F.col("loc") + F.col("t_k")) % 6))
+
+
+@query("history_probability_by_period", "hpp", f"SELECT {H_SQL}, {num('prob', 'prob', 8)} FROM hpp", digits=8)
+def _(spark, d):
+    upstream = clean.upstream_filter(V.event_histories(spark, d))
+    return movement.history_report_by_period(upstream, group_rates(spark, d), period_detect(spark, d), G, 6)
+
+
+# many sets: survival scaled and detection drawn by set
+cte("strans", "sets gtrans", """
+SELECT s.set_id, g.t_yr, g.grp, g.from_l, g.to_l, CASE WHEN g.to_l < 6 THEN g.value * (7e-1 + (s.set_id % 31) / 107e0)
+  ELSE 1 - (7e-1 + (s.set_id % 31) / 107e0) * COALESCE(sum(CASE WHEN g.to_l < 6 THEN g.value END) OVER (PARTITION BY s.set_id, g.t_yr, g.grp, g.from_l), 0) END AS value
+FROM sets s JOIN gtrans g USING (grp)
+""")
+cte("sdet", "sets", "SELECT set_id, grp, i AS loc, 2e-1 + ((set_id * 3 + i * 7) % 97) / 203e0 AS p FROM sets, (SELECT unnest(range(1, 6)) AS i)")
+cte("smiss", "strans sdet", "SELECT t.*, COALESCE(d.p, 0) AS p, t.value * (1 - COALESCE(d.p, 0)) AS miss FROM strans t LEFT JOIN sdet d ON d.set_id = t.set_id AND d.loc = t.to_l")
+cte("spow", "smiss ubounds", """
+SELECT m.set_id, b.t_yr, b.grp, b.s, 0 AS lag, i AS from_l, i AS to_l, CAST(1 AS DOUBLE) AS v FROM (SELECT DISTINCT set_id, t_yr, grp FROM smiss) m JOIN ubounds b USING (t_yr, grp), (SELECT unnest(range(1, 7)) AS i)
+UNION ALL
+SELECT w.set_id, w.t_yr, w.grp, w.s, w.lag + 1, w.from_l, m.to_l, sum(w.v * m.miss) FROM spow w JOIN smiss m ON m.set_id = w.set_id AND m.t_yr = w.t_yr AND m.from_l = w.to_l
+WHERE w.lag < w.s GROUP BY w.set_id, w.t_yr, w.grp, w.s, w.lag, w.from_l, m.to_l
+""")
+cte("scell", "spow smiss", """
+SELECT set_id, t_yr, grp, lag, from_l AS t_l, 0 AS outcome, sum(v) AS prob FROM spow GROUP BY ALL
+UNION ALL
+SELECT w.set_id, w.t_yr, w.grp, w.lag + 1, w.from_l, m.to_l, sum(w.v * m.value * m.p) FROM spow w JOIN smiss m ON m.set_id = w.set_id AND m.t_yr = w.t_yr AND m.from_l = w.to_l WHERE m.to_l < 6
+GROUP BY w.set_id, w.t_yr, w.grp, w.lag, w.from_l, m.to_l
+""")
+cte("svec", "uhist ubounds", """
+SELECT t_yr, grp, CASE WHEN r_k IS NULL THEN greatest(s - t_k, 0) ELSE r_k - t_k END AS lag, t_l, COALESCE(r_l, 0) AS outcome, sum(n) AS n FROM uhist JOIN ubounds USING (t_yr, grp) WHERE tag GROUP BY ALL
+""")
+
+
+@query("score_cjs_sets", "scell svec", f"""SELECT {IDS}, {num('loglik', 'loglik', 3)}, (row_number() OVER (PARTITION BY t_yr, grp ORDER BY round(loglik, 6) DESC, set_id) = 1)::INTEGER::BIGINT AS best
+FROM (SELECT c.t_yr, c.grp, c.set_id, sum(n * ln(prob)) AS loglik FROM svec v JOIN scell c USING (t_yr, grp, lag, t_l, outcome) GROUP BY ALL)""", digits=3)
+def _(spark, d):
+    """Every customer's set against the histories of its group, and the best of each group."""
+    upstream = settle(clean.upstream_filter(V.event_histories(spark, d)))
+    last = settle(H.last_period(upstream, G))
+    kernel = settle_lookup(K.rate_to_transition(group_rates(spark, d), list(G), 6))
+    own = sets(spark, d).select("set_id", "grp")
+    scaled = own.join(kernel, "grp").withColumn("live", F.when(F.col("to_l") < 6, F.col("value") * (0.7 + (F.col("set_id") % 31) / 107.0)))
+    lost = 1 - F.coalesce(F.sum("live").over(W.partitionBy(*S, "from_l")), F.lit(0.0))
+    kernels = scaled.withColumn("value", F.coalesce("live", lost)).select(*S, "from_l", "to_l", "value")
+    detects = own.join(settle_lookup(last.select(*G)), "grp").withColumn("loc", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    detects = detects.select(*S, "loc", (0.2 + ((F.col("set_id") * 3 + F.col("loc") * 7) % 97) / 203.0).alias("p"))
+    return K.score_cjs_sets(upstream, kernels, detects, last, G, ["set_id"], 6)
+
+
 # ---- fits
 
 def season_histories(spark, d):
@@ -323,21 +395,32 @@ FROM (SELECT s.t_yr, s.t_k, COALESCE((SELECT sum(n) FROM season_h h WHERE h.t_yr
 """)
 fit_blocks("fity", "season_js", "t_yr")
 
-cte("dec", "sets js", f"""
-SELECT *, (u / p - phi * (1 - p) * COALESCE(lag(u) OVER w, 0) / p) / CASE WHEN t_k = 1 THEN 1 ELSE (phi - 1) / ln(phi) END AS b
-FROM (SELECT j.t_yr, s.grp, s.set_id, s.phi, s.p, j.t_k, j.first_seen AS u FROM sets s JOIN js j USING (grp)) WINDOW w AS (PARTITION BY t_yr, grp, set_id ORDER BY t_k)
+# counts that drop in every fourth period, so that entries would be negative without the bound
+cte("dec_u", "js", "SELECT t_yr, grp, t_k, floor(first_seen / CASE WHEN t_k % 4 = 0 THEN 5 ELSE 1 END) AS u FROM js")
+cte("dec_run", "sets dec_u", """
+SELECT *, min(CASE WHEN u = 0 THEN -1e300 ELSE ln(u) + ln(1 - phi * (1 - p)) - ln(1 - pow(phi * (1 - p), b - a + 1)) - (a - 1) * ln(phi * (1 - p)) END)
+  OVER (PARTITION BY t_yr, set_id, a ORDER BY b DESC) AS low FROM (
+    SELECT x.t_yr, x.grp, s.set_id, s.phi, s.p, x.t_k AS a, y.t_k AS b, sum(y.u) OVER (PARTITION BY s.set_id, x.t_yr, x.t_k ORDER BY y.t_k) AS u
+    FROM dec_u x JOIN dec_u y ON x.t_yr = y.t_yr AND x.grp = y.grp AND x.t_k <= y.t_k JOIN sets s ON s.grp = x.grp)
+""")
+cte("dec_mu", "dec_run", "SELECT t_yr, grp, set_id, phi, p, b AS t_k, CASE WHEN max(low) < -1e299 THEN 0 ELSE exp(max(low) + (b - 1) * ln(phi * (1 - p))) END AS mu FROM dec_run GROUP BY t_yr, grp, set_id, phi, p, b")
+cte("dec", "dec_mu dec_u", """
+SELECT m.*, u.u, CASE WHEN t_k = 1 THEN mu / p ELSE greatest(mu / p - phi * (1 - p) * lag(mu) OVER w / p, 0) / ((phi - 1) / ln(phi)) END AS b
+FROM dec_mu m JOIN dec_u u USING (t_yr, grp, t_k) WINDOW w AS (PARTITION BY t_yr, grp, set_id ORDER BY t_k)
 """)
 
 
-@query("deconvolve_entries", "dec", f"SELECT {IDS}, {num('CASE WHEN min(b) >= 0 THEN sum(b) END', 'nsuper_free', 4)}, {num('sum(u)', 'fitted', 4)} FROM dec GROUP BY t_yr, grp, set_id", digits=4)
+@query("deconvolve_entries", "dec", f"""SELECT {IDS}, {num('sum(b)', 'nsuper', 3)}, {num('sum(mu)', 'fitted', 3)}, (max(abs(u - mu)) > 1e-6)::INTEGER::BIGINT AS bound
+FROM dec GROUP BY t_yr, grp, set_id""", digits=3)
 def _(spark, d):
-    """Total entries where no bound binds, and the fitted total, which always equals the observed one."""
-    packed = V.event_stats(spark, d).groupBy(*G).agg(F.array_sort(F.collect_list(F.struct("t_k", F.col("first_seen").cast("double").alias("u")))).alias("o"))
+    """Total entries of every set under B >= 0, the fitted total, and whether the bound binds anywhere."""
+    u = F.floor(F.col("first_seen") / F.when(F.col("t_k") % 4 == 0, 5).otherwise(1)).cast("double")
+    packed = V.event_stats(spark, d).groupBy(*G).agg(F.array_sort(F.collect_list(F.struct("t_k", u.alias("u")))).alias("o"))
     cells = packed.select(*G, F.transform("o", lambda x: x["u"]).alias("u")).join(sets(spark, d).select("set_id", "grp", "phi", "p"), "grp")
     out = fit.deconvolve_entries(cells.repartition("set_id"))
-    free = F.forall(F.arrays_zip("u", "mu"), lambda z: F.abs(z["u"] - z["mu"]) < 1e-6)
+    free = F.forall(F.arrays_zip("u", "mu"), lambda z: F.abs(z["u"] - z["mu"]) <= 1e-6)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-    return out.select(*S, F.when(free, total("entries")).alias("nsuper_free"), total("mu").alias("fitted"))
+    return out.select(*S, total("entries").alias("nsuper"), total("mu").alias("fitted"), (~free).alias("bound"))
 
 
 FIT_SQL = ", ".join([num("best_loglik", "best_loglik", 3)] + [num(f"best_{c}", f"best_{c}", 3) for c in ("phi", "p", "nsuper")] + [
@@ -364,3 +447,72 @@ SD = "sqrt(greatest(sq_nsuper - mean_nsuper * mean_nsuper, 0) + inside)"
 FROM fity f JOIN (SELECT t_yr, sum(first_seen) AS u, sum(marked) AS mk, sum(seen) AS seen FROM season_js GROUP BY t_yr) t ON f.t_yr = t.t_yr""", digits=3)
 def _(spark, d):
     return A.year_report(season_histories(spark, d), ["t_yr"], fit.grid(*COARSE))
+
+
+cte("season_m", "season_h cells", """
+SELECT t_yr, phi, p, sum(CASE WHEN r_k IS NOT NULL THEN n * (ln(phi * p) + (greatest(r_k - t_k, 1) - 1) * ln(phi * (1 - p)))
+  ELSE n * ln(1 - phi * p * (1 - pow(phi * (1 - p), s - t_k)) / (1 - phi * (1 - p))) END) AS marks
+FROM (SELECT *, max(greatest(t_k, COALESCE(r_k, 0))) OVER (PARTITION BY t_yr) AS s FROM season_h), cells WHERE tag GROUP BY ALL
+""")
+cte("fith_cell", "fity_b season_m", f"""
+SELECT b.t_yr, b.phi, b.p, sum(entries) AS nsuper, sum(first_seen) AS u_total, sum({sql_xlogy('first_seen', 'nullif(mu, 0)')} - mu - lgamma(first_seen + 1e0)) + max(marks)
+  + {sql_beta('b.phi', '5e-1', '5e-1')} + {sql_beta('b.p', '5e-1', '5e-1')} AS loglik FROM fity_b b JOIN season_m m ON m.t_yr = b.t_yr AND m.phi = b.phi AND m.p = b.p GROUP BY b.t_yr, b.phi, b.p
+""")
+cte("fith_w", "fith_cell", "SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY t_yr)) AS w FROM fith_cell")
+cte("fith", "fith_w", """SELECT t_yr, arg_max(phi, loglik) AS best_phi, arg_max(p, loglik) AS best_p, sum(w * nsuper) / sum(w) AS mean_nsuper, sum(w * nsuper * nsuper) / sum(w) AS sq_nsuper,
+  sum(w * nsuper * nsuper / u_total) / sum(w) AS inside FROM fith_w GROUP BY t_yr""")
+
+
+def two_sql(method, table):
+    return f"""SELECT t_yr::BIGINT AS t_yr, '{method}' AS method, {num('best_phi', 'best_phi', 3)}, {num('best_p', 'best_p', 3)}, {num('mean_nsuper', 'nsuper', 3)},
+{num(f'mean_nsuper - 1.96e0 * {SD}', 'lower', 3)}, {num(f'mean_nsuper + 1.96e0 * {SD}', 'upper', 3)} FROM {table}"""
+
+
+@query("abundance_two_methods", "fity fith", two_sql("statistics", "fity") + " UNION ALL " + two_sql("histories", "fith"), digits=3)
+def _(spark, d):
+    return A.two_methods(season_histories(spark, d), ["t_yr"], fit.grid(*COARSE))
+
+
+# ---- estimates by period
+
+cte("pe_m", "js", """
+SELECT *, max(t_k) OVER g AS s, at_risk - recap_now AS z, CASE WHEN t_k = 1 THEN 0 WHEN t_k = max(t_k) OVER g THEN NULL WHEN at_risk = recap_now THEN recap_now
+  ELSE recap_now + CAST(at_risk - recap_now AS DOUBLE) * marked / nullif(recap_later, 0) END AS mm FROM js WINDOW g AS (PARTITION BY t_yr, grp)
+""")
+cte("pe_free", "pe_m", "SELECT 'ttt' AS form, *, CASE WHEN t_k BETWEEN 2 AND s - 1 THEN recap_now / nullif(mm, 0) END AS pf FROM pe_m")
+cte("pe_p", "pe_free", """
+SELECT form, * EXCLUDE (form), CASE WHEN t_k = 1 THEN lead(pf) OVER w WHEN t_k = s THEN lag(pf) OVER w ELSE pf END AS p FROM pe_free WINDOW w AS (PARTITION BY t_yr, grp ORDER BY t_k)
+UNION ALL
+SELECT 'stt', * EXCLUDE (form), sum(CASE WHEN t_k BETWEEN 2 AND s - 1 AND mm IS NOT NULL THEN recap_now END) OVER g / nullif(sum(mm) OVER g, 0) FROM pe_free WINDOW g AS (PARTITION BY t_yr, grp)
+""")
+cte("pe_mm", "pe_p", """
+SELECT * EXCLUDE (mm), CASE WHEN t_k = s AND s > 1 THEN recap_now / nullif(p, 0) ELSE mm END AS mm FROM pe_p
+""")
+cte("pe_left", "pe_mm", "SELECT *, mm - recap_now + marked AS lft, lead(mm) OVER w AS m2, recap_now AS m FROM pe_mm WINDOW w AS (PARTITION BY form, t_yr, grp ORDER BY t_k)")
+cte("pe_phi", "pe_left", """
+SELECT *, CASE WHEN t_k < s THEN m2 / nullif(lft, 0) END AS phi FROM pe_left
+UNION ALL
+SELECT 'tst' AS form, * EXCLUDE (form, pooled), CASE WHEN t_k < s THEN pooled END FROM (
+  SELECT *, sum(CASE WHEN t_k < s - 1 AND lft IS NOT NULL THEN m2 END) OVER g / nullif(sum(CASE WHEN t_k < s - 1 AND m2 IS NOT NULL THEN lft END) OVER g, 0) AS pooled FROM pe_left WHERE form = 'ttt' WINDOW g AS (PARTITION BY t_yr, grp))
+""")
+cte("pe_n", "pe_phi", "SELECT *, seen / nullif(p, 0) AS nn, 1e0 / nullif(recap_later, 0) - 1e0 / nullif(marked, 0) AS odd FROM pe_phi")
+cte("pe", "pe_n", """
+SELECT *, CASE WHEN t_k = 1 THEN nn ELSE nn - lag(phi) OVER w * (lag(nn) OVER w - lag(seen) OVER w + lag(marked) OVER w) END AS b, lag(phi) OVER w AS phi0,
+  nn * (nn - seen) * (lft / nullif(mm, 0) * odd + (1 - mm / nullif(nn, 0)) / nullif(m, 0)) AS var_n, pow(p * (1 - p), 2) * (odd + 1e0 / nullif(m, 0) + 1e0 / nullif(z, 0)) AS var_p,
+  phi * phi * ((m2 - lead(m) OVER w) * lead(lft) OVER w / nullif(m2 * m2, 0) * lead(odd) OVER w + (mm - m) / nullif(lft, 0) * odd + (1 - phi) / nullif(m2, 0)) AS var_phi
+FROM pe_n WINDOW w AS (PARTITION BY form, t_yr, grp ORDER BY t_k)
+""")
+CF = "(CASE WHEN phi0 >= 1 THEN 1 WHEN phi0 <= 0 THEN NULL ELSE (phi0 - 1) / ln(phi0) END)"
+
+
+@query("period_estimates", "pe", f"""SELECT form, t_yr::BIGINT AS t_yr, grp, {TK}, {num('mm', '"M"', 3)}, {num('p', 'p', 3)}, {num('phi', 'phi', 3)}, {num('nn', '"N"', 3)}, {num('b', '"B"', 3)},
+{num(f'CASE WHEN t_k = 1 THEN b ELSE b / {CF} END', 'gross', 3)}, {num("CASE WHEN form[1] = 't' AND t_k BETWEEN 2 AND s - 1 AND var_p >= 0 THEN sqrt(var_p) END", 'se_p', 3)},
+{num("CASE WHEN form[2] = 't' AND t_k < s - 1 AND var_phi >= 0 THEN sqrt(var_phi) END", 'se_phi', 3)}, {num("CASE WHEN form[1] = 't' AND t_k BETWEEN 2 AND s - 1 AND var_n >= 0 THEN sqrt(var_n) END", '"se_N"', 3)} FROM pe""", digits=3)
+def _(spark, d):
+    """The closed-form estimates of the three time-varying forms."""
+    st = settle(V.event_stats(spark, d))
+    out = None
+    for form in FORMS:
+        part = M.period_estimates(st, G, form).select(F.lit(form).alias("form"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -359,8 +359,7 @@ def _(spark, d):
     st = V.event_stats(spark, d).select(*G, "t_k", "marked")
     base = sets(spark, d).join(st, "grp").withColumn("B", F.col("marked"))
     avail = M.abundance_path(base, S).select(*S, "t_k", F.col("N").alias("available")).join(sets(spark, d).select("set_id", "phi", "p"), "set_id")
-    pairs = H.period_pairs(V.event_bounds(V.event_histories(spark, d)), G)
-    return M.expected_recaptures(avail, pairs, G).groupBy(*S, "r_k").agg(F.sum("e_r").alias("e_r"))
+    return M.expected_recapture_totals(avail, S)
 
 
 cte("grate2", "slots", "SELECT t_yr, grp, t_k, 1 AS from_l, 2 AS to_l, exp(-1e0 - length(grp) / 1e1) AS rate, CAST(length(grp) + t_k % 4 AS DOUBLE) AS b FROM slots")

@@ -24,23 +24,37 @@ def _fitted(u: np.ndarray, phi: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Fitted first detections under entries B >= 0, exactly, for a stack of count vectors.
 
     Dividing the fitted value of period i by p q^i, q = phi (1 - p), turns B >= 0 into "does
-    not decrease", so the Poisson maximum is a weighted isotonic regression: its value at i
-    is the max over a <= i of the min over b >= i of the pooled ratio of periods a..b. The
-    pooled weight is a geometric sum, so no small difference is ever taken; ratios are kept
-    as logs.
+    not decrease", so the Poisson maximum is a weighted isotonic regression: periods are taken
+    in order, and as long as a pool's ratio falls below the one before, the two are one pool. Each row
+    keeps a stack of its pools, all rows take a step together, and the memory is that of the counts. A
+    pool's weight is a geometric sum, so no small difference is ever taken; ratios are kept as logs.
     """
-    s = u.shape[1]
-    q = np.clip(phi * (1 - p), TINY, 1 - TINY)[:, None, None]
-    total = np.concatenate([np.zeros((len(u), 1)), np.cumsum(u, axis=1)], axis=1)
-    pooled = total[:, None, 1:] - total[:, :-1, None]
-    a, b = np.arange(s)[:, None], np.arange(s)[None, :]
-    length = np.maximum(b - a + 1, 1)
-    with np.errstate(divide="ignore"):
-        ratio = np.log(np.maximum(pooled, 0.0)) + np.log1p(-q) - np.log1p(-(q**length)) - a * np.log(q)
-    ratio = np.where(b >= a, ratio, np.inf)
-    lowest = np.minimum.accumulate(ratio[:, :, ::-1], axis=2)[:, :, ::-1]
-    best = np.where(b >= a, lowest, -np.inf).max(axis=1)
-    return np.exp(best + np.arange(s) * np.log(q[:, 0]))
+    n, s = u.shape
+    q = np.clip(phi * (1 - p), TINY, 1 - TINY)
+    log_q, log_gap = np.log(q), np.log1p(-q)
+    total, start, level = np.zeros((n, s)), np.zeros((n, s), int), np.full((n, s), -np.inf)
+    top = np.full(n, -1)
+
+    def ratio(rows, at, i):
+        a = start[rows, at]
+        with np.errstate(divide="ignore"):
+            return np.log(np.maximum(total[rows, at], 0.0)) + log_gap[rows] - np.log1p(-(q[rows] ** (i - a + 1))) - a * log_q[rows]
+
+    every = np.arange(n)
+    for i in range(s):
+        top += 1
+        total[every, top], start[every, top] = u[:, i], i
+        level[every, top] = ratio(every, top, i)
+        rows = every[top > 0]
+        while len(rows := rows[(top[rows] > 0)]) and len(rows := rows[level[rows, top[rows] - 1] > level[rows, top[rows]]]):
+            total[rows, top[rows] - 1] += total[rows, top[rows]]
+            top[rows] -= 1
+            level[rows, top[rows]] = ratio(rows, top[rows], i)
+    opens = np.zeros((n, s), int)
+    row, pool = np.nonzero(np.arange(s)[None, :] <= top[:, None])
+    opens[row, start[row, pool]] = 1
+    of = np.cumsum(opens, axis=1) - 1
+    return np.exp(level[every[:, None], of] + np.arange(s) * log_q[:, None])
 
 
 def _entries(mu: np.ndarray, phi: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -119,11 +133,46 @@ def score_grid(stats: DataFrame, keys, cells=None, a: float = 0.5, b: float = 0.
         return later + now
 
     marks = F.aggregate("path", F.lit(0.0), lambda acc, x: acc + term(x))
+    return _profile(fitted, keys, F.col("const") + marks, a, b)
+
+
+def _profile(fitted: DataFrame, keys, marks, a: float, b: float) -> DataFrame:
+    """Log likelihood of cells from that of the marks and the fitted arrivals."""
     arrivals = F.aggregate(F.arrays_zip("u", "mu"), F.lit(0.0), lambda acc, z: acc + xlogy(z["u"], z["mu"]) - z["mu"])
-    loglik = F.col("const") + marks + arrivals + log_beta("phi", a, b) + log_beta("p", a, b)
+    loglik = marks + arrivals + log_beta("phi", a, b) + log_beta("p", a, b)
     return fitted.select(*keys, "phi", "p", F.aggregate("entries", F.lit(0.0), lambda x, y: x + y).alias("nsuper"), F.aggregate("u", F.lit(0.0), lambda x, y: x + y).alias("u_total"), loglik.alias("loglik"), "entries")
 
 
+def score_history_grid(hist: DataFrame, bounds: DataFrame, keys, cells=None, a: float = 0.5, b: float = 0.5) -> DataFrame:
+    """The same profile from counted histories (keys, t_k, r_k, tag, n) instead of per-period statistics.
+
+    A marked individual is found again after d periods with probability phi p (phi (1 - p))^(d - 1), and never in the
+    L periods left with 1 - lambda(L). So a key needs no more than the number found again, the sum of
+    their d - 1 and the number never found by L; grid cells meet these counts only. Arrivals and entries
+    are as in ``score_grid``. A recapture in the period of capture counts as one in the next.
+    """
+    keys = list(keys)
+    h = match(hist, bounds, keys)
+    marked, again = F.col("tag"), F.col("r_k").isNotNull()
+    wait = F.greatest(F.col("r_k") - F.col("t_k"), F.lit(1)) - 1
+    by = h.groupBy(*keys, "s", "t_k").agg(
+        F.sum("n").cast("double").alias("u"),
+        F.coalesce(F.sum(F.when(marked & again, F.col("n"))), F.lit(0)).cast("double").alias("found"),
+        F.coalesce(F.sum(F.when(marked & again, F.col("n") * wait)), F.lit(0)).cast("double").alias("waits"),
+        F.coalesce(F.sum(F.when(marked & ~again, F.col("n"))), F.lit(0)).cast("double").alias("never"),
+    )
+    packed = by.groupBy(*keys, "s").agg(F.map_from_entries(F.collect_list(F.struct("t_k", "u"))).alias("m"), F.sum("found").alias("found"), F.sum("waits").alias("waits"), F.collect_list(F.struct("t_k", "never")).alias("left"))
+    dense = F.transform(F.sequence(F.lit(1), F.col("s")), lambda t: F.coalesce(F.try_element_at("m", t.cast("int")), F.lit(0.0)))
+    packed = packed.withColumn("u", dense).withColumn("const", -F.aggregate("u", F.lit(0.0), lambda acc, x: acc + lgamma(x + 1))).drop("m")
+    spread = 2 * hist.sparkSession.sparkContext.defaultParallelism
+    rows = packed.withColumn("cell", F.explode(grid() if cells is None else cells)).select("*", "cell.phi", "cell.p").drop("cell")
+    fitted = deconvolve_entries(rows.repartition(spread, *keys, "phi", "p"))
+    phi, p = F.col("phi"), F.col("p")
+    never = F.aggregate("left", F.lit(0.0), lambda acc, x: acc + xlogy(x["never"], 1 - lambda_const(phi, p, F.col("s") - x["t_k"])))
+    marks = F.col("const") + xlogy("found", phi * p) + xlogy("waits", phi * (1 - p)) + never
+    return _profile(fitted, keys, marks, a, b)
+
+
 def fit_grid(scored: DataFrame, keys) -> DataFrame:
     """Best cell and weighted mean and sd of phi, p and N per group.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.operators.joins import match
-from resight.session import settle
+from resight.session import settle, settle_lookup
 
 CHUNK = 512
 
@@ -225,3 +225,123 @@ def history_probability(hist: DataFrame, cells: DataFrame, last: DataFrame, keys
     lag = F.when(F.col("r_k").isNull(), left).otherwise(F.col("r_k") - F.col("t_k"))
     coded = match(hist, last, keys).withColumns({"lag": lag, "outcome": F.when(F.col("r_k").isNull(), 0).otherwise(F.col("r_l"))})
     return match(coded, cells, [*keys, "lag", "t_l", "outcome"], "left").drop("lag", "outcome", "s")
+
+
+def _by_period_udf(k: int, strict_guard: bool):
+    @F.pandas_udf("array<double>")
+    def run(kernel: pd.Series, detect: pd.Series, s: pd.Series, t_k: pd.Series, r_k: pd.Series, t_l: pd.Series, r_l: pd.Series) -> pd.Series:
+        out: list = [None] * len(kernel)
+        ends = s.to_numpy().astype(int)
+        for last in np.unique(ends):
+            same = np.flatnonzero(ends == last)
+            step = max(1, CHUNK * 1024 // max(1, int(last) * k * k))
+            for lo in range(0, len(same), step):
+                at = same[lo : lo + step]
+                phi = np.stack(kernel.iloc[at].to_numpy()).astype(float).reshape(-1, k, k)
+                p = np.stack(detect.iloc[at].to_numpy()).astype(float).reshape(len(at), -1, k)
+                sizes = [len(t_k.iloc[i]) for i in at]
+                own = np.repeat(np.arange(len(at)), sizes)
+                t, r, a, b = (np.concatenate([np.asarray(c.iloc[i], dtype=int) for i in at] or [np.zeros(0, int)]) for c in (t_k, r_k, t_l, r_l))
+                prob = np.full(len(own), np.nan)
+                prob[(r == 0) & (t >= last)] = 1.0
+                # from the last period back: what is found in r, and what is never found, from every state of t on
+                found, never = np.zeros((len(at), last + 1, k, k)), np.ones((len(at), k))
+                for j in range(last - 1, 0, -1):
+                    seen = p[:, j][:, None, :]
+                    miss = phi * (1 - seen)
+                    found[:, j + 2 :] = miss[:, None] @ found[:, j + 2 :]
+                    found[:, j + 1] = phi * seen
+                    never = (miss @ never[:, :, None])[:, :, 0]
+                    here = np.flatnonzero(t == j)
+                    gone = here[r[here] == 0]
+                    prob[gone] = never[own[gone], a[gone] - 1]
+                    if strict_guard and j == last - 1:
+                        prob[gone] = 1.0
+                    hit = here[r[here] > j]
+                    prob[hit] = found[own[hit], r[hit], a[hit] - 1, b[hit] - 1]
+                for i, x in zip(at, np.split(prob, np.cumsum(sizes)[:-1])):
+                    out[i] = x
+        return pd.Series(out)
+
+    return run
+
+
+def history_probability_by_period(hist: DataFrame, kernel: DataFrame, detect: DataFrame, last: DataFrame, keys, k: int, strict_guard: bool = False) -> DataFrame:
+    """Probability of every counted history where detection varies by period as well as by location.
+
+    ``detect`` has (keys, t_k, loc, p). A history multiplies one matrix for each period it runs through, and these
+    don't commute, so a lag has no power of its own: per key the products over all segments (t, r] grow backwards from
+    the last period, one period a step, and each history takes its cell where its own period is reached.
+    A key's counted histories are one row, as many numbers as it has cells. Otherwise as ``history_probability``; a
+    recapture that is not later than the capture has a null probability.
+    """
+    keys = list(keys)
+    rest = [c for c in hist.columns if c not in keys]
+    at = ((F.col("t_k") - 1) * k + F.col("loc") - 1).cast("int")
+    dets = detect.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("p").cast("double").alias("v")))).alias("m"))
+    packed = hist.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("h"))
+    both = match(match(match(packed, last.select(*keys, "s"), keys), dets, keys), pack(kernel, keys, k), keys)
+    flat = F.transform(F.sequence(F.lit(0), F.col("s") * k - 1), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)))
+    cell = lambda c: F.transform("h", lambda x: F.coalesce(x[c], F.lit(0)).cast("int"))
+    both = both.withColumns({"detect": flat, **{f"_{c}": cell(c) for c in ("t_k", "r_k", "t_l", "r_l")}})
+    prob = _by_period_udf(k, strict_guard)("kernel", "detect", "s", "_t_k", "_r_k", "_t_l", "_r_l")
+    rows = both.withColumn("prob", prob).select(*keys, F.explode(F.arrays_zip("h", "prob")).alias("z"))
+    return rows.select(*keys, *[F.col(f"z.h.{c}").alias(c) for c in rest], F.nanvl("z.prob", F.lit(None).cast("double")).alias("prob")).select(*hist.columns, "prob")
+
+
+def _score_sets_udf(k: int):
+    @F.pandas_udf("array<double>")
+    def run(kernels: pd.Series, detects: pd.Series, lag: pd.Series, t_l: pd.Series, outcome: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for m, d, lags, a, o, count in zip(kernels, detects, lag, t_l, outcome, n):
+            phi = np.stack(m).astype(float).reshape(-1, k, k)
+            p = np.stack(d).astype(float)[:, None, :]
+            lags, a, o, count = (np.asarray(x, dtype=float if x is count else int) for x in (lags, a, o, count))
+            miss, power = phi * (1 - p), np.broadcast_to(np.eye(k), phi.shape)
+            score = np.zeros(len(phi))
+            for step in range(int(lags.max(initial=0)) + 1):
+                # "found after exactly step periods" needs one period less of not being found
+                never = np.flatnonzero((o == 0) & (lags == step))
+                hit = np.flatnonzero((o > 0) & (lags == step + 1))
+                with np.errstate(divide="ignore"):
+                    if len(never):
+                        score += np.log(power.sum(axis=2)[:, a[never] - 1]) @ count[never]
+                    if len(hit):
+                        score += np.log((power @ phi * p)[:, a[hit] - 1, o[hit] - 1]) @ count[hit]
+                power = power @ miss
+            out.append(score)
+        return pd.Series(out)
+
+    return run
+
+
+def score_cjs_sets(hist: DataFrame, kernels: DataFrame, detects: DataFrame, last: DataFrame, keys, sets, k: int, block: int = 256) -> DataFrame:
+    """Log likelihood of the tagged histories of each key under every one of its parameter sets.
+
+    ``kernels`` (keys, sets, from_l, to_l, value) and ``detects`` (keys, sets, loc, p) hold many sets a key. Histories
+    are summed to one sparse vector of counts over (lag, place, outcome) for each key; sets come in
+    blocks, and a block's log cell tables meet the vector as a whole. So no history is copied for a
+    set, and a key with very many sets is spread over its blocks. Returns keys, sets, loglik, best: 1 for the
+    likeliest set of its key (to six decimals), the smallest of equals.
+    """
+    keys, sets = list(keys), list(sets)
+    lag = F.when(F.col("r_k").isNull(), F.greatest(F.col("s") - F.col("t_k"), F.lit(0))).otherwise(F.col("r_k") - F.col("t_k"))
+    outcome = F.when(F.col("r_k").isNull(), 0).otherwise(F.col("r_l"))
+    cells = match(hist.where("tag"), last.select(*keys, "s"), keys).groupBy(*keys, lag.cast("int").alias("lag"), "t_l", outcome.cast("int").alias("outcome")).agg(F.sum("n").cast("double").alias("n"))
+    vector = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lag", "t_l", "outcome", "n"))).alias("v"))
+    found_at = F.map_from_entries(F.collect_list(F.struct("loc", F.col("p").cast("double").alias("x"))))
+    flat = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    dets = detects.groupBy(*keys, *sets).agg(found_at.alias("m")).withColumn("detect", flat).drop("m")
+    one = settle(match(pack(kernels, [*keys, *sets], k), dets, [*keys, *sets]))
+    most = one.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    blocks = one.withColumn("_block", F.pmod(F.xxhash64(*sets), F.lit(-(-most // block))))
+    blocks = blocks.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct(*sets, "kernel", "detect"))).alias("b"))
+    both = match(blocks, settle_lookup(vector), keys)
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    score = _score_sets_udf(k)(part("b", "kernel"), part("b", "detect"), part("v", "lag"), part("v", "t_l"), part("v", "outcome"), part("v", "n"))
+    rows = both.withColumn("score", score).select(*keys, F.explode(F.arrays_zip("b", "score")).alias("z"))
+    rows = settle(rows.select(*keys, *[F.col(f"z.b.{c}").alias(c) for c in sets], F.col("z.score").alias("loglik")))
+    best = rows.groupBy(*keys).agg(F.max(F.round("loglik", 6)).alias("_best"))
+    first = match(rows, best, keys).where("round(loglik, 6) = _best").groupBy(*keys).agg(F.min(F.struct(*sets)).alias("_first"))
+    hit = F.col("_first") == F.struct(*sets)
+    return match(rows, first, keys, "left").withColumn("best", F.coalesce(hit.cast("int"), F.lit(0))).drop("_first")

@@ -199,10 +199,89 @@ def expected_detected(df: DataFrame) -> DataFrame:
     return df.withColumns({"e_total": e, "e_tagged": e * F.col("tag_rate")})
 
 
-def expected_recaptures(tagged: DataFrame, pairs: DataFrame, keys) -> DataFrame:
-    """Expected recaptures in every later period from those tagged and available at t."""
-    lag = F.col("r_k") - F.col("t_k")
-    return match(tagged, pairs, [*keys, "t_k"]).withColumn("e_r", F.col("available") * F.pow("phi", lag) * F.col("p"))
+def expected_recaptures(tagged: DataFrame) -> DataFrame:
+    """Expected recaptures (t_k, r_k) in every later period up to s from those tagged and available at t."""
+    later = F.when(F.col("t_k") < F.col("s"), F.sequence(F.col("t_k") + 1, F.col("s")))
+    cells = tagged.withColumn("r_k", F.explode(later))
+    return cells.withColumn("e_r", F.col("available") * F.pow("phi", F.col("r_k") - F.col("t_k")) * F.col("p"))
+
+
+def expected_recapture_totals(tagged: DataFrame, keys) -> DataFrame:
+    """(keys, r_k, e_r): the same summed over t, by a forward recursion over the set's periods.
+
+    Those tagged before r and still there are phi times those of the period before and its own.
+    """
+    zero = F.struct(F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc, x):
+        return F.struct(((acc["x"] + x["available"]) * x["phi"]).alias("x"), F.concat(acc["out"], F.array(acc["x"] * x["p"])).alias("out"))
+
+    path = F.aggregate("path", zero, step, lambda acc: acc["out"])
+    z = _ordered(tagged, keys, ["available", "phi", "p"]).select(*keys, F.explode(F.arrays_zip("path", path.alias("e_r"))).alias("z"))
+    return z.where("z.path.t_k > 1").select(*keys, F.col("z.path.t_k").alias("r_k"), "z.e_r")
+
+
+def period_estimates(stats: DataFrame, keys, form: str = "ttt") -> DataFrame:
+    """Closed-form estimates by period from the per-period statistics, p and phi free or pooled.
+
+    Marked and available M = m + z R / r, z being those at risk and not seen now; p = m / M and
+    phi = M' / (M - m + R) with M' that of the next period; N = n / p and entries
+    B' = N' - phi (N - n + R). ``form`` has one letter for p, phi and entry: s pools a rate over its periods (sum over
+    sum), t leaves it free; entries are always free. End rules: p of the first and last period is its
+    neighbour's, which gives M of the last period as m / p; B of the first period is N.
+    Returns keys, t_k, M, p, phi, N, B, gross (entrants with those who did not live to the survey) and the standard
+    errors of free p, phi and N in inner periods. What its period can't give (no recaptures, say) is null.
+    """
+    cols = ["seen", "marked", "recap_later", "recap_now", "at_risk"]
+    arr = _ordered(stats, keys, cols).withColumn("s", F.size("path"))
+    x_of = lambda c: (lambda x: x[c])
+    n, R, r, m, T = (F.transform("path", x_of(c)) for c in cols)
+    arr = arr.withColumns({"_seen": n, "_mark": R, "_later": r, "_now": m, "_z": F.zip_with(T, m, lambda a, b: a - b)})
+    steps = F.sequence(F.lit(1), F.col("s"))
+    at = lambda c, i: F.try_element_at(c, i.cast("int"))
+    inner = lambda i: (i > 1) & (i < F.col("s"))
+
+    def marked(i):
+        known = F.when(at("_z", i) == 0, at("_now", i)).otherwise(at("_now", i) + F.try_divide(at("_z", i) * at("_mark", i), at("_later", i)))
+        return F.when(i == 1, 0.0).when(inner(i), known)
+
+    arr = arr.withColumn("M", F.transform(steps, marked))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    free = F.transform(steps, lambda i: F.when(inner(i), F.try_divide(at("_now", i), at("M", i))))
+    if form[0] == "s":
+        seen = F.transform(steps, lambda i: F.when(inner(i) & at("M", i).isNotNull(), at("_now", i)))
+        pooled = F.try_divide(total(seen), total(F.col("M")))
+        arr = arr.withColumn("p", F.transform(steps, lambda i: pooled))
+    else:
+        arr = arr.withColumn("p", free)
+        arr = arr.withColumn("p", F.transform(steps, lambda i: F.when(i == 1, at("p", F.lit(2))).when(i == F.col("s"), at("p", F.col("s") - 1)).otherwise(at("p", i))))
+    arr = arr.withColumn("M", F.transform(steps, lambda i: F.when((i == F.col("s")) & (i > 1), F.try_divide(at("_now", i), at("p", i))).otherwise(at("M", i))))
+    left = lambda i: at("M", i) - at("_now", i) + at("_mark", i)
+    if form[1] == "s":
+        pair = F.transform(steps, lambda i: F.when((i < F.col("s") - 1) & at("M", i + 1).isNotNull() & left(i).isNotNull(), F.struct(at("M", i + 1).alias("a"), left(i).alias("b"))))
+        pooled = F.try_divide(total(F.transform(pair, x_of("a"))), total(F.transform(pair, x_of("b"))))
+        arr = arr.withColumn("phi", F.transform(steps, lambda i: F.when(i < F.col("s"), pooled)))
+    else:
+        arr = arr.withColumn("phi", F.transform(steps, lambda i: F.when(i < F.col("s"), F.try_divide(at("M", i + 1), left(i)))))
+    arr = arr.withColumn("N", F.transform(steps, lambda i: F.try_divide(at("_seen", i), at("p", i))))
+    born = lambda i: F.when(i == 1, at("N", i)).otherwise(at("N", i) - at("phi", F.greatest(i - 1, F.lit(1))) * (at("N", F.greatest(i - 1, F.lit(1))) - at("_seen", F.greatest(i - 1, F.lit(1))) + at("_mark", F.greatest(i - 1, F.lit(1)))))
+    arr = arr.withColumn("B", F.transform(steps, born))
+    gross = lambda i: F.when(i == 1, at("B", i)).otherwise(F.try_divide(at("B", i), entry_factor(at("phi", F.greatest(i - 1, F.lit(1))))))
+    one = F.lit(1.0)
+    odd = lambda i: F.try_divide(one, at("_later", i)) - F.try_divide(one, at("_mark", i))
+    N, M, phi, p = (lambda i, c=c: at(c, i) for c in ("N", "M", "phi", "p"))
+    var_n = lambda i: N(i) * (N(i) - at("_seen", i)) * (F.try_divide(left(i), M(i)) * odd(i) + F.try_divide(1 - F.try_divide(M(i), N(i)), at("_now", i)))
+    var_p = lambda i: F.pow(p(i) * (1 - p(i)), F.lit(2.0)) * (odd(i) + F.try_divide(one, at("_now", i)) + F.try_divide(one, at("_z", i)))
+    then = lambda i: F.try_divide((M(i + 1) - at("_now", i + 1)) * left(i + 1), M(i + 1) * M(i + 1)) * odd(i + 1)
+    var_phi = lambda i: phi(i) * phi(i) * (then(i) + F.try_divide(M(i) - at("_now", i), left(i)) * odd(i) + F.try_divide(1 - phi(i), M(i + 1)))
+    error = lambda v: F.when(v >= 0, F.sqrt(v))
+    se_p = F.transform(steps, lambda i: F.when(inner(i), error(var_p(i)))) if form[0] == "t" else F.transform(steps, lambda i: F.lit(None).cast("double"))
+    se_n = F.transform(steps, lambda i: F.when(inner(i), error(var_n(i)))) if form[0] == "t" else F.transform(steps, lambda i: F.lit(None).cast("double"))
+    se_phi = F.transform(steps, lambda i: F.when(i < F.col("s") - 1, error(var_phi(i)))) if form[1] == "t" else F.transform(steps, lambda i: F.lit(None).cast("double"))
+    arr = arr.withColumns({"gross": F.transform(steps, gross), "se_p": se_p, "se_phi": se_phi, "se_N": se_n})
+    out = ("M", "p", "phi", "N", "B", "gross", "se_p", "se_phi", "se_N")
+    z = arr.select(*keys, F.explode(F.arrays_zip("path", *out)).alias("z"))
+    return z.select(*keys, F.col("z.path.t_k").alias("t_k"), *[F.col(f"z.{c}").alias(c) for c in out])
 
 
 def residence_abundance(df: DataFrame, keys) -> DataFrame:

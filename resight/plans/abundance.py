@@ -32,3 +32,16 @@ def year_report(hist: DataFrame, keys, cells=None) -> DataFrame:
     )
     marks = score.beta_posterior(stats.groupBy(*keys).agg(F.sum("marked").alias("marked"), F.sum("seen").alias("seen")))
     return match(match(est, totals, keys), marks.select(*keys, "v_mean", "v_sd"), keys)
+
+
+def two_methods(hist: DataFrame, keys, cells=None) -> DataFrame:
+    """One row per key and method: abundance fitted to the per-period statistics and to the counted histories."""
+    keys = list(keys)
+    hist = settle(hist)
+    bounds = H.last_period(hist, keys)
+    out = None
+    for method, scored in (("statistics", fit.score_grid(settle(H.js_from_histories(hist, bounds, keys)), keys, cells)), ("histories", fit.score_history_grid(hist, bounds, keys, cells))):
+        one = summary.wald_interval(fit.fit_grid(scored, keys), est="mean_nsuper", se="sd_nsuper")
+        one = one.select(*keys, F.lit(method).alias("method"), "best_phi", "best_p", F.col("value").alias("nsuper"), "lower", "upper")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -23,3 +23,10 @@ def fit_report(hist: DataFrame, rates: DataFrame, detect: DataFrame, keys, k: in
     """(observed and predicted recaptures, log likelihood per key)."""
     p = history_report(hist, rates, detect, keys, k)
     return score.expected_by_history(p, keys), score.score_cjs(p, keys)
+
+
+def history_report_by_period(hist: DataFrame, rates: DataFrame, detect: DataFrame, keys, k: int, strict_guard: bool = False) -> DataFrame:
+    """The same with detection by period and location: ``detect`` has (keys, t_k, loc, p)."""
+    keys = list(keys)
+    kernel = K.rate_to_transition(rates, keys, k)
+    return K.history_probability_by_period(hist, kernel, detect, H.last_period(hist, keys), keys, k, strict_guard)

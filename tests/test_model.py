@@ -1,6 +1,7 @@
 """Model quantities, scores and fits: published values, identities, brute force, recovery."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -322,3 +323,159 @@ def test_end_rules_of_varying_rates(spark):
     df = spark.createDataFrame([(1, 4, [0.1, 0.2, 0.3, 0.4], [0.5, 0.6, 0.7])], "set_id int, s int, p array<double>, phi array<double>")
     got = [(r.p, r.phi) for r in M.expand_params(df, "ttt").orderBy("t_k").collect()]
     assert got == [(0.2, 0.5), (0.2, 0.6), (0.3, 0.7), (0.3, 0.7)]
+
+
+# ---- histories by period, many sets, pooling, estimates by period
+
+def _walk(phi, p, t, t_l, end):
+    """State after every step from (t, t_l) to ``end`` without being found."""
+    x = np.eye(len(phi))[t_l - 1]
+    for j in range(t + 1, end + 1):
+        x = x @ phi * (1 - p[j - 1])
+    return x
+
+
+def _kernels(r, keys, k):
+    kernel, rows = {}, []
+    for key in keys:
+        q = np.triu(r.uniform(0.02, 0.5, (k, k)), 1)
+        q[range(k), range(k)] = -q.sum(1)
+        phi = np.linalg.matrix_power(np.eye(k) + q / 64, 64)
+        kernel[key] = phi
+        rows += [(key, i + 1, j + 1, float(phi[i, j])) for i in range(k) for j in range(k)]
+    return kernel, rows
+
+
+def test_history_probability_by_period(spark):
+    r, k = np.random.default_rng(4), 4
+    kernel, rows = _kernels(r, ["a", "b"], k)
+    ends = {"a": 7, "b": 4}
+    p = {g: np.concatenate([r.uniform(0.1, 0.9, (s, k - 1)), np.zeros((s, 1))], axis=1) for g, s in ends.items()}
+    hist = [(g, t, None, a, None, True, 2) for g, s in ends.items() for t in range(1, s + 1) for a in range(1, k)]
+    hist += [(g, t, u, a, b, True, 1) for g, s in ends.items() for t in range(1, s) for u in range(t + 1, s + 1) for a in range(1, k) for b in range(1, k)]
+    hist = spark.createDataFrame(hist, "grp string, t_k int, r_k int, t_l int, r_l int, tag boolean, n long")
+    long = spark.createDataFrame(rows, "grp string, from_l int, to_l int, value double")
+    by_period = spark.createDataFrame([(g, t + 1, i + 1, float(p[g][t, i])) for g in p for t in range(ends[g]) for i in range(k - 1)], "grp string, t_k int, loc int, p double")
+    last = H.last_period(hist, ["grp"])
+    got = K.history_probability_by_period(hist, long, by_period, last, ["grp"], k).collect()
+    assert len(got) == hist.count()
+    for x in got:
+        phi, q, s = kernel[x.grp], p[x.grp], ends[x.grp]
+        want = _walk(phi, q, x.t_k, x.t_l, s).sum() if x.r_k is None else (_walk(phi, q, x.t_k, x.t_l, x.r_k - 1) @ phi * q[x.r_k - 1])[x.r_l - 1]
+        assert x.prob == pytest.approx(want, abs=1e-12)
+    # what happens to a capture adds up to one
+    total = {}
+    for x in got:
+        total[x.grp, x.t_k, x.t_l] = total.get((x.grp, x.t_k, x.t_l), 0) + x.prob
+    assert all(v == pytest.approx(1) for v in total.values())
+
+    # constant detection gives what the powers of one matrix give
+    flat = spark.createDataFrame([(g, i + 1, 0.2 + 0.1 * i) for g in p for i in range(k - 1)], "grp string, loc int, p double")
+    spread = flat.join(last, "grp").selectExpr("grp", "loc", "p", "explode(sequence(1, s)) as t_k")
+    for strict in (False, True):
+        cells = K.history_cells(long, flat, last.withColumnRenamed("s", "lags"), ["grp"], k)
+        old = {tuple(x)[:-1]: x.prob for x in K.history_probability(hist, cells, last, ["grp"], strict).select(*hist.columns, "prob").collect()}
+        new = {tuple(x)[:-1]: x.prob for x in K.history_probability_by_period(hist, long, spread, last, ["grp"], k, strict).collect()}
+        assert old.keys() == new.keys() and all(new[x] == pytest.approx(old[x], abs=1e-12) for x in old)
+
+
+def test_many_sets_against_counted_histories(spark):
+    r, k = np.random.default_rng(6), 3
+    sets = [(g, i) for g in ("a", "b") for i in range(40)]
+    kernel, rows = _kernels(r, sets, k)
+    p = {key: np.append(r.uniform(0.1, 0.9, k - 1), 0.0) for key in sets}
+    hist = [("a", t, u, a, b, tag, int(r.integers(1, 9))) for t in range(1, 6) for u in (None, *range(t + 1, 7)) for a in (1, 2) for b in ((None,) if u is None else range(a, 3)) for tag in (True, False)]
+    hist += [("b", 1, 2, 1, 2, True, 3), ("b", 2, None, 1, None, True, 5)]
+    h = spark.createDataFrame(hist, "grp string, t_k int, r_k int, t_l int, r_l int, tag boolean, n long")
+    kernels = spark.createDataFrame([(*key, i, j, v) for key, i, j, v in rows], "grp string, set_id int, from_l int, to_l int, value double")
+    detects = spark.createDataFrame([(*key, i + 1, float(p[key][i])) for key in sets for i in range(k - 1)], "grp string, set_id int, loc int, p double")
+    df = K.score_cjs_sets(h, kernels, detects, H.last_period(h, ["grp"]), ["grp"], ["set_id"], k, block=7)
+    got = {(x.grp, x.set_id): x for x in df.collect()}
+    assert len(got) == len(sets)
+    ends = {"a": 6, "b": 2}
+    want = {}
+    for key in sets:
+        q = np.tile(p[key], (10, 1))
+        want[key] = sum(
+            n * np.log(_walk(kernel[key], q, t, a, ends[g]).sum() if u is None else (_walk(kernel[key], q, t, a, u - 1) @ kernel[key] * q[0])[b - 1])
+            for g, t, u, a, b, tag, n in hist if tag and g == key[0])
+        assert got[key].loglik == pytest.approx(want[key], rel=1e-10)
+    for g in ends:
+        best = max((x for x in sets if x[0] == g), key=want.get)
+        assert [x for x in sets if x[0] == g and got[x].best == 1] == [best]
+
+
+def test_pooling_of_many_periods_in_little_memory():
+    """Four hundred periods: as before by definition, and no array of periods squared."""
+    r = np.random.default_rng(1)
+    u, phi, p = r.poisson(r.uniform(0, 30, (256, 400))).astype(float), r.uniform(0.3, 0.95, 256), r.uniform(0.1, 0.9, 256)
+    u[:, 50:60] = 0
+    tracemalloc.start()
+    mu = fit._fitted(u, phi, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    np.testing.assert_allclose(mu.sum(1), u.sum(1), rtol=1e-9)
+    for row in range(3):
+        q = phi[row] * (1 - p[row])
+        x = np.array([max(min(u[row, a : b + 1].sum() * (1 - q) / (1 - q ** (b - a + 1)) / q**a for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]) if row == 0 else None
+        if x is not None:
+            short = fit._fitted(u[:1, :60], phi[:1], p[:1])[0]
+            np.testing.assert_allclose(short, x * q ** np.arange(60), rtol=1e-9)
+
+
+def _simulated(seed, s, phi, p, marks, born):
+    """Statistics of carcasses that enter, survive, are seen, marked and taken out at their second sighting."""
+    r = np.random.default_rng(seed)
+    stats = {c: np.zeros(s) for c in ("first_seen", "marked", "recap_later", "recap_now")}
+    fresh = 0
+    cohorts = []
+    for t in range(s):
+        fresh = r.binomial(fresh, phi[t - 1]) if t else 0
+        fresh += born[t]
+        for c in cohorts:
+            c[1] = r.binomial(c[1], phi[t - 1])
+        seen = r.binomial(fresh, p[t])
+        for c in cohorts:
+            again = r.binomial(c[1], p[t])
+            c[1] -= again
+            stats["recap_now"][t] += again
+            stats["recap_later"][c[0]] += again
+        stats["first_seen"][t], fresh = seen, fresh - seen
+        stats["marked"][t] = r.binomial(seen, marks)
+        cohorts.append([t, int(stats["marked"][t])])
+    risk = np.concatenate([[0], np.cumsum(stats["recap_later"] - stats["recap_now"])[:-1]])
+    return [(7, t + 1, int(stats["first_seen"][t] + stats["recap_now"][t]), *(int(stats[c][t]) for c in ("marked", "first_seen", "recap_later", "recap_now")), int(risk[t])) for t in range(s)]
+
+
+@pytest.mark.parametrize("form", ["ttt", "stt", "tst"])
+def test_period_estimates_recover_what_was_simulated(spark, form):
+    s = 8
+    phi = np.full(s, 0.7) if form[1] == "s" else np.array([0.8, 0.6, 0.7, 0.75, 0.55, 0.65, 0.7, 0.7])
+    p = np.full(s, 0.4) if form[0] == "s" else np.array([0.4, 0.4, 0.5, 0.3, 0.45, 0.35, 0.4, 0.4])
+    rows = _simulated(3, s, phi, p, 0.9, [60_000, 40_000, 30_000, 20_000, 10_000, 8_000, 5_000, 4_000])
+    kind = "g int, t_k int, seen long, marked long, first_seen long, recap_later long, recap_now long, at_risk long"
+    got = sorted(M.period_estimates(spark.createDataFrame(rows, kind), ["g"], form).collect(), key=lambda x: x.t_k)
+    assert [x.t_k for x in got] == list(range(1, s + 1))
+    for x in got[1 : s - 2]:
+        assert abs(x.p - p[x.t_k - 1]) < (3.5 * x.se_p if form[0] == "t" else 0.01)
+        assert abs(x.phi - phi[x.t_k - 1]) < (3.5 * x.se_phi if form[1] == "t" else 0.01)
+        assert abs(x.B - [60, 40, 30, 20, 10, 8, 5, 4][x.t_k - 1] * 1e3) < 3500
+    assert got[0].p == got[1].p and got[-1].p == got[-2].p and got[-1].phi is None
+    assert (got[3].se_p is None) == (form[0] == "s") and (got[3].se_phi is None) == (form[1] == "s")
+
+
+def test_period_estimates_without_recaptures(spark):
+    rows = [(1, 1, 5, 5, 5, 0, 0, 0), (1, 2, 4, 2, 4, 0, 0, 0), (1, 3, 0, 0, 0, 0, 0, 0), (2, 1, 3, 3, 3, 0, 0, 0)]
+    kind = "g int, t_k int, seen long, marked long, first_seen long, recap_later long, recap_now long, at_risk long"
+    got = M.period_estimates(spark.createDataFrame(rows, kind), ["g"]).collect()
+    assert len(got) == 4 and all(x.N is None and x.se_N is None for x in got)
+
+
+def test_expected_recaptures_by_recursion_and_by_cells(spark):
+    rows = [(g, t, 5, 10.0 * t + g, 0.5 + g / 10, 0.3) for g in (1, 2) for t in range(1, 6)]
+    df = spark.createDataFrame(rows, "g int, t_k int, s int, available double, phi double, p double")
+    cells = M.expected_recaptures(df).groupBy("g", "r_k").sum("e_r").collect()
+    want = {(x.g, x.r_k): x["sum(e_r)"] for x in cells}
+    got = {(x.g, x.r_k): x.e_r for x in M.expected_recapture_totals(df, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in got)
