@@ -171,6 +171,9 @@ def staged(spark, d):
     odd = F.col("Return_Yr").cast("int") % 2 == 1
     df.where(~odd).write.option("header", True).option("nullValue", "NA").csv(f"{folder}/even")
     df.where(odd).select(F.lit("A").alias("Crew"), *[c for c in df.columns if c != "Comments"]).write.option("header", True).csv(f"{folder}/odd")
+    # a sheet without any line can't be read either
+    empty = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/odd/lost.csv")
+    empty.getFileSystem(spark._jsc.hadoopConfiguration()).create(empty).close()
     return f"{folder}/*"
 
 
@@ -188,13 +191,15 @@ def _(spark, d):
     return df.where(F.col("source_file").isNotNull()).select(*RAW_COLUMNS)
 
 
-@query("column_report", "", f"""SELECT '{", ".join(RAW_COLUMNS)}' AS columns UNION ALL
-SELECT '{", ".join(["Crew"] + [c for c in RAW_COLUMNS if c != "Comments"])}'""")
+ODD_COLUMNS = ["Crew"] + [c for c in RAW_COLUMNS if c != "Comments"]
+
+
+@query("column_report", "raw", f"""SELECT DISTINCT CASE WHEN CAST(Return_Yr AS INTEGER) % 2 = 0 THEN '{", ".join(RAW_COLUMNS)}' ELSE '{", ".join(ODD_COLUMNS)}' END AS columns FROM raw""")
 def _(spark, d):
     return sheets.column_report(spark, staged(spark, d)).select("columns").distinct()
 
 
-@query("column_diff", "", "SELECT '' AS extra_columns UNION ALL SELECT 'Crew'")
+@query("column_diff", "raw", "SELECT DISTINCT CASE WHEN CAST(Return_Yr AS INTEGER) % 2 = 0 THEN '' ELSE 'Crew' END AS extra_columns FROM raw")
 def _(spark, d):
     return sheets.column_diff(spark, staged(spark, d)).select("extra_columns").distinct()
 

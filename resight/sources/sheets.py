@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from resight.operators.schema import FINAL_SCHEMA
@@ -11,44 +13,43 @@ from resight.session import settle
 CORRUPT = "_corrupt_record"
 # Cells which mean nothing was recorded.
 MISSING = ("", "NA")
-# Bytes of a file that are read at a time in search of its first line.
-HEAD = 1 << 14
+# Bytes that a header line may have, and files whose headers are read at a time.
+HEAD = 1 << 20
+OPENED = 16
 
 
 def _glob(path: str) -> str:
     return path if path.endswith(".csv") else f"{path.rstrip('/')}/*.csv"
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(inner)
-
-
-def _first_lines(batches):
-    for pdf in batches:
-        heads = []
-        for path in pdf["path"]:
-            try:
-                with _open(path) as f:
-                    head = f.read(HEAD)
-                    while b"\n" not in head and (more := f.read(HEAD)):
-                        head += more
-            except OSError:
-                head = None
-            heads.append(head.split(b"\n", 1)[0].decode("utf-8", "replace") if head else None)
-        yield pd.DataFrame({"file_path": pdf["path"], "header": heads}).dropna()
+def _head(spark: SparkSession, conf, path: str) -> str | None:
+    """The first line of a file, through the file system that Spark itself reads it by; None if it can't be read or has none."""
+    hadoop = spark._jvm.org.apache.hadoop
+    line, stream = hadoop.io.Text(), None
+    try:
+        at = hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).open(at)
+        read = hadoop.util.LineReader(stream).readLine(line, HEAD, HEAD)
+    except Py4JJavaError:
+        return None
+    finally:
+        if stream is not None:
+            stream.close()
+    return line.toString() if read else None
 
 
 def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_path, header): the first line of every readable file, from its first bytes."""
-    # the files are listed without their content; tasks then read the first bytes of each
-    files = spark.read.format("binaryFile").load(_glob(path)).select("path")
-    lines = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_first_lines, "file_path string, header string")
-    return lines.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file"), "header")
+    """(file, file_path, header): the first line of every readable file, from its first bytes.
+
+    Spark lists the files; the driver, which holds this list for any reader, then opens some of them at
+    a time for their first line, so any store that Spark can read will do and no file is scanned. A file that can't be opened, or is empty, is left out.
+    """
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(_glob(path)).select("path").collect())
+    with ThreadPoolExecutor(OPENED) as pool:
+        heads = list(pool.map(lambda f: _head(spark, conf, f), files))
+    rows = [(f, f.rsplit("/", 1)[-1], h) for f, h in zip(files, heads) if h is not None]
+    return spark.createDataFrame(rows, "file_path string, file string, header string").select("file_path", "file", "header")
 
 
 def _names(header) -> F.Column:

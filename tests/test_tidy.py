@@ -278,3 +278,22 @@ def test_no_reach_is_dropped(spark):
         H.transition_table(hist, locations=(1, 2))
     checks = spark.createDataFrame([(2013, 7, 6, -1), (2013, 7, 1, -1), (2013, 7, 1, 1)], "Return_Yr int, TagState int, RecapState int, check int")
     assert stats.check_breakdown(checks).first().asDict() == {"Return_Yr": 2013, "TagState": 7, "recap_1": 1, "recap_6": 1}
+
+
+def test_headers_through_the_file_system_that_spark_uses(spark, tmp_path):
+    """A scheme which only the session's Hadoop settings know, an unknown scheme, an empty file and a damaged one."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.field.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    folder = tmp_path / "sheets"
+    folder.mkdir()
+    spark.createDataFrame([("2013", "A1")], "Return_Yr string, Tag1 string").coalesce(1).write.option("header", True).csv(f"{folder}/a")
+    write(folder / "a" / "empty.csv", "")
+    heads = sheets.header_lines(spark, f"{folder}/*").collect()
+    assert [h.header for h in heads] == ["Return_Yr,Tag1"]
+    one = heads[0].file_path
+    # a checksum that does not fit makes the file unreadable
+    data = folder / "a" / heads[0].file
+    data.write_bytes(data.read_bytes().replace(b"Return", b"Reture"))
+    assert sheets.header_lines(spark, f"{folder}/*").count() == 0
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    assert sheets._head(spark, hadoop, one.replace("file:", "nowhere:")) is None
