@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Session setting that names the folder of the job at hand.
 JOB_FOLDER = "resight.job.folder"
-# A lookup is only broadcast once its row count is known to be at most this.
+# A lookup is only broadcast once its rows, and the bytes it was written in, are known to be at most this.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 24 << 20
 
 
 def local_session(cores: int | str = 8, name: str = "resight") -> SparkSession:
@@ -77,18 +78,28 @@ def settle(df: DataFrame) -> DataFrame:
     Later plans start from the written copy, so a lost executor costs a re-read
     and not a recomputation, and the planner sees the true size.
     """
+    return _settled(df)[0]
+
+
+def _settled(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_folder(spark, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a written table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
-def settle_lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle a derived lookup and broadcast it only if it is small.
+def settle_lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Settle a derived lookup and broadcast it only if it is small, in rows and in bytes.
 
-    Above ``max_rows`` the plain table is returned, so the join falls back to a
+    Otherwise the plain table is returned, so the join falls back to a
     shuffled one, which adaptive execution splits when a key is hot.
     """
-    kept = settle(df)
-    small = kept.limit(max_rows + 1).count() <= max_rows
+    kept, path = _settled(df)
+    small = written_bytes(df.sparkSession, path) <= max_bytes and kept.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(kept) if small else kept
