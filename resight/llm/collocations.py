@@ -27,7 +27,7 @@ from resight.session import settle
 
 LOOKUP = 1 << 21
 #: Keys that a task gathers before it counts them.
-HELD = 1 << 22
+HELD = 1 << 21
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD = ~SEPARATOR

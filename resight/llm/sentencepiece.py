@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from resight.llm.words import _BYTE, U, chunks, mix, narrow, split, _powers
 
 LOCKSTEP = 64
-CACHE = 400_000
+#: Segments, and pairs of pieces, that a task remembers; a segment's ids are kept as bytes.
+CACHE = 200_000
 NOT_BLANK = np.ones(256, dtype=bool)
 NOT_BLANK[32] = False
 
@@ -313,8 +314,8 @@ class Encoder:
         order = np.argsort(row, kind="stable")
         unique, where, inverse = np.unique(key[order], return_index=True, return_inverse=True)
         ids = self._segments(unique.tolist(), order[where], c.data, start, stop, blanks)
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        flat, at = np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(size)])
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        flat, at = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(size)])
         n = size[inverse]
         take = np.repeat(at[inverse] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         count = np.bincount(row[order], n, minlength=rows).astype(np.int64)
@@ -331,11 +332,11 @@ class Encoder:
         for lo in range(0, len(short), 20_000):
             part = short[lo : lo + 20_000]
             for i, x in zip(part, _lockstep(self.v, [raw[i] for i in part])):
-                out[i] = self.known[keys[i]] = x
+                out[i] = self.known[keys[i]] = x.astype(np.int32, copy=False).tobytes()
         if len(self.memo) > CACHE:
             self.memo.clear()
         for i in todo[len(short) :]:
-            out[i] = np.fromiter(stream_ids(self.v, raw[i], self.memo), dtype=np.int32)
+            out[i] = np.fromiter(stream_ids(self.v, raw[i], self.memo), dtype=np.int32).tobytes()
         return out
 
 

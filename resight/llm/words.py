@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U = np.uint64
 
 
