@@ -2,9 +2,9 @@
 
 Only rows confirmed toxic count as labelled; all training rows together are the unlabelled text,
 of which the class prior is toxic. Features are words and the openings of words (stems, whatever their
-endings): Spark counts in how many positive rows and in
-how many of all training rows a feature occurs, and those whose share among positives is
-furthest above (and by more than chance) are kept. A numpy logistic model is then fitted on a
+endings): Spark counts, for every one that a positive row has, in how many positive rows and in
+how many of all training rows it occurs, and those whose share among positives is
+furthest above, and by more than chance among so many, are kept. A numpy logistic model is then fitted on a
 bounded, hashed sample (``POSITIVES`` + ``UNLABELLED`` rows, at most ``FEATURES`` words each) with the
 class-prior-corrected risk  prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]),  descending
 the negated negative part whenever it falls below zero (by more than a tenth of the prior). Scoring covers all rows and whole texts.
@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from resight.llm.words import ALNUM, U, chunks, narrow, openings, split
-from resight.session import settle_lookup
+from resight.session import settle, settle_lookup
 
 OPENINGS = (4, 5, 6)
-CANDIDATES = 65_536
 FEATURES = 1_024
 POSITIVES = 20_000
 UNLABELLED = 40_000
-LEAST_GAIN = 14.0
+#: A feature's gain must exceed the logarithm of the number of features looked at by so much.
+MARGIN = 3.0
 
 
 class Model(NamedTuple):
@@ -67,28 +67,16 @@ def _present(batch, words):
     return np.concatenate([*rows, none]), np.concatenate([*feats, none])
 
 
-def _words(batches):
-    """Each row's distinct words and openings."""
+def _row_counts(batches):
+    """(feature, n): in how many rows of a chunk a word or opening occurs."""
     for b in batches:
         for c in chunks(b.column("text")):
             h, r = (np.concatenate(x) for x in zip(*_hashes(c)))
-            order = np.lexsort((h, r))
-            h, r = h[order], r[order]
-            u = h[np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))] if len(h) else h
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], ["word"])
-
-
-def _counts(shared):
-    def run(batches):
-        words = shared.value
-        n, rows = np.zeros(len(words), np.int64), 0
-        for b in batches:
-            n += np.bincount(_present(b, words)[1], minlength=len(words))
-            rows += b.num_rows
-        i = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(n[i], rows))], ["i", "n"])
-
-    return run
+            # rows of a chunk are few, so (feature, row) sorts as one number after the features are numbered
+            u, which = np.unique(h, return_inverse=True)
+            rows = len(c.offsets) - 1
+            once = np.unique(which.astype(np.int64) * rows + r)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(once // rows, minlength=len(u)).astype(np.int64))], ["feature", "n"])
 
 
 def _features(shared):
@@ -149,39 +137,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     toxic = settle_lookup(known.where("y = 1").select("id"))
     positive = rows.join(toxic, "id", "left_semi")
 
-    top = positive.select("text").mapInArrow(_words, "word long").groupBy("word").count().orderBy(F.desc("count"), "word").limit(CANDIDATES).collect()
-    words = np.sort(np.array([r[0] for r in top], dtype=np.int64).view(U))
-    shared = spark.sparkContext.broadcast(words)
-
-    def shares(df):
-        got = df.select("text").mapInArrow(_counts(shared), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-        n = np.zeros(len(words))
-        total = sum(r.n for r in got if r.i < 0)
-        for r in got:
-            if r.i >= 0:
-                n[r.i] = r.n
-        return n / max(total, 1), total
-
-    p, n_p = shares(positive)
-    u, n_u = shares(rows)
+    n_p, n_u = positive.count(), rows.count()
     if not n_p:
         return None
-    # the log-likelihood ratio of a word's count among positives against its share in all text
-    share = (u * n_u + 0.5) / (n_u + 1)
-    p = np.maximum(p, 1e-12)
-    gain = np.where(p > share, n_p * (p * np.log(p / share) - p + share), 0)
-    gain[gain < LEAST_GAIN] = -np.inf
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    best = np.sort(best[np.isfinite(gain[best])])
-    words = words[best]
-    # where the descent starts: each word's log-odds, with the positives' part taken out of all text
-    others = np.maximum((share - prior * p) / (1 - prior), 0.5 / (n_u + 1))
-    start = np.log(p / others)[best]
+    counted = lambda df: df.select("text").mapInArrow(_row_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    among = settle(counted(positive).withColumnRenamed("n", "p"))
+    both = among.join(counted(rows).withColumnRenamed("n", "u"), "feature")
+    # the log-likelihood ratio of a feature's count among positives against its share in all text
+    share, p = (F.col("u") + 0.5) / (n_u + 1), F.col("p") / n_p
+    gain = F.when(p > share, n_p * (p * F.log(p / share) - p + share))
+    least = float(np.log(max(among.count(), 1)) + MARGIN)
+    top = both.select("feature", share.alias("share"), p.alias("p"), gain.alias("gain")).where(F.col("gain") >= least)
+    top = sorted(top.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect(), key=lambda x: x.feature & ((1 << 64) - 1))
+    words = np.array([x.feature for x in top], dtype=np.int64).view(U)
+    # where the descent starts: each feature's log-odds, with the positives' part taken out of all text
+    share, p = (np.array([x[c] for x in top], dtype=float) for c in ("share", "p"))
+    start = np.log(p / np.maximum((share - prior * p) / (1 - prior), 0.5 / (n_u + 1)))
     shared = spark.sparkContext.broadcast(words)
 
     def sample(df, most, total, flag):
         share = min(1.0, most / max(total, 1))
-        part = df.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)) < share) if share < 1 else df
+        part = df.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / (1 << 30)) < share) if share < 1 else df
         return part.select("text", F.lit(flag).alias("positive")).mapInArrow(_features(shared), "positive boolean, features array<int>")
 
     got = sample(positive, POSITIVES, n_p, True).union(sample(rows, UNLABELLED, n_u, False)).collect()
