@@ -1,28 +1,63 @@
 """Links inside families: groups of sets which some candidate step has thrown together.
 
 A small family is compared pair by pair in one task. A large one is never: its sets are described by
-their difference d(x) from the family's core, the tokens that more than half of its members hold. For any
+their difference d(x) from the family's core, the tokens that are common in it. For any
 core the symmetric difference of x and y is |d(x)| + |d(y)| - 2 |d(x) & d(y)|, so with the slack
 s(x) = (den - num) |x| - (den + num) |d(x)| two sets reach similarity num / den exactly if
 s(x) + s(y) + 2 (den + num) |d(x) & d(y)| >= 0. Pairs without a common token of d need s(x) + s(y) >= 0, and then
 both reach the member with the greatest slack too: one star holds them all. Other pairs share a
 token of d; they meet by the rarest tokens of d (a prefix as long as the least overlap that
-could help allows). Tokens that are still frequent tie their holders into families of their own, which
-get a core of their own. So near copies of one text cost a row for each token they differ in,
+could help allows). Tokens that many still share make families of their holders, which
+get a core of their own; what is still frequent after ``LEVELS`` such rounds is met block by block. So near copies of one text cost a row for each token they differ in,
 not one for each pair, and nothing is left out.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from resight.llm.graph import components
-from resight.session import settle
+from resight.llm.words import U, chunks, mix, shingles, split
+from resight.session import settle, settle_lookup
 
 LEAF = 24
 LEVELS = 5
+#: The holders of a token meet directly if they are at most so many, or if so few of them are still to be joined.
+HOLDERS = 256
+FEW = 32
+
+
+def sets_of(batch, shingle: int, word):
+    """For each row of a batch: its distinct shingle hashes, sorted."""
+    for c in chunks(batch.column("text")):
+        h, first = shingles(split(c, word), shingle)
+        for a, b in zip(first[:-1], first[1:]):
+            if b - a < 2:
+                yield h[a:b]
+            else:
+                s = np.sort(h[a:b])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def sums(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that name a set."""
+    return int(s.sum(dtype=U).astype(np.int64)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).astype(np.int64))
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """(rep, s1, s2, n, first) of the distinct sets of rows (id, n, s1, s2), first being the smallest id that has it."""
+    known = rows.where("n > 0 and id is not null")
+    same = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("first"))
+    return settle(same.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", "first"))
+
+
+def repeats(rows: DataFrame) -> bool:
+    """Whether an id has several rows with a set."""
+    return rows.where("n > 0 and id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -35,10 +70,10 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * i >= num * (len(a) + len(b) - i)
 
 
-def small_links(members: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+def small_links(members: DataFrame, split_sets, num: int, den: int) -> DataFrame:
     """Links (a, b) that join what is similar in rows (fam, rep, text) of families of at most ``LEAF`` members.
 
-    ``sets_of`` turns a batch into its rows' sorted sets. Pairs that other links join already aren't compared.
+    ``split_sets`` turns a batch into its rows' sorted sets. Pairs that other links join already aren't compared.
     """
 
     def solve(rows):
@@ -61,7 +96,7 @@ def small_links(members: DataFrame, sets_of, num: int, den: int) -> DataFrame:
         for b in batches:
             out = []
             reps = b.column("rep").to_pylist()
-            for f, rep, s in zip(b.column("fam").to_pylist(), reps, sets_of(b)):
+            for f, rep, s in zip(b.column("fam").to_pylist(), reps, split_sets(b)):
                 if f != fam:
                     out += solve(held)
                     fam, held = f, []
@@ -73,80 +108,189 @@ def small_links(members: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     return members.select("fam", "rep", "text").repartition("fam").sortWithinPartitions("fam", "rep").mapInArrow(run, "a long, b long")
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """(a, b) of members of a small group whose labels differ; rows (key, rep, label)."""
-    met = groups.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "label"))).alias("m"))
-    each = met.select("m", F.posexplode("m").alias("at", "x")).select("x", F.explode(F.expr("slice(m, at + 2, size(m))")).alias("y"))
-    return each.where("x.label <> y.label").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+def later_in_small(members: DataFrame, split_sets, num: int, den: int) -> DataFrame:
+    """(rep) of what is similar to an earlier member, of rows (fam, rep, s1, id, line, text) of families of at most ``LEAF`` members.
+
+    (id, line) is the order; a row whose set does not have the sum s1 is no member.
+    """
+
+    def run(batches):
+        fam, last, held = None, None, []
+        for b in batches:
+            out = []
+            for f, rep, s1, s in zip(b.column("fam").to_pylist(), b.column("rep").to_pylist(), b.column("s1").to_pylist(), split_sets(b)):
+                if f != fam:
+                    fam, held = f, []
+                if sums(s)[0] == s1 and rep != last:
+                    last = rep
+                    if any(similar(x, s, num, den) for x in held):
+                        out.append(rep)
+                    held.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["rep"])
+
+    cols = ("fam", "rep", "s1", "id", "line", "text")
+    return members.select(*cols).repartition("fam").sortWithinPartitions("fam", "id", "line").mapInArrow(run, "rep long")
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, columns) -> DataFrame:
+    """Groups (by key) too large to meet at once, dealt into blocks which meet two by two."""
+    of = rows.join(sizes.select("key", F.ceil(F.col("n") / FEW).cast("int").alias("blocks")), "key")
+    of = of.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return of.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*columns)
+
+
+def _recentred(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (fam, rep, n, d, ...) with d taken against the family's core, and the slack s.
+
+    The core are the tokens of d more than half as frequent as the most frequent one: the middle of the largest
+    cluster. To members far from it the core is one more run of frequent tokens, which no prefix reaches.
+    """
+    held = rows.select("fam", F.explode("d").alias("token")).groupBy("fam", "token").agg(F.count("*").alias("k")).where("k > 1")
+    most = held.groupBy("fam").agg(F.max("k").alias("most"))
+    core = held.join(most, "fam").where("2 * k > most").groupBy("fam").agg(F.collect_list("token").alias("core"))
+    rows = rows.join(core, "fam", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("d", F.concat(F.array_except("d", "core"), F.array_except("core", "d"))).drop("core")
+    return settle(rows.withColumn("s", (den - num) * F.col("n") - (den + num) * F.size("d")))
+
+
+def _shared_tokens(rows: DataFrame, num: int, den: int, useful) -> DataFrame:
+    """Rows with a token of d that another of the family has too: the rarest ones, as many as a link could need.
+
+    A token counts only if the conditions ``useful`` (aggregates over the rows that have it) hold.
+    """
+    both = den + num
+    most = F.floor(F.lit(den - num) * (F.col("n") + F.floor(F.col("n") * den / F.lit(num))) / F.lit(both))
+    reach = (den - num) * F.floor(F.col("n") * den / F.lit(num)) - both * F.greatest(F.lit(0), F.size("d") - most)
+    top = rows.groupBy("fam").agg(F.max("s").alias("hs"))
+    # the overlap of differences that the best partner within reach would leave to need
+    need = F.greatest(F.lit(1).cast("long"), F.ceil(-(F.col("s") + F.least("hs", reach)) / F.lit(2 * both)))
+    each = rows.join(top, "fam").withColumn("need", need).withColumn("token", F.explode("d")).drop("d", "n", "hs")
+    often = each.groupBy("fam", "token").agg(F.count("*").alias("k"), useful.alias("useful")).where("k > 1")
+    each = each.join(often, ["fam", "token"])
+    own = Window.partitionBy("fam", "rep")
+    # tokens that no other member has come first in the order of rarity
+    each = each.withColumn("at", F.row_number().over(own.orderBy("k", "token"))).withColumn("of", F.count("*").over(own))
+    each = each.where("at <= of - need + 1").where("useful")
+    each = each.withColumn("left", (F.col("of") - F.col("at")).cast("int"))
+    return settle(each.withColumn("key", F.xxhash64("fam", "token")).drop("token", "need", "k", "useful", "at", "of"))
+
+
+def _room(x: str, y: str, num: int, den: int):
+    """Whether two sets that first meet at a token have tokens enough behind it, in the order of rarity."""
+    col = lambda side, c: F.col(f"{side}.{c}")
+    return col(x, "s") + col(y, "s") + 2 * (den + num) * (1 + F.least(col(x, "left"), col(y, "left"))) >= 0
+
+
+def _overlapping(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (fam, a, b) those which are similar by what they differ in from their family's core."""
+    side = lambda c: rows.select("fam", F.col("rep").alias(c), F.col("s").alias(f"s{c}"), F.col("d").alias(f"d{c}"))
+    met = pairs.join(side("a"), ["fam", "a"]).join(side("b"), ["fam", "b"])
+    return met.where(F.col("sa") + F.col("sb") + 2 * (den + num) * F.size(F.array_intersect("da", "db")) >= 0).select("a", "b").distinct()
+
+
+def _split(each: DataFrame, sizes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose holders meet directly, with ``ask`` for those who have to meet someone, and the tokens that get a family of their own).
+
+    A member's leader is the most frequent of its frequent tokens. Two holders of a token with the same leader meet in the
+    leader's family if not here, so a token whose holders follow, but for a few, one other leader needs these few to
+    meet the others, and no family.
+    """
+    few = sizes.where(f"n <= {HOLDERS} or few <= {FEW}").select("key")
+    hot = sizes.where(f"n > {HOLDERS} and few > {FEW}").select("key", "n")
+    nobody = F.lit(None).cast("long")
+    groups = each.join(few, "key").select(*each.columns, nobody.alias("leader"))
+    rows = each.join(hot, "key")
+    if level == LEVELS - 1:
+        return groups.union(_blocks(rows, hot, each.columns).withColumn("leader", nobody)), hot.select("key").limit(0)
+    leader = rows.groupBy("fam", "rep").agg(F.max_by("key", F.struct("n", "key")).alias("leader"))
+    rows = settle(rows.drop("n").join(leader, ["fam", "rep"]).select(*each.columns, "leader"))
+    follow = rows.groupBy("key", "leader").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "leader")).alias("top"))
+    follow = settle(follow.select("key", F.col("top.leader").alias("top"), ((F.col("n") - F.col("top.c") <= FEW) & (F.col("top.leader") != F.col("key"))).alias("led")))
+    led = rows.join(follow.where("led").select("key", "top"), "key").withColumn("ask", F.col("leader") != F.col("top")).drop("top")
+    return groups.select(*led.columns).union(led), follow.where("not led").select("key")
+
+
+def _met(groups: DataFrame, valid, num: int, den: int) -> DataFrame:
+    """Pairs x, y of holders of a token, one of whom asks, that are valid and could be similar."""
+    x, y = groups.where("ask").alias("x"), groups.alias("y")
+    once = ~F.col("y.ask") | (F.col("x.rep") < F.col("y.rep"))
+    elsewhere = F.coalesce((F.col("x.leader") == F.col("y.leader")) & (F.col("x.leader") != F.col("x.key")), F.lit(False))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & once & ~elsewhere & valid & _room("x", "y", num, den))
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Groups too large to compare at once, dealt into blocks which meet two by two; rows (key, rep, label)."""
-    of = rows.join(sizes.select("key", F.ceil(F.col("n") / (LEAF // 2)).cast("int").alias("k")), "key")
-    of = of.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return of.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "label")
+def _inside(each: DataFrame, hot: DataFrame, rows: DataFrame, *keep: str) -> DataFrame:
+    """The members of the families that frequent tokens make."""
+    of = each.join(hot, "key").select("key", "fam", "rep")
+    return of.join(rows.select("fam", "rep", "n", "d", *keep), ["fam", "rep"]).drop("fam").withColumnRenamed("key", "fam")
 
 
 def large_links(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b), enough to connect what is similar, of rows (fam, rep, n, d): d the distinct tokens of a set of n."""
-    links, both = None, den + num
-    rows = members
+    links, rows = None, members
     for level in range(LEVELS):
-        sizes = rows.groupBy("fam").agg(F.count("*").alias("size"))
-        held = rows.select("fam", F.explode("d").alias("token")).groupBy("fam", "token").agg(F.count("*").alias("k"))
-        core = held.join(sizes, "fam").where("2 * k > size").groupBy("fam").agg(F.collect_list("token").alias("core"))
-        rows = rows.join(core, "fam", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
-        rows = rows.withColumn("d", F.concat(F.array_except("d", "core"), F.array_except("core", "d"))).drop("core")
-        rows = settle(rows.withColumn("s", (den - num) * F.col("n") - both * F.size("d")))
-
-        hub = rows.groupBy("fam").agg(F.max(F.struct("s", (-F.col("rep")).alias("r"))).alias("h")).select("fam", F.col("h.s").alias("hs"), (-F.col("h.r")).alias("hub"))
-        rows = rows.join(hub, "fam").withColumn("label", F.when((F.col("s") + F.col("hs") >= 0) | (F.col("rep") == F.col("hub")), F.col("hub")).otherwise(F.col("rep")))
-        star = rows.where("label = hub and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-
-        # the overlap of differences that the best partner within reach would leave to need
-        most = F.floor(F.lit(den - num) * (F.col("n") + F.floor(F.col("n") * den / F.lit(num))) / F.lit(both))
-        reach = (den - num) * F.floor(F.col("n") * den / F.lit(num)) - both * F.greatest(F.lit(0), F.size("d") - most)
-        need = F.greatest(F.lit(1).cast("long"), F.ceil(-(F.col("s") + F.least("hs", reach)) / F.lit(2 * both)))
-        each = rows.select("fam", "rep", "label", need.alias("need"), F.explode("d").alias("token"))
-        often = each.groupBy("fam", "token").agg(F.count("*").alias("k"), F.min("label").alias("la"), F.max("label").alias("lb")).where("k > 1")
-        each = each.join(often, ["fam", "token"])
-        own = Window.partitionBy("fam", "rep")
-        each = each.withColumn("at", F.row_number().over(own.orderBy("k", "token"))).withColumn("of", F.count("*").over(own))
-        # tokens that no other member has come first in the order of rarity
-        each = each.where("at <= of - need + 1").where("la <> lb")
-        each = settle(each.select(F.xxhash64("fam", "token").alias("key"), "rep", "label"))
-        sizes = settle(each.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.min("label").alias("la"), F.max("label").alias("lb")).where("n > 1 and la <> lb"))
-        groups = each.join(sizes.where(f"n <= {LEAF}").select("key"), "key")
-        hot = sizes.where(f"n > {LEAF}")
-        last = hot.limit(1).count() == 0
-        if not last and level == LEVELS - 1:
-            groups = groups.union(_blocks(each.join(hot.select("key"), "key"), hot))
-        pairs = _pairs(groups)
-        side = lambda c: rows.select(F.col("rep").alias(c), F.col("fam").alias(f"f{c}"), F.col("s").alias(f"s{c}"), F.col("d").alias(f"d{c}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").where("fa = fb")
-        found = met.where(F.col("sa") + F.col("sb") + 2 * both * F.size(F.array_intersect("da", "db")) >= 0).select("a", "b")
-        found = settle(star.union(found))
+        rows = _recentred(rows, num, den)
+        hub = rows.groupBy("fam").agg(F.max(F.struct("s", (-F.col("rep")).alias("r"))).alias("h")).select("fam", F.col("h.s").alias("hub_s"), (-F.col("h.r")).alias("hub"))
+        starred = F.when((F.col("s") + F.col("hub_s") >= 0) | (F.col("rep") == F.col("hub")), F.col("hub")).otherwise(F.col("rep"))
+        labelled = rows.join(hub, "fam").withColumn("label", starred)
+        star = labelled.where("label = hub and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        each = _shared_tokens(labelled.drop("hub", "hub_s"), num, den, F.min("label") < F.max("label")).withColumn("ask", F.col("label") == F.col("rep"))
+        # members of the star need no more links among themselves, so the others are who has to meet someone
+        sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.count_if("ask").alias("few"), F.min("label").alias("la"), F.max("label").alias("lb"))
+        sizes = settle(sizes.where("n > 1 and la <> lb"))
+        groups, hot = _split(each, sizes, level)
+        pairs = _met(groups, F.col("x.label") != F.col("y.label"), num, den)
+        pairs = pairs.select("x.fam", F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        found = settle(star.union(_overlapping(pairs, rows, num, den)))
         links = found if links is None else links.union(found)
-        if last:
+        if not hot.limit(1).count():
             break
-        tied = each.join(hot.select("key", "least"), "key").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-        label = components(tied)
-        rows = settle(rows.select("rep", "n", "d").join(label.select(F.col("id").alias("rep"), F.col("component").alias("fam")), "rep"))
+        rows = settle(_inside(each, hot, rows))
     return links
 
 
-def links_within(members: DataFrame, texts: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+def later_in_large(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep) of what is similar to an earlier member, of rows (fam, rep, n, d, place); ``place`` orders all sets and is unique.
+
+    By slack alone x is similar to y if s(x) + s(y) >= 0, so for each slack the first place with that much is all that
+    a family has to keep; who is left looks for earlier sets with a common token of d.
+    """
+    gone, rows = None, members.withColumn("late", F.lit(False))
+    for level in range(LEVELS):
+        rows = _recentred(rows, num, den)
+        firsts = rows.groupBy("fam", "s").agg(F.min("place").alias("place")).groupBy("fam").agg(F.collect_list(F.struct("s", "place")).alias("firsts"))
+        early = F.exists("firsts", lambda e: (e["s"] + F.col("s") >= 0) & (e["place"] < F.col("place")))
+        rows = settle(rows.join(firsts, "fam").withColumn("late", F.col("late") | early).drop("firsts"))
+        got = rows.where("late").select("rep")
+        asking = F.coalesce(F.max(F.when(~F.col("late"), F.col("place"))) > F.min("place"), F.lit(False))
+        each = _shared_tokens(rows, num, den, asking).withColumn("ask", ~F.col("late"))
+        sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.count_if("ask").alias("few"), asking.alias("asking"))
+        sizes = settle(sizes.where("n > 1 and asking"))
+        groups, hot = _split(each, sizes, level)
+        behind = F.col("x.place") > F.col("y.place")
+        pairs = _met(groups, ~F.when(behind, F.col("x.late")).otherwise(F.col("y.late")), num, den)
+        later, earlier = (F.when(behind == first, F.col("x.rep")).otherwise(F.col("y.rep")) for first in (True, False))
+        pairs = pairs.select("x.fam", later.alias("a"), earlier.alias("b")).distinct()
+        got = settle(got.union(_overlapping(pairs, rows, num, den).select(F.col("a").alias("rep"))).distinct())
+        gone = got if gone is None else gone.union(got)
+        if not hot.limit(1).count():
+            break
+        inside = _inside(each, hot, rows, "place").join(got.withColumn("late", F.lit(True)), "rep", "left")
+        rows = settle(inside.withColumn("late", F.coalesce("late", F.lit(False))))
+    return gone.distinct()
+
+
+def links_within(members: DataFrame, texts: DataFrame, split_sets, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect the similar sets of each family; rows (fam, rep), texts (rep, text), a row for each rep."""
     sizes = members.groupBy("fam").count()
     members = settle(members.join(sizes, "fam").where("count > 1"))
     small = members.where(f"count <= {LEAF}").select("fam", "rep")
-    found = settle(small_links(texts.join(small, "rep"), sets_of, num, den))
+    found = settle(small_links(texts.join(small, "rep"), split_sets, num, den))
     large = settle(members.where(f"count > {LEAF}").select("fam", "rep"))
     if large.limit(1).count():
 
         def run(batches):
             for b in batches:
-                s = list(sets_of(b))
+                s = list(split_sets(b))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
                 flat = np.concatenate([*s, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("fam"), b.column("rep"), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat))], ["fam", "rep", "n", "d"])
@@ -154,3 +298,41 @@ def links_within(members: DataFrame, texts: DataFrame, sets_of, num: int, den: i
         sets = texts.join(large, "rep").select("fam", "rep", "text").mapInArrow(run, "fam long, rep long, n long, d array<long>")
         found = found.union(large_links(settle(sets), num, den))
     return found
+
+
+def _of_the_set(texts: DataFrame, shingle, word) -> DataFrame:
+    """Of rows (rep, s1, s2, text) those whose text has the sums, one for each rep."""
+
+    def run(batches):
+        for b in batches:
+            got = [sums(s) for s in sets_of(b, shingle, word)]
+            ok = [x == y for x, y in zip(got, zip(b.column("s1").to_pylist(), b.column("s2").to_pylist()))]
+            yield b.select(["rep", "text"]).filter(pa.array(ok, pa.bool_()))
+
+    return texts.select("rep", "s1", "s2", "text").mapInArrow(run, "rep long, text string").groupBy("rep").agg(F.min("text").alias("text"))
+
+
+def resolve(slim: DataFrame, rows: DataFrame, same: DataFrame, ties: DataFrame, shingle: int, num: int, den: int, word) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: what is similar among sets that the ties (a, b) hold together.
+
+    ``slim`` has (id, text), ``rows`` (id, n, s1, s2) of each, ``same`` the distinct sets. Rows that repeat an id are one
+    document, similar to what any of them is similar to. A row without a set is linked with nothing, a null id has a null component.
+    """
+    family = settle(components(ties).select(F.col("id").alias("rep"), F.col("component").alias("fam")))
+    wanted = settle_lookup(same.join(family, "rep").select("rep", F.col("first").alias("id"), "s1", "s2"))
+    texts = slim.join(wanted, "id")
+    known = rows.where("n > 0 and id is not null")
+    repeated = repeats(rows)
+    if repeated:
+        # an id with several rows: one with the set's own sums
+        texts = _of_the_set(texts, shingle, word)
+    links = links_within(family, texts.select("rep", "text"), partial(sets_of, shingle=shingle, word=word), num, den)
+    if repeated:
+        of = known.join(same, ["s1", "s2", "n"]).select("id", "rep")
+        links = links.union(of.join(of.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    label = components(links)
+    classes = settle(same.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    least = classes.groupBy("component").agg(F.min("first").alias("of_set"))
+    out = rows.join(classes.join(least, "component").select("s1", "s2", "n", "of_set"), ["s1", "s2", "n"], "left")
+    own = F.when(F.col("n") > 0, F.coalesce("of_set", "id")).otherwise(F.col("id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))

@@ -16,16 +16,13 @@ families are found exactly (``families``).
 
 from __future__ import annotations
 
-from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from resight.llm.families import links_within
-from resight.llm.graph import components
-from resight.llm.near_dedup import _sets
+from resight.llm.families import distinct_sets, resolve, sets_of, sums
 from resight.llm.words import NOT_SPACE, U, mix, narrow
 from resight.session import settle, settle_lookup
 
@@ -77,14 +74,8 @@ def _identities(shingle, word):
 
     def run(batches):
         for b in batches:
-            n, s1, s2 = [], [], []
-            for s in _sets(b, shingle, word):
-                n.append(len(s))
-                s1.append(s.sum(dtype=U))
-                s2.append(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), *(pa.array(np.array(x, dtype=U).view(np.int64)) for x in (s1, s2))], ["id", "n", "s1", "s2"]
-            )
+            got = [(len(s), *sums(s)) for s in sets_of(b, shingle, word)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([x[i] for x in got], pa.int64()) for i in range(3))], ["id", "n", "s1", "s2"])
 
     return run
 
@@ -128,8 +119,8 @@ def _keys(shared, shingle, word, num, den):
         for b in batches:
             rep, want = b.column("rep").to_numpy(), b.column("s1").to_numpy()
             held, names, size = [], [], 0
-            for i, s in enumerate(_sets(b, shingle, word)):
-                if s.sum(dtype=U).astype(np.int64) == want[i]:
+            for i, s in enumerate(sets_of(b, shingle, word)):
+                if sums(s)[0] == want[i]:
                     held.append(s)
                     names.append(rep[i])
                     size += len(s)
@@ -175,9 +166,7 @@ def ngram_components(
     """
     slim = narrow(docs, id_col, text_col)
     rows = settle(slim.mapInArrow(_identities(shingle, word), "id long, n long, s1 long, s2 long"))
-    known = rows.where("n > 0 and id is not null")
-    same = known.groupBy("s1", "s2", "n").agg(F.min("id").alias("first"))
-    same = settle(same.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", "first"))
+    same = distinct_sets(rows)
     largest = same.agg(F.max("n")).first()[0] or 0
     edges = band_edges(largest, num, den)
     counts = np.zeros(len(edges), np.int64)
@@ -190,38 +179,4 @@ def ngram_components(
     needed = settle_lookup(same.select("rep", F.col("first").alias("id"), "s1"))
     chosen = slim.join(needed, "id").select("rep", "s1", "text")
     emitted = settle(chosen.mapInArrow(_keys(plan, shingle, word, num, den), "key long, rep long, role byte"))
-    family = settle(components(candidate_ties(emitted)).select(F.col("id").alias("rep"), F.col("component").alias("fam")))
-
-    wanted = settle_lookup(same.join(family, "rep").select("rep", F.col("first").alias("id"), "s1", "s2"))
-    texts = slim.join(wanted, "id")
-    repeated = known.groupBy("id").count().where("count > 1").limit(1).count()
-    if repeated:
-        # an id with several rows: one with the set's own sums
-        texts = _of_the_set(texts, shingle, word)
-    found = links_within(family, texts.select("rep", "text"), partial(_sets, shingle=shingle, word=word), num, den)
-    links = found
-    if repeated:
-        of = known.join(same, ["s1", "s2", "n"]).select("id", "rep")
-        links = links.union(of.join(of.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b")))
-    label = components(links)
-    classes = same.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    classes = settle(classes)
-    least = classes.groupBy("component").agg(F.min("first").alias("of_set"))
-    out = rows.join(classes.join(least, "component").select("s1", "s2", "n", "of_set"), ["s1", "s2", "n"], "left")
-    return out.select(
-        "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("of_set", "id")).otherwise(F.col("id"))).alias("component_id"),
-    )
-
-
-def _of_the_set(texts: DataFrame, shingle, word) -> DataFrame:
-    """Of rows (rep, s1, s2, text) those whose text has the sums, one for each rep."""
-
-    def run(batches):
-        for b in batches:
-            s = list(_sets(b, shingle, word))
-            s1, s2 = b.column("s1").to_numpy(), b.column("s2").to_numpy()
-            ok = [x.sum(dtype=U).astype(np.int64) == p and mix(x ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).astype(np.int64) == q for x, p, q in zip(s, s1, s2)]
-            yield b.select(["rep", "text"]).filter(pa.array(ok, pa.bool_()))
-
-    return texts.select("rep", "s1", "s2", "text").mapInArrow(run, "rep long, text string").groupBy("rep").agg(F.min("text").alias("text"))
+    return resolve(slim, rows, same, candidate_ties(emitted), shingle, num, den, word)
