@@ -1,30 +1,33 @@
-"""Near-duplicate lines by an exact set-similarity join with prefix, positional and length filters.
+"""Near-duplicate lines by an exact set-similarity join over prefixes of the rarest tokens.
 
 A line's tokens are its distinct word shingles (a line of fewer words is one token). Lines with the same set are one entry, placed where it first
 occurs. Tokens have one order for all lines: by rarity, then by hash. Rarity is a count over
 all text in a table of ``BUCKETS`` hash buckets, which has a fixed size and can be broadcast; any total
-order gives exact results, rarity only keeps lists short. An entry of n tokens emits its
-first n - ceil(t n) + 1 tokens; entries that share one are candidates if their sizes and the
-positions of the shared token leave room for Jaccard t. Candidates are confirmed on the full
-sets. As one earlier match is enough, an entry meets the earliest entry of each of its
-tokens, then sixteen of them, and only if neither matches all earlier ones: a group of many near copies is
-settled mostly by a few of its lines, and nothing is left out. A line is removed if its set occurs earlier, or if an earlier entry matches it;
-earlier means by document id, then line number.
+order gives exact results, rarity only keeps lists short. Of n tokens an entry's prefix are the
+first n - ceil(t n) + 1; similar entries share a token of their prefixes. A first pass finds, by keyed minima and
+maxima, which prefix tokens several sets have and two of these; a second one only gives those tokens' other holders.
+So a token ties its holders together for a row each, and what hangs together is a family.
+Within families sets are compared in order of place, with the length filter and in full (``families``): small ones pair by pair, large
+ones by what their lines have over or lack against the family's core, with prefix and position filters on that. A line is
+removed if its set occurs earlier, or if an earlier entry matches it; earlier means by document id, then line number.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from resight.llm.families import LEAF, later_in_large, later_in_small, sets_of, sums
+from resight.llm.graph import components
 from resight.llm.words import ALNUM, U, Chunk, chunks, mix, narrow, shingles, split
 from resight.session import settle, settle_lookup
 
-ROW = ("key", "n", "id", "line", "pos")
-PIVOTS = 16
 BUCKETS = 1 << 20
 SLICE = 1 << 16
+TABLE_BITS = 27
 
 
 def _lines(c: Chunk) -> tuple[Chunk, np.ndarray, np.ndarray]:
@@ -37,18 +40,6 @@ def _lines(c: Chunk) -> tuple[Chunk, np.ndarray, np.ndarray]:
     return Chunk(c.lo, c.hi, c.data, np.append(offsets, len(c.data))), row, np.arange(len(row)) - first[row]
 
 
-def _count_tokens(shingle):
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for c in chunks(b.column("text")):
-                total += np.bincount((shingles(split(_lines(c)[0], ALNUM), shingle)[0] >> U(44)).astype(np.int64), minlength=BUCKETS)
-        keep = [k for k in range(0, BUCKETS, SLICE) if total[k : k + SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keep, np.int32)), pa.array([_short(total[k : k + SLICE]) for k in keep], pa.binary())], ["slice", "counts"])
-
-    return run
-
-
 def _short(counts: np.ndarray) -> bytes:
     """Rarity needs no more than 16 bits."""
     return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
@@ -63,37 +54,33 @@ def _add_counts(key, pdf):
     return pd.DataFrame({"slice": [key[0]], "counts": [_short(total)]})
 
 
-def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How often tokens of each hash bucket occur in all texts, up to 65 535."""
-    got = texts.select("text").mapInArrow(_count_tokens(shingle), "slice int, counts binary").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect()
+def rarity(slices: DataFrame) -> np.ndarray:
+    """How often tokens of each hash bucket occur in all texts, up to 65 535, from rows (slice, counts)."""
+    got = slices.groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect()
     out = np.zeros(BUCKETS, np.uint16)
     for r in got:
-        out[r.slice : r.slice + SLICE] = np.frombuffer(r.counts, np.uint16)
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint16)
     return out
 
 
-def _sets(batch, order, shingle):
-    """For each chunk: (row in the batch, line number, first token, tokens): sorted distinct tokens of lines with words."""
-    for c in chunks(batch.column("text")):
-        cut, row, number = _lines(c)
-        h, first = shingles(split(cut, ALNUM), shingle)
-        level = order[(h >> U(44)).astype(np.int64)].astype(U)
-        t = (level << U(48)) | (h >> U(16))
-        lines = np.flatnonzero(np.diff(first))
-        for a, b in zip(first[lines], first[lines + 1]):
-            if b - a > 1:
-                t[a:b].sort()
-        fresh = np.ones(len(t), bool)
-        fresh[1:] = t[1:] != t[:-1]
-        fresh[first[lines]] = True
-        at = np.concatenate([[0], np.cumsum(fresh)])[np.append(first[lines], len(t))]
-        yield row[lines] + c.lo, number[lines], at, t[fresh]
+def _line_sets(c: Chunk, shingle):
+    """(row, number, first, tokens) of a chunk's lines with words: each line's distinct tokens, sorted."""
+    cut, row, number = _lines(c)
+    h, first = shingles(split(cut, ALNUM), shingle)
+    lines = np.flatnonzero(np.diff(first))
+    for a, b in zip(first[lines], first[lines + 1]):
+        if b - a > 1:
+            h[a:b].sort()
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[first[lines]] = True
+    at = np.concatenate([[0], np.cumsum(fresh)])[np.append(first[lines], len(h))]
+    return row[lines], number[lines], at, h[fresh]
 
 
 def _sums(at, t):
-    """Two 64-bit sums that name each set."""
-    m = mix(t)
-    return [np.add.reduceat(x, at[:-1]) if len(at) > 1 else x for x in (m, mix(m ^ U(0x5851F42D4C957F2D)))]
+    """Two 64-bit sums that name each set, as ``families.sums``."""
+    return [np.add.reduceat(x, at[:-1]).view(np.int64) if len(at) > 1 else x.view(np.int64) for x in (t, mix(t ^ U(0xA5A5A5A5A5A5A5A5)))]
 
 
 def prefix_length(n, num: int, den: int):
@@ -101,44 +88,100 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
-def _entries(shared, shingle, num, den):
+def _scan(shingle):
+    """Lines (id, line, n, s1, s2), and at the end of a task rows (slice, counts) of how often tokens of each hash bucket occur."""
+
     def run(batches):
-        order = shared.value
+        total = np.zeros(BUCKETS, np.int64)
+        names = ["id", "line", "n", "s1", "s2", "slice", "counts"]
         for b in batches:
             ids = b.column("id")
-            for row, number, at, t in _sets(b, order, shingle):
-                n = np.diff(at)
-                sums = _sums(at, t)
-                p = prefix_length(n, num, den)
-                # a set that only an equal one can match has no use for its prefix
-                alone = (-(-num * n // den) == n) & ((n + 1) * num > n * den)
-                p = np.where(alone, 0, p)
-                take = np.repeat(at[:-1] - (np.cumsum(p) - p), p) + np.arange(p.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sums),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(p)]).astype(np.int32), pa.array(t[take].view(np.int64))),
-                    ],
-                    ["id", "line", "n", "s1", "s2", "prefix"],
-                )
+            for c in chunks(b.column("text")):
+                row, number, at, t = _line_sets(c, shingle)
+                total += np.bincount((t >> U(44)).astype(np.int64), minlength=BUCKETS)
+                lines = [ids.take(pa.array(row + c.lo)), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), *(pa.array(x) for x in _sums(at, t))]
+                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())], names)
+        keep = [k for k in range(0, BUCKETS, SLICE) if total[k : k + SLICE].any()]
+        none = [pa.nulls(len(keep), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([k // SLICE for k in keep], pa.int32()), pa.array([_short(total[k : k + SLICE]) for k in keep], pa.binary())], names)
+
+    return run
+
+
+def _prefixes(order, shingle, num, den):
+    """For each chunk of a batch (token, s1): the rarest tokens of each line, as many as the similarity asks for."""
+
+    def of(b):
+        for c in chunks(b.column("text")):
+            _, _, at, h = _line_sets(c, shingle)
+            n = np.diff(at)
+            s1 = _sums(at, h)[0]
+            t = (order[(h >> U(44)).astype(np.int64)].astype(U) << U(48)) | (h >> U(16))
+            # a set that only an equal one can match has no use for its prefix
+            alone = (-(-num * n // den) == n) & ((n + 1) * num > n * den)
+            p = np.where(alone, 0, prefix_length(n, num, den))
+            for a, e in zip(at[:-1][p > 0], at[1:][p > 0]):
+                t[a:e].sort()
+            take = np.repeat(at[:-1] - (np.cumsum(p) - p), p) + np.arange(p.sum())
+            yield t[take].view(np.int64), np.repeat(s1, p)
+
+    return of
+
+
+def _ends(shared, shingle, num, den):
+    """(token, a, b): the least and the greatest set that has a token in its prefix, in each chunk."""
+
+    def run(batches):
+        of = _prefixes(shared.value, shingle, num, den)
+        for b in batches:
+            for t, s in of(b):
+                order = np.lexsort((s, t))
+                t, s = t[order], s[order]
+                head = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+                tail = np.append(head[1:], len(t)) - 1 if len(t) else head
+                yield pa.RecordBatch.from_arrays([pa.array(t[head]), pa.array(s[head]), pa.array(s[tail])], ["token", "a", "b"])
 
     return run
 
 
-def _full(shared, shingle):
+def _holders(shared, shingle, num, den):
+    """(token, s1) of the prefixes' tokens whose bit is set."""
+
     def run(batches):
-        order = shared.value
+        order, bits = shared.value
+        of = _prefixes(order, shingle, num, den)
         for b in batches:
-            ids = b.column("id")
-            for row, number, at, t in _sets(b, order, shingle):
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(number.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in _sums(at, t)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(t.view(np.int64)))],
-                    ["id", "line", "s1", "s2", "tokens"],
-                )
+            for t, s in of(b):
+                at = t & ((1 << TABLE_BITS) - 1)
+                on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                yield pa.RecordBatch.from_arrays([pa.array(t[on]), pa.array(s[on])], ["token", "s1"])
 
     return run
 
 
+def _bit_table(live: DataFrame) -> np.ndarray:
+    """A table of fixed size with a bit for each token; it thins out what is sent, the join that follows is exact."""
+    n = F.col("token").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) + 1
+    got = live.groupBy(F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits")).collect()
+    out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    for r in got:
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _take(batches):
+    """Texts with a list of lines -> these lines."""
+    for b in batches:
+        out = []
+        for i, text, want in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("want").to_pylist()):
+            lines = text.split("\n")
+            out += [(w["fam"], w["rep"], w["s1"], i, w["line"], lines[w["line"]]) for w in want if w["line"] < len(lines)]
+        cols = list(zip(*out)) if out else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["fam", "rep", "s1", "id", "line", "text"])
+
+
 def _drop(batches):
     """Texts without the lines in ``gone``."""
     for b in batches:
@@ -156,57 +199,59 @@ def _drop(batches):
         )
 
 
+def _family_ties(texts: DataFrame, order: np.ndarray, shingle: int, num: int, den: int) -> DataFrame:
+    """Ties (a, b) that connect the sets, named by s1, which share a prefix token."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(order)
+    ends = texts.select("text").mapInArrow(_ends(shared, shingle, num, den), "token long, a long, b long")
+    live = settle(ends.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b"))
+    # with two holders the token itself names them; more of them are looked up
+    shared = spark.sparkContext.broadcast((order, _bit_table(live)))
+    holders = texts.select("text").mapInArrow(_holders(shared, shingle, num, den), "token long, s1 long")
+    more = holders.join(live, "token").where("s1 <> a and s1 <> b").select("a", F.col("s1").alias("b"))
+    return live.select("a", "b").union(more).distinct()
+
+
 def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
     """(id, line) of every line to remove."""
-    spark = docs.sparkSession
     texts = narrow(docs, id_col, text_col).where("id is not null")
-    order = spark.sparkContext.broadcast(rarity(texts, shingle))
-    lines = settle(texts.mapInArrow(_entries(order, shingle, num, den), "id long, line int, n int, s1 long, s2 long, prefix array<long>"))
+    scanned = settle(texts.mapInArrow(_scan(shingle), "id long, line int, n int, s1 long, s2 long, slice int, counts binary"))
+    order = rarity(scanned.where("slice is not null").select("slice", "counts"))
+    lines = scanned.where("slice is null").select("id", "line", "n", "s1", "s2")
     # equal sets: one entry, at the first of their places
-    entries = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "line")).alias("at"), F.first("prefix").alias("prefix"))
-    entries = settle(entries.select(F.monotonically_increasing_id().alias("key"), "s1", "s2", "n", F.col("at.id").alias("id"), F.col("at.line").alias("line"), "prefix"))
-    tokens = entries.select("key", "n", "id", "line", F.posexplode("prefix").alias("pos", "token"))
-    # tokens of one entry alone find nothing
-    many = settle_lookup(tokens.groupBy("token").count().where("count > 1").select("token"))
-    shared = settle(tokens.join(many, "token"))
-
-    place = settle_lookup(entries.join(settle_lookup(shared.select("key").distinct()), "key").select("key", "s1", "s2", "id", "line"))
-    sets = texts.join(settle_lookup(place.select("id").distinct()), "id", "left_semi").mapInArrow(_full(order, shingle), "id long, line int, s1 long, s2 long, tokens array<long>")
-    # a repeated id may name several rows; an entry's set is the one with its sums
-    sets = settle(sets.join(place, ["id", "line", "s1", "s2"]).select("key", "tokens"))
-
-    def verified(x, earlier):
-        """Entries of x that one of the entries ``earlier``, both with a shared prefix token, matches."""
-        pairs = x.select(*(F.col(c).alias(f"{c}x") for c in ROW), "token").join(earlier.select(*(F.col(c).alias(f"{c}y") for c in ROW), "token"), "token")
-        before = (F.col("idy") < F.col("idx")) | ((F.col("idy") == F.col("idx")) & (F.col("liney") < F.col("linex")))
-        small, large = F.least("nx", "ny").cast("long"), F.greatest("nx", "ny").cast("long")
-        need = F.ceil(F.lit(num) * (small + large) / F.lit(num + den))
-        room = 1 + F.least(F.col("nx") - F.col("posx") - 1, F.col("ny") - F.col("posy") - 1) + F.least("posx", "posy")
-        pairs = pairs.where(before & (small * den >= large * num) & (room >= need)).select("keyx", "keyy").distinct()
-        both = pairs.join(sets.toDF("keyx", "tx"), "keyx").join(sets.toDF("keyy", "ty"), "keyy")
-        meet = both.select("keyx", F.size(F.array_intersect("tx", "ty")).cast("long").alias("i"), (F.size("tx") + F.size("ty")).cast("long").alias("t"))
-        return settle(meet.where(f"{den} * i >= {num} * (t - i)").select(F.col("keyx").alias("key")).distinct())
-
-    # an entry needs one earlier match: first the earliest of each token, then of each of PIVOTS parts, then all
-    rest, late = shared, None
-    firsts = F.min(F.struct("id", "line", "key", "n", "pos")).alias("p")
-    for earlier in (
-        shared.groupBy("token").agg(firsts).select("token", "p.*"),
-        shared.groupBy("token", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("part")).agg(firsts).select("token", "p.*"),
-        shared,
-    ):
-        got = verified(rest, earlier)
-        late = got if late is None else late.union(got)
-        rest = settle(rest.join(settle_lookup(got), "key", "left_anti"))
-    late = settle_lookup(late)
-    marks = entries.select("key", "s1", "s2", "n", "id", "line").join(late.withColumn("late", F.lit(True)), "key", "left")
+    entries = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "line")).alias("at"))
+    entries = settle(entries.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", F.col("at.id").alias("id"), F.col("at.line").alias("line")))
+    family = settle(components(_family_ties(texts, order, shingle, num, den)).select(F.col("id").alias("s1"), F.col("component").alias("fam")))
+    sizes = family.groupBy("fam").count()
+    members = entries.join(family.join(sizes, "fam"), "s1").select("fam", "rep", "s1", "id", "line", "count")
+    want = members.groupBy("id").agg(F.collect_list(F.struct("line", "rep", "fam", "s1")).alias("want"))
+    taken = texts.where("text is not null").join(settle_lookup(want), "id").mapInArrow(_take, "fam long, rep long, s1 long, id long, line int, text string")
+    taken = settle(taken.join(settle_lookup(sizes.where(f"count > {LEAF}").select("fam").withColumn("large", F.lit(True))), "fam", "left"))
+    split_sets = partial(sets_of, shingle=shingle, word=ALNUM)
+    late = later_in_small(taken.where("large is null"), split_sets, num, den)
+    if taken.where("large").limit(1).count():
+
+        def run(batches):
+            for b in batches:
+                s = list(split_sets(b))
+                ok = pa.array([sums(x)[0] == y for x, y in zip(s, b.column("s1").to_pylist())], pa.bool_())
+                at = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
+                flat = np.concatenate([*s, np.zeros(0, U)]).astype(U).view(np.int64)
+                out = [b.column("fam"), b.column("rep"), b.column("id"), b.column("line"), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(out, ["fam", "rep", "id", "line", "n", "d"]).filter(ok)
+
+        sets = taken.where("large").select("fam", "rep", "s1", "id", "line", "text").mapInArrow(run, "fam long, rep long, id long, line int, n long, d array<long>")
+        sets = sets.select("fam", "rep", "n", "d", F.struct("id", "line").alias("place")).dropDuplicates(["rep"])
+        late = late.union(later_in_large(settle(sets), num, den))
+    late = settle_lookup(late.distinct())
+    marks = entries.join(late.withColumn("late", F.lit(True)), "rep", "left")
     # what stays of an entry is its first place, unless an earlier entry matches
     multiple = lines.groupBy("s1", "s2", "n").count().where("count > 1").select("s1", "s2", "n")
     touched = settle_lookup(
         marks.join(multiple.withColumn("many", F.lit(True)), ["s1", "s2", "n"], "left").where("late or many")
         .select("s1", "s2", "n", F.col("id").alias("fi"), F.col("line").alias("fl"), F.coalesce("late", F.lit(False)).alias("late"))
     )
-    return lines.select("id", "line", "s1", "s2", "n").join(touched, ["s1", "s2", "n"]).where("late or id <> fi or line <> fl").select("id", "line").distinct()
+    return lines.join(touched, ["s1", "s2", "n"]).where("late or id <> fi or line <> fl").select("id", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
