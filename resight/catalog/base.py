@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from resight.session import reuse
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -50,7 +52,11 @@ def with_ctes(needs: str, body: str) -> str:
 
 def query(name: str, needs: str = "", sql: str | None = None, digits: int = 6):
     def deco(fn):
-        QUERIES[name] = lambda spark, d: present(fn(spark, d), digits)
+        def run(spark, d):
+            with reuse():
+                return present(fn(spark, d), digits)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_ctes(needs, sql)
         return fn

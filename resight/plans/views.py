@@ -20,50 +20,32 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def cap_events(spark: SparkSession, d: str) -> DataFrame:
-    """One row per event with its next sighting.
-
-    Only a user's last event of a day can have its next event on a later day, so the day
-    ends are aggregated per (user, day) before they shuffle and joined back on the event's
-    own id; a user with any share of all events is never gathered.
-    """
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", F.to_date("ts").alias("day"))
-    order = F.struct("ts", "event_id")
-    ends = e.groupBy("user_id", "day").agg(F.min_by("event_id", order).alias("first_id"), F.max_by("event_id", order).alias("last_id"))
+def _day_ends(e: DataFrame) -> DataFrame:
+    """(user_id, d0, last, d1, next_id): a user's last event of each day, and the day and first event that follow."""
+    ends = e.groupBy("user_id", "day").agg(F.min(F.struct("ts", "event_id")).alias("first"), F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
     nxt = W.partitionBy("user_id").orderBy("day")
-    again = ends.select(
-        F.col("last_id").alias("event_id"),
-        F.col("day").alias("d0"),
-        F.lead("day").over(nxt).alias("d1"),
-        F.lead("first_id").over(nxt).alias("next_id"),
-    ).where(F.datediff("d1", "d0").between(1, 7))
-    tagged = F.col("event_type") != "error"
-    return e.join(again.select("event_id", "d1", "next_id"), "event_id", "left").select(
-        F.col("event_id").alias("Index"),
-        F.col("user_id").alias("unit"),
-        F.year("day").alias("Return_Yr"),
-        F.col("day").alias("Date_Maiden"),
-        F.when(tagged, F.col("d1")).alias("Date_Recap"),
-        F.col("event_type").alias("Sex"),
-        F.col("value").alias("FL"),
-        F.when(tagged, F.col("event_id").cast("string")).alias("Tag1"),
-        (F.col("user_id") % 5 + 1).cast("int").alias("TagState"),
-        F.when(tagged, F.col("next_id") % 5 + 1).cast("int").alias("RecapState"),
-    )
+    return ends.select("user_id", F.col("day").alias("d0"), "last", F.lead("day").over(nxt).alias("d1"), F.lead("first.event_id").over(nxt).alias("next_id"))
 
 
 def event_histories(spark: SparkSession, d: str) -> DataFrame:
     """Counted daily histories (t_yr, grp, t_k, r_k, t_l, r_l, tag, n).
 
-    Individuals are counted per pair of dates first and the counts are settled, so that
-    everything after this reads a small table and the events are passed over once. Periods
-    are numbered on the counts.
+    Events are counted by day, type and place where they lie, and the few counts that a next sighting
+    moves are found on one row for a user's day, so no event is shuffled by its own id. The counts are settled;
+    everything after this reads a small table. Periods are numbered on the counts.
     """
-    c = cap_events(spark, d)
-    counts = c.groupBy(
-        F.col("Return_Yr").alias("t_yr"), F.col("Sex").alias("grp"), "Date_Maiden", "Date_Recap",
-        F.col("TagState").alias("t_l"), F.col("RecapState").alias("r_l"), F.col("Tag1").isNotNull().alias("tag"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", F.to_date("ts").alias("day"))
+    place = (F.col("user_id") % 5 + 1).cast("int")
+    one = e.groupBy(F.col("event_type").alias("grp"), "day", place.alias("t_l")).agg(F.count(F.lit(1)).alias("n"))
+    none = lambda kind: F.lit(None).cast(kind)
+    one = one.select("grp", F.col("day").alias("Date_Maiden"), none("date").alias("Date_Recap"), "t_l", none("int").alias("r_l"), "n")
+    # only the last event of a user's day can be seen again on another day: what is seen again moves from null
+    again = _day_ends(e).where(F.datediff("d1", "d0").between(1, 7) & (F.col("last.event_type") != "error"))
+    again = again.groupBy(F.col("last.event_type").alias("grp"), F.col("d0").alias("Date_Maiden"), F.col("d1").alias("Date_Recap"), place.alias("t_l"), (F.col("next_id") % 5 + 1).cast("int").alias("r_l"))
+    again = settle(again.agg(F.count(F.lit(1)).alias("n")))
+    left = again.select("grp", "Date_Maiden", none("date").alias("Date_Recap"), "t_l", none("int").alias("r_l"), (-F.col("n")).alias("n"))
+    counts = one.union(left).union(again.select(*one.columns)).groupBy("grp", "Date_Maiden", "Date_Recap", "t_l", "r_l").agg(F.sum("n").alias("n")).where("n > 0")
+    counts = counts.select(F.year("Date_Maiden").alias("t_yr"), "*", (F.col("grp") != "error").alias("tag"))
     counted = settle(counts)
     first = counted.groupBy("t_yr").agg(F.min("Date_Maiden").alias("d0"))
     k = lambda c: (F.datediff(c, "d0") + 1)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,10 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 24 << 20
 
 
+# What has been settled within ``reuse``: hash of the analysed plan -> (table, path).
+_REGISTER: ContextVar[dict | None] = ContextVar("settled", default=None)
+
+
 def local_session(cores: int | str = 8, name: str = "resight") -> SparkSession:
     """Session for tests and benchmarks; on a cluster the submitter's session is used."""
     return (
@@ -81,10 +86,30 @@ def settle(df: DataFrame) -> DataFrame:
     return _settled(df)[0]
 
 
+@contextmanager
+def reuse():
+    """Inside, a table that was settled before is not computed again: the one with the same analysed plan is read.
+
+    For the length of one query or job only, in which the tables below don't change.
+    """
+    token = _REGISTER.set({} if _REGISTER.get() is None else _REGISTER.get())
+    try:
+        yield
+    finally:
+        _REGISTER.reset(token)
+
+
 def _settled(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
+    spark, known = df.sparkSession, _REGISTER.get()
+    if known is not None:
+        # the hash leaves names out, so they are part of what has to agree
+        for earlier, path in known.setdefault((df.semanticHash(), tuple(df.columns)), []):
+            if earlier.sameSemantics(df):
+                return spark.read.schema(df.schema).parquet(path), path
     path = new_folder(spark, "settled")
     df.write.parquet(path)
+    if known is not None:
+        known[df.semanticHash(), tuple(df.columns)].append((df, path))
     return spark.read.schema(df.schema).parquet(path), path
 
 
