@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. Scripts, styles, comments and the
 what lies in a part that its tag, role, class or id names as navigation, header, footer, sidebar, notice, advert,
 form or reader comments is boilerplate. Pass one decides blocks by themselves: many letters in links or a
 copyright line is bad; a short block is open; a longer one is good or
-near-good by its length and its share of stop words. Pass two settles the open blocks by the nearest
+near-good by its length and its share of stop words (by its length, on a page where no block has that
+share, as in other languages). Pass two settles the open blocks by the nearest
 decided ones before and after. Where a page marks its article or main part, blocks
 outside it are bad, and inside it the stop words ask for less, as the mark-up already speaks for it.
 """
@@ -31,6 +32,7 @@ un una y ya
 
 # Tags without running text, tags that open a block, tags and names of boilerplate parts.
 NO_TEXT = frozenset("script style noscript template textarea select svg math iframe object canvas head title audio video".split())
+TAKES_ALL = frozenset("script style textarea iframe noscript template".split())
 BLOCK = frozenset("""
 address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul
@@ -121,8 +123,8 @@ def blocks(page: str) -> list[Block]:
         tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if not closing and tag in NO_TEXT and not attributes.endswith("/"):
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            # an unclosed head ends where the body begins
-            if stop is None and tag in ("head", "title"):
+            # unclosed, only these take in the rest of the page, as browsers have it; of others the tag alone is skipped
+            if stop is None and tag not in TAKES_ALL:
                 continue
             at = end if stop is None else stop.end()
             if tag in BLOCK:
@@ -161,8 +163,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _alone(b: Block, marked: bool) -> str:
-    """Pass one: good, near, short or bad."""
+def _stop_share(b: Block) -> float:
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def _alone(b: Block, marked: bool, listed: bool) -> str:
+    """Pass one: good, near, short or bad; ``listed`` tells whether the page is in a language of the stop words."""
     if b.dropped or (marked and not b.inside):
         return "bad"
     n = len(b.text)
@@ -173,8 +180,12 @@ def _alone(b: Block, marked: bool) -> str:
         return "bad"
     if n < SHORT:
         return "bad" if links and not b.inside else "short"
-    words = b.text.lower().split()
-    share = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if not listed:
+        # what is left of broken mark-up is no language either
+        if 20 * b.text.count("<") > n:
+            return "bad"
+        return "good" if n > LONG else "near"
+    share = _stop_share(b)
     if b.inside:
         return "good" if share >= STOP_INSIDE else "near"
     if share >= STOP_HIGH:
@@ -185,7 +196,10 @@ def _alone(b: Block, marked: bool) -> str:
 def classify(found: list[Block]) -> None:
     """Both passes; afterwards every block is good or bad."""
     marked = any(b.inside and not b.dropped for b in found)
-    first = [_alone(b, marked) for b in found]
+    # where no longer block of the page has its share of stop words, length and links alone decide
+    asked = [b for b in found if not b.dropped and len(b.text) >= SHORT]
+    listed = not asked or any(_stop_share(b) >= STOP_LOW for b in asked)
+    first = [_alone(b, marked, listed) for b in found]
     n = len(found)
     before, after = [None] * n, [None] * n
     last = None
@@ -231,7 +245,8 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """``keep`` with (text, n_chars) of every row; n_chars counts code points.
 
     A null or empty page, or one without main text, has an empty text. Rows that repeat are each extracted. A page
-    is one task's row whatever its length; other columns are ignored.
+    is one task's row whatever its length; other columns are ignored. Of unclosed tags, script, style, textarea, iframe, noscript and
+    template take in what follows them; all others end where their parent does.
     """
     slim = pages.select(*(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(f"`{html_col}`").cast("string").alias("html"))
     kinds = [f.dataType.simpleString() for f in slim.schema.fields[:-1]]

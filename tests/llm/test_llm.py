@@ -300,6 +300,43 @@ def test_html():
     assert main_text("<" * 20000) == main_text("<a title='" * 2000) == ""
 
 
+SPOKEN = {
+    "en": "the of and to in is that for it was with as his on be at by had not are but from or have".split(),
+    "fi": "talo metsä järvi kulkea pitkin rantaa aamulla linnut lauloivat kauniisti hiljaa tuuli puhalsi vuoren yli kohti merta".split(),
+    "ja": "山道を 登りながら こう 考えた 智に 働けば 角が 立つ 情に 棹させば 流される 意地を 通せば 窮屈だ".split(),
+}
+
+
+def made_page(r, lang, marked):
+    """A page put together from parts, and its article's text."""
+    say = lambda k: " ".join(r.choice(SPOKEN[lang]) for _ in range(k)) + "."
+    links = lambda k: "".join(f'<li><a href="/{i}">{say(3)}</a></li>' for i in range(k))
+    noise = [
+        f"<nav><ul>{links(6)}</ul></nav>", f'<div class="sidebar">{say(40)}</div>', f'<div id="cookie-notice"><p>{say(50)}</p></div>', f"<form><p>{say(30)}</p><input></form>",
+        f'<div class="ad-box"><p>{say(45)}</p></div>', f"<script>var x = '<p>{say(40)}</p>';</script>", f"<style>p {{}} {say(40)}</style>", f"<!-- <p>{say(60)}</p> -->", f"<ul>{links(9)}</ul>",
+    ]
+    r.shuffle(noise)
+    paragraphs = [say(r.randint(50, 90)) for _ in range(r.randint(3, 6))]
+    body = "".join(f"<p>{p.replace('.', '&#46;') if r.random() < .2 else p}</p>" for p in paragraphs)
+    k = r.randrange(1, len(paragraphs))
+    # a tag that is never closed inside the article
+    body = body.replace("</p>", f"</p><{r.choice(['svg', 'select', 'canvas', 'video', 'object', 'math', 'audio'])}>", k).replace("<p>", "<p>", 1) if r.random() < .3 else body
+    tag = "article" if marked else "div"
+    page = f"<html><head><title>{say(4)}</title></head><body>{''.join(noise[:4])}<{tag}>{body}</{tag}>{''.join(noise[4:])}<section class='comments'><p>{say(60)}</p></section><footer><p>© {say(30)}</p></footer></body></html>"
+    return page, "\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("lang", sorted(SPOKEN))
+def test_html_of_made_pages(lang):
+    """What a page was put together from comes back, in languages with and without a list of stop words."""
+    from resight.llm.html_text import main_text
+
+    r = random.Random(7)
+    for i in range(120):
+        page, want = made_page(r, lang, i % 2 == 0)
+        assert main_text(page) == want
+
+
 def test_html_rows(spark):
     from resight.llm.html_text import extract
 
