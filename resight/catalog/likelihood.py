@@ -9,7 +9,7 @@ from resight.catalog.base import big, cte, num, query
 from resight.catalog.model import G, IDS, S, TK, group_rates, quantities, rows, sets
 from resight.functions import mathx as X
 from resight.functions.calendar import week_block
-from resight.operators import clean, fit, histories as H, kernels as K, model as M, score
+from resight.operators import clean, fit, histories as H, kernels as K, model as M, score, stats
 from resight.plans import abundance as A, movement, views as V
 from resight.session import settle, settle_lookup
 
@@ -516,3 +516,33 @@ def _(spark, d):
         part = M.period_estimates(st, G, form).select(F.lit(form).alias("form"), "*")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---- biological data under class shares of many sets
+
+CLASSES = {"sex": ("Female", "Other"), "clip": ("A", "Other"), "age": ("3", "4", "5", "8")}
+CLASS_ROWS = [(kind, cls, i) for i, (kind, cls) in enumerate((k, c) for k, v in CLASSES.items() for c in v)]
+cte("bio", "fmt_all", " UNION ALL ".join(
+    f"SELECT TagState, Return_Yr, '{kind}' AS kind, {expr} AS cls, count(*) AS n FROM fmt_all WHERE {expr} IS NOT NULL GROUP BY ALL" for kind, expr in {
+        "sex": "CASE WHEN Sex = 'Female' THEN 'Female' WHEN Sex IS NOT NULL THEN 'Other' END", "clip": "CASE WHEN Mark = 'A' THEN 'A' WHEN Mark IS NOT NULL THEN 'Other' END",
+        "age": "substr(ScaleAge, 1, 1)"}.items()))
+cte("bio_shares", "", f"""
+SELECT set_id, kind, cls, d / sum(d) OVER (PARTITION BY set_id, kind) AS share FROM (
+  SELECT s_suppkey AS set_id, kind, cls, CAST(1 + (s_suppkey * 7 + k * 13) % 11 AS DOUBLE) AS d FROM supplier, (VALUES {', '.join(map(str, CLASS_ROWS))}) AS c(kind, cls, k))
+""")
+
+
+@query("score_biodata", "bio bio_shares", f"""SELECT {big('TagState', 'TagState')}, Return_Yr, kind, {big('set_id', 'set_id')},
+{num("lgamma(sum(n) + 1e0) + sum(n * ln(share) - lgamma(n + 1e0))", 'loglik', 3)} FROM bio JOIN bio_shares USING (kind, cls) GROUP BY TagState, Return_Yr, kind, set_id""", digits=3)
+def _(spark, d):
+    """Sex, clip and age counts of every season and reach under the class shares of every supplier's set."""
+    from resight.catalog.sheets import everything
+
+    known = lambda c, test, name: F.when(test, name).when(F.col(c).isNotNull(), "Other")
+    kinds = {"sex": known("Sex", F.col("Sex") == "Female", "Female"), "clip": known("Mark", F.col("Mark") == "A", "A"), "age": F.substring("ScaleAge", 1, 1)}
+    counts = settle(stats.biodata_long(everything(spark, d), ["TagState", "Return_Yr"], kinds))
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("cls"), F.lit(i).alias("k")) for k, c, i in CLASS_ROWS]))
+    shares = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("set_id"), listed.alias("c")).select("set_id", "c.*")
+    shares = shares.withColumn("delta", (1 + (F.col("set_id") * 7 + F.col("k") * 13) % 11).cast("double"))
+    shares = M.age_shares(shares, ["set_id", "kind"], "delta").select("set_id", "kind", "cls", F.col("p_age").alias("share"))
+    return score.score_biodata(counts, shares, ["TagState", "Return_Yr"], ["set_id"])

@@ -120,3 +120,19 @@ def score_arrivals(hist: DataFrame, shares: DataFrame, keys, sets=()) -> DataFra
     """-sum n log r[t_k], where r are arrival shares by period."""
     u = hist.groupBy(*keys, "t_k").agg(F.sum("n").alias("n"))
     return match(shares, settle_lookup(u), [*keys, "t_k"]).groupBy(*keys, *sets).agg((-F.sum(xlogy("n", F.col("r")))).alias("nll"))
+
+
+def score_biodata(counts: DataFrame, shares: DataFrame, keys, sets=()) -> DataFrame:
+    """Log likelihood of class counts (keys, kind, cls, n) under class shares (sets, kind, cls, share), by keys, kind and set.
+
+    Two classes make a binomial, more a multinomial. What does not depend on the shares is summed once for each key. A
+    class that was counted but has no share makes its kind impossible.
+    """
+    keys, sets = list(keys), list(sets)
+    fixed = counts.groupBy(*keys, "kind").agg((lgamma(F.sum("n") + 1) - F.sum(lgamma(F.col("n") + 1))).alias("_const"), F.sum("n").alias("_total"))
+    known = settle_lookup(match(counts, fixed, [*keys, "kind"]))
+    met = match(shares, known, ["kind", "cls"]).groupBy(*keys, "kind", *sets).agg(
+        F.sum(xlogy("n", F.col("share"))).alias("_logs"), F.sum("n").alias("_met"), F.first("_const").alias("_const"), F.first("_total").alias("_total")
+    )
+    loglik = F.when(F.col("_met") < F.col("_total"), F.lit(NEG_INF)).otherwise(F.col("_const") + F.col("_logs"))
+    return met.select(*keys, "kind", *sets, loglik.alias("loglik"))

@@ -126,3 +126,16 @@ def biodata_counts(df: DataFrame, keys, classes: dict) -> DataFrame:
         aggs += [F.count_if(test).alias(f"ex_{name}"), F.count(test).alias(f"tot_{name}")]
     out = df.groupBy(*keys).agg(*aggs)
     return out.withColumns({f"p_{n}": F.try_divide(F.col(f"ex_{n}"), F.col(f"tot_{n}")) for n in classes})
+
+
+def biodata_long(df: DataFrame, keys, kinds: dict) -> DataFrame:
+    """One long count table (keys, kind, cls, n) of several classifications of the same rows.
+
+    ``kinds`` maps a name to a column with the row's class; null means not recorded. Rows are counted by all
+    classes together first, so the long form has a row for each combination, not for each individual.
+    """
+    keys, names = list(keys), list(kinds)
+    joint = df.groupBy(*keys, *[kinds[k].cast("string").alias(f"_{k}") for k in names]).agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("cls")) for k in names]))
+    long = joint.select(*keys, "n", each.alias("c")).where("c.cls is not null")
+    return long.groupBy(*keys, F.col("c.kind").alias("kind"), F.col("c.cls").alias("cls")).agg(F.sum("n").alias("n"))

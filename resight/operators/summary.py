@@ -11,15 +11,32 @@ from resight.operators.reshape import append
 from resight.session import settle, settle_lookup
 
 Z95 = 1.96
-
-
-def exact_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = 20_000) -> DataFrame:
+# Parts that a bracket of an order statistic is cut into.
+BINS = 64
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame, keys) -> DataFrame:
+    """Brackets cut down to the parts in which their ranks lie."""
+    seen = match(rows, brackets, keys).select(*keys, "x", F.explode(F.filter("asked", lambda a: F.col("x") <= a["hi"])).alias("a"))
+    width = F.col("a.hi") - F.col("a.lo")
+    part = F.when(F.col("x") < F.col("a.lo"), -1).when(width > 0, F.floor((F.col("x") - F.col("a.lo")) / width * BINS)).otherwise(0)
+    one = [*keys, "q", "h"]
+    bins = seen.groupBy(*keys, F.col("a.q").alias("q"), F.col("a.h").alias("h"), part.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # a few dozen rows for each quantile
+    bins = bins.withColumn("upto", F.sum("c").over(W.partitionBy(*one).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
+    first = lambda c, rank: F.min(F.when(F.col("upto") > rank, F.col(c)))
+    cut = bins.groupBy(*one).agg(first("lo", F.floor("h")).alias("lo"), first("hi", F.ceil("h")).alias("hi"))
+    asked = cut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("q", "h", "lo", "hi"))).alias("asked"))
+    return match(brackets.drop("asked"), asked, keys)
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = 20_000, limit: int = 512) -> DataFrame:
     """Exact interpolated quantiles per key without gathering a key's values.
 
     One pass builds a mergeable sketch per key, which brackets the order statistics of each
-    quantile. A second pass counts all values below a bracket as one and those inside it by
-    value, with a partial count before the shuffle; only the values inside a bracket (about
-    n / accuracy of a key) are put in order. A bracket that misses a rank, which the error
+    quantile: about 4 n / accuracy of its n values lie inside. While that is more than ``limit``, a pass counts the values of each bracket in
+    ``BINS`` equal parts (in part before the shuffle) and keeps the parts that hold the wanted ranks. A last pass counts all values below a bracket as one and those inside it by
+    value; only these are put in order. A bracket that misses a rank, which the error
     bound of the sketch rules out, would be replaced by the key's whole range.
     """
     keys, slack = list(keys), 2.0 / accuracy
@@ -36,8 +53,14 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, accuracy: int = 20_0
         )
         for i, q in enumerate(probs)
     ])
-    brackets = settle_lookup(sketch.select(*keys, "lo0", "hi0", asked.alias("asked")))
+    sketch = settle(sketch.select(*keys, "n", "lo0", "hi0", asked.alias("asked")))
+    most = sketch.agg(F.max("n")).first()[0] or 0
+    brackets = settle_lookup(sketch.drop("n"))
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"))
+    inside = 4 * most / accuracy
+    while inside > limit:
+        brackets = settle_lookup(_narrowed(rows, brackets, keys))
+        inside /= BINS / 2
 
     def order_stats(brackets):
         """(keys, q, h, value at rank floor(h), value at rank ceil(h))."""

@@ -479,3 +479,16 @@ def test_expected_recaptures_by_recursion_and_by_cells(spark):
     want = {(x.g, x.r_k): x["sum(e_r)"] for x in cells}
     got = {(x.g, x.r_k): x.e_r for x in M.expected_recapture_totals(df, ["g"]).collect()}
     assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in got)
+
+
+def test_biodata_scores(spark):
+    rows = [("a", "F", "3"), ("a", "F", "4"), ("a", "M", None), ("a", None, "3"), ("b", "M", "9"), ("b", "M", "9")]
+    df = spark.createDataFrame(rows, "reach string, sex string, age string")
+    counts = stats.biodata_long(df, ["reach"], {"sex": F.col("sex"), "age": F.col("age")})
+    assert {tuple(r) for r in counts.collect()} == {("a", "sex", "F", 2), ("a", "sex", "M", 1), ("a", "age", "3", 2), ("a", "age", "4", 1), ("b", "sex", "M", 2), ("b", "age", "9", 2)}
+    shares = [(i, "sex", c, p) for i, (f, m) in enumerate([(0.4, 0.6), (1.0, 0.0)]) for c, p in (("F", f), ("M", m))] + [(i, "age", c, p) for i in (0, 1) for c, p in (("3", 0.5), ("4", 0.3), ("5", 0.2))]
+    got = {(r.reach, r.kind, r.set_id): r.loglik for r in score.score_biodata(counts, spark.createDataFrame(shares, "set_id int, kind string, cls string, share double"), ["reach"], ["set_id"]).collect()}
+    assert got["a", "sex", 0] == pytest.approx(math.log(3 * 0.4**2 * 0.6)) and got["a", "sex", 1] == -math.inf
+    assert got["a", "age", 0] == pytest.approx(math.log(3 * 0.5**2 * 0.3)) and got["b", "sex", 0] == pytest.approx(2 * math.log(0.6))
+    # a class without a share
+    assert ("b", "age", 0) not in got or got["b", "age", 0] == -math.inf

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +112,23 @@ def test_missing_keys_stay(spark):
     assert C.draw_histogram(df, ["param", "idx"]).agg(F.sum("n")).first()[0] == 100
     a = df.groupBy("param", "idx").agg(F.avg("value").alias("value"))
     assert C.compare_methods({"a": a, "b": a}, ["param", "idx"], "m").count() == 4
+
+
+def test_brackets_are_narrowed_before_anything_is_ordered(spark, monkeypatch):
+    """With a coarse sketch the brackets hold thousands of values; after the narrowing passes no group orders more than a few hundred."""
+    n = 60_000
+    draws = spark.range(n).select(F.lit(1).alias("k"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.exp(F.col("id") / 5000.0)).alias("value"))
+    draws = draws.union(spark.createDataFrame([(2, 1.0), (2, 2.0), (3, None), (4, 5.0)], "k int, value double"))
+    cut = []
+    inner = C._narrowed
+    monkeypatch.setattr(C, "_narrowed", lambda rows, brackets, keys: cut.append(brackets.collect()) or inner(rows, brackets, keys))
+    probs = (0.0, 0.025, 0.5, 0.51, 0.975, 1.0)
+    got = {r.k: r for r in C.exact_quantiles(draws, ["k"], "value", probs, accuracy=100, limit=64).collect()}
+    values = np.sort([7.0 if i % 3 == 0 else math.exp(i / 5000.0) for i in range(n)])
+    for q, name in zip(probs, ("q0", "q2_5", "q50", "q51", "q97_5", "q100")):
+        assert got[1][name] == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert got[2]["q50"] == 1.5 and got[4]["q97_5"] == 5.0 and 3 not in {k for k, r in got.items() if r.q50 is not None}
+    assert len(cut) == 2
+    whole = inner(draws.select("k", F.col("value").alias("x")).where("x is not null"), spark.createDataFrame(cut[-1], spark.createDataFrame(cut[-1]).schema), ["k"]).where("k = 1").first()
+    inside = [int(((values >= a.lo) & (values <= a.hi) & (values != 7.0)).sum()) for a in whole.asked]
+    assert max(inside) <= 64
