@@ -148,7 +148,7 @@ def _recentred(rows: DataFrame, num: int, den: int) -> DataFrame:
     held = rows.select("fam", F.explode("d").alias("token")).groupBy("fam", "token").agg(F.count("*").alias("k")).where("k > 1")
     most = held.groupBy("fam").agg(F.max("k").alias("most"))
     core = held.join(most, "fam").where("2 * k > most").groupBy("fam").agg(F.collect_list("token").alias("core"))
-    rows = rows.join(core, "fam", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    rows = rows.join(settle_lookup(core), "fam", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
     rows = rows.withColumn("d", F.concat(F.array_except("d", "core"), F.array_except("core", "d"))).drop("core")
     return settle(rows.withColumn("s", (den - num) * F.col("n") - (den + num) * F.size("d")))
 

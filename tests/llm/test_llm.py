@@ -370,6 +370,71 @@ def test_passages(spark, rows):
     assert repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_against_all_pairs(spark):
+    """Every pair of texts with a similar stretch of fifty words, found by comparing all slices, against what comes back."""
+    from resight.llm.substring_dedup import repeated_passages
+
+    r = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    prose = lambda k: r.choices(vocabulary, k=k)
+
+    def edited(w, k):
+        w = list(w)
+        for _ in range(k):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        return w
+
+    data = {i: prose(r.randint(60, 150)) for i in range(60)}
+    for i in range(60, 110, 2):
+        passage = prose(r.randint(52, 90))
+        data[i] = prose(r.randint(0, 60)) + edited(passage, r.randint(0, 1)) + prose(30)
+        data[i + 1] = prose(r.randint(0, 60)) + edited(passage, r.randint(0, 1)) + prose(10)
+    hot = prose(70)
+    for i in range(110, 150):
+        data[i] = prose(r.randint(0, 40)) + edited(hot, r.randint(0, 3)) + prose(r.randint(0, 40))
+    # a phrase too short to count in many of them
+    phrase = prose(20)
+    for i in range(150, 200):
+        data[i] = prose(40) + phrase + prose(40)
+    grams_of = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in data.items()}
+
+    def alike(a, b):
+        """Whether some stretch of 46 tokens of a has one of b, up to eight tokens longer or shorter, with similarity .8."""
+        x, y = grams_of[a], grams_of[b]
+        if len(set(x) & set(y)) < 36:
+            return False
+        for k in range(len(x) - 45):
+            u = set(x[k : k + 46])
+            for m in range(len(y) - 45):
+                v = set(y[m : m + 46])
+                both = len(u & v)
+                if 100 * both >= 80 * (len(u) + len(v) - both):
+                    return True
+        return False
+
+    wanted = {(a, b) for a in data for b in data if a < b and alike(a, b)}
+    got = repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in data.items()])).collect()
+    docs = {i for pair in wanted for i in pair}
+    found = {x.id for x in got}
+    print("documents", len(docs), "found", len(docs & found), "more", len(found - docs))
+    assert len(wanted) > 300 and len(docs & found) >= 0.97 * len(docs)
+    # what is reported is similar
+    for x in got:
+        u, v = (set(tuple(data[i][k : k + 5]) for k in range(s, e - 4)) for i, s, e in ((x.id, x.start, x.end), (x.partner, x.partner_start, x.partner_end)))
+        assert min(x.end - x.start, x.partner_end - x.partner_start) >= 50 and 100 * len(u & v) >= 80 * len(u | v)
+    assert not found & set(range(150, 200)) - docs
+
+
+def test_passages_of_an_id_with_several_texts(spark):
+    from resight.llm.substring_dedup import repeated_passages
+
+    r = random.Random(2)
+    p, q = (" ".join(r.choices([f"v{i}" for i in range(3000)], k=70)) for _ in range(2))
+    data = [(1, f"{p} a b c"), (1, f"x y {q}"), (2, f"k {p}"), (3, q + " l"), (1, f"{p} a b c"), (4, f"{p} m"), (4, f"n {p}")]
+    got = {(x.id, x.partner) for x in repeated_passages(frame(spark, data)).collect()}
+    assert {(1, 2), (2, 1), (1, 3), (3, 1)} <= got and all(a != b for a, b in got) and 4 in {a for a, _ in got}
+
+
 def test_passages_of_a_star(spark):
     """Variants around an original whose id lies in the middle: alike to it, not to each other."""
     from resight.llm.substring_dedup import repeated_passages
