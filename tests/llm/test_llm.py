@@ -126,6 +126,20 @@ def test_recall_of_trees(similarity):
     assert missed <= n * 3e-4
 
 
+def test_near_duplicates_of_a_large_family_at_the_defaults(spark):
+    """Hundreds of texts of one template, at the default depth and leaf, against all pairs."""
+    from test_joins import family, plain_components
+
+    from resight.llm.near_dedup import near_duplicates
+
+    rows = list(enumerate(family(3, 220, 120, (0, 8)) + family(8, 60, 40, (0, 2)))) + [(900, None), (901, " ")]
+    sizes, want, n = plain_components(rows, 3, 85, 100)
+    got = {r.id: r for r in near_duplicates(frame(spark, rows), shingle=3, num=85, den=100).collect()}
+    wrong = [i for i in want if got[i].component_id != want[i]]
+    print("links", n, "of", len(want), "wrong", len(wrong))
+    assert n > 500 and len(wrong) <= 0.02 * len(want)
+
+
 def test_near_duplicates_of_nothing(none):
     from resight.llm.near_dedup import near_duplicates
 
@@ -249,6 +263,40 @@ def test_toxicity_without_positives(spark, docs, none):
     assert toxicity(none, labels).count() == 0
 
 
+def test_toxicity_of_few_rows(spark):
+    """No feature above chance, one positive, one id in many rows."""
+    from resight.llm.toxicity import toxicity
+
+    r = random.Random(3)
+    say = lambda k: " ".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    rows = [(i, say(12)) for i in range(40)]
+    for toxic in (range(8), [1], []):
+        labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(40)], "doc_id long, toxic int")
+        got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+        assert len(got) == 40 and all(0 <= x.score <= 1 for x in got)
+    rows = [(7, f"vile {say(9)}") for _ in range(300)] + [(100 + i, say(9)) for i in range(300)]
+    labels = spark.createDataFrame([(7, 1)] + [(100 + i, 0) for i in range(300)], "doc_id long, toxic int")
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 600 and all(x.predicted == 0 for x in got if x.id != 7)
+
+
+def test_toxicity_finds_a_rare_telling_word_among_many_common_ones(spark):
+    """The word is far from the most frequent ones of toxic texts, but no clean text has it."""
+    from resight.llm.toxicity import train
+    from resight.llm.words import ALNUM, chunks, split
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choices(common, k=150)) + (" zzyx" if i % 10 == 0 else "")) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    model = train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    (c,) = chunks(pa.array(["zzyx"]))
+    at = np.flatnonzero(model.words == split(c, ALNUM).hash[0])
+    assert len(at) == 1 and len(model.words) < 50 and model.weights[at[0]] > 1
+
+
 TEXTS = [
     "", " ", "  a", "a  ", "\n", "日本語のテキストです。" * 30, "x" * 500, "aaaa aaa aaaaaaa", "Don't stop!!! http://www.example.com/a?b=c&d=e#frag 12345678901234567890",
     "мама мыла раму 😀😀👩‍👩‍👧 \u0000 \t\t x", "ab" * 400, "  " * 40, "def f(x):\n    return x**2  # note\n\n\n\nclass A:\n        pass", "<s> </s> <unk>",
@@ -432,7 +480,8 @@ def test_passages_of_an_id_with_several_texts(spark):
     p, q = (" ".join(r.choices([f"v{i}" for i in range(3000)], k=70)) for _ in range(2))
     data = [(1, f"{p} a b c"), (1, f"x y {q}"), (2, f"k {p}"), (3, q + " l"), (1, f"{p} a b c"), (4, f"{p} m"), (4, f"n {p}")]
     got = {(x.id, x.partner) for x in repeated_passages(frame(spark, data)).collect()}
-    assert {(1, 2), (2, 1), (1, 3), (3, 1)} <= got and all(a != b for a, b in got) and 4 in {a for a, _ in got}
+    # both texts of id 1 are searched; of the four with p each gets some partner
+    assert {(1, 3), (3, 1)} <= got and all(a != b for a, b in got) and {a for a, _ in got} == {1, 2, 3, 4} and {b for a, b in got if a == 2} <= {1, 4}
 
 
 def test_passages_of_a_star(spark):

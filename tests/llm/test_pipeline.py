@@ -48,8 +48,21 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, tmp_path):
     assert {x.doc_id for x in stage(spark, df, str(tmp_path)).collect()} == {1, 4, 5}
 
 
+def test_near_dedup_stage_on_rows_that_repeat(spark, tmp_path):
+    """An id's copies of one text leave one row, other texts and rows without words stay, batches without words don't matter."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base), (1, base), (2, base), (3, None), (3, None), (4, ""), (4, ""), (5, "a b c d"), (5, "e f g h"), (None, base), (None, base), (6, " ")]
+    df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    got = sorted(((x.doc_id, x.text) for x in stage(spark, df, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, base), (3, None), (3, None), (4, ""), (4, ""), (5, "a b c d"), (5, "e f g h"), (None, base), (None, base), (6, " ")], key=str)
+    for only in ([(1, None), (2, ""), (3, " ")], [("7", None)][:0]):
+        df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in only], "doc_id long, text string, lang string, source string, n_chars long")
+        assert stage(spark, df, str(tmp_path)).count() == len(only)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
