@@ -47,9 +47,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity .8) the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity .8) the smallest id stays, in one row for each of its texts."""
     found = near_duplicates(docs, shingle=5, num=80, den=100)
-    return _as_documents(_without(docs, found.where("not kept")), docs)
+    kept = _without(docs, found.where("not kept"))
+    twice = settle_lookup(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.limit(1).count():
+        # rows that repeat an id and its text are copies too; a text without a word is no one's copy
+        again = kept.join(twice, "doc_id", "left_semi")
+        worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(again.where(worded).dropDuplicates(["doc_id", "text"])).unionByName(again.where(~worded))
+    return _as_documents(kept, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
