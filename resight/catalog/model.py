@@ -400,10 +400,12 @@ def _(spark, d):
 
 
 COV = ("seen", "marked", "first_seen", "recap_later", "recap_now")
-cte("cov", "js", " UNION ALL ".join(f"SELECT grp, '{a}' AS k, '{b}' AS j, covar_samp({a}, {b}) AS value FROM js GROUP BY grp" for a in COV for b in COV))
+COV_CELLS = ", ".join(f"{{'k': '{a}', 'j': '{b}', 'value': covar_samp({a}, {b})}}" for a in COV for b in COV)
+cte("cov", "js", f"SELECT grp, c.k AS k, c.j AS j, c.value AS value FROM (SELECT grp, unnest([{COV_CELLS}]) AS c FROM js GROUP BY grp)")
 
 
-@query("cov_to_corr", "cov", f"SELECT c.grp, c.k, c.j, {num('sqrt(a.value)', 'sigma')}, {num('c.value / nullif(sqrt(a.value * b.value), 0)', 'rho')} FROM cov c JOIN cov a ON a.grp = c.grp AND a.k = c.k AND a.j = c.k JOIN cov b ON b.grp = c.grp AND b.k = c.j AND b.j = c.j")
+@query("cov_to_corr", "cov", f"""SELECT grp, k, j, {num('sqrt(va)', 'sigma')}, {num('value / nullif(sqrt(va * vb), 0)', 'rho')}
+FROM (SELECT *, max(CASE WHEN k = j THEN value END) OVER (PARTITION BY grp, k) AS va, max(CASE WHEN k = j THEN value END) OVER (PARTITION BY grp, j) AS vb FROM cov)""")
 def _(spark, d):
     st = V.event_stats(spark, d)
     cells = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(b).alias("j"), F.covar_samp(a, b).alias("value")) for a in COV for b in COV])
