@@ -150,7 +150,8 @@ def _recentred(rows: DataFrame, num: int, den: int) -> DataFrame:
     core = held.join(most, "fam").where("2 * k > most").groupBy("fam").agg(F.collect_list("token").alias("core"))
     rows = rows.join(settle_lookup(core), "fam", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
     rows = rows.withColumn("d", F.concat(F.array_except("d", "core"), F.array_except("core", "d"))).drop("core")
-    return settle(rows.withColumn("s", (den - num) * F.col("n") - (den + num) * F.size("d")))
+    # dealt evenly, whatever families they are in
+    return settle(rows.withColumn("s", (den - num) * F.col("n") - (den + num) * F.size("d")).repartition("rep"))
 
 
 def _shared_tokens(rows: DataFrame, num: int, den: int, useful) -> DataFrame:
