@@ -26,6 +26,8 @@ from resight.session import settle, settle_lookup
 
 LEAF = 24
 LEVELS = 5
+#: Members of large families that one task describes.
+MEMBERS = 512
 #: The holders of a token meet directly if they are at most so many, or if so few of them are still to be joined.
 HOLDERS = 256
 FEW = 32
@@ -139,19 +141,24 @@ def _blocks(rows: DataFrame, sizes: DataFrame, columns) -> DataFrame:
     return of.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*columns)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A written table of members, so many to a task whatever their families and number."""
+    return rows.repartition(max(1, -(-rows.count() // MEMBERS)), "rep")
+
+
 def _recentred(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (fam, rep, n, d, ...) with d taken against the family's core, and the slack s.
 
     The core are the tokens of d more than half as frequent as the most frequent one: the middle of the largest
     cluster. To members far from it the core is one more run of frequent tokens, which no prefix reaches.
     """
+    rows = _dealt(rows)
     held = rows.select("fam", F.explode("d").alias("token")).groupBy("fam", "token").agg(F.count("*").alias("k")).where("k > 1")
     most = held.groupBy("fam").agg(F.max("k").alias("most"))
     core = held.join(most, "fam").where("2 * k > most").groupBy("fam").agg(F.collect_list("token").alias("core"))
     rows = rows.join(settle_lookup(core), "fam", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
     rows = rows.withColumn("d", F.concat(F.array_except("d", "core"), F.array_except("core", "d"))).drop("core")
-    # dealt evenly, whatever families they are in
-    return settle(rows.withColumn("s", (den - num) * F.col("n") - (den + num) * F.size("d")).repartition("rep"))
+    return settle(rows.withColumn("s", (den - num) * F.col("n") - (den + num) * F.size("d")))
 
 
 def _shared_tokens(rows: DataFrame, num: int, den: int, useful) -> DataFrame:
@@ -162,10 +169,10 @@ def _shared_tokens(rows: DataFrame, num: int, den: int, useful) -> DataFrame:
     both = den + num
     most = F.floor(F.lit(den - num) * (F.col("n") + F.floor(F.col("n") * den / F.lit(num))) / F.lit(both))
     reach = (den - num) * F.floor(F.col("n") * den / F.lit(num)) - both * F.greatest(F.lit(0), F.size("d") - most)
-    top = rows.groupBy("fam").agg(F.max("s").alias("hs"))
+    top = settle_lookup(rows.groupBy("fam").agg(F.max("s").alias("hs")))
     # the overlap of differences that the best partner within reach would leave to need
     need = F.greatest(F.lit(1).cast("long"), F.ceil(-(F.col("s") + F.least("hs", reach)) / F.lit(2 * both)))
-    each = rows.join(top, "fam").withColumn("need", need).withColumn("token", F.explode("d")).drop("d", "n", "hs")
+    each = _dealt(rows).join(top, "fam").withColumn("need", need).withColumn("token", F.explode("d")).drop("d", "n", "hs")
     often = each.groupBy("fam", "token").agg(F.count("*").alias("k"), useful.alias("useful")).where("k > 1")
     each = each.join(often, ["fam", "token"])
     own = Window.partitionBy("fam", "rep")
@@ -231,6 +238,7 @@ def large_links(members: DataFrame, num: int, den: int) -> DataFrame:
     for level in range(LEVELS):
         rows = _recentred(rows, num, den)
         hub = rows.groupBy("fam").agg(F.max(F.struct("s", (-F.col("rep")).alias("r"))).alias("h")).select("fam", F.col("h.s").alias("hub_s"), (-F.col("h.r")).alias("hub"))
+        hub = settle_lookup(hub)
         starred = F.when((F.col("s") + F.col("hub_s") >= 0) | (F.col("rep") == F.col("hub")), F.col("hub")).otherwise(F.col("rep"))
         labelled = rows.join(hub, "fam").withColumn("label", starred)
         star = labelled.where("label = hub and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -260,7 +268,7 @@ def later_in_large(members: DataFrame, num: int, den: int) -> DataFrame:
         rows = _recentred(rows, num, den)
         firsts = rows.groupBy("fam", "s").agg(F.min("place").alias("place")).groupBy("fam").agg(F.collect_list(F.struct("s", "place")).alias("firsts"))
         early = F.exists("firsts", lambda e: (e["s"] + F.col("s") >= 0) & (e["place"] < F.col("place")))
-        rows = settle(rows.join(firsts, "fam").withColumn("late", F.col("late") | early).drop("firsts"))
+        rows = settle(rows.join(settle_lookup(firsts), "fam").withColumn("late", F.col("late") | early).drop("firsts"))
         got = rows.where("late").select("rep")
         asking = F.coalesce(F.max(F.when(~F.col("late"), F.col("place"))) > F.min("place"), F.lit(False))
         each = _shared_tokens(rows, num, den, asking).withColumn("ask", ~F.col("late"))
