@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resight.catalog import blocks, sheets as _sheets  # noqa: F401
-from resight.catalog.base import big, cte, num, query
+from resight.catalog.base import cte, num, query
 from resight.operators import histories as H, kernels as K, model as M
 from resight.plans import views as V
 
