@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from resight.llm.words import _BYTE, U, chunks, mix, narrow, split, _powers
+from resight.llm.words import _BYTE, U, chunks, mix, narrow, release, split, _powers
 
 LOCKSTEP = 64
 #: Segments, and pairs of pieces, that a task remembers; a segment's ids are kept as bytes.
@@ -357,6 +357,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     [b.column("id").slice(c.lo, c.hi - c.lo), b.column("text").slice(c.lo, c.hi - c.lo), pa.ListArray.from_arrays(first.astype(np.int32), pa.array(ids))],
                     ["id", "text", "ids"],
                 )
+        del enc
+        release()
 
     return narrow(docs, id_col, text_col).withColumn("text", F.replace("text", F.lit("\u2581"), F.lit(" "))).mapInArrow(run, "id long, text string, ids array<int>")
 
@@ -390,6 +392,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str,
                 text = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[keep_byte]))
                 yield pa.RecordBatch.from_arrays([text, *(b.column(f"keep_{i}").slice(lo, hi - lo) for i in range(len(keep)))], ["decoded", *(f"keep_{i}" for i in range(len(keep)))])
                 lo = hi
+        release()
 
     out = slim.mapInArrow(run, ", ".join(["decoded string", *(f"keep_{i} {k}" for i, k in enumerate(kinds))]))
     return out.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "decoded")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from resight.llm.words import ALNUM, U, chunks, narrow, openings, split
+from resight.llm.words import ALNUM, U, chunks, narrow, openings, release, split
 from resight.session import settle, settle_lookup
 
 OPENINGS = (4, 5, 6)
@@ -77,6 +77,8 @@ def _row_counts(batches):
             rows = len(c.offsets) - 1
             once = np.unique(which.astype(np.int64) * rows + r)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(once // rows, minlength=len(u)).astype(np.int64))], ["feature", "n"])
+            del h, r, u, which, once
+    release()
 
 
 def _features(shared):
