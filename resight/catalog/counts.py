@@ -270,8 +270,10 @@ def _(spark, d):
 
 @query("entry_share", "pp", f"SELECT {GS}, {big('set_id', 'set_id')}, {big('t_k', 't_k')}, {num('pent', 'pent')} FROM pp")
 def _(spark, d):
-    rows = V.period_parameters(spark, d).drop("pent")
-    return reshape.entry_share(rows, [*G, "set_id"]).select(*G, "set_id", "t_k", "pent")
+    paths = V.period_paths(spark, d)
+    paths = paths.withColumn("path", F.transform("path", lambda x: x.dropFields("pent")))
+    shares = reshape.entry_share(paths, [*G, "set_id"])
+    return shares.select(*G, "set_id", F.explode("path").alias("z")).select(*G, "set_id", "z.t_k", "z.pent")
 
 
 @query("softmax_share", "hist", f"SELECT {GS}, {big('t_l', 't_l')}, {num('exp(b) / sum(exp(b)) OVER (PARTITION BY t_yr, grp)', 'share')} FROM (SELECT t_yr, grp, t_l, CASE WHEN t_l = 5 THEN 0 ELSE ln(sum(n)) / 3 END AS b FROM hist GROUP BY 1, 2, 3)")

@@ -14,6 +14,11 @@ def as_col(x) -> Column:
     return x if isinstance(x, Column) else (F.col(x) if isinstance(x, str) else F.lit(x))
 
 
+def bound(value, f) -> Column:
+    """f(value), with the value computed once where f uses it inside a lambda; a plan would put its expression there."""
+    return F.transform(F.array(value), f)[0]
+
+
 def logit(x) -> Column:
     """log(x / (1 - x)), infinite at the ends."""
     x = as_col(x)

@@ -2,14 +2,16 @@
 
 A parameter table has one row per set; a period table has one row per set and period.
 A set has at most a few dozen periods, so recursions over periods run on an ordered
-array of one set inside the JVM, and sets are the unit of parallelism.
+array of one set inside the JVM, and sets are the unit of parallelism. A period table may
+come packed, one row per set with its periods as an array of structs ``path`` (t_k, ...); it
+is then not shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from resight.functions.mathx import as_col, expit
+from resight.functions.mathx import as_col, bound, expit
 from resight.operators.joins import match
 
 
@@ -37,6 +39,11 @@ def with_periods(params: DataFrame, s: str = "s", name: str = "t_k") -> DataFram
     return params.withColumn(name, F.explode(F.when(F.col(s) >= 1, F.sequence(F.lit(1), F.col(s)))))
 
 
+def free_period(t, s, rate: int) -> Column:
+    """The period whose free value stands for period t: of p (``rate`` 0) an inner one, of phi (1) one before the last."""
+    return F.greatest(F.lit(1), F.least(F.greatest(t, F.lit(2)) if rate == 0 else t, s - 1)).cast("int")
+
+
 def expand_params(params: DataFrame, form: str = "sst") -> DataFrame:
     """Per-period p and phi from static values or period arrays.
 
@@ -45,15 +52,17 @@ def expand_params(params: DataFrame, form: str = "sst") -> DataFrame:
     """
     rows = with_periods(params)
     if form[0] == "t":
-        inner = F.greatest(F.lit(1), F.least(F.greatest(F.col("t_k"), F.lit(2)), F.col("s") - 1))
-        rows = rows.withColumn("p", F.try_element_at("p", inner.cast("int")))
+        rows = rows.withColumn("p", F.try_element_at("p", free_period(F.col("t_k"), F.col("s"), 0)))
     if form[1] == "t":
-        rows = rows.withColumn("phi", F.try_element_at("phi", F.greatest(F.least(F.col("t_k"), F.col("s") - 1), F.lit(1)).cast("int")))
+        rows = rows.withColumn("phi", F.try_element_at("phi", free_period(F.col("t_k"), F.col("s"), 1)))
     return rows
 
 
 def _ordered(df: DataFrame, keys, cols, keep=()) -> DataFrame:
     """One row per set with its periods in order as an array of structs."""
+    if "path" in df.columns:
+        periods = F.transform("path", lambda x: F.struct(x["t_k"].alias("t_k"), *[x[c].cast("double").alias(c) for c in cols]))
+        return df.select(*keys, F.array_sort(periods).alias("path"), *keep)
     periods = F.array_sort(F.collect_list(F.struct("t_k", *[F.col(c).cast("double").alias(c) for c in cols])))
     return df.groupBy(*keys).agg(periods.alias("path"), *[F.first(c).alias(c) for c in keep])
 
@@ -142,8 +151,10 @@ def entry_additive_ratio(df: DataFrame, keys, alternative: bool = False) -> Data
 
     The first period is the base of the ratios: its score is 1 and period i has
     exp(log_delta of i-1) times the days since i-1. ``alternative=True`` has no base
-    and normalises exp(log_delta) times days of every period.
+    and normalises exp(log_delta) times days of every period. Of a packed table the keys, t_k, pent and phi come back.
     """
+    if "path" in df.columns:
+        return _entry_path(_ordered(df, keys, ["log_delta", "days", "logit_phi"]), keys, alternative)
     order = W.partitionBy(*keys).orderBy("t_k")
     if alternative:
         score, gap = F.exp("log_delta") * F.col("days"), F.col("days")
@@ -156,6 +167,25 @@ def entry_additive_ratio(df: DataFrame, keys, alternative: bool = False) -> Data
     ).drop("_score", "_gap")
 
 
+def _total(values) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+
+def _entry_path(arr: DataFrame, keys, alternative: bool) -> DataFrame:
+    """``entry_additive_ratio`` on the array of every set."""
+
+    def one(path, x, i):
+        if alternative:
+            score, gap = F.exp(x["log_delta"]) * x["days"], x["days"]
+        else:
+            score, gap = F.when(i == 0, 1.0).otherwise(F.exp(F.get(path, i - 1)["log_delta"]) * x["days"]), F.get(path, i + 1)["days"]
+        return F.struct(x["t_k"].alias("t_k"), score.alias("score"), F.pow(expit(x["logit_phi"]), gap).alias("phi"))
+
+    z = arr.select(*keys, bound(F.col("path"), lambda path: F.transform(path, lambda x, i: one(path, x, i))).alias("o"))
+    z = z.withColumn("total", _total(F.transform("o", lambda x: x["score"]))).select(*keys, "total", F.explode("o").alias("z"))
+    return z.select(*keys, "z.t_k", F.try_divide(F.col("z.score"), F.col("total")).alias("pent"), "z.phi")
+
+
 def three_state_forward(phi, p, steps) -> Column:
     """(alive, detected, dead) after ``steps`` periods from alive; detection absorbs."""
     phi, p, steps = as_col(phi), as_col(p), as_col(steps)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from resight.functions.mathx import bound
 from resight.operators.clean import row_index
 from resight.operators.joins import match
 from resight.session import settle_lookup
@@ -30,12 +31,28 @@ def group_id(df: DataFrame, keys, name: str = "grp") -> DataFrame:
     return match(df, settle_lookup(numbered.withColumn(name, F.col(name) - 1)), keys, "left")
 
 
+def _share_of_path(df: DataFrame, score, name: str) -> DataFrame:
+    """A packed table (a set's periods as ``path``) with each period's share of its set's total score."""
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+    shares = bound(score, lambda e: bound(total(e), lambda all_: F.zip_with("path", e, lambda x, one: x.withField(name, F.try_divide(one, all_)))))
+    return df.withColumn("path", shares)
+
+
 def entry_share(df: DataFrame, keys, value: str = "delta", name: str = "pent") -> DataFrame:
+    """Of a packed table the periods' structs get the share."""
+    if "path" in df.columns:
+        return _share_of_path(df, F.transform("path", lambda x: x[value]), name)
     return share_within(df, keys, value, name)
 
 
 def softmax_share(df: DataFrame, keys, value: str = "b", name: str = "share") -> DataFrame:
-    """exp(value) normalised within the group, shifted by the group maximum for safety."""
+    """exp(value) normalised within the group, shifted by the group maximum for safety.
+
+    Of a packed table the periods' structs get the share.
+    """
+    if "path" in df.columns:
+        top = F.array_max(F.transform("path", lambda x: x[value]))
+        return _share_of_path(df, bound(top, lambda most: F.transform("path", lambda x: F.exp(x[value] - most))), name)
     part = W.partitionBy(*keys)
     e = df.withColumn("_e", F.exp(F.col(value) - F.max(value).over(part)))
     return e.withColumn(name, F.col("_e") / F.sum("_e").over(part)).drop("_e")

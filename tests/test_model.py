@@ -492,3 +492,39 @@ def test_biodata_scores(spark):
     assert got["a", "age", 0] == pytest.approx(math.log(3 * 0.5**2 * 0.3)) and got["b", "sex", 0] == pytest.approx(2 * math.log(0.6))
     # a class without a share
     assert ("b", "age", 0) not in got or got["b", "age", 0] == -math.inf
+
+
+# ---- packed sets
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange"), plan.count("Join")
+
+
+def packed(long, keys, cols):
+    return long.groupBy(*keys).agg(F.collect_list(F.struct("t_k", *cols)).alias("path"))
+
+
+def test_packed_sets_give_the_long_tables_results_without_a_shuffle(spark):
+    cols = ["phi", "p", "pent", "log_delta", "days", "logit_phi", "delta", "b"]
+    rows = [(g, t, 0.5 + g / 40, 0.3 + t / 50, t / 15.0, (g - t) / 4.0, float(1 + t % 3), 2.0 + g / 5, float(1 + g * t % 4), g * t / 9.0) for g in (1, 2) for t in range(5, 0, -1)]
+    long = spark.createDataFrame(rows, "g int, t_k int, phi double, p double, pent double, log_delta double, days double, logit_phi double, delta double, b double")
+    # the third set comes in two equal rows
+    long = long.unionByName(long.where("g = 2").withColumn("g", F.lit(3))).unionByName(long.where("g = 2").withColumn("g", F.lit(3)))
+    one = packed(long, ["g"], cols).localCheckpoint()
+    flat = lambda df, c: df.select("g", F.explode("path").alias("z")).select("g", "z.t_k", f"z.{c}")
+    from resight.operators import reshape
+
+    pairs = {
+        "lambda": (M.lambda_varying(long, ["g"]), M.lambda_varying(one, ["g"])),
+        "psi": (M.psi_recursion(long, ["g"]), M.psi_recursion(one, ["g"])),
+        "js": (M.js_quantities(long, ["g"]).select("g", "t_k", "tau", "multP"), M.js_quantities(one, ["g"]).select("g", "t_k", "tau", "multP")),
+        "ratio": (M.entry_additive_ratio(long, ["g"]).select("g", "t_k", "pent", "phi"), M.entry_additive_ratio(one, ["g"])),
+        "days": (M.entry_additive_ratio(long, ["g"], True).select("g", "t_k", "pent", "phi"), M.entry_additive_ratio(one, ["g"], True)),
+        "share": (reshape.entry_share(long, ["g"], name="x").select("g", "t_k", "x"), flat(reshape.entry_share(one, ["g"], name="x"), "x")),
+        "softmax": (reshape.softmax_share(long, ["g"], name="x").select("g", "t_k", "x"), flat(reshape.softmax_share(one, ["g"], name="x"), "x")),
+    }
+    for name, (want, got) in pairs.items():
+        assert exchanges(got) == (0, 0), name
+        order = lambda df: sorted([tuple(-1.0 if v is None else round(v, 9) for v in r) for r in df.collect()])
+        assert order(got) == order(want), name
