@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from resight.functions.mathx import bound
 from resight.operators.joins import match
 from resight.session import settle, settle_lookup
 
@@ -124,7 +125,11 @@ def forward_states(kernel: DataFrame, entries: DataFrame, keys, k: int) -> DataF
     """
     order = F.array_sort(F.collect_list(F.struct("t_k", "loc", F.col("value").cast("double").alias("v"))))
     packed = entries.groupBy(*keys).agg(order.alias("o")).withColumn("entries", F.transform("o", lambda x: x["v"]))
-    both = match(pack(kernel, keys, k), packed.select(*keys, "entries"), keys)
+    return forward_packed(match(pack(kernel, keys, k).hint("merge"), packed.select(*keys, "entries"), keys), keys, k)
+
+
+def forward_packed(both: DataFrame, keys, k: int) -> DataFrame:
+    """``forward_states`` of rows (keys, kernel, entries): k*k numbers, and k for each period in order of period and state."""
     run = both.select(*keys, F.posexplode(_forward_udf(k)("kernel", "entries")).alias("_at", "value"))
     return run.select(*keys, (F.floor(F.col("_at") / k) + 1).cast("int").alias("t_k"), (F.col("_at") % k + 1).alias("loc"), "value")
 
@@ -132,12 +137,26 @@ def forward_states(kernel: DataFrame, entries: DataFrame, keys, k: int) -> DataF
 def movement_forward(movement: DataFrame, entries: DataFrame, rates: DataFrame, keys, k: int) -> DataFrame:
     """Available undetected individuals by location when survivors may move upstream.
 
-    ``rates`` has phi and p per key; one step keeps phi (1 - p) of the movement row.
+    ``rates`` has phi and p per key; one step keeps phi (1 - p) of the movement row. Every side has the keys' size,
+    which a plan can't tell from exploded cells, so none is left to be broadcast.
     """
-    step = match(movement, rates.select(*keys, "phi", "p"), keys).withColumn("value", F.col("value") * F.col("phi") * (1 - F.col("p")))
+    step = match(movement.hint("merge"), rates.select(*keys, "phi", "p"), keys).withColumn("value", F.col("value") * F.col("phi") * (1 - F.col("p")))
     return forward_states(step, entries, keys, k)
 
 
+def movement_row(score, k: int):
+    """``movement_kernel`` as one flat array, from a score for each pair of states (from, to)."""
+    rows = [[F.lit(1.0) if i == j else F.exp(score(i, j)) for j in range(i, k + 1)] for i in range(1, k + 1)]
+    sums = [sum(row[1:], row[0]) for row in rows]
+    return F.flatten(F.array(*[F.array(*[F.lit(0.0)] * i, *[e / total for e in row]) for i, (row, total) in enumerate(zip(rows, sums))]))
+
+
+def movement_forward_packed(sets: DataFrame, keys, k: int) -> DataFrame:
+    """``movement_forward`` of rows (keys, phi, p, kernel, entries), which need no join and no shuffle."""
+    step = bound(F.col("phi") * (1 - F.col("p")), lambda stay: F.transform("kernel", lambda x: x * stay))
+    return forward_packed(sets.select(*keys, step.alias("kernel"), "entries"), keys, k)
+
+
 def abundance_states(rates: DataFrame, born: DataFrame, keys, k: int, log_rate: str = "log_rate") -> DataFrame:
     """N_t = Phi(1/2)' B_t + Phi' N_{t-1} over k states."""
     half = rate_to_transition(rates, keys, k, log_rate, 0.5).withColumnRenamed("value", "h")

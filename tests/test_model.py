@@ -528,3 +528,18 @@ def test_packed_sets_give_the_long_tables_results_without_a_shuffle(spark):
         assert exchanges(got) == (0, 0), name
         order = lambda df: sorted([tuple(-1.0 if v is None else round(v, 9) for v in r) for r in df.collect()])
         assert order(got) == order(want), name
+
+
+def test_packed_kernels_give_the_long_ones_results_without_a_join(spark):
+    score = lambda i, j: F.col("g") * i / 7.0 - 0.2 * j
+    keys = spark.createDataFrame([(1, 0.6, 0.5), (2, 0.8, 0.3)], "g int, phi double, p double").localCheckpoint()
+    pairs = [(i, j) for i in range(1, 4) for j in range(i, 4)]
+    long = keys.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("from_l"), F.lit(j).alias("to_l"), score(i, j).alias("par")) for i, j in pairs])).alias("c")).select("g", "c.*")
+    entries = [(t, j, float(t * j)) for t in (1, 2, 3, 4) for j in (1, 2, 3)]
+    cells = keys.select("g", F.explode(F.array(*[F.struct(F.lit(t).alias("t_k"), F.lit(j).alias("loc"), F.lit(v).alias("value")) for t, j, v in entries])).alias("c")).select("g", "c.*")
+    order = lambda df: sorted([tuple(-9.0 if v is None else round(v, 9) for v in r) for r in df.collect()])
+    want = K.movement_forward(K.movement_kernel(long, ["g"]), cells, keys, ["g"], 3)
+    assert "BroadcastHashJoin" not in want._jdf.queryExecution().executedPlan().toString()
+    row = keys.withColumns({"kernel": K.movement_row(score, 3), "entries": F.array(*[F.lit(v) for _, _, v in entries])})
+    got = K.movement_forward_packed(row, ["g"], 3)
+    assert exchanges(got) == (0, 0) and order(got) == order(want)
