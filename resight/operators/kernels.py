@@ -89,6 +89,20 @@ def row_softmax_transition(scores: DataFrame, keys, k: int, par: str = "par") ->
     return rows.select(*keys, "from_l", "to_l", (F.col("e") / F.sum("e").over(W.partitionBy(*keys, "from_l"))).alias("value"))
 
 
+def softmax_cells(live, k: int):
+    """``row_softmax_transition`` of one row's cells: an array of (from_l, to_l, e), e being the exponentiated score."""
+    total = lambda c, i: F.aggregate(F.filter(c, lambda x: x["from_l"] == i), F.lit(1.0), lambda a, x: a + F.coalesce(x["e"], F.lit(0.0)))
+    cell = lambda i, j, v: F.struct(i.alias("from_l"), j.alias("to_l"), v.alias("value"))
+    end = F.lit(k + 1)
+
+    def rows(c):
+        stay = F.transform(c, lambda x: cell(x["from_l"], x["to_l"], x["e"] / total(c, x["from_l"])))
+        lead = F.transform(F.array_distinct(F.transform(c, lambda x: x["from_l"])), lambda i: cell(i, end, 1.0 / total(c, i)))
+        return F.concat(stay, lead, F.array(cell(end, end, F.lit(1.0))))
+
+    return bound(live, rows)
+
+
 def movement_kernel(scores: DataFrame, keys, par: str = "par") -> DataFrame:
     """Upstream-only movement: diagonal score 1, exp(par) above it, rows normalised."""
     stay = F.when(F.col("from_l") == F.col("to_l"), 1.0).otherwise(F.exp(par))
@@ -175,11 +189,34 @@ def pooled_group_kernel(rates: DataFrame, born: DataFrame, keys, group: str = "g
 
 
 def transition_detection(kernel: DataFrame, detect: DataFrame, keys) -> DataFrame:
-    """Product of a transition and a detection kernel on the shared inner state."""
+    """Product of a transition and a detection kernel on the shared inner state.
+
+    Both sides hold cells of every key, made by an explosion whose size a plan doesn't see; neither may be broadcast.
+    """
     right = detect.select(*keys, F.col("from_l").alias("mid"), F.col("to_l").alias("out_l"), F.col("value").alias("d"))
     left = kernel.withColumnRenamed("to_l", "mid")
-    prod = match(left, right, [*keys, "mid"]).groupBy(*keys, "from_l", F.col("out_l").alias("to_l")).agg(F.sum(F.col("value") * F.col("d")).alias("value"))
-    return prod.withColumn("logit", F.when((F.col("value") > 0) & (F.col("value") < 1), F.log(F.col("value") / (1 - F.col("value")))))
+    prod = match(left.hint("merge"), right, [*keys, "mid"]).groupBy(*keys, "from_l", F.col("out_l").alias("to_l")).agg(F.sum(F.col("value") * F.col("d")).alias("value"))
+    return prod.withColumn("logit", _logit())
+
+
+def _logit():
+    return F.when((F.col("value") > 0) & (F.col("value") < 1), F.log(F.col("value") / (1 - F.col("value"))))
+
+
+def transition_detection_packed(sets: DataFrame, keys) -> DataFrame:
+    """``transition_detection`` of one row a key with both kernels' cells as arrays, without a join or a shuffle."""
+    def product(x):
+        meet = lambda y: F.transform(F.filter("detection", lambda z: z["from_l"] == y["to_l"]), lambda z: F.struct(y["from_l"].alias("from_l"), z["to_l"].alias("to_l"), (y["value"] * z["value"]).alias("value")))
+        return F.flatten(F.transform(x, meet))
+
+    def summed(prod):
+        pairs = F.array_distinct(F.transform(prod, lambda x: F.struct(x["from_l"].alias("from_l"), x["to_l"].alias("to_l"))))
+        of = lambda q: F.filter(prod, lambda x: (x["from_l"] == q["from_l"]) & (x["to_l"] == q["to_l"]) & x["value"].isNotNull())
+        total = lambda q: F.aggregate(of(q), F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x["value"], x["value"]))
+        return F.transform(pairs, lambda q: F.struct(q["from_l"].alias("from_l"), q["to_l"].alias("to_l"), total(q).alias("value")))
+
+    cells = bound(product("transition"), summed)
+    return sets.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").withColumn("logit", _logit())
 
 
 def _powers_udf(k: int):

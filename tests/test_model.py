@@ -543,3 +543,12 @@ def test_packed_kernels_give_the_long_ones_results_without_a_join(spark):
     row = keys.withColumns({"kernel": K.movement_row(score, 3), "entries": F.array(*[F.lit(v) for _, _, v in entries])})
     got = K.movement_forward_packed(row, ["g"], 3)
     assert exchanges(got) == (0, 0) and order(got) == order(want)
+
+    found = [(i, i, 0.1 * i) for i in (1, 2, 3)] + [(i, 4, 1 - 0.1 * i) for i in (1, 2, 3)] + [(4, 4, 1.0)]
+    seen = F.array(*[F.struct(F.lit(i).alias("from_l"), F.lit(j).alias("to_l"), F.lit(v).alias("value")) for i, j, v in found])
+    detect = keys.select("g", F.explode(seen).alias("c")).select("g", "c.*")
+    want = K.transition_detection(K.row_softmax_transition(long, ["g"], 3), detect, ["g"])
+    assert "BroadcastHashJoin" not in want._jdf.queryExecution().executedPlan().toString()
+    live = F.array(*[F.struct(F.lit(i).alias("from_l"), F.lit(j).alias("to_l"), F.exp(score(i, j)).alias("e")) for i, j in pairs])
+    got = K.transition_detection_packed(keys.select("g", K.softmax_cells(live, 3).alias("transition"), seen.alias("detection")), ["g"])
+    assert exchanges(got) == (0, 0) and order(got) == order(want.select(*got.columns))
