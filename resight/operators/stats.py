@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from resight.functions.mathx import logit
 from resight.operators.reshape import column_values
+from resight.session import settle
 
 # The per-period statistics, named apart because R/r and T/t differ by case only.
 STATS = ("seen", "marked", "first_seen", "recap_later", "recap_now", "at_risk")
@@ -79,13 +80,14 @@ def check_breakdown(df: DataFrame, states=None) -> DataFrame:
 
     Without ``states`` those which occur are taken; a list that lacks one of them is refused.
     """
-    failed = df.where(F.col("check") == -1)
+    # counted once: the states are looked up, and spread over columns, in the small table
+    failed = settle(df.where(F.col("check") == -1).groupBy("Return_Yr", "TagState", "RecapState").count())
     states = column_values(failed, "RecapState", states)
     return (
         failed
         .groupBy("Return_Yr", "TagState")
         .pivot("RecapState", list(states))
-        .count()
+        .agg(F.sum("count"))
         .withColumnsRenamed({str(k): f"recap_{k}" for k in states})
         .orderBy("Return_Yr", "TagState")
     )

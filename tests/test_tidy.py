@@ -257,6 +257,19 @@ def test_ties_are_numbered_once_each(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"a": list(range(1, 54)), "b": [1, 2], None: [1]}
 
 
+def test_checks_are_counted_once(spark, monkeypatch):
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(x):
+        passes.add(1)
+        return x
+
+    checks = spark.createDataFrame([(2013, 7, 6, -1), (2013, 7, 1, -1), (2013, 7, None, -1)], "Return_Yr int, TagState int, RecapState int, check int")
+    got = stats.check_breakdown(checks.withColumn("TagState", seen.asNondeterministic()("TagState")), (1, 6)).collect()
+    assert [r.asDict() for r in got] == [{"Return_Yr": 2013, "TagState": 7, "recap_1": 1, "recap_6": 1}] and passes.value == 3
+
+
 def test_na_cells_are_missing(spark, tmp_path):
     for name, head, line in (("a", "Return_Yr,Tag1,RecapTag1,FL", "2013,NA,NA, NA "), ("b", "Return_Yr,Tag1", "2014,"), ("c", "FL,Tag1", "60,T9")):
         (tmp_path / f"{name}.csv").write_text(f"{head}\n{line}\n")
