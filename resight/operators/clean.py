@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from resight.functions.calendar import parse_date, week_block, week_rollover
 from resight.operators.joins import match
 from resight.operators.schema import FINAL_COLUMNS
-from resight.session import settle, settle_lookup
+from resight.session import BROADCAST_ROWS, settle, settle_lookup
 
 
 def filter_species(df: DataFrame, keep, col: str = "SPECIES") -> DataFrame:
@@ -148,13 +150,27 @@ def recode_sex(df: DataFrame, unknown=("Unknown", "Adult"), col: str = "Sex") ->
     return df.withColumn(col, F.when(F.col(col).isNull() | F.col(col).isin(*unknown), "-1").otherwise(F.col(col)))
 
 
-def number_ties(df: DataFrame, keys, order, name: str = "Row_No") -> DataFrame:
+def number_ties(df: DataFrame, keys, order, name: str = "Row_No", telling=()) -> DataFrame:
     """Numbers from 1 the rows which are alike in ``keys``, by a digest of ``order``.
 
     Rows alike in all columns are counted (in part before the shuffle) and given back with
     their numbers, so a large run of equal rows never meets in one task; the window sees one row for each
     distinct combination of the other columns.
+
+    ``telling`` names key columns (tags) that tell most rows apart. Of rows that have one only a hash of the
+    keys is shuffled; those whose hash occurs once are number 1 where they lie.
     """
+    if telling:
+        told = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in telling])
+        hashed = df.withColumn("_k", F.when(told, F.xxhash64(*keys)))
+        again = settle(hashed.where(told).groupBy("_k").count().where("count > 1").select("_k"))
+        # so many that they can't be looked up: all rows are gathered
+        if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            again = F.broadcast(again)
+            # a null hash meets no other, so rows without a tag are gathered as well
+            tied = hashed.where("_k is null").union(hashed.join(again, "_k", "left_semi").select(hashed.columns)).drop("_k")
+            alone = hashed.where("_k is not null").join(again, "_k", "left_anti").select(*df.columns, F.lit(1).cast("long").alias(name))
+            return number_ties(tied, keys, order, name).union(alone)
     rest = [c for c in df.columns if c not in keys]
     digest = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in order]))
     same = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", digest)

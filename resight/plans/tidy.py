@@ -32,7 +32,7 @@ def classified(rows: DataFrame, keys=()) -> DataFrame:
 def imputed(rows: DataFrame, master: DataFrame, seed: int, bio: str, groups: str, draw_keys=None, keys=()) -> DataFrame:
     props, _ = sex.sex_ratios(rows, master, bio, groups, keys)
     if draw_keys is None:
-        rows, draw_keys = clean.number_ties(rows, (*keys, *DRAW_KEYS), TIE_ORDER), (*DRAW_KEYS, "Row_No")
+        rows, draw_keys = clean.number_ties(rows, (*keys, *DRAW_KEYS), TIE_ORDER, telling=("Tag1", "Tag2")), (*DRAW_KEYS, "Row_No")
     return sex.impute_category(sex.attach_sex_props(rows, props, keys), seed, draw_keys).drop("Row_No")
 
 

@@ -257,6 +257,21 @@ def test_ties_are_numbered_once_each(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"a": list(range(1, 54)), "b": [1, 2], None: [1]}
 
 
+def test_rows_with_tags_of_their_own_are_numbered_where_they_lie(spark, monkeypatch):
+    """Same numbers as by gathering all rows; the number of looked-up hashes does not matter."""
+    rows = [(f"T{i}", None, "x") for i in range(40)] + [("T1", None, "y"), ("T2", None, "x"), (None, "U", "z"), (None, None, "x"), (None, None, "y"), (None, None, "y"), (None, None, None)]
+    df = spark.createDataFrame(rows, "Tag1 string, Tag2 string, v string")
+    want = rows_of(clean.number_ties(df, ["Tag1", "Tag2"], ["v"]), "Tag1", "Tag2", "v", "Row_No")
+    assert len(want) == len(rows)
+    shuffled = []
+    for most in (1000, 0):
+        monkeypatch.setattr(clean, "BROADCAST_ROWS", most)
+        got = clean.number_ties(df, ["Tag1", "Tag2"], ["v"], telling=("Tag1", "Tag2"))
+        assert rows_of(got, "Tag1", "Tag2", "v", "Row_No") == want
+        shuffled.append("left_anti" in got._jdf.queryExecution().toString().lower().replace("leftanti", "left_anti"))
+    assert shuffled == [True, False]
+
+
 def test_checks_are_counted_once(spark, monkeypatch):
     passes = spark.sparkContext.accumulator(0)
 
