@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from resight.llm.words import LOWER, U, chunks, mix, split
+from resight.llm.words import LOWER, U, chunks, freeing, mix, split
 from resight.operators.clean import row_index
 from resight.session import settle
 
 LOOKUP = 1 << 21
 #: Keys that a task gathers before it counts them.
 HELD = 1 << 21
+#: Occurrences of a relation that are worked on at a time: texts are taken in runs of about so many.
+PORTION = 1 << 18
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD = ~SEPARATOR
@@ -78,9 +80,19 @@ def _first_keys(batches):
             )
 
 
+def _portions(batches, column):
+    """Runs of whole rows with about ``PORTION`` items of a list column, so memory does not follow the Arrow batch."""
+    for b in batches:
+        first, lo = b.column(column).offsets.to_numpy(), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(first, int(first[lo]) + PORTION, side="right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _joined(batches):
     """The relation of one length -> that of the next, unnumbered: occurrences at adjacent places of a piece."""
-    for b in batches:
+    for b in _portions(batches, "step"):
         step, item = b.column("step"), b.column("item")
         first = step.offsets.to_numpy().astype(np.int64)
         s, v = step.values.to_numpy()[first[0] : first[-1]].astype(np.int64), item.values.to_numpy()
@@ -114,7 +126,7 @@ def _tally(keys):
         if held:
             yield counted()
 
-    return run
+    return freeing(run)
 
 
 def _number(keys, shared):
@@ -132,7 +144,7 @@ def _number(keys, shared):
             offsets = np.concatenate([[0], np.cumsum(ok)])[first]
             yield pa.RecordBatch.from_arrays([b.column("row"), *_steps(offsets, place, i[ok])], ["row", "step", "item"])
 
-    return run
+    return freeing(run)
 
 
 def _steps(offsets, place, item):
@@ -145,7 +157,7 @@ def _steps(offsets, place, item):
 
 
 def _repack(batches):
-    for b in batches:
+    for b in _portions(batches, "at"):
         at = b.column("at")
         first = at.offsets.to_numpy()
         yield pa.RecordBatch.from_arrays([b.column("row"), *_steps(first - first[0], at.flatten().to_numpy().astype(np.int64), b.column("item").flatten().to_numpy())], ["row", "step", "item"])
@@ -175,7 +187,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     inside pieces, the highest count of a phrase one word longer that it lies in (null if none), and all words of a language."""
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), lang.alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_count_words, "lang string, word string, key long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    counted = texts.mapInArrow(freeing(_count_words), "lang string, word string, key long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
     counted = settle(counted)
     if counted.groupBy("key").count().where("count > 1").limit(1).count():
         raise ValueError("two words share a 64-bit hash; change the multiplier of words.py")
