@@ -622,3 +622,16 @@ def test_token_store(spark, docs, rows, none, tmp_path):
     assert few.count() == 4 and "PushedFilters: [" in few._jdf.queryExecution().toString()
     write_tokens(none, f"{tmp_path}/no", path)
     assert token_index(spark, f"{tmp_path}/no").count() == 0
+
+
+@pytest.mark.parametrize("others", [0, 200])
+def test_windows_meet_whatever_the_size_of_their_class(spark, others):
+    """Two windows that agree on the token next to the minimum alone meet, among many of their kind too."""
+    from resight.llm.substring_dedup import BESIDE, _in_classes
+
+    # the tokens further off, where they are kept, and the one behind are each window's own
+    layout = [5 if d == BESIDE[0] else None for d in BESIDE]
+    rows = [(7, i, i << 3, 0, sum((i + 100 * k if t is None else t) << 16 * (len(layout) - 1 - k) for k, t in enumerate(layout))) for i in range(1, 3 + others)]
+    found = spark.createDataFrame(rows, "value long, id long, cf long, win long, beside long")
+    met = {(r.id, r.id2) for r in _in_classes(found.where("id = 1"), found).collect()}
+    assert met == {(1, i) for i in range(2, 3 + others)}
