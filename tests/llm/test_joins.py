@@ -141,6 +141,22 @@ def test_collocations(spark, max_words, lookup, least):
     assert len(want) > 10 and {tuple(r) for r in got.collect()} == want
 
 
+def test_relations_are_worked_on_in_runs_of_texts(monkeypatch):
+    """A run is bounded by its occurrences, not by the batch, and runs give what the whole batch gives."""
+    import pyarrow as pa
+
+    from resight.llm import collocations as C
+
+    r = random.Random(1)
+    n = [r.randrange(9) for _ in range(200)] + [50, 0]
+    step, item = ([[r.randint(1, 2) for _ in range(k)] for k in n], [[r.randrange(5) for _ in range(k)] for k in n])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(n))), pa.array(step, pa.list_(pa.int32())), pa.array(item, pa.list_(pa.int64()))], ["row", "step", "item"])
+    whole = pa.Table.from_batches(C._joined([batch])).to_pylist()
+    monkeypatch.setattr(C, "PORTION", 20)
+    parts = list(C._joined([batch.slice(0, 100), batch.slice(100), batch.slice(0, 0)]))
+    assert len(parts) > 30 and pa.Table.from_batches(parts).to_pylist() == whole
+
+
 def test_collocations_of_nothing(spark):
     from resight.llm.collocations import collocations
 
