@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from resight.llm.families import LEAF, later_in_large, later_in_small, sets_of, sums
 from resight.llm.graph import components
-from resight.llm.words import ALNUM, U, Chunk, chunks, mix, narrow, shingles, split
+from resight.llm.words import ALNUM, U, Chunk, chunks, freeing, mix, narrow, shingles, split
 from resight.session import settle, settle_lookup
 
 BUCKETS = 1 << 20
@@ -203,11 +203,11 @@ def _family_ties(texts: DataFrame, order: np.ndarray, shingle: int, num: int, de
     """Ties (a, b) that connect the sets, named by s1, which share a prefix token."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(order)
-    ends = texts.select("text").mapInArrow(_ends(shared, shingle, num, den), "token long, a long, b long")
+    ends = texts.select("text").mapInArrow(freeing(_ends(shared, shingle, num, den)), "token long, a long, b long")
     live = settle(ends.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b"))
     # with two holders the token itself names them; more of them are looked up
     shared = spark.sparkContext.broadcast((order, _bit_table(live)))
-    holders = texts.select("text").mapInArrow(_holders(shared, shingle, num, den), "token long, s1 long")
+    holders = texts.select("text").mapInArrow(freeing(_holders(shared, shingle, num, den)), "token long, s1 long")
     more = holders.join(live, "token").where("s1 <> a and s1 <> b").select("a", F.col("s1").alias("b"))
     return live.select("a", "b").union(more).distinct()
 
@@ -215,7 +215,7 @@ def _family_ties(texts: DataFrame, order: np.ndarray, shingle: int, num: int, de
 def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
     """(id, line) of every line to remove."""
     texts = narrow(docs, id_col, text_col).where("id is not null")
-    scanned = settle(texts.mapInArrow(_scan(shingle), "id long, line int, n int, s1 long, s2 long, slice int, counts binary"))
+    scanned = settle(texts.mapInArrow(freeing(_scan(shingle)), "id long, line int, n int, s1 long, s2 long, slice int, counts binary"))
     order = rarity(scanned.where("slice is not null").select("slice", "counts"))
     lines = scanned.where("slice is null").select("id", "line", "n", "s1", "s2")
     # equal sets: one entry, at the first of their places
@@ -225,7 +225,7 @@ def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
     sizes = family.groupBy("fam").count()
     members = entries.join(family.join(sizes, "fam"), "s1").select("fam", "rep", "s1", "id", "line", "count")
     want = members.groupBy("id").agg(F.collect_list(F.struct("line", "rep", "fam", "s1")).alias("want"))
-    taken = texts.where("text is not null").join(settle_lookup(want), "id").mapInArrow(_take, "fam long, rep long, s1 long, id long, line int, text string")
+    taken = texts.where("text is not null").join(settle_lookup(want), "id").mapInArrow(freeing(_take), "fam long, rep long, s1 long, id long, line int, text string")
     taken = settle(taken.join(settle_lookup(sizes.where(f"count > {LEAF}").select("fam").withColumn("large", F.lit(True))), "fam", "left"))
     split_sets = partial(sets_of, shingle=shingle, word=ALNUM)
     late = later_in_small(taken.where("large is null"), split_sets, num, den)
@@ -269,6 +269,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = base.select(*(F.col(f"`{f.name}`").alias(f"keep_{i}") for i, f in enumerate(others)), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("own_id"))
     slim = slim.join(gone, slim["own_id"] == gone["gone_id"], "left").drop("own_id", "gone_id")
     schema = ", ".join([*(f"keep_{i} {f.dataType.simpleString()}" for i, f in enumerate(others)), "text string, n_lines long, n_removed long"])
-    out = slim.mapInArrow(_drop, schema)
+    out = slim.mapInArrow(freeing(_drop), schema)
     names = {f.name: f"keep_{i}" for i, f in enumerate(others)} | {text_col: "text"}
     return out.select(*(F.col(names[c]).alias(c) for c in base.columns), "n_lines", "n_removed")
