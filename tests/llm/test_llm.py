@@ -635,3 +635,21 @@ def test_windows_meet_whatever_the_size_of_their_class(spark, others):
     found = spark.createDataFrame(rows, "value long, id long, cf long, win long, beside long")
     met = {(r.id, r.id2) for r in _in_classes(found.where("id = 1"), found).collect()}
     assert met == {(1, i) for i in range(2, 3 + others)}
+
+
+def test_nodes_are_compared_in_runs(monkeypatch):
+    """A run is bounded by its members, and runs give the pairs that the whole batch gives."""
+    import pyarrow as pa
+
+    from resight.llm import near_dedup as N
+
+    r = random.Random(4)
+    kinds = [bytes([k]) * N._WIDTH for k in range(3)]
+    nodes = [[{"rep": r.randrange(10**6), "n": 5, "sketch": r.choice(kinds)} for _ in range(r.randint(2, 6))] for _ in range(60)]
+    kind = pa.list_(pa.struct([("rep", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes, kind)], ["members"])
+    pairs = lambda parts: sorted((x["a"], x["b"]) for p in parts for x in p.to_pylist())
+    want = pairs(N._compare(0.8, 0.8)([batch]))
+    monkeypatch.setattr(N, "PORTION", 10)
+    parts = list(N._compare(0.8, 0.8)([batch.slice(0, 7), batch.slice(7)]))
+    assert len(parts) > 20 and len(want) > 20 and pairs(parts) == want
