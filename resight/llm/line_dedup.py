@@ -4,10 +4,12 @@ A line's tokens are its distinct word shingles (a line of fewer words is one tok
 occurs. Tokens have one order for all lines: by rarity, then by hash. Rarity is a count over
 all text in a table of ``BUCKETS`` hash buckets, which has a fixed size and can be broadcast; any total
 order gives exact results, rarity only keeps lists short. Of n tokens an entry's prefix are the
-first n - ceil(t n) + 1; similar entries share a token of their prefixes. A first pass finds, by keyed minima and
-maxima, which prefix tokens several sets have and two of these; a second one only gives those tokens' other holders.
-So a token ties its holders together for a row each, and what hangs together is a family.
-Within families sets are compared in order of place, with the length filter and in full (``families``): small ones pair by pair, large
+first n - ceil(t n) + 1; similar entries share a token of their prefixes. Prefixes are written once, in blocks. Their tokens
+alone, cut to 48 bits, go to ranges of their hash, which return a bit table of fixed size of those that repeat; only tokens whose bit is set
+become rows with their holders (the table thins out; the grouping that follows is exact).
+A token's holders are tied to the least of them, for a row each, and all that are tied to one set are its family; a pair with
+a common token meets in the family of that token's least holder. Within families sets are compared in order of place, with the length filter and in full (``families``): one that a task can hold
+(``MEMBERS`` sets, ``TOKENS`` tokens) in that task, by the prefixes in it, larger
 ones by what their lines have over or lack against the family's core, with prefix and position filters on that. A line is
 removed if its set occurs earlier, or if an earlier entry matches it; earlier means by document id, then line number.
 """
@@ -21,13 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from resight.llm.families import LEAF, later_in_large, later_in_small, sets_of, sums
-from resight.llm.graph import components
+from resight.llm.kneser_ney import BLOCK, _batch, _pack, _range, _six, _slices
+from resight.llm.substring_dedup import TABLE_BITS, _repeated
 from resight.llm.words import ALNUM, U, Chunk, chunks, freeing, mix, narrow, shingles, split
 from resight.session import settle, settle_lookup
 
 BUCKETS = 1 << 20
 SLICE = 1 << 16
-TABLE_BITS = 27
+#: A family up to these bounds is compared in one task.
+MEMBERS = 1 << 12
+TOKENS = 1 << 18
+#: Tokens that a task holds before it sends them off, and tokens of all lines for each range of prefix tokens.
+BUFFER = 1 << 20
+RANGE_TOKENS = 1 << 24
 
 
 def _lines(c: Chunk) -> tuple[Chunk, np.ndarray, np.ndarray]:
@@ -92,15 +100,20 @@ def _scan(shingle):
     """Lines (id, line, n, s1, s2), and at the end of a task rows (slice, counts) of how often tokens of each hash bucket occur."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total, held = np.zeros(BUCKETS, np.int64), []
         names = ["id", "line", "n", "s1", "s2", "slice", "counts"]
         for b in batches:
             ids = b.column("id")
             for c in chunks(b.column("text")):
                 row, number, at, t = _line_sets(c, shingle)
-                total += np.bincount((t >> U(44)).astype(np.int64), minlength=BUCKETS)
+                held.append((t >> U(44)).astype(np.int32))
+                if sum(map(len, held)) > BUFFER:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held.clear()
                 lines = [ids.take(pa.array(row + c.lo)), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), *(pa.array(x) for x in _sums(at, t))]
                 yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())], names)
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         keep = [k for k in range(0, BUCKETS, SLICE) if total[k : k + SLICE].any()]
         none = [pa.nulls(len(keep), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*none, pa.array([k // SLICE for k in keep], pa.int32()), pa.array([_short(total[k : k + SLICE]) for k in keep], pa.binary())], names)
@@ -109,7 +122,7 @@ def _scan(shingle):
 
 
 def _prefixes(order, shingle, num, den):
-    """For each chunk of a batch (token, s1): the rarest tokens of each line, as many as the similarity asks for."""
+    """For each chunk of a batch (s1, size, tokens): the rarest tokens of each distinct set, as many as the similarity asks for."""
 
     def of(b):
         for c in chunks(b.column("text")):
@@ -120,53 +133,74 @@ def _prefixes(order, shingle, num, den):
             # a set that only an equal one can match has no use for its prefix
             alone = (-(-num * n // den) == n) & ((n + 1) * num > n * den)
             p = np.where(alone, 0, prefix_length(n, num, den))
+            first = np.zeros(len(p), bool)
+            first[np.unique(s1, return_index=True)[1]] = True
+            p[~first] = 0
             for a, e in zip(at[:-1][p > 0], at[1:][p > 0]):
                 t[a:e].sort()
             take = np.repeat(at[:-1] - (np.cumsum(p) - p), p) + np.arange(p.sum())
-            yield t[take].view(np.int64), np.repeat(s1, p)
+            yield s1[p > 0], p[p > 0].astype(np.int32), t[take].view(np.int64)
 
     return of
 
 
-def _ends(shared, shingle, num, den):
-    """(token, a, b): the least and the greatest set that has a token in its prefix, in each chunk."""
+def _blocks(shared, shingle, num, den):
+    """A row (sets, sizes, tokens) for each chunk: packed prefixes of its distinct sets."""
 
     def run(batches):
         of = _prefixes(shared.value, shingle, num, den)
         for b in batches:
-            for t, s in of(b):
-                order = np.lexsort((s, t))
-                t, s = t[order], s[order]
-                head = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-                tail = np.append(head[1:], len(t)) - 1 if len(t) else head
-                yield pa.RecordBatch.from_arrays([pa.array(t[head]), pa.array(s[head]), pa.array(s[tail])], ["token", "a", "b"])
+            for s, p, t in of(b):
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (s, p, t)], ["sets", "sizes", "tokens"])
 
     return run
 
 
-def _holders(shared, shingle, num, den):
-    """(token, s1) of the prefixes' tokens whose bit is set."""
+def _send(parts):
+    """Blocks -> 48 bits of each prefix token's hash, by range; two of each are enough to tell that it repeats."""
 
     def run(batches):
-        order, bits = shared.value
-        of = _prefixes(order, shingle, num, den)
+        def flush():
+            v = np.sort(mix(np.concatenate(held)))
+            v = v[np.append([True, True], v[2:] != v[:-2])[: len(v)]]
+            return _batch([(p, 0, _pack(v=np.frombuffer(_six(v[s]), np.uint8))) for p, s in _slices(_range(v, parts, 64), parts)])
+
+        held: list[np.ndarray] = []
         for b in batches:
-            for t, s in of(b):
-                at = t & ((1 << TABLE_BITS) - 1)
-                on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            for x in b.column("tokens"):
+                held.append(np.frombuffer(x.as_buffer(), U))
+                if sum(map(len, held)) > BUFFER:
+                    yield flush()
+                    held.clear()
+        if sum(map(len, held)):
+            yield flush()
+
+    return run
+
+
+def _holders(shared):
+    """Blocks -> (token, s1) of the prefixes' tokens whose bit is set."""
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            for sets, sizes, tokens in zip(b.column("sets"), b.column("sizes"), b.column("tokens")):
+                t = np.frombuffer(tokens.as_buffer(), np.int64)
+                at = (mix(t.view(U)) >> U(64 - TABLE_BITS)).astype(np.int64)
+                on = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                s = np.repeat(np.frombuffer(sets.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(t[on]), pa.array(s[on])], ["token", "s1"])
 
     return run
 
 
-def _bit_table(live: DataFrame) -> np.ndarray:
-    """A table of fixed size with a bit for each token; it thins out what is sent, the join that follows is exact."""
-    n = F.col("token").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) + 1
-    got = live.groupBy(F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits")).collect()
+def _bit_table(blocks: DataFrame, parts: int) -> np.ndarray:
+    """A table of fixed size with a bit for each prefix token that repeats."""
+    got = blocks.select("tokens").mapInArrow(freeing(_send(parts)), BLOCK).groupBy("part").applyInPandas(_repeated(parts), BLOCK).collect()
     out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    size = len(out) // parts
     for r in got:
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["block"], np.uint8)
     return out
 
 
@@ -199,17 +233,15 @@ def _drop(batches):
         )
 
 
-def _family_ties(texts: DataFrame, order: np.ndarray, shingle: int, num: int, den: int) -> DataFrame:
-    """Ties (a, b) that connect the sets, named by s1, which share a prefix token."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(order)
-    ends = texts.select("text").mapInArrow(freeing(_ends(shared, shingle, num, den)), "token long, a long, b long")
-    live = settle(ends.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b"))
-    # with two holders the token itself names them; more of them are looked up
-    shared = spark.sparkContext.broadcast((order, _bit_table(live)))
-    holders = texts.select("text").mapInArrow(freeing(_holders(shared, shingle, num, den)), "token long, s1 long")
-    more = holders.join(live, "token").where("s1 <> a and s1 <> b").select("a", F.col("s1").alias("b"))
-    return live.select("a", "b").union(more).distinct()
+def _families(texts: DataFrame, order: np.ndarray, tokens: int, shingle: int, num: int, den: int) -> DataFrame:
+    """(fam, s1) of the sets, named by s1, that share a prefix token with the family's first; ``tokens`` is the number of all lines' tokens."""
+    context = texts.sparkSession.sparkContext
+    parts = 1 << max(4, int(tokens // RANGE_TOKENS).bit_length())
+    blocks = texts.select("text").mapInArrow(freeing(_blocks(context.broadcast(order), shingle, num, den)), "sets binary, sizes binary, tokens binary")
+    blocks = settle(blocks)
+    held = settle(blocks.mapInArrow(freeing(_holders(context.broadcast(_bit_table(blocks, parts)))), "token long, s1 long"))
+    live = held.groupBy("token").agg(F.min("s1").alias("fam"), F.max("s1").alias("last")).where("fam < last").select("token", "fam")
+    return held.join(live, "token").select("fam", "s1").distinct()
 
 
 def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
@@ -219,17 +251,21 @@ def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
     order = rarity(scanned.where("slice is not null").select("slice", "counts"))
     lines = scanned.where("slice is null").select("id", "line", "n", "s1", "s2")
     # equal sets: one entry, at the first of their places
-    entries = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "line")).alias("at"))
-    entries = settle(entries.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", F.col("at.id").alias("id"), F.col("at.line").alias("line")))
-    family = settle(components(_family_ties(texts, order, shingle, num, den)).select(F.col("id").alias("s1"), F.col("component").alias("fam")))
-    sizes = family.groupBy("fam").count()
-    members = entries.join(family.join(sizes, "fam"), "s1").select("fam", "rep", "s1", "id", "line", "count")
-    want = members.groupBy("id").agg(F.collect_list(F.struct("line", "rep", "fam", "s1")).alias("want"))
-    taken = texts.where("text is not null").join(settle_lookup(want), "id").mapInArrow(freeing(_take), "fam long, rep long, s1 long, id long, line int, text string")
-    taken = settle(taken.join(settle_lookup(sizes.where(f"count > {LEAF}").select("fam").withColumn("large", F.lit(True))), "fam", "left"))
+    entries = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("copies"))
+    entries = settle(entries.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", F.col("at.id").alias("id"), F.col("at.line").alias("line"), "copies"))
+    tokens = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = settle(entries.join(_families(texts, order, tokens, shingle, num, den), "s1").select("fam", "rep", "s1", "n", "id", "line"))
+    large = members.groupBy("fam").agg(F.count("*").alias("k"), F.sum("n").alias("t")).where(f"k > {LEAF} and (k > {MEMBERS} or t > {TOKENS})")
+    large = settle_lookup(large.select("fam", F.lit(True).alias("large")))
+    members = members.join(large, "fam", "left")
+
+    def taken(which):
+        want = members.where(which).groupBy("id").agg(F.collect_list(F.struct("line", "rep", "fam", "s1")).alias("want"))
+        return texts.where("text is not null").join(settle_lookup(want), "id").mapInArrow(freeing(_take), "fam long, rep long, s1 long, id long, line int, text string")
+
     split_sets = partial(sets_of, shingle=shingle, word=ALNUM)
-    late = later_in_small(taken.where("large is null"), split_sets, num, den)
-    if taken.where("large").limit(1).count():
+    late = later_in_small(taken("large is null"), split_sets, num, den)
+    if large.limit(1).count():
 
         def run(batches):
             for b in batches:
@@ -240,17 +276,13 @@ def matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
                 out = [b.column("fam"), b.column("rep"), b.column("id"), b.column("line"), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(out, ["fam", "rep", "id", "line", "n", "d"]).filter(ok)
 
-        sets = taken.where("large").select("fam", "rep", "s1", "id", "line", "text").mapInArrow(run, "fam long, rep long, id long, line int, n long, d array<long>")
-        sets = sets.select("fam", "rep", "n", "d", F.struct("id", "line").alias("place")).dropDuplicates(["rep"])
+        sets = taken("large").mapInArrow(run, "fam long, rep long, id long, line int, n long, d array<long>")
+        sets = sets.select("fam", "rep", "n", "d", F.struct("id", "line").alias("place")).dropDuplicates(["fam", "rep"])
         late = late.union(later_in_large(settle(sets), num, den))
     late = settle_lookup(late.distinct())
-    marks = entries.join(late.withColumn("late", F.lit(True)), "rep", "left")
     # what stays of an entry is its first place, unless an earlier entry matches
-    multiple = lines.groupBy("s1", "s2", "n").count().where("count > 1").select("s1", "s2", "n")
-    touched = settle_lookup(
-        marks.join(multiple.withColumn("many", F.lit(True)), ["s1", "s2", "n"], "left").where("late or many")
-        .select("s1", "s2", "n", F.col("id").alias("fi"), F.col("line").alias("fl"), F.coalesce("late", F.lit(False)).alias("late"))
-    )
+    marks = entries.join(late.withColumn("late", F.lit(True)), "rep", "left").where("late or copies > 1")
+    touched = settle_lookup(marks.select("s1", "s2", "n", F.col("id").alias("fi"), F.col("line").alias("fl"), F.coalesce("late", F.lit(False)).alias("late")))
     return lines.join(touched, ["s1", "s2", "n"]).where("late or id <> fi or line <> fl").select("id", "line").distinct()
 
 

@@ -184,6 +184,38 @@ def test_line_dedup(docs, rows):
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("bound", [None, 30])
+def test_line_dedup_of_chained_lines_and_of_a_group(spark, monkeypatch, bound):
+    """Lines that hang together in a chain are no large family, and a family that a task can hold is compared there."""
+    import random
+
+    from resight.llm import line_dedup as L
+
+    r = random.Random(4)
+    long = [f"c{i}" for i in range(900)]
+    rows, at = [], 0
+    for i in range(120):
+        rows.append((i, " ".join(long[at : at + 40])))
+        at += r.choice((1, 3, 6, 8))
+    base = [f"b{i}" for i in range(80)]
+    for i in range(200, 270):
+        w = list(base)
+        for k in r.sample(range(80), r.choice((1, 2, 3))):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w) + "\n" + rows[i % 7][1]))
+    large = []
+    real = L.later_in_large
+    monkeypatch.setattr(L, "later_in_large", lambda *a: large.append(1) or real(*a))
+    if bound:
+        monkeypatch.setattr(L, "MEMBERS", bound)
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((x.doc_id, x.text, x.n_removed) for x in got.collect())
+    want = sorted(plain_line_dedup(rows))
+    assert 100 < sum(n for _, _, n in want) < 200
+    assert got == want
+    assert bool(large) == bool(bound)
+
+
 def test_line_dedup_of_nothing(none):
     from resight.llm.line_dedup import dedup_lines
 
