@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from resight.llm.decontaminate import contaminated
 from resight.llm.line_dedup import dedup_lines
 from resight.llm.near_dedup import near_duplicates
-from resight.llm.sentencepiece import decode, encode
+from resight.llm.sentencepiece import round_trip
 from resight.llm.toxicity import score, train
 from resight.session import new_folder, settle_lookup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MODEL = "piece_bpe_32k.model"
+#: Rows in one batch to or from a Python worker; the executor and its workers each hold whole batches of texts.
+BATCH_ROWS = "1000"
 
 
 def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -69,8 +71,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): the ids of each text and whether they decode to it."""
     import public_tokenizers
 
-    path = public_tokenizers.path(MODEL)
-    out = decode(encode(docs, path), path, keep=("id", "text", "ids"))
+    out = round_trip(docs, public_tokenizers.path(MODEL))
     return out.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
     )
@@ -91,8 +92,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            path = new_folder(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return docs

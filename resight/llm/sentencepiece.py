@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from resight.llm.words import _BYTE, U, chunks, mix, narrow, release, split, _powers
 
 LOCKSTEP = 64
+#: Segments that advance together.
+LANES = 5_000
 #: Segments, and pairs of pieces, that a task remembers; a segment's ids are kept as bytes.
 CACHE = 200_000
 NOT_BLANK = np.ones(256, dtype=bool)
@@ -329,8 +331,8 @@ class Encoder:
         raw = {i: b" " * int(blanks[where[i]]) + data[start[where[i]] : stop[where[i]]].tobytes() for i in todo}
         todo.sort(key=lambda i: len(raw[i]))
         short = [i for i in todo if len(raw[i]) <= LOCKSTEP]
-        for lo in range(0, len(short), 20_000):
-            part = short[lo : lo + 20_000]
+        for lo in range(0, len(short), LANES):
+            part = short[lo : lo + LANES]
             for i, x in zip(part, _lockstep(self.v, [raw[i] for i in part])):
                 out[i] = self.known[keys[i]] = x.astype(np.int32, copy=False).tobytes()
         if len(self.memo) > CACHE:
@@ -340,14 +342,7 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, ids) of every row; the model file's path must hold on all machines that build the session.
-
-    Null and empty texts have no ids. Rows that repeat, and rows with a null id, are encoded like
-    others. U+2581 in a text counts as a blank, as in the model's own library.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
-
+def _encode(shared):
     def run(batches):
         enc = Encoder(shared.value)
         for b in batches:
@@ -360,14 +355,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         del enc
         release()
 
-    return narrow(docs, id_col, text_col).withColumn("text", F.replace("text", F.lit("\u2581"), F.lit(" "))).mapInArrow(run, "id long, text string, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """``keep`` and the decoded text of every row; null ids decode to an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    slim = encoded.select(F.col(ids_col).alias("ids"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    kinds = [f.dataType.simpleString() for f in slim.schema.fields[1:]]
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return narrow(docs, id_col, text_col).withColumn("text", F.replace("text", F.lit("\u2581"), F.lit(" ")))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, ids) of every row; the model file's path must hold on all machines that build the session.
+
+    Null and empty texts have no ids. Rows that repeat, and rows with a null id, are encoded like
+    others. U+2581 in a text counts as a blank, as in the model's own library.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    return _rows(docs, id_col, text_col).mapInArrow(_encode(shared), "id long, text string, ids array<int>")
+
+
+def _decode(shared, keep: list[str]):
+    """Batches with ids -> (decoded, then the columns ``keep``)."""
 
     def run(batches):
         v = shared.value
@@ -390,9 +396,25 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str,
                 keep_byte[at[:-1][at[1:] > at[:-1]]] = False
                 at = at - np.concatenate([[0], np.cumsum(at[1:] > at[:-1])])
                 text = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[keep_byte]))
-                yield pa.RecordBatch.from_arrays([text, *(b.column(f"keep_{i}").slice(lo, hi - lo) for i in range(len(keep)))], ["decoded", *(f"keep_{i}" for i in range(len(keep)))])
+                yield pa.RecordBatch.from_arrays([text, *(b.column(c).slice(lo, hi - lo) for c in keep)], ["decoded", *keep])
                 lo = hi
         release()
 
-    out = slim.mapInArrow(run, ", ".join(["decoded string", *(f"keep_{i} {k}" for i, k in enumerate(kinds))]))
+    return run
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``keep`` and the decoded text of every row; null ids decode to an empty text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    slim = encoded.select(F.col(ids_col).alias("ids"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    kinds = [f.dataType.simpleString() for f in slim.schema.fields[1:]]
+    out = slim.mapInArrow(_decode(shared, [f"keep_{i}" for i in range(len(keep))]), ", ".join(["decoded string", *(f"keep_{i} {k}" for i, k in enumerate(kinds))]))
     return out.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "decoded")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, ids, decoded) of every row: ``decode`` of ``encode``, in one worker for each task instead of two with a vocabulary each."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    there, back = _encode(shared), _decode(shared, ["id", "text", "ids"])
+    out = _rows(docs, id_col, text_col).mapInArrow(lambda batches: back(there(batches)), "decoded string, id long, text string, ids array<int>")
+    return out.select("id", "text", "ids", "decoded")

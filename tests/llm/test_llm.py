@@ -335,6 +335,20 @@ TEXTS = [
 ]
 
 
+def test_round_trip_is_one_pass(spark, docs):
+    """The same ids and texts as encode and decode, with one worker for each task."""
+    import public_tokenizers
+
+    from resight.llm.sentencepiece import decode, encode, round_trip
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    key = lambda x: (x.id is not None, x.id, x.text or "")
+    got = round_trip(docs, path)
+    want = decode(encode(docs, path), path, keep=("id", "text", "ids")).select("id", "text", "ids", "decoded")
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_sentencepiece_matches_its_library(spark, docs, rows):
     import sentencepiece
 

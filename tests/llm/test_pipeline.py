@@ -66,3 +66,18 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_run_bounds_batches_and_puts_the_setting_back(spark, tmp_path, monkeypatch):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(setting)
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(setting)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert len(seen) == 2 and max(seen) <= 2000
+    assert spark.conf.get(setting) == before
