@@ -71,6 +71,35 @@ def test_ngram_join_of_unlike_texts_with_a_common_passage(spark):
     assert check_components(spark, rows, shingle=1, num=80, den=100) > 50
 
 
+def test_family_without_a_middle_grows_no_faster_than_its_members(spark):
+    """A chain of texts: tokens of a few neighbours are its most frequent ones, and no core of all of them."""
+    from resight.llm import families as L
+
+    r = random.Random(0)
+    made = {m: [(7, i, 100, r.sample(range(20 * i, 20 * i + 100), 100)) for i in range(m)] for m in (50, 200)}
+    tokens = {}
+    for m, rows in made.items():
+        df = spark.createDataFrame(rows, "fam long, rep long, n long, d array<long>")
+        tokens[m] = L._recentred(df, 60, 100).selectExpr("sum(size(d))").first()[0]
+        assert tokens[m] <= 2 * 100 * m
+    assert tokens[200] <= 4.2 * tokens[50]
+    links = {tuple(sorted(x)) for x in L.large_links(df, 60, 100).collect()}
+    assert links <= {(a, b) for b in range(m) for a in range(b) if 20 * (b - a) <= 25}
+    assert set(reach(range(m), links).values()) == {0}
+
+
+def test_only_prefixes_of_a_family_become_rows(spark):
+    """Near copies that differ in many words: a row for each token that a link could need, none for those that one member has alone."""
+    from resight.llm import families as L
+
+    r = random.Random(5)
+    base = list(range(100))
+    rows = [(7, i, 100, sorted(r.sample(base, 90)) + list(range(1000 + 100 * i, 1010 + 100 * i))) for i in range(60)]
+    df = L._recentred(spark.createDataFrame(rows, "fam long, rep long, n long, d array<long>"), 80, 100)
+    each = L._shared_tokens(df, 80, 100).collect()
+    assert 0 < len(each) < 0.6 * df.selectExpr("sum(size(d))").first()[0]
+
+
 def test_every_similar_pair_shares_a_key():
     """The pigeonhole step alone, with and without deletions."""
     from resight.llm import ngram_join as J
