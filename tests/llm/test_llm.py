@@ -699,3 +699,79 @@ def test_nodes_are_compared_in_runs(monkeypatch):
     monkeypatch.setattr(N, "PORTION", 10)
     parts = list(N._compare(0.8, 0.8)([batch.slice(0, 7), batch.slice(7)]))
     assert len(parts) > 20 and len(want) > 20 and pairs(parts) == want
+
+
+def test_long_sets_share_no_token_by_chance():
+    """Unlike sets of many shingles: the least values are small numbers, what is kept of them is not."""
+    from resight.llm import near_dedup as N
+
+    r = np.random.default_rng(6)
+    sets = [np.sort(r.integers(0, 1 << 64, 20_000, dtype=np.uint64)) for _ in range(200)]
+    tokens = np.ascontiguousarray(N._sketch(sets)[:, : 4 * N.SKETCH]).view("<u4")
+    assert all(len(np.unique(tokens[:, k])) == len(sets) for k in range(N.SKETCH))
+
+
+def test_walks_reach_what_branching_reaches():
+    import pyarrow as pa
+
+    from resight.llm import near_dedup as N
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    r = np.random.default_rng(7)
+    sketch = r.integers(0, 256, (50, 4 * N.SKETCH + N.MORE), dtype=np.uint8)
+    binary = lambda rep: pa.array([sketch[i].tobytes() for i in rep], pa.binary())
+    sets = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array(np.arange(50) * 3), binary(range(50))], ["rep", "n", "sketch"])
+    level, tables = sets, []
+    for depth in range(3):
+        (level,) = N._branch(depth, N.TREES, 0.8)([level])
+        (got,) = N._walk([Shared(t) for t in tables], N.TREES, 0.8)([sets])
+        key = lambda b: sorted(zip(b.column("node").to_pylist(), b.column("rep").to_pylist()))
+        assert key(got) == key(level) and got.column("n").to_pylist() == [3 * x for x in got.column("rep").to_pylist()]
+        # every other set's nodes branch
+        on = np.zeros(1 << 20, bool)
+        keep = level.column("rep").to_numpy() % 2 == 0
+        at = N._bucket(level.column("node").to_numpy().view(np.uint64), 20)
+        on[at[keep]] = True
+        tables.append(np.packbits(on, bitorder="little"))
+        level = level.filter(pa.array(on[at]))
+        level = level.append_column("sketch", binary(level.column("rep").to_pylist()))
+
+
+def test_table_of_nodes(spark):
+    from resight.llm import near_dedup as N
+
+    nodes = np.random.default_rng(8).integers(-(1 << 63), 1 << 63, 3000)
+    table = N._table(spark.createDataFrame([(int(x),) for x in nodes], "node long"))
+    on = np.flatnonzero(np.unpackbits(table, bitorder="little"))
+    assert on.tolist() == sorted(set(N._bucket(nodes.view(np.uint64), len(table).bit_length() + 2).tolist()))
+
+
+def test_nodes_parted_by_size():
+    """Runs hold every pair whose sizes are within reach, and no set that is alone."""
+    import pyarrow as pa
+
+    from resight.llm import near_dedup as N
+
+    r = random.Random(9)
+    nodes = [sorted((r.choice([3, 5, 10, 11, 12, 40, 41, 300]), 100 * i + k) for k in range(r.randint(1, 7))) for i in range(80)]
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("rep", pa.int64())]))
+    held = pa.array([[{"n": n, "rep": x} for n, x in m] for m in [[(1, -1)], *nodes]], kind).slice(1)
+    got = [x for p in N._by_size(0.8)([pa.RecordBatch.from_arrays([held], ["held"])]) for x in p.column("held").to_pylist()]
+    near = {(x, y) for m in nodes for n, x in m for k, y in m if x < y and min(n, k) >= 0.8 * max(n, k)}
+    assert near <= {(min(x, y), max(x, y)) for m in got for x in m for y in m} and all(len(m) > 1 for m in got)
+    assert sum(map(len, got)) == len({x for m in got for x in m}) < sum(map(len, nodes))
+
+
+def test_sketches_are_written_once(spark, monkeypatch):
+    """Copies and texts of unlike size: the sketches are settled in one table, and rows that go by node have a size and no sketch."""
+    from resight.llm import near_dedup as N
+
+    written, settle = [], N.settle
+    monkeypatch.setattr(N, "settle", lambda df: written.append(df.columns) or settle(df))
+    rows = [(1, " ".join(f"a{k}" for k in range(60))), (2, " ".join(f"a{k}" for k in range(61))), (3, "b c d e f g"), (4, "b c d e f g"), (4, "b c d e f g")]
+    got = sorted((r.id, r.component_id) for r in N.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (4, 3)]
+    assert sum("sketch" in c for c in written) == 1
