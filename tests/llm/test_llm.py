@@ -775,3 +775,63 @@ def test_sketches_are_written_once(spark, monkeypatch):
     got = sorted((r.id, r.component_id) for r in N.near_duplicates(frame(spark, rows)).collect())
     assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (4, 3)]
     assert sum("sketch" in c for c in written) == 1
+
+
+def test_runs_of_windows_meet_as_one(spark):
+    """A word said again and again has a window at each place; two such texts meet in a few rows, which cover what all windows would."""
+    from resight.llm.substring_dedup import NEED, _in_classes, _lined, stretches
+
+    def run(i, f, first, n, end, before):
+        token = 7 << 16 | 7
+        return [(90 + f, i, c << 3 | f, (before if c == first else 0) << 32 | (end - c), token if c > first else i << 16 | i) for c in range(first, first + n)]
+
+    texts = {1: (20, 60, 130, 12), 2: (5, 45, 95, 3), 3: (200, 50, 249, 0)}
+    rows = [x for i, (first, n, end, before) in texts.items() for f in range(3) for x in run(i, f, first + f, n, end, before)]
+    found = spark.createDataFrame(rows, "value long, id long, cf long, win long, beside long")
+    met = _in_classes(found, found)
+    lined = [tuple(r) for r in _lined(met).collect()]
+    assert 0 < len(lined) <= 3 * 3 * 2 * 4
+    alone = []
+    for value, i, cf, win, beside in rows:
+        for v, k, cg, wing, beside2 in rows:
+            if value == v and i < k and (beside >> 16 == beside2 >> 16 or beside & 65535 == beside2 & 65535):
+                a, b = cf >> 3, cg >> 3
+                low, high = 1 << 32, (1 << 32) - 1
+                alone.append((i, k, (a - min(win // low, wing // low)) << 3 | cf & 7, a + min(win & high, wing & high), b - a, b - a))
+
+    def swept(x):
+        p, q, fl, hi, o, most = np.array(sorted(x)).T
+        group, *rest = stretches(p * 10 + q, fl & 7, fl >> 3, hi, o, most)
+        return sorted(zip(group.tolist(), *(y.tolist() for y in rest)))
+
+    assert NEED == 2 and swept(lined) == swept(alone) and len(alone) > 10_000
+
+
+def test_passages_in_portions(spark, monkeypatch):
+    """What meets, and what is verified, in many portions gives the rows that one gives."""
+    from resight.llm import substring_dedup as S
+
+    r = random.Random(5)
+    prose = lambda k: [f"v{r.randrange(3000)}" for _ in range(k)]
+    rows = [(i, " ".join(prose(9) + ["the"] * r.randint(20, 160) + prose(9) + [f"w{i % 3}"] * r.randint(20, 160))) for i in range(14)]
+    rows += [(20 + i, " ".join(f"n{i}x{k}" if k % 50 == 9 * i else f"b{k}" for k in range(300))) for i in range(5)]
+    parts = []
+    meeting = S._meeting
+    monkeypatch.setattr(S, "_meeting", lambda mine, dealt, k, n: parts.append(n) or meeting(mine, dealt, k, n))
+    want = sorted(S.repeated_passages(frame(spark, rows)).collect())
+    assert parts == [1] and len(want) > 20
+    monkeypatch.setattr(S, "MEETS", 60)
+    monkeypatch.setattr(S, "TOKENS", 9000)
+    assert sorted(S.repeated_passages(frame(spark, rows)).collect()) == want and len(parts) > 2
+
+
+def test_chains_through_repeated_words():
+    """Of several places the nearest to where the chain goes on is taken, the first of two as near."""
+    from resight.llm.substring_dedup import passages
+
+    run = np.array([5] * 60)
+    assert passages(run, run[:50], 46, 80, 100, 12) == [(0, 50, 0, 50)]
+    assert passages(np.r_[np.arange(100, 130), run[:20]], run, 46, 80, 100, 12) == []
+    block = np.tile(np.arange(6), 10)
+    # the first token goes to the place nearest to its own
+    assert passages(np.r_[[77] * 4, block], block, 46, 80, 100, 12) == [(4, 58, 6, 60)]
